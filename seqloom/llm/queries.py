@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import token_store
+from seqloom.llm import secret_ledger, source_mix, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,20 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_output(_table(spark, sf_dir, "documents"))
 
 
+def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_ledger.secret_report(_table(spark, sf_dir, "documents"))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_token_store": op4_token_store}
+    return {
+        "op4_token_store": op4_token_store,
+        "op5_secret_ledger": op5_secret_ledger,
+        "op10_source_mix": op10_source_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
