@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import secret_ledger, source_mix, token_store
+from seqloom.llm import audio_media, secret_ledger, source_mix, token_store
+
+from seqloom.llm._shared import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +23,11 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op8_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = audio_media.store_media(_table(spark, sf_dir, "documents"))
+    return audio_media.media_features(materialize(media, "media")).drop("tensor", "spans", "segments")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_token_store": op4_token_store,
         "op5_secret_ledger": op5_secret_ledger,
+        "op8_audio_media": op8_audio_media,
         "op10_source_mix": op10_source_mix,
     }
 
