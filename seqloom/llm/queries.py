@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import audio_media, secret_ledger, source_mix, token_store
-
+from seqloom.llm import audio_media, secret_ledger, source_mix, substring_dedup, token_store
 from seqloom.llm._shared import materialize
 
 
@@ -15,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_output(_table(spark, sf_dir, "documents"))
 
@@ -34,6 +37,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_token_store": op4_token_store,
         "op5_secret_ledger": op5_secret_ledger,
         "op8_audio_media": op8_audio_media,
