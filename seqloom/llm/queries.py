@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import audio_media, secret_ledger, source_mix, substring_dedup, token_store
+from seqloom.llm import audio_media, chat_format, secret_ledger, source_mix, substring_dedup, template_leaks, token_store
 from seqloom.llm._shared import materialize
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.neighbour_pairs(_table(spark, sf_dir, "conversations"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op5_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = audio_media.store_media(_table(spark, sf_dir, "documents"))
     return audio_media.media_features(materialize(media, "media")).drop("tensor", "spans", "segments")
@@ -37,13 +45,15 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat_pairs": op1_chat_pairs,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_token_store": op4_token_store,
         "op5_secret_ledger": op5_secret_ledger,
+        "op6_template_leaks": op6_template_leaks,
         "op8_audio_media": op8_audio_media,
         "op10_source_mix": op10_source_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_pairs": chat_format.PAIRS_SQL}
