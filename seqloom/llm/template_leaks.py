@@ -27,7 +27,7 @@ WINDOW = 8
 #: Literal words that a window must hold at least.
 LITERALS = 5
 #: Share of an item's windows that a document must hold, with consistent slots, to be reported.
-COVERAGE = 0.5
+COVERAGE = 0.25
 BLOCK_WINDOWS = 1 << 20
 
 #: Units of measure that become a placeholder after a number.
