@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import audio_media, chat_format, secret_ledger, source_mix, substring_dedup, template_leaks, token_store
+from seqloom.llm import audio_media, chat_format, quality, secret_ledger, source_mix, substring_dedup, template_leaks, token_store
 from seqloom.llm._shared import materialize
 
 
@@ -18,6 +18,10 @@ def op1_chat_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.neighbour_pairs(_table(spark, sf_dir, "conversations"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_pairs": op1_chat_pairs,
+        "op2_quality": op2_quality,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_token_store": op4_token_store,
         "op5_secret_ledger": op5_secret_ledger,
