@@ -34,6 +34,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
+_BYTE2 = mix64(np.arange(1001, 1257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _powers: list[np.ndarray] = []
@@ -75,15 +76,18 @@ class Words:
         return span_hashes(self.buf, self.start, self.end)
 
 
-def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes; equal bytes have equal hashes in any block."""
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
+    """64-bit hash of each span of bytes; equal bytes have equal hashes in any block.
+
+    ``second`` gives another, independent one: both together identify a span.
+    """
     if not len(start):
         return np.zeros(0, np.uint64)
     powers, inverse = _power_tables(len(buf) + 1)
     with np.errstate(over="ignore"):
         sums = np.empty(len(buf) + 1, np.uint64)
         sums[0] = 0
-        np.cumsum(_BYTE[buf] * powers[: len(buf)], out=sums[1:])
+        np.cumsum((_BYTE2 if second else _BYTE)[buf] * powers[: len(buf)], out=sums[1:])
         h = (sums[end] - sums[start]) * inverse[start]
         return mix64(h + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 

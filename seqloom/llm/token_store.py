@@ -12,7 +12,6 @@ columns or of a doc_id range skips the token pages.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm._shared import new_path, partitions
+from seqloom.llm._text import byte_blocks, span_hashes
 
 STORE_SCHEMA = "part int, doc_id long, n_tokens long, local_start long, ids array<int>"
 
@@ -40,86 +40,163 @@ WRITE_OPTIONS = {
     "compression": "zstd",
 }
 
-#: A space next to white space, or at an end of the text: there a token can reach
-#: over the space.  All other spaces begin a token of their own.
-_SHARED_SPACE = re.compile(r"(?:^|\s) | (?:\s|$)")
+#: Classes of bytes: space, other ASCII white space, letter, punctuation, anything else.
+_SPACE, _WHITE, _LETTER, _PUNCT, _OTHER = range(5)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[0x20] = _SPACE
+_CLASS[9:14] = _WHITE
+_CLASS[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = _PUNCT
+_CLASS[[c for c in range(0x41, 0x7B) if chr(c).isalpha()]] = _LETTER
+#: White space of two or three UTF-8 bytes, as byte pairs and third bytes.
+_WIDE_SPACE = {(0xC2, 0x85): None, (0xC2, 0xA0): None, (0xE1, 0x9A): {0x80}, (0xE2, 0x80): {*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF}, (0xE2, 0x81): {0x9F}, (0xE3, 0x80): {0x80}}
 
+BLOCK = 1 << 20
 
-class TextEncoder:
-    """Encodes with the tokenizers library and remembers the ids of space-led pieces.
 
-    Byte-level BPE never merges across its pre-tokens, and a space between two
-    characters that are not white space always begins one.  So a text is the
-    concatenation of its pieces, each led by such a space, and a piece has the same
-    ids wherever it stands.  The memory is bounded by ``remember`` pieces; a text
-    with other white space beside a space is encoded whole.
+class PieceEncoder:
+    """Encodes texts with the tokenizers library, each distinct piece once.
+
+    Byte-level BPE never merges across its pre-tokens, so a text may be cut wherever
+    a pre-token must begin and its pieces encoded apart.  Safe cuts are: a space or a
+    newline between two characters that are not white space (before it, and after
+    that newline), and punctuation after an ASCII letter.  A text with white space
+    beyond ASCII is one piece.  Pieces are known by two 64-bit hashes and their length;
+    at most ``remember`` short ones are kept, then the memory starts anew.
     """
 
-    def __init__(self, tokenizer: str, remember: int = 300_000):
+    def __init__(self, tokenizer: str, remember: int = 450_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         path = tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer)
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        vocab = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():  # a character of a token stands for one byte
+            self._bytes[i] = len(token)
         self._remember = remember
-        self._first: dict[str, bytes] = {}
-        self._led: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self._hash, self._check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self._at, self._len = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._pool, self._used = np.zeros(1 << 16, np.uint16 if len(self._bytes) <= 1 << 16 else np.uint32), 0
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32).tobytes() for e in found]
-
-    def _learn(self, known: dict[str, bytes], lead: str, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in known]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            known.update(zip(part, self._encode([lead + p for p in part]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self._first) + len(self._led) > self._remember:
-            self._first.clear()
-            self._led.clear()
-        whole = [i for i, text in enumerate(texts) if _SHARED_SPACE.search(text)]
-        odd = set(whole)
-        split = {i: text.split(" ") for i, text in enumerate(texts) if i not in odd}
-        self._learn(self._first, "", {pieces[0] for pieces in split.values()})
-        led: set[str] = set()
-        for pieces in split.values():
-            led.update(pieces[1:])
-        self._learn(self._led, " ", led)
-        out = [b""] * len(texts)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
+        return [np.array(e.ids, np.int64) for e in found]
+
+    def _encode(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of pieces; those led by a space go to the library in long runs and are cut by length."""
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
+        run = [i for i, p in enumerate(pieces) if p[:1] == b" " and len(p) > 1 and _CLASS[p[1]] > _WHITE and _CLASS[p[-1]] in (_LETTER, _PUNCT)]
+        runs = set(run)
+        alone = [i for i in range(len(pieces)) if i not in runs]
+        for i, ids in zip(alone, self._ids([pieces[i].decode("utf-8", "replace") for i in alone]), strict=True):
             out[i] = ids
-        get = self._led.__getitem__
-        for i, pieces in split.items():
-            out[i] = self._first[pieces[0]] + b"".join(map(get, pieces[1:]))
+        for k in range(0, len(run), 5000):
+            part = run[k : k + 5000]
+            (ids,) = self._ids([b"".join([pieces[i] for i in part]).decode("utf-8", "replace")])
+            ends = np.cumsum(self._bytes[ids])
+            want = np.cumsum([len(pieces[i]) for i in part])
+            cut = np.searchsorted(ends, want)
+            if not len(ends) or ends[-1] != want[-1] or not np.array_equal(ends[cut], want):
+                raise RuntimeError("a token reaches over a piece")
+            for i, x in zip(part, np.split(ids, cut[:-1] + 1), strict=True):
+                out[i] = x
         return out
 
-
-_encoders: dict[str, TextEncoder] = {}
-
-
-def _encoder(tokenizer: str) -> TextEncoder:
+    def _cuts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Places in ``buf`` where pieces begin."""
+        kind = _CLASS[buf]
+        begins = np.zeros(len(buf) + 1, bool)
+        solid = kind > _WHITE
+        between = solid[:-2] & solid[2:]
+        space, line = buf[1:-1] == 0x20, buf[1:-1] == 0x0A
+        begins[1:-2] = between & (space | line)
+        begins[2:-1] |= between & line
+        begins[1:-1] |= (kind[:-1] == _LETTER) & (kind[1:] == _PUNCT)
+        # A cut looks at the bytes beside it, so none is made next to the edge of a text.
+        full = np.flatnonzero(np.diff(offsets) > 0)
+        first, last = offsets[full], offsets[full + 1] - 1
+        at_last = begins[last] & ((buf[last] == 0x20) | (buf[last] == 0x0A))
+        begins[last[at_last]] = False
+        one = first + 1 <= last
+        lead = first[one][(buf[first[one]] == 0x0A) | (buf[first[one]] == 0x20)]
+        begins[lead + 1] &= kind[lead + 1] == _SPACE
+        begins[offsets[:-1]] = False
+        odd = np.flatnonzero((buf == 0xC2) | (buf == 0xE1) | (buf == 0xE2) | (buf == 0xE3))
+        odd = odd[odd < len(buf) - 1]
+        for (a, b), third in _WIDE_SPACE.items():
+            hit = odd[(buf[odd] == a) & (buf[odd + 1] == b)]
+            if third is not None:
+                hit = hit[hit < len(buf) - 2]
+                hit = hit[np.isin(buf[hit + 2], list(third))]
+            for d in np.unique(np.searchsorted(offsets, hit, "right") - 1):
+                begins[offsets[d] : offsets[d + 1]] = False
+        begins[first] = True
+        return np.flatnonzero(begins[: len(buf)])
+
+    def encode(self, buf: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in ``buf``, each with ``end_id`` last, and their bounds."""
+        n = len(offsets) - 1
+        if not len(buf):
+            return np.full(n, end_id, np.int32), np.arange(n + 1)
+        if len(self._hash) > self._remember:
+            self._forget()
+        start = self._cuts(buf, offsets)
+        stop = np.append(start[1:], len(buf))
+        # Texts without bytes lie between pieces and don't matter here.
+        unique, where, inverse = np.unique(span_hashes(buf, start, stop), return_index=True, return_inverse=True)
+        check = span_hashes(buf, start, stop, second=True)
+        size = stop - start
+        if not (np.array_equal(check[where][inverse], check) and np.array_equal(size[where][inverse], size)):
+            raise RuntimeError("two pieces of one hash")
+        check = check[where]
+        at = np.searchsorted(self._hash, unique)
+        near = np.minimum(at, max(len(self._hash) - 1, 0))
+        known = (at < len(self._hash)) & (self._hash[near] == unique) & (self._check[near] == check) if len(self._hash) else np.zeros(len(unique), bool)
+        begin, length = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
+        begin[known], length[known] = self._at[near[known]], self._len[near[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            data = buf.tobytes()
+            ids = self._encode([data[a:b] for a, b in zip(start[where[new]].tolist(), stop[where[new]].tolist(), strict=True)])
+            counts = np.array([len(x) for x in ids], np.int64)
+            flat = np.concatenate(ids)
+            need = self._used + len(flat)
+            if need > len(self._pool):
+                grown = np.zeros(max(need, 2 * len(self._pool)), self._pool.dtype)
+                grown[: self._used] = self._pool[: self._used]
+                self._pool = grown
+            self._pool[self._used : need] = flat
+            begin[new], length[new] = self._used + np.cumsum(counts) - counts, counts
+            self._used = need
+            keep = new[(size[where[new]] <= 64)]
+            keep = keep[~((at[keep] < len(self._hash)) & (self._hash[np.minimum(at[keep], len(self._hash) - 1)] == unique[keep]))] if len(self._hash) else keep
+            for name, values in (("_hash", unique), ("_check", check), ("_at", begin), ("_len", length)):
+                setattr(self, name, np.insert(getattr(self, name), at[keep], values[keep]))
+        begin, length = begin[inverse], length[inverse]
+        before = np.concatenate([[0], np.cumsum(length)])
+        tokens = self._pool[np.repeat(begin - before[:-1], length) + np.arange(before[-1])]
+        pieces = np.searchsorted(start, offsets)
+        counts = np.diff(before[pieces])
+        out = np.full(len(tokens) + n, end_id, np.int32)
+        out[np.arange(len(tokens)) + np.repeat(np.arange(n), counts)] = tokens
+        return out, np.concatenate([[0], np.cumsum(counts + 1)])
+
+
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def _encoder(tokenizer: str) -> PieceEncoder:
     """One encoder for each Python worker, kept from task to task."""
     if tokenizer not in _encoders:
-        _encoders[tokenizer] = TextEncoder(tokenizer)
+        _encoders[tokenizer] = PieceEncoder(tokenizer)
     return _encoders[tokenizer]
 
 
-def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``most`` characters."""
-    i = size = 0
-    for j, text in enumerate(texts):
-        size += len(text)
-        if size >= most:
-            yield i, j + 1
-            i, size = j + 1, 0
-    if i < len(texts):
-        yield i, len(texts)
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, files: int | None = None) -> str:
     """Encodes ``docs(doc_id, text)`` and writes a store in ascending doc_id order.
 
@@ -132,24 +209,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     n = files or partitions(spark)
     ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    end = np.array([end_id], np.uint32).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = _encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, j in _groups(texts):
-                ids = [x + end for x in encoder.encode(texts[i:j])]
-                counts = np.array([len(x) // 4 for x in ids], np.int64)
-                bounds = np.concatenate([[0], np.cumsum(counts)])
-                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
+            for i, k, buf, offsets in byte_blocks(batch.column("text"), BLOCK):
+                ids, bounds = encoder.encode(buf, offsets, end_id)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(j - i, part, np.int32)),
-                        batch.column("doc_id").slice(i, j - i),
-                        pa.array(counts),
+                        pa.array(np.full(k, part, np.int32)),
+                        batch.column("doc_id").slice(i, k),
+                        pa.array(np.diff(bounds)),
                         pa.array(at + bounds[:-1]),
-                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), values),
+                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)),
                     ],
                     names=["part", "doc_id", "n_tokens", "local_start", "ids"],
                 )
