@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import audio_media, chat_format, quality, secret_ledger, source_mix, substring_dedup, template_leaks, token_store
+from seqloom.llm import audio_media, chat_format, odd_minhash, quality, secret_ledger, source_mix, substring_dedup, template_leaks, token_store
 from seqloom.llm._shared import materialize
 
 
@@ -43,6 +43,10 @@ def op8_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_media.media_features(materialize(media, "media")).drop("tensor", "spans", "segments")
 
 
+def op9_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_ledger": op5_secret_ledger,
         "op6_template_leaks": op6_template_leaks,
         "op8_audio_media": op8_audio_media,
+        "op9_odd_minhash": op9_odd_minhash,
         "op10_source_mix": op10_source_mix,
     }
 
