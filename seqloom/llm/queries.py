@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import audio_media, chat_format, odd_minhash, quality, secret_ledger, source_mix, substring_dedup, template_leaks, token_store
+from seqloom.llm import audio_media, chat_format, context_mixing, odd_minhash, quality, secret_ledger, source_mix, substring_dedup, template_leaks, token_store
 from seqloom.llm._shared import materialize
 
 
@@ -38,6 +38,10 @@ def op6_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_leaks.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = audio_media.store_media(_table(spark, sf_dir, "documents"))
     return audio_media.media_features(materialize(media, "media")).drop("tensor", "spans", "segments")
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_store": op4_token_store,
         "op5_secret_ledger": op5_secret_ledger,
         "op6_template_leaks": op6_template_leaks,
+        "op7_context_mixing": op7_context_mixing,
         "op8_audio_media": op8_audio_media,
         "op9_odd_minhash": op9_odd_minhash,
         "op10_source_mix": op10_source_mix,
