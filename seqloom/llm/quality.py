@@ -9,7 +9,7 @@
 3. *Network.*  A two-layer numpy network learns from at most ``MAX_LABELLED`` labelled
    rows, chosen by a hash; a temperature fitted on a part it has not seen calibrates it.
 
-The text is read twice: for the vectors of words, and for those of documents.
+The text is read for the vectors of words, for the labelled sample, and for the scores.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         table = np.zeros((rows, DIMS), np.int64)
         flat = table.ravel()
         for batch in batches:
-            for _, _, buf, offsets in byte_blocks(batch.column("text")):
+            for _, _, buf, offsets in byte_blocks(batch.column("text"), 1 << 19):
                 if not len(buf):
                     continue
                 t = tokens(buf, offsets)
@@ -137,53 +137,48 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 FEATURES = 3 * DIMS + 3
 
 
-def document_vectors(docs: DataFrame, words: np.ndarray, shapes: np.ndarray) -> DataFrame:
-    """``row_doc, vector`` of every row: pooled vectors of its whole text; zeros without tokens."""
-    sent = docs.sparkSession.sparkContext.broadcast((words, shapes))
-
-    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, shapes = sent.value
-        for batch in batches:
-            parts = []
-            for _, n, buf, offsets in byte_blocks(batch.column("text"), 1 << 19):
-                out = np.zeros((n, FEATURES), np.float32)
-                t = tokens(buf, offsets) if len(buf) else None
-                full = np.flatnonzero(np.diff(t.bounds) > 0) if t is not None else np.zeros(0, np.int64)
-                if len(full):
-                    count = np.diff(t.bounds)[full].astype(np.float32)[:, None]
-                    # Runs of a long text are summed in steps, so memory stays with the step.
-                    sums = np.zeros((len(full), 2 * DIMS), np.float32)
-                    cos = np.zeros(len(full), np.float32)
-                    at = t.bounds[:-1][full]
-                    step = 1 << 17
-                    for i in range(0, len(t.bucket), step):
-                        v = words[t.bucket[i : i + step + 1]]
-                        m = min(step, len(t.bucket) - i)
-                        dots = np.zeros(m, np.float32)
-                        near = t.adjacent[i : i + m]
-                        dots[: len(near)] = np.einsum("ij,ij->i", v[: len(near)], v[1 : len(near) + 1]) * near
-                        prod = np.zeros((m, DIMS), np.float32)
-                        prod[: len(near)] = v[: len(near)] * v[1 : len(near) + 1] * near[:, None]
-                        lo, hi = np.searchsorted(at, i, "right") - 1, np.searchsorted(at, i + m, "left")
-                        cut = np.maximum(at[lo:hi] - i, 0)
-                        sums[lo:hi, :DIMS] += np.add.reduceat(v[:m], cut, axis=0)
-                        sums[lo:hi, DIMS:] += np.add.reduceat(prod, cut, axis=0)
-                        cos[lo:hi] += np.add.reduceat(dots, cut)
-                    doc = np.repeat(np.arange(len(full)), np.diff(t.bounds)[full])
-                    hist = np.bincount(doc * SHAPES + t.shape, minlength=len(full) * SHAPES).reshape(-1, SHAPES).astype(np.float32)
-                    pooled = sums / count
-                    out[full, : 2 * DIMS] = pooled
-                    out[full, 2 * DIMS : 3 * DIMS] = hist / count @ shapes
-                    out[full, -3] = np.linalg.norm(pooled[:, :DIMS], axis=1)
-                    out[full, -2] = cos / count[:, 0]
-                    out[full, -1] = np.log1p(count[:, 0]) / 10
-                parts.append(out)
-            flat = np.concatenate(parts).ravel() if parts else np.zeros(0, np.float32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, FEATURES, dtype=np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("row_doc"), lists], names=["row_doc", "vector"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("row_doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(pool, "row_doc long, vector array<float>")
+#: Tokens whose vectors are gathered at once: a text of any length takes no more memory.
+_STEP = 1 << 14
+
+
+def pool(column: pa.Array, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    """A row of FEATURES numbers for each whole text; zeros without tokens."""
+    parts = [np.zeros((0, FEATURES), np.float32)]
+    for _, n, buf, offsets in byte_blocks(column, 1 << 18):
+        out = np.zeros((n, FEATURES), np.float32)
+        parts.append(out)
+        if not len(buf):
+            continue
+        t = tokens(buf, offsets)
+        counts = np.diff(t.bounds)
+        full = np.flatnonzero(counts > 0)
+        if not len(full):
+            continue
+        count = counts[full].astype(np.float32)[:, None]
+        at = t.bounds[:-1][full]
+        sums, dots = np.zeros((len(full), 2 * DIMS), np.float32), np.zeros(len(full), np.float32)
+        for i in range(0, len(t.bucket), _STEP):
+            v = words[t.bucket[i : i + _STEP + 1]]
+            m = min(_STEP, len(t.bucket) - i)
+            near = t.adjacent[i : i + m]
+            products = np.zeros((m, DIMS), np.float32)
+            np.multiply(v[: len(near)], v[1 : len(near) + 1], out=products[: len(near)])
+            products[: len(near)][~near] = 0
+            lo, hi = np.searchsorted(at, i, "right") - 1, np.searchsorted(at, i + m, "left")
+            cut = np.maximum(at[lo:hi] - i, 0)
+            sums[lo:hi, :DIMS] += np.add.reduceat(v[:m], cut, axis=0)
+            together = np.add.reduceat(products, cut, axis=0)
+            sums[lo:hi, DIMS:] += together
+            dots[lo:hi] += together.sum(axis=1)
+        cells = np.repeat(np.arange(len(full)) * SHAPES, counts[full]) + t.shape
+        hist = np.bincount(cells, minlength=len(full) * SHAPES).reshape(-1, SHAPES).astype(np.float32)
+        pooled = sums / count
+        out[full, : 2 * DIMS] = pooled
+        out[full, 2 * DIMS : 3 * DIMS] = hist / count @ shapes
+        out[full, -3] = np.linalg.norm(pooled[:, :DIMS], axis=1)
+        out[full, -2] = dots / count[:, 0]
+        out[full, -1] = np.log1p(count[:, 0]) / 10
+    return np.concatenate(parts)
 
 
 @dataclass
@@ -254,22 +249,47 @@ def crc_mod(column: str, mod: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def train(vectors: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED) -> Network:
-    """Learns from labelled rows of ``vectors`` whose crc32(doc_id) mod 5 is not 0.
+@dataclass
+class Model:
+    """All that scoring a text takes; its size doesn't depend on the corpus."""
+
+    words: np.ndarray
+    shapes: np.ndarray
+    network: Network
+
+    def scores(self, column: pa.Array) -> np.ndarray:
+        return self.network.probability(pool(column, self.words, self.shapes))
 
-    Rows without a label of 0 or 1 are left out.  A sample of bounded size comes to the
-    driver; of that, a sixth (by crc32 mod 6) calibrates and doesn't train.
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED) -> Model:
+    """Word vectors from all of ``docs``; the network from labelled rows.
+
+    The labelled rows are those whose label is 0 or 1 and whose crc32(doc_id) mod 5 is not 0; where
+    they are more than ``max_labelled``, those least by a hash.  That sample has a size of its
+    own, so it is sent to the tasks that read the texts, and its vectors come to the driver.
+    A sixth of it (by a hash) calibrates and doesn't train.  Of rows that share a doc_id, one counts.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("label_doc"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and label_doc is not null").dropDuplicates(["label_doc"])
-    joined = vectors.join(known, F.col("row_doc") == F.col("label_doc")).where(crc_mod("row_doc", 5) != 0)
-    sample = joined.select("row_doc", "label", "vector").orderBy(F.xxhash64("row_doc"), "row_doc", "vector").limit(max_labelled).toArrow()
+    words, shapes = word_vectors(docs)
+    known = labels.select(F.col("doc_id").cast("long").alias("row_doc"), F.col(label).cast("int").alias("label")).where("label in (0, 1) and row_doc is not null").where(crc_mod("row_doc", 5) != 0)
+    known = known.groupBy("row_doc").agg(F.min("label").alias("label")).orderBy(F.xxhash64("row_doc"), "row_doc").limit(max_labelled)
+    texts = docs.select(F.col("doc_id").cast("long").alias("row_doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast((words, shapes))
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = pool(batch.column("text"), *sent.value).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, FEATURES, dtype=np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("row_doc"), batch.column("label"), lists], names=["row_doc", "label", "vector"])
+
+    chosen = texts.join(F.broadcast(materialize(known, "labelled")), "row_doc").select("row_doc", "label", "text")
+    made = chosen.mapInArrow(vectors, "row_doc long, label int, vector array<float>").groupBy("row_doc", "label").agg(F.min("vector").alias("vector"))
+    sample = made.toArrow().sort_by("row_doc").combine_chunks()
     n = sample.num_rows
-    x = sample["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, FEATURES), np.float32)
-    y = sample["label"].to_numpy() if n else np.zeros(0)
-    order = np.argsort(sample["row_doc"].to_numpy(), kind="stable") if n else np.zeros(0, np.int64)
-    ids = sample["row_doc"].to_numpy()[order] if n else np.zeros(0, np.int64)
-    held = (mix64(ids.astype(np.int64).view(np.uint64)) % np.uint64(6) == 0) if n else np.zeros(0, bool)
-    return fit_network(x[order], y[order], held)
+    if not n:
+        return Model(words, shapes, fit_network(np.zeros((0, FEATURES), np.float32), np.zeros(0), np.zeros(0, bool)))
+    x = sample["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, FEATURES)
+    held = mix64(sample["row_doc"].to_numpy().astype(np.int64).view(np.uint64)) % np.uint64(6) == 0
+    return Model(words, shapes, fit_network(x, sample["label"].to_numpy(), held))
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -279,21 +299,23 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", max_labell
     or empty text has the vector 0.  Rows of one doc_id are rows of their own.  Without
     usable labels every score is 0.5.
     """
-    words, shapes = word_vectors(docs)
-    vectors = materialize(document_vectors(docs, words, shapes), "vectors")
-    sent = docs.sparkSession.sparkContext.broadcast(train(vectors, labels, label, max_labelled))
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label, max_labelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, FEATURES), np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column("row_doc"), pa.array(sent.value.probability(x))], names=["row_doc", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row_doc"), pa.array(sent.value.scores(batch.column("text")))], names=["row_doc", "score"])
 
-    scored = vectors.mapInArrow(run, "row_doc long, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("row_doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    scored = rows.mapInArrow(run, "row_doc long, score double")
     return scored.select(F.col("row_doc").alias("doc_id"), (crc_mod("row_doc", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the documents that the classifier rejects; doc_id is taken as a key here."""
-    bad = score(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("bad_doc")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == F.col("bad_doc"), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """``docs`` without the rows whose score is below THRESHOLD, all columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, label))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.scores(batch.column("text")) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
