@@ -9,8 +9,9 @@
    only.  Pairs that their sketches allow are confirmed on the full sets, and components
    formed.  A large group of near copies costs a pair for each member, not for each two.
 4. Buckets that still hold several components are looked at again, across components: pairs
-   are ruled out by a bound from shingles that no other candidate has (a set with many of
-   those can't be close to any), then by sketches, and the rest confirmed on full sets.
+   are ruled out by a bound on what they can share (from shingles that no other candidate has, and
+   from each one's exact intersection with the bucket's center), then by sketches, and the rest
+   confirmed on full sets.
 
 A pair at the threshold shares no band with probability 2e-10 for 30 bands of 4 at 0.85 and
 2e-7 at 0.8; the sketch's margin is six standard deviations.  Everything is keyed by node, and
@@ -35,6 +36,7 @@ BANDS, ROWS = 30, 4
 SKETCH_WORDS = 4  # of 64 bits
 #: Words of 64 bits in the bit set of wanted sets (8 MB).
 FILTER_WORDS = 1 << 20
+COUNT_AT_ONCE = 1 << 18
 
 _SAMPLES = BANDS * ROWS
 _A = (mix64(np.arange(1, _SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E6C63D0876A9A35)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -162,28 +164,37 @@ def _sketch_bits(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _SKETCH), F.lit(0))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs(a, b)``, those with 100 * intersection >= percent * union on the full sets."""
+def _intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with ``shared``, the size of the intersection, and ``total``, the sum of both sizes."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left_set")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right_set")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("left_set", "right_set")).cast("long").alias("i"), (F.size("left_set") + F.size("right_set")).cast("long").alias("total"))
-    return shared.where(F.col("i") * 100 >= (F.col("total") - F.col("i")) * percent).select("a", "b")
+    return both.select("a", "b", F.size(F.array_intersect("left_set", "right_set")).cast("long").alias("shared"), (F.size("left_set") + F.size("right_set")).cast("long").alias("total"))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs(a, b)``, those with 100 * intersection >= percent * union on the full sets."""
+    return _intersections(pairs, sets).where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select("a", "b")
 
 
 def _unshared(sets: DataFrame) -> DataFrame:
     """``node, alone``: shingles of a set that no other set of ``sets`` has.
 
-    Tasks count within themselves first, so a shingle that many sets share is a row for each
-    task; what a task holds is bounded by flushing.
+    Tasks count within runs of sets first, so a shingle that many sets share is a row for each
+    run; what a task holds is bounded.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("shingles")
-            flat = lists.flatten().to_numpy()
-            owner = np.repeat(batch.column("node").to_numpy(), np.diff(lists.offsets.to_numpy()))
-            values, first, counts = np.unique(flat, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int64)), pa.array(owner[first])], names=["shingle", "sets", "owner"])
+            offsets, nodes = lists.offsets.to_numpy(), batch.column("node").to_numpy()
+            flat = lists.values.to_numpy()
+            i = 0
+            while i < len(nodes):  # whole sets, about COUNT_AT_ONCE shingles
+                j = min(len(nodes), max(i + 1, int(np.searchsorted(offsets, offsets[i] + COUNT_AT_ONCE, "right")) - 1))
+                owner = np.repeat(nodes[i:j], np.diff(offsets[i : j + 1]))
+                values, first, counts = np.unique(flat[offsets[i] : offsets[j]], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts.astype(np.int64)), pa.array(owner[first])], names=["shingle", "sets", "owner"])
+                i = j
 
     rows = sets.select("node", "shingles").mapInArrow(count, "shingle long, sets long, owner long")
     once = rows.groupBy("shingle").agg(F.sum("sets").alias("sets"), F.min("owner").alias("owner")).where("sets = 1")
@@ -229,13 +240,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rest_sets = sets.join(rest.select("node").distinct(), "node", "left_semi")
     bounds = ends.join(_unshared(rest_sets), "node", "left").select("node", "n", *_SKETCH, F.coalesce("alone", F.lit(0)).alias("alone"))
     able = bounds.where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent)
+    # With the bucket's center, a set falls into what it shares with that, what no other set has, and
+    # the rest: two sets share at most the lesser of their first parts and of their last parts.
+    to_center = rest.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+    inside = _intersections(to_center, sets).select(F.col("a").alias("node"), F.col("b").alias("center"), F.col("shared").alias("inside"))
     middle = labels.select(F.col("node").alias("center"), F.col("label").alias("center_label"))
-    open_rest = materialize(
-        rest.where("node <> center").join(able, "node").join(middle, "center", "left").select("key", "node", "label", "n", "alone", *_SKETCH, (F.col("label") != F.coalesce("center_label", "center")).alias("aside")), "open"
-    )
-    most = F.least(F.col("x.n") - F.col("x.alone"), F.col("y.n") - F.col("y.alone"))
+    parts = rest.where("node <> center").join(able, "node").join(inside, ["node", "center"]).join(middle, "center", "left").join(nodes.select("node", "bands"), "node")
+    aside = F.col("label") != F.coalesce("center_label", "center")
+    open_rest = materialize(parts.select("key", "node", "label", "n", "alone", "inside", (F.col("n") - F.col("inside") - F.col("alone")).alias("free"), "bands", *_SKETCH, aside.alias("aside")), "open")
+    most = F.least(F.col("x.n") - F.col("x.alone"), F.col("y.n") - F.col("y.alone"), F.least("x.inside", "y.inside") + F.least("x.free", "y.free"))
     bound = most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent
-    pairs = open_rest.where("aside").alias("x").join(open_rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & bound & possible)
+    # A pair of several buckets comes from the first band that both share.
+    common = F.zip_with("x.bands", "y.bands", lambda i, j: F.when(i == j, i))
+    here = F.get(F.array_compact(common), F.lit(0)) == F.col("x.key")
+    pairs = open_rest.where("aside").alias("x").join(open_rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & bound & possible & here)
     more = _confirmed(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), sets, percent)
     more = materialize(more, "links")
     at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
