@@ -8,13 +8,14 @@ its own and is always taken whole.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _U = np.uint64
 
 _SPACE = np.zeros(256, bool)
@@ -46,7 +47,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
         size = max(n, BLOCK + (BLOCK >> 2))
         with np.errstate(over="ignore"):
             tables = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, p, np.uint64)])) for p in (_P, _PINV)]
-        if size > 4 * BLOCK:  # of one very long text: not kept
+        if size > 1 << 21:  # of one very long text: not kept
             return tables
         _powers[:] = tables
     return _powers
@@ -108,6 +109,24 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets
 
 
+def _trimmer():
+    """The C library's function that gives freed memory back, where there is one."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+_trim = _trimmer()
+
+
+def release_memory() -> None:
+    """Gives back what a batch has freed: Python workers live on beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def byte_blocks(column: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, n, bytes, offsets) of runs of whole texts of about ``block`` bytes."""
     buf, offsets = text_buffers(column)
@@ -117,6 +136,7 @@ def byte_blocks(column: pa.Array, block: int = BLOCK) -> Iterator[tuple[int, int
         j = min(j, n)
         yield i, j - i, buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    release_memory()
 
 
 def find_words(first: int, n: int, buf: np.ndarray, offsets: np.ndarray) -> Words:

@@ -97,19 +97,31 @@ def word_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((rows, DIMS), np.int64)
         flat = table.ravel()
+        cells, signs, held = [], [], 0
+
+        def add_up() -> None:
+            nonlocal held
+            if held:
+                flat[:] += np.bincount(np.concatenate(cells), np.concatenate(signs), minlength=len(flat)).astype(np.int64)
+            cells.clear()
+            signs.clear()
+            held = 0
+
         for batch in batches:
-            for _, _, buf, offsets in byte_blocks(batch.column("text"), 1 << 19):
+            for _, _, buf, offsets in byte_blocks(batch.column("text")):
                 if not len(buf):
                     continue
                 t = tokens(buf, offsets)
                 pairs = np.flatnonzero(t.adjacent)
-                cells, signs = [], []
                 for a, b in ((pairs, pairs + 1), (pairs + 1, pairs)):
                     for k in range(NONZERO):
                         to, by = place[t.bucket[b], k], sign[t.bucket[b], k]
                         cells += [t.bucket[a] * DIMS + to, (BUCKETS + t.shape[a]) * DIMS + to]
                         signs += [by, by]
-                flat += np.bincount(np.concatenate(cells), np.concatenate(signs), minlength=len(flat)).astype(np.int64)
+                held += 8 * len(pairs)
+                if held >= 1 << 21:
+                    add_up()
+        add_up()
         blocks = [k for k in range(0, rows, _BLOCK_ROWS) if table[k : k + _BLOCK_ROWS].any()]
         if blocks:
             yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([table[k : k + _BLOCK_ROWS].tobytes() for k in blocks], pa.binary())], names=["block", "cells"])
@@ -144,7 +156,7 @@ _STEP = 1 << 14
 def pool(column: pa.Array, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
     """A row of FEATURES numbers for each whole text; zeros without tokens."""
     parts = [np.zeros((0, FEATURES), np.float32)]
-    for _, n, buf, offsets in byte_blocks(column, 1 << 18):
+    for _, n, buf, offsets in byte_blocks(column):
         out = np.zeros((n, FEATURES), np.float32)
         parts.append(out)
         if not len(buf):

@@ -50,7 +50,7 @@ _CLASS[[c for c in range(0x41, 0x7B) if chr(c).isalpha()]] = _LETTER
 #: White space of two or three UTF-8 bytes, as byte pairs and third bytes.
 _WIDE_SPACE = {(0xC2, 0x85): None, (0xC2, 0xA0): None, (0xE1, 0x9A): {0x80}, (0xE2, 0x80): {*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF}, (0xE2, 0x81): {0x9F}, (0xE3, 0x80): {0x80}}
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 class PieceEncoder:
