@@ -167,6 +167,6 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     size = F.size(F.filter(F.split(F.col("text"), "[\\x20\\x09-\\x0D]+"), lambda x: x != ""))
     rows = docs.withColumn("row_size", size.cast("long")).alias("d").join(
         copies.where("mix_copies > 0").alias("c"),
-        (F.col("d.doc_id").cast("long") == F.col("c.mix_doc")) & F.col("d.source").eqNullSafe(F.col("c.mix_source")) & (F.col("d.row_size") == F.col("c.mix_size")),
+        F.col("d.doc_id").cast("long").eqNullSafe(F.col("c.mix_doc")) & F.col("d.source").eqNullSafe(F.col("c.mix_source")) & (F.col("d.row_size") == F.col("c.mix_size")),
     )
     return rows.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("c.mix_copies"))).alias("mix_copy")).drop("mix_copy")
