@@ -1,0 +1,467 @@
+"""Each operator against brute force on small tables: nulls, empty and long texts, ties, repeats, odd columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seqloom.llm import audio_media, chat_format, components, context_mixing, odd_minhash, quality, secret_ledger, source_mix, substring_dedup, template_leaks, token_store
+
+WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa lamda mu nu xi omikron pi rho sigma tau upsilon phi chi psi omega".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, n long, node string, score string"
+
+
+def text(r, n):
+    return " ".join(r.choice(WORDS) + str(r.randrange(40)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Documents with every awkward case; extra columns have names that operators use inside."""
+    r = random.Random(11)
+    base = [text(r, 80) for _ in range(12)]
+    out = [(i, base[i % 12] if i < 20 else text(r, r.randint(1, 90)), r.choice(["en", "fr", None]), r.choice(["a", "b", "c", "", None])) for i in range(60)]
+    near = base[0].split()
+    near[40] = "changed"
+    out += [(100, " ".join(near), "en", "a"), (101, None, None, None), (102, "", "en", "a"), (103, " \n\t ", "en", "b"), (104, "one", "en", "c"), (105, "one", "de", "c")]
+    out += [(106, text(r, 20_000), "en", "a"), (107, "é" * 3000, "fr", "b"), (108, "x" * 5000, "en", "b"), (109, "Thing THING thing", "en", "c")]
+    out += [(110, base[3], "en", "a")] * 3 + [(None, base[4], "en", "a")]
+    return [(*x, len(x[1] or ""), "r", 1, "n", "s") for x in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def tokens(t):
+    return [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+
+
+# 1 ---------------------------------------------------------------------------------------------
+
+
+def test_chat_pairs(spark):
+    turns = [
+        (0, 0, "user", "hi"), (0, 1, "assistant", "a"), (0, 2, "user", "x"), (0, 3, "assistant", "ok"),
+        (1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "user", "y"),
+        (2, 0, "user", "same"), (3, 0, "user", "same"),
+        (4, 0, None, None),
+        (None, 0, "user", "lost"),
+    ]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("pos", F.lit("clash"))
+    got = {x.pair_id: x for x in chat_format.neighbour_pairs(df).collect()}
+    assert set(got) == {0, 1, 2}
+    p = got[0]
+    assert p.prompt == "<|user|>\nhi<|end|>\n<|assistant|>\na<|end|>\n" and p.n_prompt_turns == 2
+    assert p.chosen == "<|user|>\nx<|end|>\n<|assistant|>\nok<|end|>\n" and p.rejected == "<|user|>\ny<|end|>\n"
+    (span,) = [tuple(map(int, s.split(":"))) for s in p.chosen_mask.split(",")]
+    assert p.chosen[span[0] : span[1]] == "ok<|end|>\n" and p.rejected_mask == ""
+    assert got[1].n_prompt_turns == 1 and got[1].chosen == got[1].rejected == ""
+    assert got[2].chosen == "<||>\n<|end|>\n" and got[2].rejected == "" and got[2].n_prompt_turns == 0
+    assert chat_format.neighbour_pairs(df.where("false")).count() == 0
+
+
+def test_chat_repeated_rows_are_turns(spark):
+    df = spark.createDataFrame([(0, 0, "user", "a"), (0, 0, "user", "a"), (1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    (x,) = chat_format.neighbour_pairs(df).collect()
+    assert (x.n_prompt_turns, x.n_chosen_turns, x.n_rejected_turns) == (1, 1, 0)
+
+
+# 2 ---------------------------------------------------------------------------------------------
+
+
+def test_quality_learns_and_ignores_labels_of_held_out(spark, data):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.score(d, labels).join(labels, "doc_id").toPandas()
+    held = got[got.held_out]
+    assert (held.predicted == held.quality).mean() >= 0.93
+    assert all((zlib.crc32(str(i).encode()) % 5 == 0) == h for i, h in zip(got.doc_id, got.held_out))
+    turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = quality.score(d, turned).toPandas().set_index("doc_id").score
+    assert np.allclose(again.loc[got.doc_id].to_numpy(), got.score.to_numpy())
+
+
+def test_quality_edges(spark, docs, empty):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, None), (None, 1)], "doc_id long, quality int")
+    got = quality.score(docs, labels).collect()
+    assert len(got) == docs.count() and all(0 <= x.score <= 1 for x in got)
+    assert quality.score(empty, labels).count() == 0
+    assert {x.score for x in quality.score(docs, labels.where("false")).collect()} == {0.5}
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(x.predicted for x in got)
+
+
+# 3 ---------------------------------------------------------------------------------------------
+
+
+def test_repeated_passages(spark):
+    r = random.Random(4)
+    passage = text(r, 55)
+    rows = [(1, text(r, 70) + " " + passage + " " + text(r, 30)), (2, text(r, 3) + " " + passage), (3, text(r, 200)), (4, "Licensed under some licence line. " + text(r, 40)), (5, "Licensed under some licence line. " + text(r, 40)), (6, "ab " * 400), (7, None), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit(1))
+    got = substring_dedup.repeated_spans(df).collect()
+    assert {x.doc_id for x in got} == {1, 2}
+    by = dict(rows)
+    for x in got:
+        assert by[x.doc_id].encode()[x.start : x.stop].decode() in passage and x.first_doc == 1
+    cut = {x.doc_id: x.text for x in substring_dedup.without_repeats(df.select("doc_id", "text")).collect()}
+    assert cut[1] == by[1] and len(cut[2]) < len(by[2]) / 2 and cut[7] is None and cut[3] == by[3]
+
+
+def test_chunks_cover_and_shift(spark):
+    r = random.Random(5)
+    body = text(r, 3000).encode()
+    cut = lambda b: substring_dedup.chunk_bounds(np.frombuffer(b, np.uint8), np.array([0, len(b)]))
+    start, stop = cut(body)
+    assert start[0] == 0 and stop[-1] == len(body) and (start[1:] == stop[:-1]).all() and (stop - start).max() <= substring_dedup.MAX_CHUNK
+    pieces = lambda b: Counter(b[i:j] for i, j in zip(*cut(b)))
+    a, b = pieces(body), pieces(body[:5000] + b"inserted" + body[5000:])
+    assert sum((a - b).values()) <= 6
+
+
+def test_repeats_edges(docs, empty):
+    got = substring_dedup.repeated_spans(docs).collect()
+    assert {0, 12, 100} <= {x.doc_id for x in got} and 106 not in {x.doc_id for x in got}
+    assert substring_dedup.repeated_spans(empty).count() == 0
+
+
+# 4 ---------------------------------------------------------------------------------------------
+
+
+def test_token_store_round_trip(spark, docs, empty, rows, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    path = token_store.write_tokens(docs, str(tmp_path / "t"), files=3)
+    got = token_store.read_tokens(spark, path).collect()
+    want = Counter((x[0], tuple(plain.encode(x[1] or "", add_special_tokens=False).ids + [0])) for x in rows)
+    assert Counter((x.doc_id, tuple(x.ids)) for x in got) == want
+    in_order = sorted(got, key=lambda x: x.start)
+    at = 0
+    for x in in_order:
+        assert x.start == at
+        at += x.n_tokens
+    ids = [x.doc_id for x in in_order if x.doc_id is not None]
+    assert ids == sorted(ids) and in_order[0].doc_id is None
+    for x in token_store.with_crc32(token_store.read_tokens(spark, path)).collect():
+        assert x.ids_crc32 in {zlib.crc32(np.array(y.ids, "<u4").tobytes()) for y in got if y.doc_id == x.doc_id}
+    assert token_store.read_metadata(spark, path).agg(F.sum("n_tokens")).first()[0] == at
+    assert token_store.token_output(empty).count() == 0
+
+
+# 5 ---------------------------------------------------------------------------------------------
+
+ASSIGN = re.compile(r'(password|passwd|secret|token|api_?key)["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)', re.I | re.A)
+
+
+def spans(x):
+    x = x or ""
+    s = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(x) if len(m[2]) >= 6]
+    s += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 20]
+    s += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", x) if len(m[0]) >= 24]
+    return [f"{k}:{a}:{b}" for a, _, b, k in sorted(s)]
+
+
+def test_secrets(spark):
+    r = random.Random(6)
+    bits = ["password=", "Token: '", "secret =", "api_key:", "APIKEY=\"", "passwd", "AKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "deadbeef", " ", "\n", "é😀", "abc", "=", "x" * 7, ".-_", "token=secret: "]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 25)))) for i in range(300)] + [(300, None), (301, ""), (302, "password=abcdef" * 3), (302, "password=abcdef")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("blob", F.lit(0)).withColumn("kind", F.lit(0))
+    got = Counter((x.doc_id, x.n_assign, x.n_access, x.n_hex, x.base_sha256, x.spans) for x in secret_ledger.secret_report(df).collect())
+    want = Counter()
+    for i, x in rows:
+        s = spans(x)
+        n = [sum(y.startswith(k) for y in s) for k in ("assign", "access", "hex")]
+        want[(i, *n, hashlib.sha256(",".join(s).encode()).hexdigest(), ",".join(s))] += 1
+    assert got == want
+
+
+def test_ledger_scans_only_unseen_pairs(spark):
+    from dataclasses import replace
+
+    v1 = spark.createDataFrame([(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, "clean")], "doc_id long, text string")
+    ledger = secret_ledger.scan(v1)
+    assert ledger.select("blob").distinct().count() == 2 and ledger.count() == 2 * len(secret_ledger.RULES)
+    v2 = v1.unionByName(spark.createDataFrame([(4, "AKIA" + "A" * 16)], "doc_id long, text string"))
+    new = secret_ledger.scan(v2, ledger)
+    assert new.select("blob").distinct().count() == 1 and new.count() == len(secret_ledger.RULES)
+    raised = tuple(replace(x, version=2) if x.kind == "hex" else x for x in secret_ledger.RULES)
+    assert {(x.kind, x.version) for x in secret_ledger.scan(v1, ledger, raised).collect()} == {("hex", 2)}
+    report = {x.doc_id: (x.n_assign, x.n_access) for x in secret_ledger.secret_report(v2, ledger).collect()}
+    assert report == {1: (1, 0), 2: (1, 0), 3: (0, 0), 4: (0, 1)}
+    assert secret_ledger.secret_report(v1.where("false")).count() == 0
+
+
+# 6 ---------------------------------------------------------------------------------------------
+
+
+def test_template_leaks(spark):
+    r = random.Random(7)
+    fill = lambda n: " ".join(r.choice(WORDS) for _ in range(n))
+    item = "A farmer named Bob buys 12 kg of ripe apples for 30 dollars each week and sells all of them to Anna before noon"
+    again = item.replace("12 kg", "47 lb").replace("30 dollars", "90 euros").replace("Bob", "Carl").replace("Anna", "Dora")
+    broken = "A farmer named Bob buys 5 kg of ripe apples for 5 dollars each week and sells all of them to Bob before noon"
+    rows = [(1, f"{fill(9)} {item} {fill(5)}"), (2, f"{fill(3)} {again}"), (3, fill(60)), (4, None), (5, ""), (6, f"x {broken}"), (7, item.upper().lower()), (None, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit(0)).withColumn("item_id", F.lit(0))
+    bench = spark.createDataFrame([(10, item), (11, "too short"), (12, None), (None, item)], "item_id long, text string")
+    got = {x.doc_id: x.exact for x in template_leaks.leaks(docs, bench).collect()}
+    assert got[1] is True and got[2] is False and got[None] is True
+    assert 3 not in got and 4 not in got and 6 not in got
+    kept = template_leaks.without_leaks(docs, bench)
+    assert kept.columns == docs.columns and {3, 4, 5} <= {x.doc_id for x in kept.collect()} and not {1, 2} & {x.doc_id for x in kept.collect()}
+    assert template_leaks.leaks(docs.where("false"), bench).count() == 0
+    assert template_leaks.leaks(docs, bench.where("false")).count() == 0
+
+
+def test_leaks_in_blocks_are_the_same(spark, data, monkeypatch):
+    d, b = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    whole = sorted(map(tuple, template_leaks.leaks(d, b).collect()))
+    monkeypatch.setattr(template_leaks, "BLOCK_WINDOWS", 500)
+    assert sorted(map(tuple, template_leaks.leaks(d, b).collect())) == whole
+    flat = lambda x: " ".join((x or "").lower().split())
+    texts = [(x.doc_id, flat(x.text)) for x in d.collect()]
+    truth = {(i, y.item_id) for y in b.collect() for i, t in texts if flat(y.text) in t}
+    assert {(x[0], x[1]) for x in whole} == truth
+
+
+# 7 ---------------------------------------------------------------------------------------------
+
+
+def test_context_mixing_contract(spark, docs, rows, empty):
+    got = context_mixing.score(docs).collect()
+    assert len(got) == len(rows)
+    train = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2
+    c = Counter(w for x in rows if train(x[0]) for w in tokens(x[1]))
+    ends = sum(train(x[0]) for x in rows)
+    n, v = sum(c.values()) + ends, len(c) + 1
+    want = Counter()
+    for x in rows:
+        w = tokens(x[1])
+        base = sum(math.log10((c[t] + 1) / (n + v + 1)) for t in w) + math.log10((ends + 1) / (n + v + 1))
+        want[(x[0], not train(x[0]), len(w) + 1, sum(c[t] > 0 for t in w) + 1, n, round(base, 5))] += 1
+    assert Counter((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 5)) for x in got) == want
+    assert all(x.score < 0 and math.isfinite(x.score) and x.bits_per_byte > 0 for x in got)
+    assert context_mixing.score(empty).count() == 0
+
+
+def test_spelling_is_a_distribution():
+    import pyarrow as pa
+
+    counts = np.zeros(257, np.int64)
+    counts[[97, 98, 256]] = (5, 3, 4)
+    code = context_mixing.huffman(counts)
+    total = int(sum(context_mixing.SLOTS))
+    r = np.random.default_rng(1)
+    model = context_mixing.Model(code, r.integers(0, 3, total).astype(np.uint32), r.integers(0, 3, total).astype(np.uint32))
+    every = [bytes([x]) for x in range(256)]
+    p = np.exp2(model.log2(pa.array([b"", *every], pa.binary())))
+    # The empty word ends at once; a word of one byte goes on with probability 1 - end, so all stay below 1.
+    first = np.exp2(model.log2(pa.array([b""], pa.binary())))[0]
+    assert 0 < first < 1 and p.sum() < 1 + 1e-6
+    assert (code.length > 0).all() and abs(np.exp2(-code.length.astype(float)).sum() - 1) < 1e-9
+
+
+def test_mixing_beats_the_unigram_where_held_out(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = context_mixing.score(d).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.avg("bits_per_byte")).first()
+    assert got[0] > 1.05 * got[1] and got[2] < 4
+
+
+# 8 ---------------------------------------------------------------------------------------------
+
+
+def test_media(docs, rows, empty):
+    media = audio_media.store_media(docs)
+    got = audio_media.media_features(media).collect()
+    want = Counter()
+    for x in rows:
+        b = (x[1] or "").encode()
+        p = b + bytes(max(64, -(-len(b) // 64) * 64) - len(b))
+        want[(x[0], len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), 44 + len(p))] += 1
+    assert Counter((x.doc_id, x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32, x.media_bytes) for x in got) == want
+    files = {x.media_sha256: x.feature for x in got}
+    assert all(files[x.media_sha256] == x.feature and len(x.tensor) == audio_media.FRAMES * audio_media.MELS for x in got)
+    assert audio_media.media_features(audio_media.store_media(empty)).count() == 0
+
+
+def test_media_kernels():
+    import io
+    import wave
+
+    data = bytes(range(256)) * 3
+    with wave.open(io.BytesIO(audio_media.wav(data))) as f:
+        assert (f.getsampwidth(), f.getnchannels(), f.readframes(f.getnframes())) == (1, 1, data)
+    x = np.random.default_rng(0).integers(0, 256, audio_media.BLOCK + 40_000).astype(np.uint8)
+    whole = audio_media._mel_frames(audio_media.resample(x.astype(np.float32) / 128 - 1))
+    assert np.allclose(audio_media.log_mel(x)[: len(whole)], whole, atol=1e-3)
+    assert audio_media.segments(np.array([0, 9, 5, 10, 1, 0, 10.0])) == [(1, 4), (6, 7)]
+    assert audio_media.segments(np.zeros(5)) == []
+    flat = np.ones(900, np.float32)
+    assert np.allclose(audio_media.resample(flat)[20:-20], 1, atol=1e-5)
+    t, s = audio_media.tensors(np.zeros((2, 8 * 20), np.float32), np.zeros((2, 16), np.float32))
+    assert t.type.shape == [8, 20] and len(s) == 2
+
+
+# 9 ---------------------------------------------------------------------------------------------
+
+
+def exact_components(rows, k, percent):
+    def shingles(x):
+        w = tokens(x)
+        return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+    sets = {}
+    for i, x in rows:
+        s = shingles(x)
+        if s:
+            sets.setdefault(s, []).append(i)
+    keys = list(sets)
+    parent = list(range(len(keys)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(len(keys)):
+        for b in range(a):
+            n = len(keys[a] & keys[b])
+            if 100 * n >= percent * (len(keys[a]) + len(keys[b]) - n):
+                parent[find(a)] = find(b)
+    least = {}
+    for j, s in enumerate(keys):
+        for i in sets[s]:
+            least[find(j)] = min(least.get(find(j), math.inf), math.inf if i is None else i)
+    where = {s: j for j, s in enumerate(keys)}
+    return [(i, len(shingles(x)), least[find(where[shingles(x)])] if shingles(x) else i) for i, x in rows]
+
+
+def test_near_duplicates_exact(spark):
+    r = random.Random(9)
+    rows = []
+    for g in range(6):  # chains, stars, cliques of edits around one text
+        base = text(r, r.randint(8, 90)).split()
+        for _ in range(25):
+            w = list(base)
+            for _ in range(r.choice([0, 0, 1, 1, 2, 3, 6])):
+                w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+            if r.random() < 0.2:
+                base = w
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("key", F.lit(1))
+    for k, percent in ((3, 85), (5, 80)):
+        got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in odd_minhash.near_duplicates(df, k, percent).collect())
+        assert got == sorted(exact_components(rows, k, percent))
+    kept = odd_minhash.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(i for i, _, c in exact_components(rows, 5, 80) if i == c)
+
+
+def test_near_duplicate_edges(spark, docs, rows, empty):
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in odd_minhash.near_duplicates(docs, 3, 85).collect())
+    assert got == Counter(exact_components([(x[0], x[1]) for x in rows], 3, 85))
+    assert odd_minhash.near_duplicates(empty).count() == 0
+    left = odd_minhash.one_of_each(docs)
+    assert left.columns == docs.columns and left.where("doc_id = 110").count() == 0 and left.where("doc_id in (101, 102, 103)").count() == 3
+
+
+def test_sketches_estimate():
+    a = np.random.default_rng(2).integers(0, 2**63, 900).astype(np.uint64)
+    b = np.concatenate([a[:830], a[:70] ^ np.uint64(12345)])
+    s = odd_minhash.odd_sketch(odd_minhash.minhash(np.concatenate([a, b]), np.array([0, 900, 1800])))
+    bits = sum(int(x).bit_count() for x in (s[0] ^ s[1]).view(np.uint64))
+    assert bits <= odd_minhash.sketch_limit(0.8) < 100
+
+
+def test_components(spark):
+    r = random.Random(1)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = {x.node: x.label for x in components.connected_components(df).collect()}
+    assert got == {x.node: x.label for x in components.connected_components(df, small=0).collect()}
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for n in sorted(near):
+        stack = [] if n in want else [n]
+        while stack:
+            x = stack.pop()
+            if x not in want:
+                want[x] = n
+                stack += near[x]
+    assert got == want
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 10 --------------------------------------------------------------------------------------------
+
+
+def fill(sizes, weights, most):
+    names = sorted((n for n in sizes if n is not None)) + [None] * (None in sizes)
+    w = {n: weights[i % len(weights)] for i, n in enumerate(names)}
+    total, capped = sum(sizes.values()), set()
+    while True:
+        rest = total - sum(most * sizes[n] for n in capped)
+        free = sum(w[n] for n in names if n not in capped)
+        t = {n: most * sizes[n] if n in capped else rest * w[n] / free for n in names}
+        over = {n for n in names if n not in capped and t[n] > most * sizes[n]}
+        if not over:
+            return t
+        capped |= over
+
+
+def test_mix(spark, docs, rows, empty):
+    got = source_mix.mix(docs).collect()
+    sizes = Counter()
+    for x in rows:
+        sizes[x[3]] += len(tokens(x[1]))
+    want = fill(sizes, source_mix.WEIGHTS, 3)
+    taken = Counter()
+    for x in got:
+        assert math.isclose(x.target, want[x.source], rel_tol=1e-9) and x.source_size == sizes[x.source]
+        assert 0 <= x.taken <= 3 * x.size
+        taken[x.source] += x.taken
+    total = sum(sizes.values())
+    for n in sizes:
+        assert abs(taken[n] - want[n]) <= max(4, total * 4 / source_mix.SLOTS)
+    assert Counter(map(tuple, got)) == Counter(map(tuple, source_mix.mix(docs.repartition(5)).collect()))
+    assert source_mix.mix(empty).count() == 0
+    assert {x.taken for x in source_mix.mix(docs.where("doc_id in (101, 102, 103)")).collect()} == {0}
+
+
+def test_targets_with_ties(spark):
+    r = random.Random(3)
+    for _ in range(6):
+        sizes = {f"s{i}": r.choice([0, 10, 10, 20, 400]) for i in range(r.randint(1, 9))}
+        if not sum(sizes.values()):
+            continue
+        df = spark.createDataFrame([(n, z) for n, z in sizes.items()], "row_source string, size long")
+        got = {x.row_source: x.target for x in source_mix.source_targets(df).collect()}
+        want = fill(sizes, source_mix.WEIGHTS, 3)
+        assert all(math.isclose(got[n], want[n], rel_tol=1e-9, abs_tol=1e-9) for n in sizes)
+
+
+def test_mixed_documents(docs):
+    got = source_mix.mixed_documents(docs)
+    assert got.columns == docs.columns
+    plan = {x.doc_id: x.taken / x.size for x in source_mix.mix(docs).collect() if x.size and x.doc_id != 110}
+    counts = Counter(x.doc_id for x in got.select("doc_id").collect())
+    for i, share in plan.items():
+        assert abs(counts[i] - share) <= 0.5
