@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import dna as D
 from seqloom.functions import similarity as S
+from seqloom.functions import text as N
 from seqloom.operators import cluster as C
 from seqloom.operators import enrich as E
 from seqloom.operators import intervals as I
@@ -617,3 +618,77 @@ def inter_records(spark, sf_dir):
     key = F.col("c_custkey")
     records = c.select(text(key).alias("gene"), F.col("c_mktsegment").alias("product"), F.when(F.col("c_acctbal") > 0, F.concat(F.lit("pr"), text(key))).otherwise("").alias("promoter_name"), text(key - 50).alias("promoter_pos"), text(key).alias("gene_start_pos"), text(key).alias("map_start_pos"), text(key + (F.col("c_nationkey") - 12) * 10).alias("map_end_pos"))
     return E.inter_records(records, promoters=True)
+
+
+@query(r"""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents)
+SELECT doc_id, count(*) FILTER (WHERE regexp_matches(ch, '^[0-9]$')) AS digits, count(*) FILTER (WHERE regexp_matches(ch, '^[A-Za-z]$')) AS letters, count(*) FILTER (WHERE regexp_matches(ch, '^[\x{4e00}-\x{9fa5}]$')) AS chinese FROM c GROUP BY doc_id""")
+def char_classes(spark, sf_dir):
+    c = T.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "")).alias("ch")).where("ch <> ''")
+    return c.groupBy("doc_id").agg(F.count_if(N.is_number("ch")).alias("digits"), F.count_if(N.is_alphabet("ch")).alias("letters"), F.count_if(N.is_chinese("ch")).alias("chinese"))
+
+
+@query(f"""WITH {T.LAYOUTS}, t AS (SELECT diagram, direction AS toward, idx * 10 AS t_left, idx * 10 + 5 AS t_right FROM items WHERE is_gene AND idx = target_at),
+g AS (SELECT diagram, toward, t_left, t_right, min(CASE WHEN idx * 10 > t_right THEN idx * 10 END) AS nl, max(CASE WHEN idx * 10 + 5 < t_left THEN idx * 10 + 5 END) AS nr FROM items JOIN t USING (diagram) WHERE is_gene AND direction = toward GROUP BY ALL)
+SELECT diagram, toward AS direction, CASE WHEN toward = 'Left' THEN t_right ELSE nr END AS above, CASE WHEN toward = 'Left' THEN nl ELSE t_left END AS below FROM g""")
+def promoter_valid_range(spark, sf_dir):
+    return P.valid_range(T.layouts(spark, sf_dir))
+
+
+@query(f"WITH {T.GENOMES}, p AS (SELECT *, {_ab} FROM genomes) SELECT accession, substr(dna, least(a, b) + 1, greatest(greatest(a, b) - least(a, b) - 1, 0)) AS utr FROM p")
+def utr_between(spark, sf_dir):
+    p = _placed(spark, sf_dir)
+    return p.select("accession", I.utr_between("dna", F.least("a", "b"), F.greatest("a", "b")).alias("utr"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'Found' ELSE 'Not Found' END AS status, coalesce(o_custkey::VARCHAR, 'Not Found') AS gene_start_pos,
+  CASE WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE 'Not Found' END AS promoter_name, CASE WHEN o_orderstatus = 'F' THEN o_orderkey::VARCHAR ELSE 'Not Found' END AS promoter_pos FROM orders""")
+def promoter_status(spark, sf_dir):
+    o = T.table(spark, sf_dir, "orders")
+    found = F.col("o_orderstatus") == "F"
+    return o.select("o_orderkey", *E.status_columns(F.col("o_custkey"), F.when(found, F.col("o_orderpriority")), F.when(found, F.col("o_orderkey"))))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_type END AS name, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_type END AS shown FROM part")
+def split_alias(spark, sf_dir):
+    p = T.table(spark, sf_dir, "part")
+    gene = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit("->"), "p_brand")).otherwise(F.col("p_type"))
+    name, shown = E.split_alias(gene)
+    return p.select("p_partkey", name.alias("name"), shown.alias("shown"))
+
+
+@query("SELECT o_orderkey, greatest(o_custkey, o_orderkey) AS leftward, least(o_custkey, o_orderkey) AS rightward FROM orders")
+def better_promoter(spark, sf_dir):
+    o = T.table(spark, sf_dir, "orders")
+    a, b = F.col("o_custkey"), F.col("o_orderkey")
+    return o.select("o_orderkey", P.better_promoter(a, b, F.lit("Left")).alias("leftward"), P.better_promoter(a, b, F.lit("Right")).alias("rightward"))
+
+
+@query("SELECT p_partkey, p_partkey || '-' || (p_partkey + p_size) || chr(9) || CASE WHEN p_size % 4 = 0 THEN 'UNKNOWN' ELSE p_name END AS line FROM part")
+def segment_text(spark, sf_dir):
+    p = T.table(spark, sf_dir, "part")
+    return p.select("p_partkey", N.segment_text(F.col("p_partkey"), F.col("p_partkey") + F.col("p_size"), F.when(F.col("p_size") % 4 != 0, F.col("p_name"))).alias("line"))
+
+
+def _near_report(spark, sf_dir):
+    s = T.segments(spark, sf_dir)
+    q = T.ranges(spark, sf_dir)
+    near = I.nearest(q, s, ("accession",), strict=False)
+    ends = q.select("qid", "accession", F.explode(F.array("left", "right")).alias("left")).withColumn("right", F.col("left"))
+    inside = I.overlap_join(ends, s.drop("strand"), ("accession",), 2000).select("qid", "gene")
+    sides = near.select("qid", F.explode(F.array("up.gene", "down.gene")).alias("gene")).where("gene is not null")
+    return sides.unionByName(inside).distinct()
+
+
+@query(f"""WITH {T.SEGMENTS}, {T.RANGES}
+SELECT qid, gene FROM (SELECT qid, (SELECT arg_max(gene, struct_pack(r := seg_right, i := -seg_id)) FROM segments s WHERE s.accession = r.accession AND seg_right <= q_left) AS gene FROM ranges r) WHERE gene IS NOT NULL
+UNION SELECT qid, gene FROM (SELECT qid, (SELECT arg_min(gene, struct_pack(l := seg_left, i := seg_id)) FROM segments s WHERE s.accession = r.accession AND seg_left >= q_right) AS gene FROM ranges r) WHERE gene IS NOT NULL
+UNION SELECT qid, gene FROM ranges r JOIN segments s ON r.accession = s.accession AND (q_left BETWEEN seg_left AND seg_right OR q_right BETWEEN seg_left AND seg_right)""")
+def neighbors_and_containing(spark, sf_dir):
+    return _near_report(spark, sf_dir)
+
+
+@query("SELECT conv_id, string_agg(role, '>' ORDER BY turn, role, text) AS roles, max(turn) AS last FROM conversations GROUP BY conv_id")
+def ordered_members(spark, sf_dir):
+    c = T.table(spark, sf_dir, "conversations")
+    rows = c.select("conv_id", F.struct("turn", "role", "text").alias("k"))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("k")), lambda x: x["role"]), ">").alias("roles"), F.max("k.turn").alias("last"))
