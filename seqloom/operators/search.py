@@ -23,8 +23,8 @@ from seqloom.functions import similarity as S
 from seqloom.functions.kernels import blat_end, text_edit_score
 
 CHUNK = 4096
-#: Survivors of a chunk beyond which only its best k are kept, which doesn't change the best k of all.
-PRUNE = 10_000
+#: Windows of a chunk where each becomes a row: a slice costs its distance from the chunk's start.
+WINDOW_CHUNK = 256
 
 
 def strands(genomes: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def chunks(sequences: DataFrame, width: int, halo: int = 0, size: int = CHUNK) -
     return cut.withColumn("piece", F.substring("dna", F.col("at") + 1, last - F.col("at") + width - 1)).drop("dna")
 
 
-def windows(sequences: DataFrame, width: int, size: int = CHUNK, halo: int = 0) -> DataFrame:
+def windows(sequences: DataFrame, width: int, size: int = WINDOW_CHUNK, halo: int = 0) -> DataFrame:
     """One row per window: ``accession, strand, length, chunk, offset, is_core, window``."""
     cut = chunks(sequences, width, halo, size)
     count = F.length("piece") - width
@@ -166,7 +166,7 @@ def _search_one(name: str, probe: str, genomes: DataFrame, weights: dict[str, fl
     m, kinds = len(probe), list(weights)
     both = strands(genomes)
     if engine == "columns":
-        rows = windows(both, m, chunk, distance - 1)
+        rows = windows(both, m, min(chunk, WINDOW_CHUNK), distance - 1)
         scored = rows.select("*", *[S.similarity(k, probe, F.col("window"), o).alias(f"score_{k}") for k in kinds])
         scored = scored.withColumn("weighted", S.weighted({k: F.col(f"score_{k}") for k in kinds}, weights))
         kept = local_maxima(scored, distance, ["accession", "strand", "chunk"], "weighted").where("is_core")
