@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_pairs": chat_format.PAIRS_SQL}
+    return {"op1_chat_pairs": chat_format.PAIRS_SQL, "op9_odd_minhash": odd_minhash.EXACT_SQL, "op10_source_mix": source_mix.MIX_SQL}

@@ -36,15 +36,15 @@ MAX_EPOCHS = 3
 GOLDEN = 0.6180339887498949
 #: Blocks in a mix: slots of the schedule.  A block has total / SLOTS words.
 SLOTS = 1 << 16
-#: Runs of the shuffled order for which sums are kept; a source's documents spread over all.
-RUNS = 1024
+#: Digits of the hash that name a run of the shuffled order: sums are kept for each of 16^3 runs.
+RUN_DIGITS = 3
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
     """``row_doc, row_source, size, place``: words of each text and its place in the shuffled order.
 
     Words are runs of characters other than space and U+0009 to U+000D; a null text
-    has none.  ``place`` is a hash of doc_id, text and the source.
+    has none.  ``place`` is the MD5 of doc_id, source and text: it orders the documents of a source.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,9 +57,9 @@ def with_sizes(docs: DataFrame) -> DataFrame:
         F.col("doc_id").cast("long").alias("row_doc"),
         F.col("source").cast("string").alias("row_source"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        F.xxhash64(F.col("doc_id"), F.col("source"), F.col("text"), F.lit("shuffle")).alias("place"),
+        F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "source", "text").cast("binary")).alias("place"),
     )
-    return rows.mapInArrow(count, "row_doc long, row_source string, size long, place long")
+    return rows.mapInArrow(count, "row_doc long, row_source string, size long, place string")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -131,8 +131,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     plan = materialize(plan.withColumn("words", words).drop("total"), "plan")
 
     # Places in a source's stream: sums over runs of the shuffled order, then within a run.
-    run = F.pmod(F.shiftrightunsigned("place", 54), F.lit(RUNS)).cast("int")
-    placed = sizes.withColumn("run", run)
+    placed = sizes.withColumn("run", F.substring("place", 1, RUN_DIGITS))
     sums = placed.groupBy("row_source", "run").agg(F.sum("size").alias("run_size"))
     before = Window.partitionBy("row_source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("row_source", "run", F.coalesce(F.sum("run_size").over(before), F.lit(0)).alias("run_start"))
@@ -170,3 +169,35 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
         F.col("d.doc_id").cast("long").eqNullSafe(F.col("c.mix_doc")) & F.col("d.source").eqNullSafe(F.col("c.mix_source")) & (F.col("d.row_size") == F.col("c.mix_size")),
     )
     return rows.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("c.mix_copies"))).alias("mix_copy")).drop("mix_copy")
+
+
+#: The same in DuckDB SQL, for the weights and limits above.
+MIX_SQL = f"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+    md5(concat_ws('|', doc_id::VARCHAR, source, text)) AS place FROM documents
+), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), c AS (
+  SELECT source, source_size, source_size * 3.0::DOUBLE AS cap,
+    ([5.0, 2.0, 1.0]::DOUBLE[])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM s
+), l AS (
+  SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS nth,
+    (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM c
+), f AS (SELECT arg_min(level, nth) AS level FROM l WHERE cap / weight >= level
+), t AS (SELECT source, source_size, CASE WHEN level IS NULL OR cap < weight * level THEN cap ELSE weight * level END AS target FROM c, f
+), i AS (
+  SELECT source, (sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) - target) / sum(target) OVER () AS low,
+    sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) / sum(target) OVER () AS high,
+    row_number() OVER (ORDER BY source DESC NULLS FIRST) AS from_last FROM t WHERE target > 0
+), b AS (
+  SELECT source, count(*) AS blocks FROM (SELECT k * {GOLDEN}::DOUBLE - floor(k * {GOLDEN}::DOUBLE) AS u FROM range({SLOTS}) r(k))
+  JOIN i ON u >= low AND u < CASE WHEN from_last = 1 THEN 2.0 ELSE high END GROUP BY source
+), p AS (
+  SELECT t.source, source_size, target, coalesce(blocks, 0)::BIGINT AS blocks,
+    least(round(coalesce(blocks, 0) * (sum(source_size) OVER ())::DOUBLE / {float(SLOTS)})::BIGINT, source_size * {MAX_EPOCHS}) AS words
+  FROM t LEFT JOIN b ON t.source IS NOT DISTINCT FROM b.source
+), a AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS place_at FROM d)
+SELECT doc_id, size, source_size, target, (CASE WHEN source_size = 0 THEN 0 ELSE size * (words // source_size) + greatest(0, least(size, words % source_size - place_at)) END)::BIGINT AS taken, blocks, a.source
+FROM a JOIN p ON a.source IS NOT DISTINCT FROM p.source
+"""
