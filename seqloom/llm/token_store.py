@@ -53,6 +53,16 @@ _WIDE_SPACE = {(0xC2, 0x85): None, (0xC2, 0xA0): None, (0xE1, 0x9A): {0x80}, (0x
 BLOCK = 1 << 19
 
 
+def _edges(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last eight bytes of spans as numbers; a shorter span has all its bytes in both."""
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(8, np.uint8)]), 8)
+    size = np.minimum(stop - start, 8)
+    mask = np.where(size < 8, (np.uint64(1) << (8 * size % 64).astype(np.uint64)) - np.uint64(1), ~np.uint64(0))
+    head = np.ascontiguousarray(eights[start]).view("<u8").ravel() & mask
+    tail = np.ascontiguousarray(eights[stop - size]).view("<u8").ravel() & mask
+    return head, tail
+
+
 class PieceEncoder:
     """Encodes texts with the tokenizers library, each distinct piece once.
 
@@ -60,8 +70,8 @@ class PieceEncoder:
     a pre-token must begin and its pieces encoded apart.  Safe cuts are: a space or a
     newline between two characters that are not white space (before it, and after
     that newline), and punctuation after an ASCII letter.  A text with white space
-    beyond ASCII is one piece.  Pieces are known by two 64-bit hashes and their length;
-    at most ``remember`` short ones are kept, then the memory starts anew.
+    beyond ASCII is one piece.  Pieces are known by a 64-bit hash, their length and their first and
+    last eight bytes (all bytes of most pieces); at most ``remember`` short ones are kept, then the memory starts anew.
     """
 
     def __init__(self, tokenizer: str, remember: int = 450_000):
@@ -79,7 +89,7 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self._hash, self._check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self._hash, self._head, self._tail = (np.zeros(0, np.uint64) for _ in range(3))
         self._at, self._len = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._pool, self._used = np.zeros(1 << 16, np.uint16 if len(self._bytes) <= 1 << 16 else np.uint32), 0
 
@@ -149,14 +159,16 @@ class PieceEncoder:
         stop = np.append(start[1:], len(buf))
         # Texts without bytes lie between pieces and don't matter here.
         unique, where, inverse = np.unique(span_hashes(buf, start, stop), return_index=True, return_inverse=True)
-        check = span_hashes(buf, start, stop, second=True)
         size = stop - start
-        if not (np.array_equal(check[where][inverse], check) and np.array_equal(size[where][inverse], size)):
+        head, tail = _edges(buf, start, stop)
+        if not all(np.array_equal(x[where][inverse], x) for x in (head, tail, size)):
             raise RuntimeError("two pieces of one hash")
-        check = check[where]
+        head, tail = head[where], tail[where]
         at = np.searchsorted(self._hash, unique)
         near = np.minimum(at, max(len(self._hash) - 1, 0))
-        known = (at < len(self._hash)) & (self._hash[near] == unique) & (self._check[near] == check) if len(self._hash) else np.zeros(len(unique), bool)
+        known = np.zeros(len(unique), bool)
+        if len(self._hash):
+            known = (self._hash[near] == unique) & (self._head[near] == head) & (self._tail[near] == tail)
         begin, length = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
         begin[known], length[known] = self._at[near[known]], self._len[near[known]]
         new = np.flatnonzero(~known)
@@ -175,7 +187,7 @@ class PieceEncoder:
             self._used = need
             keep = new[(size[where[new]] <= 64)]
             keep = keep[~((at[keep] < len(self._hash)) & (self._hash[np.minimum(at[keep], len(self._hash) - 1)] == unique[keep]))] if len(self._hash) else keep
-            for name, values in (("_hash", unique), ("_check", check), ("_at", begin), ("_len", length)):
+            for name, values in (("_hash", unique), ("_head", head), ("_tail", tail), ("_at", begin), ("_len", length)):
                 setattr(self, name, np.insert(getattr(self, name), at[keep], values[keep]))
         begin, length = begin[inverse], length[inverse]
         before = np.concatenate([[0], np.cumsum(length)])

@@ -479,7 +479,7 @@ _attr = "'<b>Gene</b>: ' || p_name || '<BR><b>Location</b>: ' || p_partkey || CA
 
 
 @query(f"""SELECT p_partkey, p_name AS gene, CASE WHEN p_size % 2 = 0 THEN 'Right' ELSE 'Left' END AS direction, CASE WHEN p_size % 2 = 0 THEN p_partkey ELSE p_partkey + p_size END AS gene_start,
-  p_size > 25 AS promoter, CASE WHEN p_size > 25 THEN 1000 + p_size * 10 END AS start_site, length({_attr}) AS size FROM part""")
+  p_size > 25 AS promoter, CASE WHEN p_size > 25 THEN (1000 + p_size * 10)::BIGINT END AS start_site, length({_attr}) AS size FROM part""")
 def attr_map(spark, sf_dir):
     p = T.table(spark, sf_dir, "part")
     tail = F.when(F.col("p_size") > 25, F.concat(F.lit("Promoter: "), "p_brand", F.lit("<br>Tr.Start site: 1,"), F.lpad((F.col("p_size") * 10).cast("string"), 3, "0"))).otherwise("")
@@ -512,8 +512,8 @@ def tsv_pivot_intervals(spark, sf_dir):
     return E.pivot_spans(r.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(span)).alias("spans")), "l_orderkey", "spans", 3)
 
 
-@query("""SELECT o_orderkey AS file, rec, 'c' || o_custkey AS accession, CASE rec WHEN 1 THEN o_custkey ELSE o_orderkey END AS "start", CASE rec WHEN 1 THEN o_orderkey ELSE o_custkey END AS "end",
-  CASE rec WHEN 1 THEN o_orderstatus ELSE o_orderpriority END AS kind, rec - 1 AS extra FROM (SELECT *, unnest([1, 2]) AS rec FROM orders)""")
+@query("""SELECT o_orderkey AS file, rec::BIGINT AS rec, 'c' || o_custkey AS accession, CASE rec WHEN 1 THEN o_custkey ELSE o_orderkey END AS "start", CASE rec WHEN 1 THEN o_orderkey ELSE o_custkey END AS "end",
+  CASE rec WHEN 1 THEN o_orderstatus ELSE o_orderpriority END AS kind, (rec - 1)::BIGINT AS extra FROM (SELECT *, unnest([1, 2]) AS rec FROM orders)""")
 def record_blocks(spark, sf_dir):
     o = T.table(spark, sf_dir, "orders")
     c, k = F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")
