@@ -84,6 +84,15 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, second: boo
     """
     if not len(start):
         return np.zeros(0, np.uint64)
+    if len(buf) > 4 * BLOCK and len(start) > 1 and (np.diff(end) >= 0).all():
+        # A very long text: runs of spans, each as a text of its own (a hash doesn't depend on the place).
+        out, i = np.empty(len(start), np.uint64), 0
+        while i < len(start):
+            a = start[i]
+            j = max(i + 1, int(np.searchsorted(end, a + BLOCK, "right")))
+            out[i:j] = span_hashes(buf[a : end[j - 1]], start[i:j] - a, end[i:j] - a, second)
+            i = j
+        return out
     powers, inverse = _power_tables(len(buf) + 1)
     with np.errstate(over="ignore"):
         sums = np.empty(len(buf) + 1, np.uint64)

@@ -76,3 +76,11 @@ def test_pieces_give_the_library_ids(encoders):
 def test_mix_is_a_bijection_on_samples():
     x = np.arange(100_000, dtype=np.uint64)
     assert len(np.unique(T.mix64(x))) == len(x)
+
+
+def test_long_texts_have_the_hashes_of_short_ones():
+    words = [f"w{i % 5000}" for i in range(400_000)]
+    (long,) = T.word_blocks(pa.array([" ".join(words)]))
+    (short,) = T.word_blocks(pa.array([" ".join(words[:5000])]))
+    assert len(long.buf) > 4 * T.BLOCK
+    assert (long.hashes() == np.tile(short.hashes(), 80)).all()
