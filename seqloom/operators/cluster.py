@@ -26,9 +26,8 @@ def first_words(text: Column | str, n: int = 1) -> Column:
 def distribution(rows: DataFrame, value: Column, index: str = "idx") -> DataFrame:
     """``value, n, percent, first``: counts of non-null values; percents are of all rows, those without a value too."""
     counted = rows.groupBy(value.alias("value")).agg(F.count("*").alias("n"), F.min(index).alias("first"))
-    total = rows.agg(F.count("*").alias("total"))  # one row
-    out = counted.where("value is not null").crossJoin(F.broadcast(total))
-    return out.select("value", "n", (F.col("n") * 100.0 / F.col("total")).alias("percent"), "first")
+    total = rows.agg(F.count("*").alias("total")).scalar()
+    return counted.where("value is not null").select("value", "n", (F.col("n") * 100.0 / total).alias("percent"), "first")
 
 
 def missing(names: DataFrame, known: DataFrame, on: str) -> DataFrame:

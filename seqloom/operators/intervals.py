@@ -143,7 +143,7 @@ def rank_neighbourhood(queries: DataFrame, segments: DataFrame, reach: int = 2,
     """
     last = segments.groupBy(*by).agg((F.count("*") - 1).alias("last"))
     q = lower_bound(queries, segments.select(*by, F.col("seg_start").alias("start")), by, position)
-    q = q.join(last, list(by)) if by else q.crossJoin(F.broadcast(last))  # one number
+    q = q.join(last, list(by)) if by else q.withColumn("last", last.scalar())
     q = q.withColumn("idx", F.least("rank", "last")).drop("rank", "last")
     wide = q.select("*", F.explode(F.sequence(F.col("idx") - reach, F.col("idx") + reach)).alias("seg_rank"))
     return wide.join(ranked(segments, by, "seg_start"), [*by, "seg_rank"]).drop("idx")

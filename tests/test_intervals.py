@@ -90,3 +90,13 @@ def test_locus(spark):
     f = lambda s: spark.range(1).select(I.parse_locus(F.lit(s)).alias("p")).first().p
     assert tuple(f("chr1:5-9(-)")) == ("chr1", 5, 9, "-")
     assert f("chr1:5-9") is None
+
+
+def test_locate_native_and_by_ranks(spark):
+    from seqloom.plans.analyses import locate
+
+    recs = spark.createDataFrame([(i, a, a, b, f"g{i}", d) for i, (a, b, d) in enumerate([(10, 50, ">"), (60, 90, "<"), (120, 150, ">")])], "seg_id long, seg_start long, seg_left long, seg_right long, gene string, direction string")
+    hits = spark.createDataFrame([(1, 5, 20), (2, 95, 85), (3, 100, 110), (4, 1, 3)], "id long, start long, end long")
+    for compat in (False, True):
+        got = {x.id: (x.gene, x.location, x.label) for x in locate(hits, recs, compat).collect()}
+        assert got == {1: ("g0", "5'", "antisense 5'utr"), 2: ("g1", "5'", "antisense 5'utr"), 3: ("g1,g2", "inter-genic", "inter genic"), 4: ("None,g0", "inter-genic", "inter genic")}
