@@ -194,10 +194,10 @@ def gentamycin(table: DataFrame, segments: DataFrame, genomes: DataFrame) -> Dat
     at = q.join(genomes.select("accession", "dna"), F.col("p.chrom") == F.col("accession"), "left")
     seq = D.subsequence("dna", "p.left", "p.right")
     rows = at.select("Gene", "Locus", F.when(F.col("p.strand") == "-", D.reverse_complement(seq)).otherwise(seq).alias("sequence"))
-    dr = q.where(F.col("Gene").startswith("DR") & F.col("p").isNotNull()).select("Gene", F.col("p.chrom").alias("accession"), F.col("p.left").alias("left"), F.col("p.right").alias("right"))
-    near = I.nearby_genes(dr, segments.select("accession", "seg_id", "seg_left", "seg_right", "gene"), "Gene", ("accession",))
+    dr = q.where(F.col("Gene").startswith("DR") & F.col("p").isNotNull()).select(F.col("Gene").alias("query"), F.col("p.chrom").alias("accession"), F.col("p.left").alias("left"), F.col("p.right").alias("right"))
+    near = I.nearby_genes(dr, segments.select("accession", "seg_id", "seg_left", "seg_right", "gene"), "query", ("accession",))
     named = lambda cond: F.array_join(F.sort_array(F.collect_set(F.when(cond, F.col("gene")))), ",")
-    kinds = near.groupBy("Gene").agg(named(F.col("type") == "hit").alias("hit"), named(F.col("type") != "hit").alias("related"))
+    kinds = near.groupBy(F.col("query").alias("Gene")).agg(named(F.col("type") == "hit").alias("hit"), named(F.col("type") != "hit").alias("related"))
     return rows.join(kinds, "Gene", "left").select("Gene", "Locus", "sequence", F.coalesce("hit", F.lit("")).alias("hit"), F.coalesce("related", F.lit("")).alias("related"))
 
 
