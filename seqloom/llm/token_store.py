@@ -71,7 +71,8 @@ class PieceEncoder:
     newline between two characters that are not white space (before it, and after
     that newline), and punctuation after an ASCII letter.  A text with white space
     beyond ASCII is one piece.  Pieces are known by a 64-bit hash, their length and their first and
-    last eight bytes (all bytes of most pieces); at most ``remember`` short ones are kept, then the memory starts anew.
+    last eight bytes (all bytes of most pieces).  At most ``remember`` short ones are kept; then those
+    that were not met again go.
     """
 
     def __init__(self, tokenizer: str, remember: int = 450_000):
@@ -90,32 +91,54 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         self._hash, self._head, self._tail = (np.zeros(0, np.uint64) for _ in range(3))
-        self._at, self._len = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._at, self._len, self._uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self._pool, self._used = np.zeros(1 << 16, np.uint16 if len(self._bytes) <= 1 << 16 else np.uint32), 0
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.int64) for e in found]
 
-    def _encode(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces; those led by a space go to the library in long runs and are cut by length."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
-        run = [i for i, p in enumerate(pieces) if p[:1] == b" " and len(p) > 1 and _CLASS[p[1]] > _WHITE and _CLASS[p[-1]] in (_LETTER, _PUNCT)]
-        runs = set(run)
-        alone = [i for i in range(len(pieces)) if i not in runs]
-        for i, ids in zip(alone, self._ids([pieces[i].decode("utf-8", "replace") for i in alone]), strict=True):
-            out[i] = ids
+    def _encode(self, buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, ids, counts): the ids of pieces in that order, one after the other.
+
+        Pieces led by a space go to the library in long runs, which are cut by the tokens' lengths.
+        """
+        last = _CLASS[buf[start + size - 1]]
+        second = _CLASS[buf[np.minimum(start + 1, len(buf) - 1)]]
+        led = (buf[start] == 0x20) & (size > 1) & (second > _WHITE) & ((last == _LETTER) | (last == _PUNCT))
+        run, alone = np.flatnonzero(led), np.flatnonzero(~led)
+        flat, counts = [], []
         for k in range(0, len(run), 5000):
-            part = run[k : k + 5000]
-            (ids,) = self._ids([b"".join([pieces[i] for i in part]).decode("utf-8", "replace")])
+            at, n = start[run[k : k + 5000]], size[run[k : k + 5000]]
+            want = np.cumsum(n)
+            text = buf[np.repeat(at - want + n, n) + np.arange(want[-1])].tobytes().decode("utf-8", "replace")
+            (ids,) = self._ids([text])
             ends = np.cumsum(self._bytes[ids])
-            want = np.cumsum([len(pieces[i]) for i in part])
             cut = np.searchsorted(ends, want)
             if not len(ends) or ends[-1] != want[-1] or not np.array_equal(ends[cut], want):
                 raise RuntimeError("a token reaches over a piece")
-            for i, x in zip(part, np.split(ids, cut[:-1] + 1), strict=True):
-                out[i] = x
-        return out
+            flat.append(ids)
+            counts.append(np.diff(cut, prepend=-1))
+        texts = [buf[a : a + n].tobytes().decode("utf-8", "replace") for a, n in zip(start[alone].tolist(), size[alone].tolist(), strict=True)]
+        single = self._ids(texts)
+        flat += single
+        counts.append(np.array([len(x) for x in single], np.int64))
+        return np.concatenate([run, alone]), np.concatenate([np.zeros(0, np.int64), *flat]), np.concatenate(counts)
+
+    def _shrink(self) -> None:
+        """Keeps the pieces that have been met again since they came, up to half of the memory."""
+        keep = np.flatnonzero(self._uses > 0)
+        if len(keep) > self._remember // 2:
+            keep = np.flatnonzero(self._uses > 1)
+        if len(keep) > self._remember // 2:
+            keep = keep[:0]
+        length = self._len[keep]
+        before = np.cumsum(length) - length
+        held = self._pool[np.repeat(self._at[keep] - before, length) + np.arange(length.sum())]
+        for name in ("_hash", "_head", "_tail"):
+            setattr(self, name, getattr(self, name)[keep])
+        self._at, self._len, self._uses = before, length, np.zeros(len(keep), np.int32)
+        self._pool, self._used = np.concatenate([held, np.zeros(1 << 16, held.dtype)]), len(held)
 
     def _cuts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Places in ``buf`` where pieces begin."""
@@ -154,7 +177,7 @@ class PieceEncoder:
         if not len(buf):
             return np.full(n, end_id, np.int32), np.arange(n + 1)
         if len(self._hash) > self._remember:
-            self._forget()
+            self._shrink()
         start = self._cuts(buf, offsets)
         stop = np.append(start[1:], len(buf))
         # Texts without bytes lie between pieces and don't matter here.
@@ -171,12 +194,11 @@ class PieceEncoder:
             known = (self._hash[near] == unique) & (self._head[near] == head) & (self._tail[near] == tail)
         begin, length = np.zeros(len(unique), np.int64), np.zeros(len(unique), np.int64)
         begin[known], length[known] = self._at[near[known]], self._len[near[known]]
+        self._uses[near[known]] += 1
         new = np.flatnonzero(~known)
         if len(new):
-            data = buf.tobytes()
-            ids = self._encode([data[a:b] for a, b in zip(start[where[new]].tolist(), stop[where[new]].tolist(), strict=True)])
-            counts = np.array([len(x) for x in ids], np.int64)
-            flat = np.concatenate(ids)
+            order, flat, counts = self._encode(buf, start[where[new]], size[where[new]])
+            new = new[order]
             need = self._used + len(flat)
             if need > len(self._pool):
                 grown = np.zeros(max(need, 2 * len(self._pool)), self._pool.dtype)
@@ -185,9 +207,11 @@ class PieceEncoder:
             self._pool[self._used : need] = flat
             begin[new], length[new] = self._used + np.cumsum(counts) - counts, counts
             self._used = need
-            keep = new[(size[where[new]] <= 64)]
-            keep = keep[~((at[keep] < len(self._hash)) & (self._hash[np.minimum(at[keep], len(self._hash) - 1)] == unique[keep]))] if len(self._hash) else keep
-            for name, values in (("_hash", unique), ("_head", head), ("_tail", tail), ("_at", begin), ("_len", length)):
+            keep = np.sort(new[size[where[new]] <= 64])
+            if len(self._hash):  # a piece whose hash another one holds isn't kept
+                keep = keep[(at[keep] == len(self._hash)) | (self._hash[near[keep]] != unique[keep])]
+            uses = np.zeros(len(unique), np.int32)
+            for name, values in (("_hash", unique), ("_head", head), ("_tail", tail), ("_at", begin), ("_len", length), ("_uses", uses)):
                 setattr(self, name, np.insert(getattr(self, name), at[keep], values[keep]))
         begin, length = begin[inverse], length[inverse]
         before = np.concatenate([[0], np.cumsum(length)])
