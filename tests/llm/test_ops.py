@@ -465,3 +465,9 @@ def test_mixed_documents(docs):
     counts = Counter(x.doc_id for x in got.select("doc_id").collect())
     for i, share in plan.items():
         assert abs(counts[i] - share) <= 0.5
+
+
+def test_quality_sample_is_bounded(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.score(d, labels, max_labelled=150).join(labels, "doc_id").where("held_out").toPandas()
+    assert (got.predicted == got.quality).mean() > 0.85
