@@ -7,8 +7,9 @@ joined, so a question asked again with other numbers or names still matches; mat
 windows of a document and an item count if their slots agree: over all matching
 windows, one value of the item stands for one value in the document, and back.
 
-Only windows that hold enough literal words are used.  The benchmark's windows come
-in blocks of at most ``BLOCK_WINDOWS``; each block is sent to the tasks, which scan all
+Only windows that hold enough literal words are used.  An item without such a window has
+longer ones, or is one window as a whole, so every item with a word can match; documents are
+looked through once for each length in use.  The benchmark's windows come in blocks of at most ``BLOCK_WINDOWS``; each block is sent to the tasks, which scan all
 documents.  A small benchmark is one block, a large one takes more scans and no more memory.
 """
 
@@ -21,11 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm._text import _LOWER, Words, find_words, byte_blocks, mix64, span_hashes
+from seqloom.llm._text import _LOWER, Words, _power_tables, find_words, byte_blocks, mix64, span_hashes
 
 WINDOW = 8
 #: Literal words that a window must hold at least.
 LITERALS = 5
+#: Lengths of windows; an item has those of the first length that gives it a window with LITERALS literal words.
+LENGTHS = (WINDOW, 12, 16, 24, 32, 48, 64)
+#: An item without such windows is one window as a whole: its canonical form if that holds so many literal words, or else its own values.
+WHOLE_LITERALS = 2
 #: Share of an item's windows that a document must hold, with consistent slots, to be reported.
 COVERAGE = 0.25
 BLOCK_WINDOWS = 1 << 20
@@ -91,22 +96,24 @@ def canonical(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return template, value, number | unit | name
 
 
-_WEIGHTS = mix64(np.arange(1, WINDOW + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+def windows(w: Words, form: np.ndarray, slot: np.ndarray, length: int = WINDOW, literals: int = LITERALS, by_value: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the windows of ``length`` words of ``form`` within a text that hold ``literals`` literal words.
 
-
-def windows(w: Words, template: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of the windows of WINDOW words within a text that hold LITERALS literal words."""
-    n = len(template) - WINDOW + 1
+    The hash tells lengths apart, and windows of values (``by_value``) from those of templates.
+    """
+    n = len(form) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     doc = w.doc
-    slots = np.concatenate([[0], np.cumsum(slot)])
-    at = np.flatnonzero((doc[:n] == doc[WINDOW - 1 :]) & (slots[WINDOW:] - slots[:n] <= WINDOW - LITERALS))
+    inside = doc[:n] == doc[length - 1 :]
+    if literals > 0:
+        slots = np.concatenate([[0], np.cumsum(slot)])
+        inside &= slots[length:] - slots[:n] <= length - literals
+    at = np.flatnonzero(inside)
+    powers, inverse = _power_tables(len(form))
     with np.errstate(over="ignore"):
-        acc = np.zeros(n, np.uint64)
-        for i in range(WINDOW):
-            acc += template[i : n + i] * _WEIGHTS[i]
-    return at, mix64(acc[at])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(form * powers[: len(form)])])
+        return at, mix64((sums[at + length] - sums[at]) * inverse[at] + np.uint64(2 * length + by_value) * np.uint64(0xD1B54A32D192ED03 >> 8))
 
 
 def _blocks(column: pa.Array) -> Iterator[Words]:
@@ -114,36 +121,57 @@ def _blocks(column: pa.Array) -> Iterator[Words]:
         yield find_words(first, n, buf, offsets)
 
 
-_ITEM = "item_id long, hash long, place int, n_windows int, slots array<long>"
+_ITEM = "item_id long, hash long, length int, by_value boolean, literals int, place int, n_windows int, n_words int, slots array<long>"
 _HIT = "row long, doc_id long, hash long, at long, slots array<long>"
 
 
-def _slot_lists(value: np.ndarray, slot: np.ndarray, at: np.ndarray) -> pa.ListArray:
+def _slot_lists(value: np.ndarray, slot: np.ndarray, at: np.ndarray, length: int, by_value: bool) -> pa.ListArray:
     """Values in the slots of each window; 0 where a word is literal."""
-    cells = at[:, None] + np.arange(WINDOW)
-    values = np.where(slot[cells], value[cells], np.uint64(0)).astype(np.uint64).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, WINDOW, dtype=np.int32)), pa.array(values.ravel()))
+    cells = at[:, None] + np.arange(length)
+    values = np.where(slot[cells] & (not by_value), value[cells], np.uint64(0)).astype(np.uint64).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, length, dtype=np.int32)), pa.array(values.ravel()))
+
+
+def _item_parts(w: Words, template: np.ndarray, value: np.ndarray, slot: np.ndarray) -> Iterator[tuple[int, bool, int, np.ndarray, np.ndarray]]:
+    """(length, by value, literal words at least, first words, hashes) of the windows of items: each item with a word is in one part."""
+    doc, counts = w.doc, w.counts
+    left = counts > 0
+    for length in LENGTHS:
+        at, h = windows(w, template, slot, length)
+        mine = left[doc[at]]
+        at, h = at[mine], h[mine]
+        if len(at):
+            left[doc[at]] = False
+            yield length, False, LITERALS, at, h
+    literal = counts - np.bincount(doc[slot], minlength=w.n)
+    for length in np.unique(counts[left]).tolist():
+        for by_value in (False, True):
+            at, h = windows(w, value if by_value else template, slot, length, 0, by_value)
+            whole = left[doc[at]] & (counts[doc[at]] == length) & ((literal[doc[at]] < WHOLE_LITERALS) == by_value)
+            if whole.any():
+                yield length, by_value, 0, at[whole], h[whole]
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """``item_id, hash, place, n_windows, slots``: the windows of the benchmark's items."""
+    """A row for each window of the benchmark's items; ``n_windows`` and ``n_words`` are those of its item."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in _blocks(batch.column("text")):
                 template, value, slot = canonical(w)
-                at, h = windows(w, template, slot)
-                doc = w.doc[at]
-                ids = batch.column("item_id").take(pa.array(doc + w.first))
-                count = np.bincount(doc, minlength=w.n)[doc]
-                yield pa.RecordBatch.from_arrays([ids, pa.array(h.view(np.int64)), pa.array((at - w.bounds[doc]).astype(np.int32)), pa.array(count.astype(np.int32)), _slot_lists(value, slot, at)], names=["item_id", "hash", "place", "n_windows", "slots"])
+                for length, by_value, literals, at, h in _item_parts(w, template, value, slot):
+                    doc, n = w.doc[at], len(at)
+                    ids = batch.column("item_id").take(pa.array(doc + w.first))
+                    columns = [ids, h.view(np.int64), np.full(n, length, np.int32), np.full(n, by_value), np.full(n, literals, np.int32), (at - w.bounds[doc]).astype(np.int32)]
+                    columns += [np.bincount(doc, minlength=w.n)[doc].astype(np.int32), w.counts[doc].astype(np.int32), _slot_lists(value, slot, at, length, by_value)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["item_id", "hash", "length", "by_value", "literals", "place", "n_windows", "n_words", "slots"])
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.where("item_id is not null").mapInArrow(make, _ITEM)
 
 
-def _hits(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
-    """Windows of documents whose hash is among ``hashes`` (sorted)."""
+def _hits(docs: DataFrame, hashes: np.ndarray, kinds: list[tuple[int, bool, int]]) -> DataFrame:
+    """Windows of documents whose hash is among ``hashes`` (sorted); ``kinds`` has (length, by value, literal words at least) of those."""
     from pyspark import TaskContext
 
     sent = docs.sparkSession.sparkContext.broadcast(hashes)
@@ -156,16 +184,17 @@ def _hits(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
         for batch in batches:
             for w in _blocks(batch.column("text")):
                 template, value, slot = canonical(w)
-                at, h = windows(w, template, slot)
-                maybe = np.flatnonzero(gate[(h >> np.uint64(44)).astype(np.int64)])
-                at, h = at[maybe], h[maybe]
-                near = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                hit = known[near] == h
-                at, h = at[hit], h[hit]
-                if len(at):
-                    doc = w.doc[at]
-                    ids = batch.column("doc_id").take(pa.array(doc + w.first))
-                    yield pa.RecordBatch.from_arrays([pa.array(base + seen + w.first + doc), ids, pa.array(h.view(np.int64)), pa.array(at - w.bounds[doc]), _slot_lists(value, slot, at)], names=["row", "doc_id", "hash", "at", "slots"])
+                for length, by_value, literals in kinds:
+                    at, h = windows(w, value if by_value else template, slot, length, literals, by_value)
+                    maybe = np.flatnonzero(gate[(h >> np.uint64(44)).astype(np.int64)])
+                    at, h = at[maybe], h[maybe]
+                    near = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    hit = known[near] == h
+                    at, h = at[hit], h[hit]
+                    if len(at):
+                        doc = w.doc[at]
+                        ids = batch.column("doc_id").take(pa.array(doc + w.first))
+                        yield pa.RecordBatch.from_arrays([pa.array(base + seen + w.first + doc), ids, pa.array(h.view(np.int64)), pa.array(at - w.bounds[doc]), _slot_lists(value, slot, at, length, by_value)], names=["row", "doc_id", "hash", "at", "slots"])
             seen += batch.num_rows
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -178,23 +207,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     A pair is reported if at least ``coverage`` of the item's windows (and at least one) are in the
     document, in the item's order at one distance, with consistent slots; ``exact`` says that all slots
     have the item's own values.  Among the places of one document where an item matches, the one
-    with most windows is reported, the first of equals.  Items with fewer than WINDOW words, or
-    windows with too few literal words only, have no window and match nothing.  Null and empty texts
-    match nothing; rows of one doc_id are rows of their own; rows without item_id are left out.
+    with most windows is reported, the first of equals.  An item with too few words or literal words for a window
+    is one window as a whole (see WHOLE_LITERALS).  Null and empty texts match nothing; rows of one doc_id are rows of their own; rows without item_id are left out.
     """
     from seqloom.llm._shared import materialize
 
     items = materialize(item_windows(benchmark), "items")
     found: DataFrame | None = None
-    distinct = items.select("hash").distinct()
+    distinct = items.select("hash", "length", "by_value", "literals").distinct()
     n = distinct.count()
     for k in range(max(1, -(-n // BLOCK_WINDOWS))):
         blocks = max(1, -(-n // BLOCK_WINDOWS))
         block = distinct.where(F.pmod(F.xxhash64("hash"), F.lit(blocks)) == k)
-        hashes = np.unique(block.toArrow()["hash"].to_numpy().view(np.uint64))
+        sent = block.toArrow()
+        hashes = np.unique(sent["hash"].to_numpy().view(np.uint64))
         if not len(hashes):
             hashes = np.zeros(1, np.uint64)
-        hits = materialize(_hits(docs, hashes), "hits")
+        least = sent.group_by(["length", "by_value"]).aggregate([("literals", "min")]).select(["length", "by_value", "literals_min"])
+        kinds = sorted(zip(*(x.to_pylist() for x in least.columns), strict=True))
+        hits = materialize(_hits(docs, hashes, kinds), "hits")
         found = hits if found is None else found.unionByName(hits)
     pairs = found.alias("h").join(items.alias("i"), "hash").select("row", "doc_id", "item_id", "n_windows", "place", "at", (F.col("at") - F.col("place")).alias("shift"), F.col("h.slots").alias("doc_slots"), F.col("i.slots").alias("item_slots"))
     whole = pairs.groupBy("row", "doc_id", "item_id", "n_windows", "shift").agg(F.count("*").alias("n_matched"), F.min("at").alias("start_word"), F.collect_set(F.arrays_zip("item_slots", "doc_slots")).alias("filled"))

@@ -237,6 +237,17 @@ def test_leaks_in_blocks_are_the_same(spark, data, monkeypatch):
     assert {(x[0], x[1]) for x in whole} == truth
 
 
+def test_every_item_can_leak(spark):
+    dense = "Bob has 3 kg figs, Ann has 5 kg plums, Eve has 7 kg pears, Ida has 9 kg beans"
+    again = "Bob has 4 kg figs, Zoe has 6 kg plums, Mia has 8 kg pears, Lea has 2 kg beans"
+    items = [(1, dense), (2, "What is 12 plus 30?"), (3, "too short"), (4, "4711"), (5, "1 2 3 4 5 6 7 8 9"), (6, " "), (7, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"some words before it. {x} and after it") for i, x in items[:5]] + [(10, f"now {again} it is"), (11, "So what is 7 plus 9? Nobody knows."), (12, "4712 or 9 8 7 6 5 4 3 2 1 are only numbers"), (13, "too long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): x.exact for x in template_leaks.leaks(docs, bench).collect()}
+    assert got == {(1, 1): True, (2, 2): True, (3, 3): True, (4, 4): True, (5, 5): True, (10, 1): False, (11, 2): False}
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 
