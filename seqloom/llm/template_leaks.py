@@ -2,9 +2,10 @@
 
 Words of documents and benchmark items are brought to a canonical form: lower case
 without outer punctuation, and numbers, units after numbers and names become typed
-placeholders.  Windows of ``WINDOW`` canonical words are hashed on both sides and
+placeholders, one for a run of name words or of numbers.  Windows of ``WINDOW`` canonical words are hashed on both sides and
 joined, so a question asked again with other numbers or names still matches; matching
-windows of a document and an item count if their slots agree: over all matching
+windows of a document and an item at nearby distances (words put in or left out shift
+them) are taken together and count if their slots agree: over all matching
 windows, one value of the item stands for one value in the document, and back.
 
 Only windows that hold enough literal words are used.  An item without such a window has
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm._text import _LOWER, Words, _power_tables, find_words, byte_blocks, mix64, span_hashes
@@ -33,6 +34,8 @@ LENGTHS = (WINDOW, 12, 16, 24, 32, 48, 64)
 WHOLE_LITERALS = 2
 #: Share of an item's windows that a document must hold, with consistent slots, to be reported.
 COVERAGE = 0.25
+#: Matches of one item belong together while the next distance between document and item is at most so many words off.
+DRIFT = WINDOW
 BLOCK_WINDOWS = 1 << 20
 
 #: Units of measure that become a placeholder after a number.
@@ -41,6 +44,8 @@ UNITS = (
     "ml l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "c f k degree degrees percent % $ € £ usd eur dollar dollars euro euros cent cents kb mb gb tb hz khz mhz ghz w kw v a j kj n pa kpa mph kph"
 ).split()
+#: Words that go on with a number after one.
+MAGNITUDES = "dozen hundred thousand million millions billion billions trillion trillions".split()
 
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0x6E756D626572, 0x756E6974, 0x6E616D65))
 _CORE = np.zeros(256, bool)  # bytes of a word's core: letters, digits, all beyond ASCII, % and currency
@@ -62,12 +67,15 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return span_hashes(np.frombuffer(data, np.uint8), ends - sizes, ends)
 
 
-def canonical(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template hash, value hash, is placeholder) of each word of original-case ``w``.
+def canonical(w: Words) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Canonical words of original-case ``w``, and (template hash, value hash, is placeholder, first word in ``w``) of each.
 
-    A word with a digit is a number; a unit is a unit after a number; a capitalised word is a
-    name unless it begins a text, a line or a sentence, or is wholly in capitals.
+    A word with a digit is a number, and a magnitude after one; a unit is a unit after a number; a
+    capitalised word is a name unless it begins a text, a line or a sentence, or is wholly in capitals.
+    Names, or numbers, without punctuation between them are one canonical word.
     """
+    if not len(w.start):
+        return w, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
     core = _CORE[w.buf]
     places = np.arange(len(w.buf))
     ahead = np.minimum.accumulate(np.where(core, places, len(w.buf))[::-1])[::-1]
@@ -80,6 +88,13 @@ def canonical(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     value = span_hashes(low, start, stop)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[w.buf])])
     number = digits[stop] > digits[start]
+    begins = w.bounds[:-1][np.diff(w.bounds) > 0]
+    follows = np.ones(len(start), bool)  # nothing but white space lies between the word before and this one
+    follows[1:] = (stop[:-1] == w.end[:-1]) & (start[1:] == w.start[1:])
+    follows[begins] = False
+    magnitude = follows & ~number & np.isin(value, _hash_words(MAGNITUDES))
+    for _ in range(2):  # as in "5 hundred million"
+        number = number | (magnitude & np.concatenate([[False], number[:-1]]))
     after_number = np.concatenate([[False], number[:-1]])
     unit = after_number & ~number & np.isin(value, _hash_words(UNITS))
     upper = np.concatenate([[0], np.cumsum(_UPPER[w.buf])])
@@ -88,12 +103,21 @@ def canonical(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first[1:] = _ENDS[w.buf[w.end[:-1] - 1]]
         lines = np.concatenate([[0], np.cumsum(w.buf == 0x0A)])
         first[1:] |= lines[w.start[1:]] > lines[w.end[:-1]]
-        begins = w.bounds[:-1][np.diff(w.bounds) > 0]
         first[begins] = True
         unit[begins] = False
     name = ~number & ~first & _UPPER[w.buf[start]] & (upper[stop] - upper[start] == 1)
     template = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, value)))
-    return template, value, number | unit | name
+    kind = np.where(number, 1, np.where(name, 2, 0))
+    joined = follows & (kind > 0) & (kind == np.concatenate([[0], kind[:-1]]))
+    head = np.flatnonzero(~joined)
+    if len(head) < len(start):
+        run = np.diff(np.append(head, len(start)))
+        nth = np.arange(len(start)) - np.repeat(head, run)
+        with np.errstate(over="ignore"):  # a run of one word keeps its value
+            value = np.add.reduceat(value * np.where(nth > 0, mix64(nth.astype(np.uint64)) | np.uint64(1), np.uint64(1)), head)
+    run_end = np.append(head[1:], len(start)) - 1
+    c = Words(w.first, w.n, w.buf, w.offsets, w.start[head], w.end[run_end], np.searchsorted(head, w.bounds))
+    return c, template[head], value, (number | unit | name)[head], head
 
 
 def windows(w: Words, form: np.ndarray, slot: np.ndarray, length: int = WINDOW, literals: int = LITERALS, by_value: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +146,7 @@ def _blocks(column: pa.Array) -> Iterator[Words]:
 
 
 _ITEM = "item_id long, hash long, length int, by_value boolean, literals int, place int, n_windows int, n_words int, slots array<long>"
-_HIT = "row long, doc_id long, hash long, at long, slots array<long>"
+_HIT = "row long, doc_id long, hash long, at long, word long, slots array<long>"
 
 
 def _slot_lists(value: np.ndarray, slot: np.ndarray, at: np.ndarray, length: int, by_value: bool) -> pa.ListArray:
@@ -158,7 +182,7 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in _blocks(batch.column("text")):
-                template, value, slot = canonical(w)
+                w, template, value, slot, _ = canonical(w)
                 for length, by_value, literals, at, h in _item_parts(w, template, value, slot):
                     doc, n = w.doc[at], len(at)
                     ids = batch.column("item_id").take(pa.array(doc + w.first))
@@ -182,8 +206,8 @@ def _hits(docs: DataFrame, hashes: np.ndarray, kinds: list[tuple[int, bool, int]
         gate = np.zeros(1 << 20, bool)
         gate[(known >> np.uint64(44)).astype(np.int64)] = True
         for batch in batches:
-            for w in _blocks(batch.column("text")):
-                template, value, slot = canonical(w)
+            for words in _blocks(batch.column("text")):
+                w, template, value, slot, head = canonical(words)
                 for length, by_value, literals in kinds:
                     at, h = windows(w, value if by_value else template, slot, length, literals, by_value)
                     maybe = np.flatnonzero(gate[(h >> np.uint64(44)).astype(np.int64)])
@@ -194,7 +218,7 @@ def _hits(docs: DataFrame, hashes: np.ndarray, kinds: list[tuple[int, bool, int]
                     if len(at):
                         doc = w.doc[at]
                         ids = batch.column("doc_id").take(pa.array(doc + w.first))
-                        yield pa.RecordBatch.from_arrays([pa.array(base + seen + w.first + doc), ids, pa.array(h.view(np.int64)), pa.array(at - w.bounds[doc]), _slot_lists(value, slot, at, length, by_value)], names=["row", "doc_id", "hash", "at", "slots"])
+                        yield pa.RecordBatch.from_arrays([pa.array(base + seen + w.first + doc), ids, pa.array(h.view(np.int64)), pa.array(at - w.bounds[doc]), pa.array(head[at] - words.bounds[doc]), _slot_lists(value, slot, at, length, by_value)], names=["row", "doc_id", "hash", "at", "word", "slots"])
             seen += batch.num_rows
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -205,8 +229,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     """``doc_id, item_id, n_windows, n_matched, start_word, exact``: documents that hold benchmark items.
 
     A pair is reported if at least ``coverage`` of the item's windows (and at least one) are in the
-    document, in the item's order at one distance, with consistent slots; ``exact`` says that all slots
-    have the item's own values.  Among the places of one document where an item matches, the one
+    document, at one distance or at nearby ones (see DRIFT), with consistent slots; ``exact`` says that all
+    slots have the item's own values.  Each of the item's windows counts once.  A slot at an item's first or last
+    word may run on in the document and need not be consistent.  Among the places of one document where an item matches, the one
     with most windows is reported, the first of equals.  An item with too few words or literal words for a window
     is one window as a whole (see WHOLE_LITERALS).  Null and empty texts match nothing; rows of one doc_id are rows of their own; rows without item_id are left out.
     """
@@ -227,15 +252,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
         kinds = sorted(zip(*(x.to_pylist() for x in least.columns), strict=True))
         hits = materialize(_hits(docs, hashes, kinds), "hits")
         found = hits if found is None else found.unionByName(hits)
-    pairs = found.alias("h").join(items.alias("i"), "hash").select("row", "doc_id", "item_id", "n_windows", "place", "at", (F.col("at") - F.col("place")).alias("shift"), F.col("h.slots").alias("doc_slots"), F.col("i.slots").alias("item_slots"))
-    whole = pairs.groupBy("row", "doc_id", "item_id", "n_windows", "shift").agg(F.count("*").alias("n_matched"), F.min("at").alias("start_word"), F.collect_set(F.arrays_zip("item_slots", "doc_slots")).alias("filled"))
-    enough = whole.where(F.col("n_matched") >= F.greatest(F.lit(1.0), F.col("n_windows") * coverage))
-    cells = F.array_distinct(F.filter(F.flatten("filled"), lambda c: c["item_slots"] != 0))
-    ok = enough.withColumn("cells", cells)
-    one_way = F.size(F.array_distinct(F.transform("cells", lambda c: c["item_slots"]))) == F.size("cells")
-    other_way = F.size(F.array_distinct(F.transform("cells", lambda c: c["doc_slots"]))) == F.size("cells")
-    ok = ok.where(one_way & other_way).withColumn("exact", F.forall("cells", lambda c: c["item_slots"] == c["doc_slots"]))
-    best = ok.groupBy("row", "doc_id", "item_id").agg(F.max_by(F.struct("n_windows", "n_matched", "start_word", "exact"), F.struct("n_matched", -F.col("start_word"))).alias("best"))
+    slots = F.transform(F.arrays_zip(F.col("i.slots").alias("item"), F.col("h.slots").alias("doc")), lambda c, i: F.struct(c["item"].alias("item"), c["doc"].alias("doc"), (F.col("place") + i).isin(F.lit(0), F.col("n_words") - 1).alias("edge")))
+    pairs = found.alias("h").join(items.alias("i"), "hash").select("row", "doc_id", "item_id", "n_windows", "place", "word", (F.col("at") - F.col("place")).alias("shift"), F.filter(slots, lambda c: c["item"] != 0).alias("filled"))
+    pairs = materialize(pairs, "pairs")
+    # Runs of nearby shifts; a window of the item that matches at several of a run is taken where most do.
+    near = Window.partitionBy("row", "item_id").orderBy("shift")
+    runs = pairs.withColumn("held", F.count("*").over(Window.partitionBy("row", "item_id", "shift"))).withColumn("far", (F.col("shift") - F.lag("shift").over(near) > DRIFT).cast("int"))
+    runs = runs.withColumn("run", F.sum(F.coalesce("far", F.lit(0))).over(near.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    once = F.row_number().over(Window.partitionBy("row", "item_id", "run", "place").orderBy(F.desc("held"), "shift", "word"))
+    runs = runs.withColumn("nth", once).where("nth = 1")
+    parts = [x.groupBy("row", "doc_id", "item_id", "n_windows", by).agg(F.count("*").alias("n_matched"), F.min("word").alias("start_word"), F.array_distinct(F.flatten(F.collect_set("filled"))).alias("cells")).drop(by) for x, by in ((pairs, "shift"), (runs, "run"))]
+    enough = parts[0].unionByName(parts[1]).where(F.col("n_matched") >= F.greatest(F.lit(1.0), F.col("n_windows") * coverage))
+    ok = enough.withColumn("inner", F.array_distinct(F.transform(F.filter("cells", lambda c: ~c["edge"]), lambda c: F.struct(c["item"], c["doc"]))))
+    one_way = F.size(F.array_distinct(F.transform("inner", lambda c: c["item"]))) == F.size("inner")
+    other_way = F.size(F.array_distinct(F.transform("inner", lambda c: c["doc"]))) == F.size("inner")
+    ok = ok.where(one_way & other_way).withColumn("exact", F.forall("cells", lambda c: c["item"] == c["doc"]))
+    best = ok.groupBy("row", "doc_id", "item_id").agg(F.max_by(F.struct("n_windows", "n_matched", "start_word", "exact"), F.struct("n_matched", -F.col("start_word"), "exact")).alias("best"))
     return best.select("doc_id", "item_id", "best.n_windows", "best.n_matched", "best.start_word", "best.exact")
 
 

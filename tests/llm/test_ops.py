@@ -248,6 +248,19 @@ def test_every_item_can_leak(spark):
     assert got == {(1, 1): True, (2, 2): True, (3, 3): True, (4, 4): True, (5, 5): True, (10, 1): False, (11, 2): False}
 
 
+def test_leaks_with_other_lengths(spark):
+    item = "One morning the young farmer from the valley met Bob near the old mill and paid him 5 coins for the brown horse that stood quietly behind a long wooden fence"
+    again = item.replace("Bob", "Mary Ann").replace("5 coins", "5 million coins")
+    edited = item.replace("the old mill", "the very old mill").replace("brown horse", "big brown horse")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, f"Some words. {item}"), (2, f"Some other words. {again}"), (3, f"More words. {edited}"), (4, f"{item} Smith"), (5, f"In New York City {item}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x for x in template_leaks.leaks(docs, bench).collect()}
+    assert {i: x.exact for i, x in got.items()} == {1: True, 2: False, 3: True, 4: True, 5: True}
+    n = got[1].n_windows
+    assert got[2].n_matched == n and got[3].n_matched < n and got[5].start_word in (4, 5)
+
+
 # 7 ---------------------------------------------------------------------------------------------
 
 
