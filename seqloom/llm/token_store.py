@@ -70,18 +70,21 @@ class PieceEncoder:
     a pre-token must begin and its pieces encoded apart.  Safe cuts are: a space or a
     newline between two characters that are not white space (before it, and after
     that newline), and punctuation after an ASCII letter.  A text with white space
-    beyond ASCII is one piece.  Pieces are known by a 64-bit hash, their length and their first and
+    beyond ASCII, or with the literal of an added token such as ``<|endoftext|>``, is one piece: the
+    library finds those literals first.  Pieces are known by a 64-bit hash, their length and their first and
     last eight bytes (all bytes of most pieces).  At most ``remember`` short ones are kept; then those
-    that were not met again go.
+    that were not met again go.  With ``plain_literals`` special tokens in a text are text like other.
     """
 
-    def __init__(self, tokenizer: str, remember: int = 450_000):
+    def __init__(self, tokenizer: str, remember: int = 450_000, plain_literals: bool = True):
         import public_tokenizers
         from tokenizers import Tokenizer
 
         path = tokenizer if "/" in tokenizer else public_tokenizers.path(tokenizer)
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = plain_literals
+        added = self._tokenizer.get_added_tokens_decoder().values()
+        self._literals = [x.content.encode() for x in added if x.content and not (plain_literals and x.special)]
         vocab = self._tokenizer.get_vocab(with_added_tokens=True)
         self._bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():  # a character of a token stands for one byte
@@ -105,7 +108,8 @@ class PieceEncoder:
         """
         last = _CLASS[buf[start + size - 1]]
         second = _CLASS[buf[np.minimum(start + 1, len(buf) - 1)]]
-        led = (buf[start] == 0x20) & (size > 1) & (second > _WHITE) & ((last == _LETTER) | (last == _PUNCT))
+        alike = not any(b" " in x for x in self._literals)  # pieces in a run must not make a literal together
+        led = alike & (buf[start] == 0x20) & (size > 1) & (second > _WHITE) & ((last == _LETTER) | (last == _PUNCT))
         run, alone = np.flatnonzero(led), np.flatnonzero(~led)
         flat, counts = [], []
         for k in range(0, len(run), 5000):
@@ -168,6 +172,16 @@ class PieceEncoder:
                 hit = hit[np.isin(buf[hit + 2], list(third))]
             for d in np.unique(np.searchsorted(offsets, hit, "right") - 1):
                 begins[offsets[d] : offsets[d + 1]] = False
+        data = buf.tobytes() if self._literals else b""
+        for literal in self._literals:
+            at = data.find(literal)
+            while at >= 0:
+                d = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(literal) <= offsets[d + 1]:
+                    begins[offsets[d] : offsets[d + 1]] = False
+                    at = data.find(literal, int(offsets[d + 1]))
+                else:  # across two texts
+                    at = data.find(literal, at + 1)
         begins[first] = True
         return np.flatnonzero(begins[: len(buf)])
 
@@ -229,13 +243,16 @@ _encoders: dict[str, PieceEncoder] = {}
 def _encoder(tokenizer: str) -> PieceEncoder:
     """One encoder for each Python worker, kept from task to task."""
     if tokenizer not in _encoders:
-        _encoders[tokenizer] = PieceEncoder(tokenizer)
+        _encoders[tokenizer] = PieceEncoder(tokenizer, plain_literals=False)
     return _encoders[tokenizer]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, files: int | None = None) -> str:
     """Encodes ``docs(doc_id, text)`` and writes a store in ascending doc_id order.
 
+    Ids are those of the library's ``encode(text, add_special_tokens=False)``: the literal of an
+    added token in a text is that token.
+
     Other columns are ignored, whatever their names.  A null text is as an empty
     one: the end id alone.  A null doc_id comes first.  Rows of one doc_id stay
     rows of their own, ordered by a hash of their text, so one frequent doc_id

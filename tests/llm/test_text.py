@@ -73,6 +73,24 @@ def test_pieces_give_the_library_ids(encoders):
                 assert ids[bounds[j] : bounds[j + 1]].tolist() == [*plain.encode(texts[i + j], add_special_tokens=False).ids, 0]
 
 
+def test_literals_of_added_tokens_give_the_library_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from seqloom.llm.token_store import _encoder
+
+    plain, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), _encoder("byte_bpe_50k.json")
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    r = random.Random(5)
+    parts = [" ", "  ", "\n", "a", " word", "The", "'s", ".", " ,", "12", "é", "\u3000", "<|", "endoftext", "|>", "<|endo", "ftext|>", "<|endoftext|>", " <|endoftext|>", "<|endoftext|> "]
+    for _ in range(400):
+        texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(r.randint(0, 6))]
+        for i, n, buf, offsets in T.byte_blocks(pa.array(texts, pa.string()), 40):
+            ids, bounds = own.encode(buf, offsets, 0)
+            for j in range(n):
+                assert ids[bounds[j] : bounds[j + 1]].tolist() == [*plain.encode(texts[i + j], add_special_tokens=False).ids, 0]
+
+
 def test_mix_is_a_bijection_on_samples():
     x = np.arange(100_000, dtype=np.uint64)
     assert len(np.unique(T.mix64(x))) == len(x)
