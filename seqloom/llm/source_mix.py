@@ -112,13 +112,15 @@ def golden_schedule(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
     return hit.select("slot", "row_source", rank.cast("long").alias("rank"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, slots: int = SLOTS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, slots: int = SLOTS, exact: bool = False) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` and ``blocks`` (of its source) for each row.
 
     ``taken`` counts the words the mix takes of this row, repeats included; it never
     exceeds ``max_epochs`` times the row's size.  Rows of one doc_id are rows of their
     own.  A row without words takes none; a null source is a source like others; with
-    no words at all, all targets are 0.  Reruns agree: every order comes from hashes.
+    no words at all, all targets are 0.  With ``exact`` a source gives its target in whole words,
+    the largest remainders rounded up; without, the words of its blocks, which are off by a few
+    ``total / slots`` and may be none for a small source.  Reruns agree: every order comes from hashes.
     """
     sizes = materialize(with_sizes(docs), "sizes")
     targets = materialize(source_targets(sizes, weights, max_epochs), "targets")
@@ -128,6 +130,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     plan = targets.alias("t").join(blocks.alias("b"), same, "left").select("t.row_source", "t.source_size", "t.target", F.coalesce("b.blocks", F.lit(0)).alias("blocks"), total.alias("total"))
     # Words from the schedule: the blocks of the source, at most max_epochs of all it has.
     words = F.least(F.round(F.col("blocks") * F.col("total") / F.lit(float(slots))).cast("long"), F.col("source_size") * max_epochs)
+    if exact:
+        below = F.floor("target")
+        whole = Window.partitionBy()
+        spare = F.round(F.sum("target").over(whole)).cast("long") - F.sum(below).over(whole)
+        nth = F.row_number().over(Window.orderBy((F.col("target") - below).desc(), F.col("row_source").asc_nulls_last()))
+        words = F.least(below + F.when(nth <= spare, 1).otherwise(0), F.col("source_size") * max_epochs)
     plan = materialize(plan.withColumn("words", words).drop("total"), "plan")
 
     # Places in a source's stream: sums over runs of the shuffled order, then within a run.
@@ -157,11 +165,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, slots: int = SLOTS) -> DataFrame:
     """The documents of the mix with the columns of ``docs``; a document taken twice has two rows.
 
+    Each source gives its exact target, however small it is beside the corpus.
+
     Documents stay whole: ``taken / size`` is rounded, which concerns the last document
     of each source's stream only.  Documents that the mix doesn't take have no row.
     Rows of the same doc_id, source and size are taken in equal shares.
     """
-    plan = mix(docs, weights, max_epochs, slots).where("taken > 0")
+    plan = mix(docs, weights, max_epochs, slots, exact=True).where("taken > 0")
     copies = plan.groupBy(F.col("doc_id").alias("mix_doc"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size")).agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("mix_copies"))
     size = F.size(F.filter(F.split(F.col("text"), "[\\x20\\x09-\\x0D]+"), lambda x: x != ""))
     rows = docs.withColumn("row_size", size.cast("long")).alias("d").join(

@@ -491,6 +491,18 @@ def test_mixed_documents(docs):
         assert abs(counts[i] - share) <= 0.5
 
 
+def test_small_sources_meet_their_targets(spark):
+    rows = [(i, " ".join(["w"] * 2000), "big") for i in range(200)] + [(1000 + i, "a b c d e", f"tiny{i}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, targets = Counter(), {}
+    for x in source_mix.mix(df, slots=64, exact=True).collect():
+        taken[x.source] += x.taken
+        targets[x.source] = x.target
+    assert all(abs(taken[n] - targets[n]) < 1 for n in targets) and sum(taken.values()) == 200 * 2000 + 12 * 5
+    counts = Counter(x.source for x in source_mix.mixed_documents(df, slots=64).collect())
+    assert all(counts[f"tiny{i}"] == 3 for i in range(12))
+
+
 def test_quality_sample_is_bounded(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.score(d, labels, max_labelled=150).join(labels, "doc_id").where("held_out").toPandas()
