@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,5 +40,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_keys(docs: DataFrame, key: str) -> DataFrame | None:
+    """``docs`` stored with a unique long ``key``, where a doc_id is null or occurs twice; None where doc_id is a key itself."""
+    if not docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1 or doc_id is null").limit(1).count():
+        return None
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -272,6 +272,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` without the documents that ``leaks`` reports; doc_id is taken as a key here."""
-    bad = leaks(docs, benchmark, coverage).select(F.col("doc_id").alias("leaked_doc")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == F.col("leaked_doc"), "left_anti")
+    """``docs`` without the rows that ``leaks`` reports, told apart even if they share a doc_id or have none."""
+    from seqloom.llm._shared import with_row_keys
+
+    key = "seqloom_row_key"
+    keyed = with_row_keys(docs, key)
+    rows = docs if keyed is None else keyed.select(F.col(key).alias("doc_id"), "text")
+    bad = leaks(rows, benchmark, coverage).select(F.col("doc_id").alias("leaked_doc")).distinct()
+    if keyed is None:
+        return docs.join(bad, docs["doc_id"].cast("long") == F.col("leaked_doc"), "left_anti")
+    return keyed.join(bad, keyed[key] == F.col("leaked_doc"), "left_anti").drop(key)

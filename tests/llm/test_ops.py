@@ -403,6 +403,20 @@ def test_near_duplicate_edges(spark, docs, rows, empty):
     assert left.columns == docs.columns and left.where("doc_id = 110").count() == 0 and left.where("doc_id in (101, 102, 103)").count() == 3
 
 
+def test_rows_are_told_apart_without_a_key(spark):
+    r = random.Random(8)
+    a, b, c, d, e = (text(r, 40) for _ in range(5))
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, d), (None, c), (5, e), (None, e), (6, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = Counter(map(tuple, odd_minhash.one_of_each(df).collect()))
+    assert left == Counter([(1, a), (2, b), (None, c), (None, d), (5, e), (6, None), (6, "")])
+    item = " ".join(r.choice(WORDS) for _ in range(20))
+    rows = [(1, f"x {item}"), (1, a), (None, f"y {item}"), (None, b), (2, c)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = template_leaks.without_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert Counter(map(tuple, kept.collect())) == Counter([(1, a), (None, b), (2, c)])
+
+
 def test_sketches_estimate():
     a = np.random.default_rng(2).integers(0, 2**63, 900).astype(np.uint64)
     b = np.concatenate([a[:830], a[:70] ^ np.uint64(12345)])
