@@ -34,23 +34,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-_BYTE2 = mix64(np.arange(1001, 1257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, for n positions at least."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK + (BLOCK >> 2))
-        with np.errstate(over="ignore"):
-            tables = [np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, p, np.uint64)])) for p in (_P, _PINV)]
-        if size > 1 << 21:  # of one very long text: not kept
-            return tables
-        _powers[:] = tables
-    return _powers
+#: Constants of the two hashes of spans: for sizes, for lanes, and for places of lanes.
+_SEEDS = ((0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0xA24BAED4963EE407), (0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25, 0x2545F4914F6CDD1D))
+#: Spans of up to so many lanes of eight bytes are hashed lane after lane, longer ones by sums over all lanes.
+_CHAIN = 8
 
 
 @dataclass
@@ -80,26 +67,35 @@ class Words:
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
     """64-bit hash of each span of bytes; equal bytes have equal hashes in any block.
 
-    ``second`` gives another, independent one: both together identify a span.
+    A span is taken in lanes of eight bytes.  Every lane goes through a bijection that depends on
+    the size, and on all lanes before (spans of few lanes) or on its place (longer ones), so no
+    arrangement of bytes is alike in itself.  ``second`` gives another hash with other constants for
+    all of that: what meets in one doesn't in the other, and both together identify a span.
     """
     if not len(start):
         return np.zeros(0, np.uint64)
-    if len(buf) > 4 * BLOCK and len(start) > 1 and (np.diff(end) >= 0).all():
-        # A very long text: runs of spans, each as a text of its own (a hash doesn't depend on the place).
-        out, i = np.empty(len(start), np.uint64), 0
-        while i < len(start):
-            a = start[i]
-            j = max(i + 1, int(np.searchsorted(end, a + BLOCK, "right")))
-            out[i:j] = span_hashes(buf[a : end[j - 1]], start[i:j] - a, end[i:j] - a, second)
-            i = j
-        return out
-    powers, inverse = _power_tables(len(buf) + 1)
+    of_size, of_lane, of_place = (_U(x) for x in _SEEDS[second])
+    size = (end - start).astype(np.int64)
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.empty(len(buf) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((_BYTE2 if second else _BYTE)[buf] * powers[: len(buf)], out=sums[1:])
-        h = (sums[end] - sums[start]) * inverse[start]
-        return mix64(h + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        h = mix64((eights[start] & mask[np.minimum(size, 8)]) * of_lane + size.astype(np.uint64) * of_size + of_place)
+        more = np.flatnonzero((size > 8) & (size <= 8 * _CHAIN))
+        for lane in range(1, _CHAIN):
+            more = more[size[more] > 8 * lane]
+            if not len(more):
+                break
+            part = eights[start[more] + 8 * lane] & mask[np.minimum(size[more] - 8 * lane, 8)]
+            h[more] = mix64(h[more] * of_lane + mix64(part + of_place))
+        for i in np.flatnonzero(size > 8 * _CHAIN).tolist():
+            for a in range(8, int(size[i]), BLOCK):
+                n = -(-min(int(size[i]) - a, BLOCK) // 8)
+                at = int(start[i]) + a + 8 * np.arange(n)
+                part = eights[at] & mask[np.minimum(int(end[i]) - at, 8)]
+                place = mix64((np.arange(n, dtype=np.uint64) + _U(a // 8)) * of_place + of_size)
+                h[i] += mix64(mix64(part * of_lane + of_size) + place).sum(dtype=np.uint64)
+        return mix64(h + of_size)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -172,12 +168,6 @@ def word_blocks(column: pa.Array, lower: bool = True, block: int = BLOCK) -> Ite
         yield find_words(first, n, _LOWER[buf] if lower else buf, offsets)
 
 
-def per_doc_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of runs of values; an empty run sums to 0."""
-    sums = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
-    return sums[bounds[1:]] - sums[bounds[:-1]]
-
-
 def shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of k words within a text, and n + 1 bounds.
 

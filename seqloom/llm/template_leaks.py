@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm._text import _LOWER, Words, _power_tables, find_words, byte_blocks, mix64, span_hashes
+from seqloom.llm._text import _LOWER, Words, find_words, byte_blocks, mix64, span_hashes
 
 WINDOW = 8
 #: Literal words that a window must hold at least.
@@ -134,10 +134,17 @@ def windows(w: Words, form: np.ndarray, slot: np.ndarray, length: int = WINDOW,
         slots = np.concatenate([[0], np.cumsum(slot)])
         inside &= slots[length:] - slots[:n] <= length - literals
     at = np.flatnonzero(inside)
-    powers, inverse = _power_tables(len(form))
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(form * powers[: len(form)])])
-        return at, mix64((sums[at + length] - sums[at]) * inverse[at] + np.uint64(2 * length + by_value) * np.uint64(0xD1B54A32D192ED03 >> 8))
+        # Hashes of 1, 2, 4, .. words from each place; a window is a few of them one after the other.
+        h, width, place, out = form, 1, at, np.full(len(at), 2 * length + by_value, np.uint64)
+        while True:
+            if length & width:
+                out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[place])
+                place = place + width
+            if 2 * width > length:
+                return at, out
+            h = mix64(h[:-width] * np.uint64(0xD1B54A32D192ED03) + h[width:])
+            width *= 2
 
 
 def _blocks(column: pa.Array) -> Iterator[Words]:

@@ -54,12 +54,13 @@ BLOCK = 1 << 19
 
 
 def _edges(buf: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last eight bytes of spans as numbers; a shorter span has all its bytes in both."""
-    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(8, np.uint8)]), 8)
+    """Two numbers that tell spans of one hash and size apart: the first and the last eight bytes, or a second hash of more than 16."""
+    eights = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), 0, (1,))
     size = np.minimum(stop - start, 8)
     mask = np.where(size < 8, (np.uint64(1) << (8 * size % 64).astype(np.uint64)) - np.uint64(1), ~np.uint64(0))
-    head = np.ascontiguousarray(eights[start]).view("<u8").ravel() & mask
-    tail = np.ascontiguousarray(eights[stop - size]).view("<u8").ravel() & mask
+    head, tail = eights[start] & mask, eights[stop - size] & mask
+    long = np.flatnonzero(stop - start > 16)
+    tail[long] = span_hashes(buf, start[long], stop[long], second=True)
     return head, tail
 
 
@@ -71,8 +72,8 @@ class PieceEncoder:
     newline between two characters that are not white space (before it, and after
     that newline), and punctuation after an ASCII letter.  A text with white space
     beyond ASCII, or with the literal of an added token such as ``<|endoftext|>``, is one piece: the
-    library finds those literals first.  Pieces are known by a 64-bit hash, their length and their first and
-    last eight bytes (all bytes of most pieces).  At most ``remember`` short ones are kept; then those
+    library finds those literals first.  Pieces are known by a 64-bit hash, their length and all their
+    bytes, or a second hash of more than 16; pieces that share a hash are told apart.  At most ``remember`` short ones are kept; then those
     that were not met again go.  With ``plain_literals`` special tokens in a text are text like other.
     """
 
@@ -119,10 +120,13 @@ class PieceEncoder:
             (ids,) = self._ids([text])
             ends = np.cumsum(self._bytes[ids])
             cut = np.searchsorted(ends, want)
-            if not len(ends) or ends[-1] != want[-1] or not np.array_equal(ends[cut], want):
-                raise RuntimeError("a token reaches over a piece")
-            flat.append(ids)
-            counts.append(np.diff(cut, prepend=-1))
+            if len(ends) and ends[-1] == want[-1] and np.array_equal(ends[cut], want):
+                flat.append(ids)
+                counts.append(np.diff(cut, prepend=-1))
+            else:  # the lengths of its tokens don't cut the run: one by one
+                single = self._ids([buf[a : a + k].tobytes().decode("utf-8", "replace") for a, k in zip(at.tolist(), n.tolist(), strict=True)])
+                flat += single
+                counts.append(np.array([len(x) for x in single], np.int64))
         texts = [buf[a : a + n].tobytes().decode("utf-8", "replace") for a, n in zip(start[alone].tolist(), size[alone].tolist(), strict=True)]
         single = self._ids(texts)
         flat += single
@@ -195,11 +199,16 @@ class PieceEncoder:
         start = self._cuts(buf, offsets)
         stop = np.append(start[1:], len(buf))
         # Texts without bytes lie between pieces and don't matter here.
-        unique, where, inverse = np.unique(span_hashes(buf, start, stop), return_index=True, return_inverse=True)
-        size = stop - start
+        h, size = span_hashes(buf, start, stop), stop - start
+        unique, where, inverse = np.unique(h, return_index=True, return_inverse=True)
         head, tail = _edges(buf, start, stop)
-        if not all(np.array_equal(x[where][inverse], x) for x in (head, tail, size)):
-            raise RuntimeError("two pieces of one hash")
+        if not all(np.array_equal(x[where][inverse], x) for x in (head, tail, size)):  # pieces that share a hash
+            order = np.lexsort((size, tail, head, h))
+            first = np.ones(len(order), bool)
+            first[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (h, head, tail, size)], axis=0)
+            where, inverse = order[first], np.empty(len(order), np.int64)
+            inverse[order] = np.cumsum(first) - 1
+            unique = h[where]
         head, tail = head[where], tail[where]
         at = np.searchsorted(self._hash, unique)
         near = np.minimum(at, max(len(self._hash) - 1, 0))
@@ -222,6 +231,7 @@ class PieceEncoder:
             begin[new], length[new] = self._used + np.cumsum(counts) - counts, counts
             self._used = need
             keep = np.sort(new[size[where[new]] <= 64])
+            keep = keep[np.diff(unique[keep], prepend=~unique[keep[:1]]) != 0]
             if len(self._hash):  # a piece whose hash another one holds isn't kept
                 keep = keep[(at[keep] == len(self._hash)) | (self._hash[near[keep]] != unique[keep])]
             uses = np.zeros(len(unique), np.int32)

@@ -102,3 +102,57 @@ def test_long_texts_have_the_hashes_of_short_ones():
     (short,) = T.word_blocks(pa.array([" ".join(words[:5000])]))
     assert len(long.buf) > 4 * T.BLOCK
     assert (long.hashes() == np.tile(short.hashes(), 80)).all()
+
+
+def thue_morse(n):
+    x = "a"
+    for _ in range(n):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_regular_words_apart():
+    for n in (5, 6, 8, 10, 11, 12, 14):
+        for second in (False, True):
+            buf = np.frombuffer("".join(thue_morse(n)).encode(), np.uint8)
+            h = T.span_hashes(buf, np.array([0, len(buf) // 2]), np.array([len(buf) // 2, len(buf)]), second)
+            assert h[0] != h[1]
+
+
+@given(st.lists(st.text(alphabet="ab", min_size=0, max_size=90), max_size=30))
+@settings(max_examples=100, deadline=None)
+def test_both_hashes_are_of_the_bytes(texts):
+    data = "".join(texts).encode()
+    ends = np.cumsum([len(t) for t in texts]).astype(np.int64)
+    starts = ends - np.array([len(t) for t in texts], np.int64)
+    one, two = (T.span_hashes(np.frombuffer(data, np.uint8), starts, ends, second=k) for k in (False, True))
+    for h in (one, two):
+        assert len(set(h.tolist())) == len(set(texts)) and len(set(zip(h.tolist(), texts))) == len(set(texts))
+    assert not set(one.tolist()) & set(two.tolist())
+
+
+def test_long_spans_have_one_hash_in_any_buffer():
+    r = np.random.default_rng(3)
+    word = r.integers(97, 120, T.BLOCK * 2 + 13).astype(np.uint8)
+    whole = T.span_hashes(word, np.array([0]), np.array([len(word)]))
+    moved = T.span_hashes(np.concatenate([word[:5], word, word[:3]]), np.array([5]), np.array([5 + len(word)]))
+    other = word.copy()
+    other[T.BLOCK + 100] ^= 1
+    assert whole[0] == moved[0] != T.span_hashes(other, np.array([0]), np.array([len(word)]))[0]
+
+
+def test_pieces_that_share_a_hash_are_told_apart(encoders, monkeypatch):
+    from seqloom.llm import token_store
+
+    plain, _ = encoders
+    real = T.span_hashes
+    monkeypatch.setattr(token_store, "span_hashes", lambda buf, start, end, second=False: real(buf, start, end, second) if second else real(buf, start, end) % np.uint64(7))
+    own = PieceEncoder("byte_bpe_50k.json", remember=40)
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(60)] + ["a longer piece of one word " * 3, "x" * 40, "y" * 40, *thue_morse(10)]
+    for _ in range(40):
+        texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 40))) for _ in range(3)]
+        for i, n, buf, offsets in T.byte_blocks(pa.array(texts, pa.string())):
+            ids, bounds = own.encode(buf, offsets, 0)
+            for j in range(n):
+                assert ids[bounds[j] : bounds[j + 1]].tolist() == [*plain.encode(texts[i + j], add_special_tokens=False).ids, 0]
