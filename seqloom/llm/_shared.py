@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    It is what the session says in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a temporary folder is made and set.
+    It is what the session says in ``spark.checkpoint.dir``.  Only where that is unset and
+    everything runs on one machine (tests), a temporary folder is made and set; on a cluster
+    a folder of one machine would lose data, so that is an error.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="seqloom-")
         sc.setCheckpointDir(folder)
     return folder
@@ -40,11 +43,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_row_keys(docs: DataFrame, key: str) -> DataFrame | None:
-    """``docs`` stored with a unique long ``key``, where a doc_id is null or occurs twice; None where doc_id is a key itself."""
-    if not docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1 or doc_id is null").limit(1).count():
-        return None
-    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores after it as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_keys(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` stored with a unique long in one more column, and the name of that.
+
+    Stored, because the key must be the same in each use.  It tells rows apart that share a
+    doc_id, or have none, or are equal in all columns.
+    """
+    key = free_name(docs, "row_key")
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
 def partitions(spark: SparkSession) -> int:

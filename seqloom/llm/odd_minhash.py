@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm._shared import materialize, with_row_keys
+from seqloom.llm._shared import free_name, materialize, with_row_keys
 from seqloom.llm._text import mix64, shingles, word_blocks
 from seqloom.llm.components import connected_components
 
@@ -268,26 +268,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return done.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-_ROW_KEY = "seqloom_row_key"
-
-
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one of the least doc_id.
+    """``docs`` with one row of each component, one of its least doc_id (null last).
 
-    Texts without words stay.  Rows are told apart even if they share a doc_id or have none: of
-    a component's rows with its least doc_id (null last) one stays.
+    Rows are decided one by one: those that share a doc_id, have none, or are equal in all columns
+    are rows of their own, and a row goes only if another of its component stays.  Texts without
+    words (null, empty, white space) resemble nothing and stay.  Texts of any length are compared
+    as wholes; an empty table stays empty; columns of any name are kept as they are.
     """
-    keyed = with_row_keys(docs, _ROW_KEY)
-    if keyed is None:
-        found = near_duplicates(docs, k, percent)
-        dropped = materialize(found.where("not kept").select(F.col("doc_id").alias("dropped_doc")).distinct(), "dropped")
-        return docs.join(dropped, docs["doc_id"].cast("long") == F.col("dropped_doc"), "left_anti")
-    ids = keyed.select(F.col(_ROW_KEY).alias("key"), F.col("doc_id").cast("long").alias("id"))
-    found = near_duplicates(keyed.select(F.col(_ROW_KEY).alias("doc_id"), "text"), k, percent).where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id").join(ids, "key")
-    found = materialize(found, "near")
-    least = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("least")).select("least.key")
-    dropped = materialize(found.select("key").join(least, "key", "left_anti").withColumnRenamed("key", "dropped_row"), "dropped")
-    return keyed.join(dropped, keyed[_ROW_KEY] == F.col("dropped_row"), "left_anti").drop(_ROW_KEY)
+    keyed, key = with_row_keys(docs)
+    ids = keyed.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("id"))
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), k, percent).where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id")
+    found = materialize(found.join(ids, "key"), "near")
+    least = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("kept_key"))
+    name = free_name(keyed, "dropped_key")
+    dropped = materialize(found.join(least, "component_id").where("key <> kept_key").select(F.col("key").alias(name)), "dropped")
+    return keyed.join(dropped, F.col(key) == F.col(name), "left_anti").drop(key)
 
 
 #: Exact components in DuckDB SQL for three words and 85 percent: all pairs that share a shingle, then a closure.

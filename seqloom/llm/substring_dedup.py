@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm._shared import materialize
+from seqloom.llm._shared import free_name, materialize, with_row_keys
 from seqloom.llm._text import byte_blocks, mix64, span_hashes
 
 WINDOW = 16
@@ -111,8 +111,11 @@ def _bit_set(digests: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``doc_id, row, start, stop, first_doc``: every occurrence of a repeated chunk (byte offsets)."""
+def repeated_chunks(docs: DataFrame, row_key: str | None = None) -> DataFrame:
+    """``doc_id, row, start, stop, first_doc``: every occurrence of a repeated chunk (byte offsets).
+
+    ``row`` is the column ``row_key`` if there is one, or else the row's place in the scan.
+    """
     spark = docs.sparkSession
     repeated = materialize(repeated_digests(docs), "digests")
     bits = spark.sparkContext.broadcast(_bit_set(repeated))
@@ -125,23 +128,26 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
                 at = np.flatnonzero(bits.value[(u % np.uint64(FILTER_WORDS)).astype(np.int64)] >> (u >> np.uint64(58)) & np.uint64(1))
                 if len(at):
                     ids = batch.column("doc_id").take(pa.array(row[at] + first))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d1[at], d2[at])] + [ids] + [pa.array(x) for x in (base + seen + first + row[at], start[at], stop[at])], names=["d1", "d2", "doc_id", "row", "start", "stop"])
+                    rows = pa.array(base + seen + first + row[at]) if row_key is None else batch.column("row").take(pa.array(row[at] + first))
+                    yield pa.RecordBatch.from_arrays([pa.array(d1[at]), pa.array(d2[at]), ids, rows, pa.array(start[at]), pa.array(stop[at])], names=["d1", "d2", "doc_id", "row", "start", "stop"])
             seen += batch.num_rows
 
-    found = _rows(docs).mapInArrow(occurrences, "d1 long, d2 long, doc_id long, row long, start long, stop long")
+    source = _rows(docs) if row_key is None else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row_key).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    found = source.mapInArrow(occurrences, "d1 long, d2 long, doc_id long, row long, start long, stop long")
     return found.join(repeated.select("d1", "d2", "first_doc"), ["d1", "d2"]).select("doc_id", "row", "start", "stop", "first_doc")
 
 
-def repeated_spans(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_span: int = MIN_SPAN, row_key: str | None = None) -> DataFrame:
     """``doc_id, start, stop, n_chunks, n_first, first_doc``: repeated passages of ``min_span`` bytes or more.
 
     ``start`` and ``stop`` are byte offsets in the UTF-8 text.  ``n_first`` counts chunks whose
     first document this is: a deduplicated corpus keeps those and drops the others.
     ``first_doc`` is the least doc_id that holds a chunk of the span.  Empty and null texts
     have no chunk.  Rows of one doc_id are rows of their own, but only another doc_id makes a
-    passage repeated; a row whose doc_id is null reports spans and counts for none.
+    passage repeated; a row whose doc_id is null reports spans and counts for none.  With ``row_key`` (a
+    long column that is a key of ``docs``) that column comes too.
     """
-    chunks = repeated_chunks(docs)
+    chunks = repeated_chunks(docs, row_key)
     before = Window.partitionBy("row").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     run = F.col("start") - F.coalesce(F.sum(F.col("stop") - F.col("start")).over(before), F.lit(0))
     spans = chunks.withColumn("run", run).groupBy("row", "run").agg(
@@ -152,17 +158,22 @@ def repeated_spans(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
         F.count_if(F.col("doc_id") == F.col("first_doc")).alias("n_first"),
         F.min("first_doc").alias("first_doc"),
     )
-    return spans.where(F.col("stop") - F.col("start") >= min_span).drop("row", "run")
+    spans = spans.where(F.col("stop") - F.col("start") >= min_span).drop("run")
+    return spans.drop("row") if row_key is None else spans.withColumnRenamed("row", row_key)
 
 
 def without_repeats(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
     """``docs`` with repeated passages cut out of all documents but those that hold them first.
 
     A span is cut where none of its chunks has its first document there.  Cuts are moved
-    inwards to whole characters.  doc_id is taken as a key here.
+    inwards to whole characters.  Rows that share a doc_id, or have none, keep cuts of their own.
+    Null and empty texts stay as they are, and so do all other columns, whatever their names.
     """
-    spans = repeated_spans(docs, min_span).where("n_first = 0").groupBy(F.col("doc_id").alias("cut_doc")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
-    joined = docs.join(spans, docs["doc_id"].cast("long") == F.col("cut_doc"), "left").drop("cut_doc")
+    keyed, key = with_row_keys(docs)
+    name, cuts = free_name(keyed, "cut_key"), free_name(keyed, "cuts")
+    spans = repeated_spans(keyed.select("doc_id", "text", F.col(key).alias("row_key")), min_span, "row_key").where("n_first = 0")
+    spans = spans.groupBy(F.col("row_key").alias(name)).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(cuts))
+    joined = keyed.join(spans, F.col(key) == F.col(name), "left")
 
     @F.pandas_udf("string")
     def cut(texts, cuts):
@@ -184,5 +195,5 @@ def without_repeats(docs: DataFrame, min_span: int = MIN_SPAN) -> DataFrame:
 
         return pd.Series([one(t, c) for t, c in zip(texts, cuts, strict=True)])
 
-    whole = joined.withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(cut("text", "cuts")))
+    whole = joined.withColumn("text", F.when(F.col(f"`{cuts}`").isNull(), F.col("text")).otherwise(cut("text", F.col(f"`{cuts}`"))))
     return whole.select(*[F.col(f"`{c}`") for c in docs.columns])

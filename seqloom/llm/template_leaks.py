@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.llm._shared import free_name, materialize, with_row_keys
 from seqloom.llm._text import _LOWER, Words, find_words, byte_blocks, mix64, span_hashes
 
 WINDOW = 8
@@ -242,8 +243,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     with most windows is reported, the first of equals.  An item with too few words or literal words for a window
     is one window as a whole (see WHOLE_LITERALS).  Null and empty texts match nothing; rows of one doc_id are rows of their own; rows without item_id are left out.
     """
-    from seqloom.llm._shared import materialize
-
     items = materialize(item_windows(benchmark), "items")
     found: DataFrame | None = None
     distinct = items.select("hash", "length", "by_value", "literals").distinct()
@@ -279,13 +278,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """``docs`` without the rows that ``leaks`` reports, told apart even if they share a doc_id or have none."""
-    from seqloom.llm._shared import with_row_keys
-
-    key = "seqloom_row_key"
-    keyed = with_row_keys(docs, key)
-    rows = docs if keyed is None else keyed.select(F.col(key).alias("doc_id"), "text")
-    bad = leaks(rows, benchmark, coverage).select(F.col("doc_id").alias("leaked_doc")).distinct()
-    if keyed is None:
-        return docs.join(bad, docs["doc_id"].cast("long") == F.col("leaked_doc"), "left_anti")
-    return keyed.join(bad, keyed[key] == F.col("leaked_doc"), "left_anti").drop(key)
+    """``docs`` without the rows that ``leaks`` reports.
+
+    Rows are decided one by one, also if they share a doc_id or have none.  Null and empty texts
+    stay; of a very long text any passage may be the leak; an empty table or benchmark changes
+    nothing; columns of any name are kept as they are.
+    """
+    keyed, key = with_row_keys(docs)
+    name = free_name(keyed, "leaked_key")
+    bad = leaks(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, coverage).select(F.col("doc_id").alias(name)).distinct()
+    return keyed.join(bad, F.col(key) == F.col(name), "left_anti").drop(key)
