@@ -5,6 +5,10 @@ back from those bytes, resampled by a polyphase filter, cut into overlapped fram
 and turned into log-mel energies; a hysteresis gate over the frames' energy gives
 active segments.  Features of a row are two Arrow tensors of fixed shape: the log-mel
 energies pooled into ``FRAMES`` time spans by ``MELS`` bands, and those spans in seconds.
+
+Spark has no tensor type, so features are stored as Arrow IPC streams of a few hundred rows in a
+binary column: there the columns have the canonical fixed-shape tensor type, and any Arrow reader
+finds shape and values.  ``read_features`` gives rows of plain arrays from them.
 """
 
 from __future__ import annotations
@@ -92,9 +96,9 @@ def resample(x: np.ndarray) -> np.ndarray:
 
 
 def _mel_frames(y: np.ndarray) -> np.ndarray:
-    """Log-mel energies (dB) of all whole frames of y."""
-    if len(y) < FRAME:
-        y = np.concatenate([y, np.zeros(FRAME - len(y), np.float32)])
+    """Log-mel energies (dB) of the frames of y, which silence fills up to whole hops."""
+    short = FRAME - len(y) if len(y) < FRAME else -(len(y) - FRAME) % HOP
+    y = np.concatenate([y, np.zeros(short, np.float32)])
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
     out = np.empty((len(frames), MELS), np.float32)
     for i in range(0, len(frames), 1024):
@@ -166,7 +170,11 @@ MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
 
 
 def store_media(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_bytes, media``: each whole text (null: empty) as a WAV file of its padded bytes."""
+    """``doc_id, n_bytes, media``: each whole text (null: empty) as a WAV file of its padded bytes.
+
+    A row each, whatever its doc_id; a very long text is one long file; an empty table has no rows;
+    other columns are ignored.
+    """
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,45 +187,67 @@ def store_media(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(put, MEDIA_SCHEMA)
 
 
+_SEGMENTS = pa.list_(pa.struct([("start", pa.float64()), ("stop", pa.float64())]))
+_KINDS = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "segments": _SEGMENTS}
 FEATURE_SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
-    "tensor array<float>, spans array<float>, segments array<struct<start:double,stop:double>>"
+    "segments array<struct<start:double,stop:double>>, tensor array<float>, spans array<float>"
 )
+#: Rows of one Arrow stream at most.
+STORE_ROWS = 512
+
+
+def _stream(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """A row with the Arrow stream of features of some files: ``doc_id, n_bytes, media``."""
+    out: dict[str, list] = {k: [] for k in _KINDS if k not in ("doc_id", "n_bytes")}
+    mels, spans = np.zeros((batch.num_rows, FRAMES, MELS), np.float32), np.zeros((batch.num_rows, FRAMES, 2), np.float32)
+    for i, value in enumerate(batch.column("media")):
+        file = value.as_buffer()
+        x = samples(file)
+        mels[i], spans[i], found = features(file)
+        out["payload_bytes"].append(len(x))
+        out["payload_sha256"].append(hashlib.sha256(x).hexdigest())
+        out["tail_crc32"].append(zlib.crc32(x[-UNIT:]))
+        out["media_bytes"].append(file.size)
+        out["media_sha256"].append(hashlib.sha256(file).hexdigest())
+        out["segments"].append([{"start": a, "stop": b} for a, b in found])
+        active = sum(b - a for a, b in found)
+        out["feature"].append(f"{len(found)}:{active:.3f}:" + ",".join(f"{v:.1f}" for v in mels[i].mean(axis=0, dtype=np.float64)))
+    columns = [batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(out[k], kind) for k, kind in _KINDS.items() if k in out), *tensors(mels, spans)]
+    table = pa.RecordBatch.from_arrays(columns, names=[*_KINDS, "tensor", "spans"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(table)
+    return pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["n", "stream"])
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Reads stored files back and returns digests and features; a row each, equal for equal files.
+    """``n, stream``: features of stored files, ``n`` rows in each Arrow stream.
 
-    ``tensor`` and ``spans`` hold the values of the tensors row by row (``tensors`` makes the
-    Arrow type of them); ``feature`` is a short text of the same values.
+    Files are read back from ``media(doc_id, n_bytes, media)``; equal files have equal features.  A
+    stream has the columns of FEATURE_SCHEMA, ``tensor`` and ``spans`` (seconds) as fixed-shape tensors.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "segments")}
-            mels, spans = [], []
-            for value in batch.column("media"):
-                file = value.as_buffer()
-                x = samples(file)
-                tensor, span, found = features(file)
-                mels.append(tensor.ravel())
-                spans.append(span.ravel())
-                out["payload_bytes"].append(len(x))
-                out["payload_sha256"].append(hashlib.sha256(x).hexdigest())
-                out["tail_crc32"].append(zlib.crc32(x[-UNIT:]))
-                out["media_bytes"].append(file.size)
-                out["media_sha256"].append(hashlib.sha256(file).hexdigest())
-                out["segments"].append([{"start": a, "stop": b} for a, b in found])
-                active = sum(b - a for a, b in found)
-                out["feature"].append(f"{len(found)}:{active:.3f}:" + ",".join(f"{v:.1f}" for v in tensor.mean(axis=0, dtype=np.float64)))
-            n = batch.num_rows
-            lists = lambda rows, k: pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * k, k, dtype=np.int32)), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.float32), pa.float32()))
-            kind = pa.list_(pa.struct([("start", pa.float64()), ("stop", pa.float64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_bytes")]
-                + [pa.array(out[k], pa.int64() if k.endswith(("bytes", "crc32")) else pa.string()) for k in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")]
-                + [lists(mels, FRAMES * MELS), lists(spans, FRAMES * 2), pa.array(out["segments"], kind)],
-                names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensor", "spans", "segments"],
-            )
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, FEATURE_SCHEMA)
+            for i in range(0, batch.num_rows, STORE_ROWS):
+                yield _stream(batch.slice(i, STORE_ROWS))
+
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(read, "n long, stream binary")
+
+
+def read_features(stored: DataFrame) -> DataFrame:
+    """Rows of FEATURE_SCHEMA from stored streams; ``tensor`` and ``spans`` row by row as plain arrays."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column("stream"):
+                for table in pa.ipc.open_stream(value.as_buffer()):
+                    lists = []
+                    for name in ("tensor", "spans"):
+                        column = table.column(name)
+                        k = column.storage.type.list_size
+                        lists.append(pa.ListArray.from_arrays(pa.array(np.arange(0, (len(column) + 1) * k, k, dtype=np.int32)), column.storage.flatten()))
+                    yield pa.RecordBatch.from_arrays([*(table.column(k) for k in _KINDS), *lists], names=[*_KINDS, "tensor", "spans"])
+
+    return stored.select("stream").mapInArrow(rows, FEATURE_SCHEMA)

@@ -43,8 +43,8 @@ def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = audio_media.store_media(_table(spark, sf_dir, "documents"))
-    return audio_media.media_features(materialize(media, "media")).drop("tensor", "spans", "segments")
+    media = materialize(audio_media.store_media(_table(spark, sf_dir, "documents")), "media", "zstd")
+    return audio_media.read_features(materialize(audio_media.media_features(media), "features", "uncompressed"))
 
 
 def op9_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_pairs": chat_format.PAIRS_SQL, "op9_odd_minhash": odd_minhash.EXACT_SQL, "op10_source_mix": source_mix.MIX_SQL}
+    return {"op1_chat_pairs": chat_format.PAIRS_SQL, "op5_secret_ledger": secret_ledger.REPORT_SQL, "op9_odd_minhash": odd_minhash.EXACT_SQL, "op10_source_mix": source_mix.MIX_SQL}
