@@ -1,27 +1,28 @@
-"""Language-model scores by logistic context mixing.
-
-A text is its words (A-Z lower-cased) and an end.  It belongs to one of a few classes (values
-of a metadata column, of which training texts tell); a text's probability is the mixture over
-classes, weighed by their shares, so a score depends on the text alone.  In class ``k`` a word's
-probability is a mixture of
-
-* its share of the class' training tokens, with a little of its share of all, exact for the
-  whole vocabulary, and
-* the probability that it is *spelled*: its bytes and a terminator are binary decisions (the
-  path through a Huffman tree of byte frequencies).  Each decision is predicted by several
-  hashed contexts (the last one to four bytes, and the whole word so far); their logits are
-  combined by weights that a gate selects (how much the longer contexts have seen), the
-  result is refined by an adaptive map of (context, probability), and all are learned
-  online over all distinct training words, each as if it had not been counted yet.
-
-The mixture's weight is the Good-Turing share of words seen once.  A class' probabilities of
-words sum to 1, and so do those of texts.  They don't depend on where a word stands, so each
-distinct word is scored once, and texts gather the scores:
-
-1. count the distinct words of all texts; 2. hashed bit counts, summed by block of slots;
-3. weights learned in each task and averaged; 4. scores of all distinct words; 5. texts sum the
-scores of frequent words (a table of fixed size) at once, and get those of the others by a join
-on the word's hash.  What moves grows with the corpus; what is broadcast has a fixed size.
+"""Language-model scores by online logistic context mixing.
+
+A text is its words (A-Z lower-cased) and an end.  Each word has a *symbol*: the ``HEAD`` most
+frequent words have one each, all others share that of their *class*, which is read off their letters.
+A symbol is a path of binary decisions through a tree (classes, then Huffman), and the texts are
+one stream of such decisions.  Every decision is predicted by
+
+* its node alone, and hashed contexts of node and (1) the word before, (2) the two words before,
+  (3) the last function word of the text and the class of the word before;
+
+the logits of their counts are combined by weights that a gate selects (how often the longer contexts
+have been seen), and the result is refined by an adaptive map of (node, probability).  Counts, weights and map are
+learned online in one pass over all training texts: a decision is predicted, and then learned.
+
+What the symbol of a class leaves open, *which* of its words, is the word's share of the class'
+counts, over the whole vocabulary; the Good-Turing share of words seen once is kept for words never
+seen in training, which are *spelled*: bytes and a terminator are decisions again, under contexts of the
+word's own bytes, learned from all distinct words.  The classes come from a metadata column of training
+texts (by hash; any number of values) through letter statistics; what is scored is the text alone.  Probabilities
+of a position sum to 1 at most, and so do those of texts.
+
+Plan: 1. count distinct words (and letters by class); 2. the speller, over distinct words; 3. every
+distinct word's count, symbol and spelling; 4. the online pass over training texts in every task; counts and
+maps of tasks are summed, weights averaged; 5. scores of all texts.  Words beyond the most frequent ``TABLE``
+get their counts by a join on two hashes.  What moves grows with the corpus; what is broadcast has a fixed size.
 """
 
 from __future__ import annotations
@@ -40,39 +41,53 @@ from pyspark.sql import functions as F
 from seqloom.llm._shared import materialize
 from seqloom.llm._text import Words, mix64, span_hashes, word_blocks
 
-#: Slots of the hashed bit counts by context: the last 1, 2, 3, 4 bytes, the word so far.
-SLOTS = (1 << 16, 1 << 19, 1 << 20, 1 << 20, 1 << 20)
-#: Words in the table that is sent to all tasks.
-HEAD = 1 << 18
-#: Classes at most: the most frequent values of the class column; all others are one more.
-CLASSES = 6
-#: Weight of a class' own counts against those of all training texts.
-OWN = 0.95
-RATE, STEP = 0.02, 1 << 14
-END = 256  # symbol of the terminator
-_CHUNK = 20_000  # distinct words worked on at once
+#: Words with a symbol of their own, words whose last one is a context, and words in the table that tasks hold.
+HEAD, FUNCTION, TABLE = 1 << 10, 64, 1 << 18
+#: Classes of words, at most; values of the class column are hashed into so many.
+CLASSES = 64
+#: Cells of the letter statistics of a class.
+LETTERS = 1 << 12
+#: Hashed contexts of decisions, and the slots of each (2 to that power).
+CONTEXTS, SLOT_BITS = 3, 20
+#: Gate: how often the two words before, and the word before, have been seen at a node: 6 x 4.
+GATES, INPUTS = 24, CONTEXTS + 2
+#: Cells of the adaptive map: by node and by logit.
+NODES, MAP_CELLS = 2048, 33
+#: Weights before learning, and tokens of a learning step at first and at most.
+START, STEPS = (0.2, 0.2, 0.2, 0.5, 0.0), (1 << 9, 1 << 14)
 _SLOT_BLOCK = 1 << 15
+_BIAS = np.float32(0.3)
+
+#: Slots of the speller's hashed counts by context: the last 1, 2, 3, 4 bytes, the word so far.
+SPELL_SLOTS = (1 << 16, 1 << 18, 1 << 19, 1 << 19, 1 << 19)
+SPELL_GATES, SPELL_INPUTS = 24, len(SPELL_SLOTS) + 1
+SPELL_CONTEXTS = 1024
+STEP = 1 << 14
+TERMINATOR = 256
+_CHUNK = 20_000  # distinct words worked on at once
 
-_BASE = np.concatenate([[0], np.cumsum(SLOTS)]).astype(np.int64)
-_SALT = mix64(np.arange(len(SLOTS), dtype=np.uint64) + np.uint64(31))
-#: Gate: how often the word so far, and the last four bytes, have been seen: 6 x 4.
-GATES, INPUTS = 24, len(SLOTS) + 1
-#: Cells of the adaptive map: by place in the word and node of the tree, and by logit.
-MAP_CONTEXTS, MAP_CELLS = 1024, 33
+_BASE = np.concatenate([[0], np.cumsum(SPELL_SLOTS)]).astype(np.int64)
+_SALT = mix64(np.arange(8, dtype=np.uint64) + np.uint64(31))
 
 
 @dataclass
 class Code:
-    """Huffman tree over byte values and the terminator: decisions of each symbol."""
+    """Binary tree over symbols: decisions of symbol s are ``first[s]`` to ``first[s] + length[s]``."""
 
     length: np.ndarray
     first: np.ndarray
     node: np.ndarray
     bit: np.ndarray
 
+    @classmethod
+    def of(cls, paths: list[list[tuple[int, int]]]) -> Code:
+        length = np.array([len(p) for p in paths], np.int64)
+        flat = [x for p in paths for x in p]
+        return cls(length, np.cumsum(length) - length, np.array([x[0] for x in flat], np.int64), np.array([x[1] for x in flat], np.uint8))
 
-def huffman(counts: np.ndarray) -> Code:
-    """Tree of ``counts`` (257 numbers); every symbol has a code, unseen ones too."""
+
+def _paths(counts: np.ndarray, first_node: int = 0) -> list[list[tuple[int, int]]]:
+    """(node, bit) from the root of a Huffman tree to each symbol; every symbol has a path, unseen ones too."""
     heap = [(int(c) * 4096 + 1, s, s) for s, c in enumerate(counts)]
     heapq.heapify(heap)
     parent: dict[int, tuple[int, int]] = {}
@@ -87,11 +102,42 @@ def huffman(counts: np.ndarray) -> Code:
         path, at = [], s
         while at in parent:
             at, bit = parent[at]
-            path.append((at - len(counts), bit))
+            path.append((at - len(counts) + first_node, bit))
         paths.append(path[::-1])
-    length = np.array([len(p) for p in paths], np.int64)
-    flat = [x for p in paths for x in p]
-    return Code(length, np.cumsum(length) - length, np.array([x[0] for x in flat], np.int64), np.array([x[1] for x in flat], np.uint8))
+    return paths
+
+
+def huffman(counts: np.ndarray) -> Code:
+    return Code.of(_paths(counts))
+
+
+def _letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, offsets, symbols with a TERMINATOR after each word, ends of words among those) of a binary column."""
+    offs = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[offs[0] : offs[-1]] if words.buffers()[2] is not None else np.zeros(0, np.uint8)
+    offs = offs - offs[0]
+    ends = np.cumsum(np.diff(offs) + 1)
+    symbol = np.full(int(ends[-1]) if len(words) else 0, TERMINATOR, np.int64)
+    inner = np.ones(len(symbol), bool)
+    inner[ends - 1] = False
+    symbol[inner] = data
+    return data, offs, symbol, ends
+
+
+def _back(symbol: np.ndarray, pos: np.ndarray, k: int) -> np.ndarray:
+    """The symbol k places back within a word, plus 1; 0 before its start."""
+    b = np.zeros(len(symbol), np.uint64)
+    b[k:] = symbol[:-k] + 1
+    b[pos < k] = 0
+    return b
+
+
+def _rate(seen: int) -> float:
+    """Step size of the weights after so many decisions or tokens."""
+    return max(0.06, 0.6 / (1 + 20 * seen / (1 << 20)))
+
+
+# What spells a word -----------------------------------------------------------------------------
 
 
 @dataclass
@@ -104,58 +150,51 @@ class Decisions:
     place: np.ndarray
 
 
-def decisions(words: pa.Array, code: Code) -> Decisions:
-    """Decisions that spell each of ``words`` (a binary column) and its terminator."""
-    offs = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-    data = np.frombuffer(words.buffers()[2], np.uint8)[offs[0] : offs[-1]] if words.buffers()[2] is not None else np.zeros(0, np.uint8)
-    offs = offs - offs[0]
-    n = len(words)
-    # Symbols with a terminator after each word; what stands before a word's start is symbol 0.
+def decisions(words: pa.Array, group: np.ndarray, code: Code) -> Decisions:
+    """Decisions that spell each of ``words`` (a binary column) of these classes, and its terminator."""
+    data, offs, symbol, ends = _letters(words)
     size = np.diff(offs) + 1
-    ends = np.cumsum(size)
-    symbol = np.full(int(ends[-1]) if n else 0, END, np.int64)
-    owner = np.repeat(np.arange(n), size)
-    inner = np.ones(len(symbol), bool)
-    inner[ends - 1] = False
-    symbol[inner] = data
+    owner = np.repeat(np.arange(len(words)), size)
     pos = np.arange(len(symbol)) - np.repeat(ends - size, size)
-    back = []
-    for k in range(1, 5):
-        b = np.zeros(len(symbol), np.uint64)
-        b[k:] = symbol[:-k] + 1
-        b[pos < k] = 0
-        back.append(b)
-    keys, acc = [], np.zeros(len(symbol), np.uint64)
+    keys, acc = [], (group[owner].astype(np.uint64) << np.uint64(40))
     for k in range(4):
-        acc = acc | (back[k] << np.uint64(9 * k))
+        acc = acc | (_back(symbol, pos, k + 1) << np.uint64(9 * k))
         keys.append(mix64(acc + _SALT[k]))
-    before = span_hashes(data, np.repeat(offs[:-1], size), np.repeat(offs[:-1], size) + pos)
-    keys.append(mix64(before + _SALT[4]))
+    acc = group[owner].astype(np.uint64) << np.uint64(40)
+    # The word so far: a chain over its bytes, from their places in the word on.
+    before = np.zeros(len(symbol), np.uint64)
+    last, left = symbol[:-1], pos[1:] > 0
+    with np.errstate(over="ignore"):
+        term = np.where(left, mix64(last.astype(np.uint64) + (pos[1:].astype(np.uint64) << np.uint64(9)) + _SALT[5]), np.uint64(0))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(term)])
+        before = total - np.repeat(total[ends - size], size)
+    keys.append(mix64(before + acc + _SALT[4]))
     length = code.length[symbol]
     at = np.repeat(np.arange(len(symbol)), length)
     step = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
     cell = code.first[symbol][at] + step
     node, bit = code.node[cell], code.bit[cell]
     mixed = mix64(node.astype(np.uint64) + np.uint64(0x5DEECE66D))
-    slot = [((keys[k][at] ^ mixed) & np.uint64(SLOTS[k] - 1)).astype(np.int64) + _BASE[k] for k in range(len(SLOTS))]
+    slot = [((keys[k][at] ^ mixed) & np.uint64(SPELL_SLOTS[k] - 1)).astype(np.int64) + _BASE[k] for k in range(len(SPELL_SLOTS))]
     place = (np.minimum(pos[at], 3) * 256 + np.minimum(node, 255)).astype(np.int64)
     return Decisions(owner[at], bit, slot, place)
 
 
 @dataclass
-class Model:
+class Speller:
     """What spelling a word takes; its size doesn't depend on the corpus."""
 
     code: Code
     zeros: np.ndarray
     ones: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.full((GATES, INPUTS), 0.3, np.float32) * np.array([1] * len(SLOTS) + [0], np.float32))
-    map_seen: np.ndarray = field(default_factory=lambda: np.zeros((MAP_CONTEXTS, MAP_CELLS)))
-    map_ones: np.ndarray = field(default_factory=lambda: np.zeros((MAP_CONTEXTS, MAP_CELLS)))
+    weights: np.ndarray = field(default_factory=lambda: np.full((SPELL_GATES, SPELL_INPUTS), 0.3, np.float32) * np.array([1] * len(SPELL_SLOTS) + [0], np.float32))
+    map_seen: np.ndarray = field(default_factory=lambda: np.zeros((SPELL_CONTEXTS, MAP_CELLS)))
+    map_ones: np.ndarray = field(default_factory=lambda: np.zeros((SPELL_CONTEXTS, MAP_CELLS)))
+    learned: int = 0
 
     def inputs(self, d: Decisions, leave_out: bool) -> tuple[np.ndarray, np.ndarray]:
         """Logits of all contexts and the gate of each decision; ``leave_out``: without this word's own counts."""
-        x = np.empty((len(d.bit), INPUTS), np.float32)
+        x = np.empty((len(d.bit), SPELL_INPUTS), np.float32)
         own1 = d.bit.astype(np.float32) if leave_out else np.float32(0)
         own0 = 1 - own1 if leave_out else np.float32(0)
         seen = []
@@ -173,11 +212,11 @@ class Model:
     def cells(logit: np.ndarray) -> np.ndarray:
         return np.clip(np.rint(logit * 2) + MAP_CELLS // 2, 0, MAP_CELLS - 1).astype(np.int64)
 
-    def log2(self, words: pa.Array, leave_out: bool = False) -> np.ndarray:
+    def log2(self, words: pa.Array, group: np.ndarray, leave_out: bool = False) -> np.ndarray:
         """Bits (negative) that spell each word."""
         out = np.zeros(len(words))
         for i in range(0, len(words), _CHUNK):
-            d = decisions(words.slice(i, _CHUNK), self.code)
+            d = decisions(words.slice(i, _CHUNK), group[i : i + _CHUNK], self.code)
             x, gate = self.inputs(d, leave_out)
             logit = np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -16, 16)
             p = 1 / (1 + np.exp(-logit.astype(np.float64)))
@@ -187,85 +226,30 @@ class Model:
             out[i : i + _CHUNK] = np.bincount(d.word, np.log2(np.where(d.bit == 1, p, 1 - p)), minlength=min(_CHUNK, len(words) - i))
         return out
 
-    def learn(self, words: pa.Array) -> int:
-        """One online pass over words that the counts include: weights first, then the map."""
+    def learn(self, words: pa.Array, group: np.ndarray) -> int:
+        """One online pass over words that the counts include, each as if it had not been counted: weights first, then the map."""
         n = 0
         for i in range(0, len(words), _CHUNK):
-            d = decisions(words.slice(i, _CHUNK), self.code)
+            d = decisions(words.slice(i, _CHUNK), group[i : i + _CHUNK], self.code)
             x, gate = self.inputs(d, True)
             y = d.bit.astype(np.float32)
-            for a in range(0, len(y), STEP):
-                xs, g, ys = x[a : a + STEP], gate[a : a + STEP], y[a : a + STEP]
+            a = 0
+            while a < len(y):
+                z = int(np.clip(self.learned // 8, 1 << 11, STEP))
+                xs, g, ys = x[a : a + z], gate[a : a + z], y[a : a + z]
                 logit = np.clip(np.einsum("ij,ij->i", xs, self.weights[g]), -16, 16)
                 error = ys - 1 / (1 + np.exp(-logit))
-                count = np.bincount(g, minlength=GATES)
-                for j in range(INPUTS):
-                    step = np.bincount(g, error * xs[:, j], minlength=GATES) / (count + 64)
-                    self.weights[:, j] += (RATE * 4 * step).astype(np.float32)
-                flat = d.place[a : a + STEP] * MAP_CELLS + self.cells(logit)
-                where, first, times = np.unique(flat, return_inverse=True, return_counts=True)
-                self.map_seen.ravel()[where] += times
-                self.map_ones.ravel()[where] += np.bincount(first, ys)
+                scale = _rate(self.learned) / (np.bincount(g, minlength=SPELL_GATES) + 64.0)
+                for j in range(SPELL_INPUTS):
+                    self.weights[:, j] += (scale * np.bincount(g, error * xs[:, j], minlength=SPELL_GATES)).astype(np.float32)
+                flat = d.place[a : a + z] * MAP_CELLS + self.cells(logit)
+                self.map_seen.ravel()[:] += np.bincount(flat, minlength=self.map_seen.size)
+                self.map_ones.ravel()[:] += np.bincount(flat, ys, minlength=self.map_seen.size)
+                a, self.learned = a + z, self.learned + len(ys)
             n += len(d.bit)
         return n
 
 
-def _is_train(column: str, mod: int, held: int):
-    crc = F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
-    return crc % mod != held
-
-
-def _class_names(docs: DataFrame, column: str, mod: int, held: int) -> list[str]:
-    """Values of the class column in training texts, most frequent first, CLASSES + 1 at most."""
-    if column not in docs.columns:
-        return []
-    value = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    found = docs.where(_is_train("doc_id", mod, held)).groupBy(value.alias("value")).count().orderBy(F.col("count").desc(), "value").limit(CLASSES + 1)
-    return [r["value"] for r in found.collect()]
-
-
-def _rows(docs: DataFrame, mod: int, held: int, column: str = "", names: list[str] = ()) -> DataFrame:
-    cls = F.lit(0)
-    if names:
-        value = F.coalesce(F.col(column).cast("string"), F.lit(""))
-        cls = F.lit(min(len(names), CLASSES + 1) - 1)
-        for k, name in reversed(list(enumerate(names[:CLASSES]))):
-            cls = F.when(value == name, k).otherwise(cls)
-    return docs.select(F.col("doc_id").cast("long").alias("row_doc"), _is_train("doc_id", mod, held).alias("train"), cls.cast("int").alias("cls"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-
-
-def _word_bytes(w: Words, first: np.ndarray) -> pa.Array:
-    """The bytes of some words as a binary column."""
-    start, size = w.start[first], w.end[first] - w.start[first]
-    bounds = np.concatenate([[0], np.cumsum(size)])
-    data = w.buf[np.repeat(start - bounds[:-1], size) + np.arange(bounds[-1])]
-    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-
-
-def vocabulary(rows: DataFrame, classes: int) -> DataFrame:
-    """``word, c0, c1, ..``: all distinct words of all texts and their counts in each class' training texts.
-
-    The end is the word ''.  Blocks count within themselves first.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            train, cls = batch.column("train").to_numpy(zero_copy_only=False), batch.column("cls").to_numpy()
-            for w in word_blocks(batch.column("text"), block=1 << 20):
-                part, own = train[w.first : w.first + w.n], cls[w.first : w.first + w.n].astype(np.int64)
-                # A word counts by class; in texts that don't train it only has to be known, in class 0.
-                own = np.where(part, own, 0)
-                key = mix64(w.hashes() + own.astype(np.uint64)[w.doc] * np.uint64(0x9E3779B97F4A7C15))
-                _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-                counts = np.bincount(inverse, part[w.doc].astype(np.float64), minlength=len(first)).astype(np.int64)
-                ends = np.bincount(own, part.astype(np.float64), minlength=classes).astype(np.int64)
-                words = pa.concat_arrays([_word_bytes(w, first), pa.array([b""] * classes, pa.binary())])
-                yield pa.RecordBatch.from_arrays([words, pa.array(np.append(own[w.doc[first]], np.arange(classes)).astype(np.int32)), pa.array(np.append(counts, ends))], names=["word", "cls", "c"])
-
-    found = rows.mapInArrow(count, "word binary, cls int, c long")
-    return found.groupBy("word").agg(*[F.sum(F.when(F.col("cls") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(classes)])
-
-
 def _symbol_counts(words: DataFrame) -> np.ndarray:
     """Counts of bytes and terminators over distinct words."""
 
@@ -276,7 +260,7 @@ def _symbol_counts(words: DataFrame) -> np.ndarray:
             offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
             if len(column) and column.buffers()[2] is not None:
                 total[:256] += np.bincount(np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]], minlength=256)
-            total[END] += len(column)
+            total[TERMINATOR] += len(column)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(257, dtype=np.int32)), pa.array(total)], names=["symbol", "n"])
 
     out = np.zeros(257, np.int64)
@@ -285,68 +269,453 @@ def _symbol_counts(words: DataFrame) -> np.ndarray:
     return out
 
 
+def _add_blocks(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums tables of tasks block by block: counts (which stop at their type's end), or numbers in blocks below 0."""
+    block, out = key[0].as_py(), None
+    for batch in batches:
+        for cells in batch.column("cells"):
+            part = np.frombuffer(pa.decompress(cells.as_buffer(), _raw_size(block), "zstd"), np.uint32 if block >= 0 else np.float64)
+            if out is None:
+                out = part.copy()
+            else:
+                out += np.minimum(part, np.uint32(0xFFFFFFFF) - out) if block >= 0 else part
+    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([pa.compress(out.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["block", "cells"])
+
+
+def _raw_size(block: int) -> int:
+    return 8 * _SLOT_BLOCK if block >= 0 else 8 * (GATES * INPUTS + 2 * NODES * MAP_CELLS + 1)
+
+
+def _blocks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The blocks of a flat table of (zeros, ones) pairs that hold anything, compressed."""
+    parts = table.reshape(-1, 2 * _SLOT_BLOCK)
+    for k in range(len(parts)):
+        if parts[k].any():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([pa.compress(parts[k].tobytes(), "zstd", asbytes=True)], pa.binary())], names=["block", "cells"])
+
+
+def _whole(summed: pa.Table, slots: int) -> np.ndarray:
+    """The flat table of pairs from summed blocks."""
+    out = np.zeros(2 * slots, np.uint32)
+    for k, cells in zip(summed["block"].to_pylist(), summed["cells"], strict=True):
+        if k >= 0:
+            out[2 * _SLOT_BLOCK * k : 2 * _SLOT_BLOCK * (k + 1)] = np.frombuffer(pa.decompress(cells.as_buffer(), _raw_size(k), "zstd"), np.uint32)
+    return out
+
+
 def bit_counts(words: DataFrame, code: Code) -> tuple[np.ndarray, np.ndarray]:
-    """(zeros, ones) of all slots over distinct words; tables of tasks are summed block by block."""
-    total = int(_BASE[-1])
+    """(zeros, ones) of all the speller's slots over distinct words; tables of tasks are summed block by block."""
+    total = -(-int(_BASE[-1]) // _SLOT_BLOCK) * _SLOT_BLOCK
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(2 * total, np.uint32)
         for batch in batches:
             for i in range(0, batch.num_rows, 2 * _CHUNK):
-                d = decisions(batch.column("word").slice(i, 2 * _CHUNK), code)
-                for k, slot in enumerate(d.slot):
-                    region = table[2 * _BASE[k] : 2 * _BASE[k + 1]]
-                    np.add.at(region, 2 * (slot - _BASE[k]) + d.bit, np.uint32(1))
-        parts = table.reshape(-1, 2 * _SLOT_BLOCK) if total % _SLOT_BLOCK == 0 else None
-        for k in range(len(parts)):
-            if parts[k].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([parts[k].tobytes()], pa.binary())], names=["block", "cells"])
-
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(2 * _SLOT_BLOCK, np.uint32)
-        for batch in batches:
-            for cells in batch.column("cells"):
-                part = np.frombuffer(cells.as_buffer(), np.uint32)
-                out += np.minimum(part, np.uint32(0xFFFFFFFF) - out)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["block", "cells"])
+                d = decisions(batch.column("word").slice(i, 2 * _CHUNK), batch.column("symbol").to_numpy()[i : i + 2 * _CHUNK], code)
+                for slot in d.slot:
+                    np.add.at(table, 2 * slot + d.bit, np.uint32(1))
+        yield from _blocks(table)
 
-    whole = np.zeros(2 * total, np.uint32)
-    summed = words.select("word").mapInArrow(count, "block int, cells binary").groupBy("block").applyInArrow(add, "block int, cells binary").toArrow()
-    for k, cells in zip(summed["block"].to_pylist(), summed["cells"], strict=True):
-        whole[2 * _SLOT_BLOCK * k : 2 * _SLOT_BLOCK * (k + 1)] = np.frombuffer(cells.as_buffer(), np.uint32)
+    summed = words.select("word", "symbol").mapInArrow(count, "block int, cells binary").groupBy("block").applyInArrow(_add_blocks, "block int, cells binary").toArrow()
+    whole = _whole(summed, total)
     return np.ascontiguousarray(whole[::2]), np.ascontiguousarray(whole[1::2])
 
 
-def _learned(words: DataFrame, model: Model) -> Model:
+def _learned(words: DataFrame, model: Speller) -> Speller:
     """Each task learns online from its distinct words; weights are averaged, maps summed."""
     sent = words.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(sent.value.code, sent.value.zeros, sent.value.ones)
-        n = sum(own.learn(batch.column("word")) for batch in batches)
+        own = Speller(sent.value.code, sent.value.zeros, sent.value.ones)
+        n = sum(own.learn(batch.column("word"), batch.column("symbol").to_numpy()) for batch in batches)
         if n:
             values = np.concatenate([own.weights.ravel().astype(np.float64) * n, own.map_seen.ravel(), own.map_ones.ravel(), [n]])
             keep = np.flatnonzero(values)
             yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array(values[keep])], names=["i", "v"])
 
-    got = words.select("word").mapInArrow(learn, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-    cells = MAP_CONTEXTS * MAP_CELLS
-    values = np.zeros(GATES * INPUTS + 2 * cells + 1)
+    got = words.select("word", "symbol").mapInArrow(learn, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    cells = SPELL_CONTEXTS * MAP_CELLS
+    values = np.zeros(SPELL_GATES * SPELL_INPUTS + 2 * cells + 1)
     values[got["i"].to_numpy()] = got["v"].to_numpy()
     if values[-1]:
-        model.weights = (values[: GATES * INPUTS] / values[-1]).astype(np.float32).reshape(GATES, INPUTS)
-        model.map_seen = values[GATES * INPUTS : GATES * INPUTS + cells].reshape(MAP_CONTEXTS, MAP_CELLS)
-        model.map_ones = values[GATES * INPUTS + cells : -1].reshape(MAP_CONTEXTS, MAP_CELLS)
+        model.weights = (values[: SPELL_GATES * SPELL_INPUTS] / values[-1]).astype(np.float32).reshape(SPELL_GATES, SPELL_INPUTS)
+        model.map_seen = values[SPELL_GATES * SPELL_INPUTS : SPELL_GATES * SPELL_INPUTS + cells].reshape(SPELL_CONTEXTS, MAP_CELLS)
+        model.map_ones = values[SPELL_GATES * SPELL_INPUTS + cells : -1].reshape(SPELL_CONTEXTS, MAP_CELLS)
     return model
 
 
-def train_speller(words: DataFrame) -> Model:
-    """Model from the distinct words in ``words(word)``."""
+def train_speller(words: DataFrame) -> Speller:
+    """Counts from all distinct words of ``words(word, c, symbol)`` without one of their own; weights and map from those seen once, which are what new words are like."""
     code = huffman(_symbol_counts(words))
-    return _learned(words, Model(code, *bit_counts(words, code)))
+    return _learned(words.where("c = 1"), Speller(code, *bit_counts(words, code)))
+
 
+def _is_train(column: str, mod: int, held: int):
+    crc = F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+    return crc % mod != held
 
-def _frequent(rated: DataFrame, most: int = HEAD) -> DataFrame:
+
+def _word_bytes(w: Words, first: np.ndarray) -> pa.Array:
+    """The bytes of some words as a binary column."""
+    start, size = w.start[first], w.end[first] - w.start[first]
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    data = w.buf[np.repeat(start - bounds[:-1], size) + np.arange(bounds[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+# Words and their symbols ------------------------------------------------------------------------
+
+_MARK = 0xFF  # a byte that no UTF-8 text holds: rows of letter statistics among those of words
+
+
+def _letter_cells(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(cell of each letter with the two before it, ends of words among those)."""
+    _, offs, symbol, ends = _letters(words)
+    size = np.diff(offs) + 1
+    pos = np.arange(len(symbol)) - np.repeat(ends - size, size)
+    key = symbol.astype(np.uint64) | (_back(symbol, pos, 1) << np.uint64(9)) | (_back(symbol, pos, 2) << np.uint64(18))
+    return (mix64(key + _SALT[6]) >> np.uint64(64 - 12)).astype(np.int64), ends
+
+
+def _rows(docs: DataFrame, mod: int, held: int, column: str) -> DataFrame:
+    """``row_doc, train, cls, text``: the class is read in training texts only, by the hash of its value."""
+    train = _is_train("doc_id", mod, held)
+    value = F.pmod(F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(CLASSES)) if column in docs.columns else F.lit(0)
+    return docs.select(F.col("doc_id").cast("long").alias("row_doc"), train.alias("train"), F.when(train, value).otherwise(0).cast("int").alias("cls"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
+def vocabulary(rows: DataFrame) -> DataFrame:
+    """``word, c``: all distinct words of all texts and their counts in training texts.
+
+    The end is the word ''.  Blocks count within themselves first.  Rows that begin with _MARK, a class and a
+    cell count letters of (block-wise) distinct training words of the class.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, ends = np.zeros(CLASSES * LETTERS, np.int64), 0
+        for batch in batches:
+            train, cls = batch.column("train").to_numpy(zero_copy_only=False), batch.column("cls").to_numpy()
+            ends += int(train.sum())
+            for w in word_blocks(batch.column("text"), block=1 << 21):
+                part, own = train[w.first : w.first + w.n], cls[w.first : w.first + w.n].astype(np.int64)
+                # A word of another class is another row here; in texts that don't train it only has to be known.
+                group = np.where(part, own + 1, 0)
+                key = mix64(w.hashes() + group.astype(np.uint64)[w.doc] * np.uint64(0x9E3779B97F4A7C15))
+                _, first, counts = np.unique(key, return_index=True, return_counts=True)
+                of = group[w.doc[first]]
+                words = _word_bytes(w, first)
+                learned = np.flatnonzero(of > 0)
+                cells, stops = _letter_cells(words.take(pa.array(learned)))
+                letters += np.bincount(np.repeat(of[learned] - 1, np.diff(stops, prepend=0)) * LETTERS + cells, minlength=len(letters))
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.where(of > 0, counts, 0))], names=["word", "c"])
+        at = np.flatnonzero(letters)
+        marks = np.zeros((len(at) + 1, 5), np.uint8)
+        marks[1:, 0], marks[1:, 1] = _MARK, at // LETTERS
+        marks[1:, 2], marks[1:, 3] = at % LETTERS >> 8, at % LETTERS & 255
+        bounds = np.concatenate([[0, 0], 4 + 4 * np.arange(len(at))]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(at) + 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(marks[1:, :4]).tobytes())])
+        yield pa.RecordBatch.from_arrays([words, pa.array(np.concatenate([[ends], letters[at]]))], names=["word", "c"])
+
+    return rows.select("train", "cls", "text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+@dataclass
+class Lexicon:
+    """Symbols of words; all of it has a size of its own.
+
+    Symbols are the ``head`` words by falling count, then one for each class, then the end.
+    """
+
+    hashes: np.ndarray  # of head words, ascending
+    symbols: np.ndarray  # of those
+    letters: np.ndarray  # LETTERS x classes: log-probabilities
+    prior: np.ndarray
+    group: np.ndarray  # class of each symbol, from 1 on
+    n_head: int
+
+    @property
+    def end(self) -> int:
+        return self.n_head + len(self.prior)
+
+    def classes(self, words: pa.Array) -> np.ndarray:
+        """The class of each word (a binary column), from its letters."""
+        out = np.zeros(len(words), np.int64)
+        for i in range(0, len(words), _CHUNK) if len(self.prior) > 1 else ():
+            cells, ends = _letter_cells(words.slice(i, _CHUNK))
+            out[i : i + _CHUNK] = (np.add.reduceat(self.letters[cells], np.concatenate([[0], ends[:-1]]), axis=0) + self.prior).argmax(axis=1)
+        return out
+
+    def of(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The symbol of each word."""
+        if not len(self.hashes):
+            return self.n_head + self.classes(words)
+        near = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        known = self.hashes[near] == hashes
+        out = self.symbols[near].copy()
+        rare = np.flatnonzero(~known)
+        out[rare] = self.n_head + self.classes(words.take(pa.array(rare)))
+        return out
+
+
+def _lexicon(words: DataFrame) -> Lexicon:
+    """From the letter statistics (CLASSES x LETTERS rows at most) and the most frequent words."""
+    marks = words.where(F.substring("word", 1, 1) == F.lit(bytes([_MARK]))).toArrow()
+    table = np.zeros((CLASSES, LETTERS))
+    for mark, n in zip(marks["word"].to_pylist(), marks["c"].to_pylist(), strict=True):
+        table[mark[1], mark[2] << 8 | mark[3]] = n
+    used = np.flatnonzero(table.sum(axis=1))
+    table = table[used] if len(used) else table[:1]
+    letters = np.log((table + 0.05) / (table + 0.05).sum(axis=1, keepdims=True)).astype(np.float32).T.copy()
+    prior = np.log((table.sum(axis=1) + 1) / (table.sum() + len(table))).astype(np.float32)
+    head = _frequent(_real(words).where("c > 0"), HEAD).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    column = head["word"].combine_chunks() if head.num_rows else pa.array([], pa.binary())
+    data, offs, _, _ = _letters(column)
+    h = span_hashes(data, offs[:-1], offs[1:])
+    order = np.argsort(h, kind="stable")
+    found = Lexicon(h[order], order.astype(np.int64), letters, prior, np.zeros(0, np.int64), len(h))
+    found.group = np.concatenate([found.classes(column) + 1, np.arange(len(prior)) + 1, [len(prior) + 1]])
+    return found
+
+
+def _real(words: DataFrame) -> DataFrame:
+    """Words without the end and the rows of letters."""
+    return words.where((F.length("word") > 0) & (F.substring("word", 1, 1) != F.lit(bytes([_MARK]))))
+
+
+def _tree(weight: np.ndarray, group: np.ndarray) -> tuple[Code, np.ndarray]:
+    """Decisions of symbols (the group first, then the symbol in it), and each node's own logit of 1."""
+    groups = np.unique(group)
+    top = _paths(np.array([weight[group == g].sum() for g in groups]))
+    paths, nodes = [[] for _ in weight], len(groups) - 1
+    for g, start in zip(groups, top, strict=True):
+        members = np.flatnonzero(group == g)
+        for s, path in zip(members, _paths(weight[members], nodes), strict=True):
+            paths[s] = start + path
+        nodes += len(members) - 1
+    code = Code.of(paths)
+    w = np.repeat(weight.astype(np.float64), code.length)
+    zeros, ones = (np.bincount(code.node[code.bit == b], w[code.bit == b], minlength=max(nodes, 1)) for b in (0, 1))
+    return code, np.log((ones + 0.4) / (zeros + 0.4)).astype(np.float32)
+
+
+# The stream of decisions ------------------------------------------------------------------------
+
+
+@dataclass
+class Stream:
+    """Tokens of texts, ends among them: text, symbol and keys of contexts of each."""
+
+    doc: np.ndarray
+    end: np.ndarray
+    symbol: np.ndarray
+    keys: list[np.ndarray]
+
+
+def stream(w: Words, h: np.ndarray, symbol: np.ndarray, lexicon: Lexicon) -> Stream:
+    n, stops = len(h) + w.n, w.bounds[1:] + np.arange(w.n)
+    end = np.zeros(n, bool)
+    end[stops] = True
+    words = ~end
+    sym, word, doc = np.full(n, lexicon.end, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
+    sym[words], word[words], doc[words], doc[stops] = symbol, h, w.doc, np.arange(w.n)
+    first = np.ones(n, bool)
+    first[1:] = end[:-1]
+    one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    one[1:], two[2:] = word[:-1], word[:-2]
+    one[first] = two[first] = 0
+    two[1:][first[:-1]] = 0
+    # The last function word before a token, in the same text, and the class of the token before.
+    begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    last = np.maximum.accumulate(np.where(sym < min(FUNCTION, lexicon.n_head), np.arange(n), -1))
+    held = np.where(last >= begin, sym[np.maximum(last, 0)] + 1, 0)
+    function, group = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    function[1:], group[1:] = held[:-1], lexicon.group[sym[:-1]]
+    function[first] = group[first] = 0
+    with np.errstate(over="ignore"):
+        keys = [mix64(one + _SALT[0]), mix64(one * np.uint64(0x9E3779B97F4A7C15) + two + _SALT[1]), mix64((function * 128 + group).astype(np.uint64) + _SALT[2])]
+    return Stream(doc, end, sym, keys)
+
+
+_NODE_HASH = mix64(np.arange(NODES, dtype=np.uint64) + np.uint64(0x5DEECE66D))
+
+
+def _decide(s: Stream, at: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(token, node, bit, slots by context) of the decisions of the tokens ``at``."""
+    symbol = s.symbol[at]
+    length = code.length[symbol]
+    token = np.repeat(np.arange(len(at), dtype=np.int32), length)
+    cell = np.arange(len(token)) + np.repeat(code.first[symbol] - np.cumsum(length) + length, length)
+    node = code.node[cell]
+    mixed = _NODE_HASH[node]
+    with np.errstate(over="ignore"):
+        slots = [((key[at][token] + mixed) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for key in s.keys]
+    return token, node, code.bit[cell], slots
+
+
+_SEEN2 = np.digitize(np.arange(256), (1, 2, 4, 16, 128)).astype(np.int64) * 4
+_SEEN1 = np.digitize(np.arange(256), (1, 8, 128)).astype(np.int64)
+
+
+@dataclass
+class Mixer:
+    """Counts of contexts, weights and map; its size doesn't depend on the corpus."""
+
+    code: Code
+    static: np.ndarray
+    counts: np.ndarray = field(default_factory=lambda: np.zeros((CONTEXTS << SLOT_BITS, 2), np.uint32))
+    weights: np.ndarray = field(default_factory=lambda: np.tile(np.array(START, np.float32), (GATES, 1)))
+    map_seen: np.ndarray = field(default_factory=lambda: np.zeros(NODES * MAP_CELLS))
+    map_ones: np.ndarray = field(default_factory=lambda: np.zeros(NODES * MAP_CELLS))
+    tokens: int = 0
+
+    def _logit(self, node: np.ndarray, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        weights = np.ascontiguousarray(self.weights.T)
+        logit = self.static[node] * weights[0][gate] + _BIAS * weights[-1][gate]
+        for k, part in enumerate(x, 1):
+            logit += part * weights[k][gate]
+        return np.clip(logit, -16, 16)
+
+    def learn(self, s: Stream, at: np.ndarray) -> None:
+        """One online pass over the tokens ``at``, in steps that grow: each is predicted from what was before."""
+        flat, done = self.counts.reshape(-1), 0
+        while done < len(at):
+            step = int(np.clip(self.tokens // 8, *STEPS))
+            _, node, bit, slots = _decide(s, at[done : done + step], self.code)
+            done, self.tokens = done + step, self.tokens + min(step, len(at) - done)
+            x, seen = [], []
+            for k, slot in enumerate(slots):
+                slot += k << SLOT_BITS
+                n = self.counts[slot]
+                n0, n1 = n[:, 0].astype(np.float32), n[:, 1].astype(np.float32)
+                x.append(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))))
+                seen.append(n0 + n1)
+            gate = _SEEN2[np.minimum(seen[1], 255).astype(np.uint8)] + _SEEN1[np.minimum(seen[0], 255).astype(np.uint8)]
+            logit = self._logit(node, x, gate)
+            error = bit - 1 / (1 + np.exp(-logit))
+            scale = _rate(self.tokens) / (np.bincount(gate, minlength=GATES) + 64.0)
+            for k, part in enumerate([self.static[node], *x, _BIAS]):
+                self.weights[:, k] += (scale * np.bincount(gate, error * part, minlength=GATES)).astype(np.float32)
+            cell = self._cells(node, logit)
+            self.map_seen += np.bincount(cell, minlength=NODES * MAP_CELLS)
+            self.map_ones += np.bincount(cell, bit, minlength=NODES * MAP_CELLS)
+            for slot in slots:
+                np.add.at(flat, 2 * slot + bit, np.uint32(1))
+
+    @staticmethod
+    def _cells(node: np.ndarray, logit: np.ndarray) -> np.ndarray:
+        return np.minimum(node, NODES - 1) * MAP_CELLS + np.clip(np.rint(logit * 2) + MAP_CELLS // 2, 0, MAP_CELLS - 1).astype(np.int64)
+
+    def freeze(self) -> Scorer:
+        n = self.counts.astype(np.float32)
+        return Scorer(self.code, self.static, np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4)).astype(np.float16), np.minimum(self.counts.sum(axis=1, dtype=np.uint64), 255).astype(np.uint8), self.weights, ((self.map_ones + 0.0) / np.maximum(self.map_seen, 1)).astype(np.float32), (self.map_seen / (self.map_seen + 8)).astype(np.float32))
+
+
+@dataclass
+class Scorer:
+    """A mixer that no longer learns: logits and confidences of slots, weights, and the map's share and trust."""
+
+    code: Code
+    static: np.ndarray
+    logits: np.ndarray
+    seen: np.ndarray
+    weights: np.ndarray
+    share: np.ndarray
+    trust: np.ndarray
+
+    def log10(self, s: Stream, step: int = STEPS[1]) -> np.ndarray:
+        """log10 probability of each token's symbol."""
+        out = np.zeros(len(s.symbol))
+        weights = np.ascontiguousarray(self.weights.T)
+        for i in range(0, len(out), step):
+            at = np.arange(i, min(i + step, len(out)))
+            token, node, bit, slots = _decide(s, at, self.code)
+            for k, slot in enumerate(slots):
+                slot += k << SLOT_BITS
+            gate = _SEEN2[self.seen[slots[1]]] + _SEEN1[self.seen[slots[0]]]
+            logit = self.static[node] * weights[0][gate] + _BIAS * weights[-1][gate]
+            for k, slot in enumerate(slots, 1):
+                logit += self.logits[slot].astype(np.float32) * weights[k][gate]
+            p = 1 / (1 + np.exp(-np.clip(logit, -16, 16)))
+            cell = Mixer._cells(node, logit)
+            p = p + (self.share[cell] - p) * self.trust[cell] * np.float32(0.5)
+            p = np.clip(np.where(bit == 1, p, 1 - p), 1e-6, 1 - 1e-6)
+            out[at] = np.bincount(token, np.log10(p), minlength=len(at))
+        return out
+
+
+@dataclass
+class Table:
+    """The most frequent words by hash: their places are found by the upper bits of it."""
+
+    hashes: np.ndarray
+    start: np.ndarray
+    deepest: int
+    columns: dict[str, np.ndarray]
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Table:
+        h = rows["h"].to_numpy().view(np.uint64)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        start = np.searchsorted(h, np.arange((1 << 18) + 1, dtype=np.uint64) << np.uint64(46)) if len(h) else np.zeros((1 << 18) + 1, np.int64)
+        start[-1] = len(h)
+        return cls(h, start.astype(np.int32), int(np.diff(start).max(initial=0)), {c: rows[c].to_numpy()[order] for c in rows.column_names if c != "h"})
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        cell = (h >> np.uint64(46)).astype(np.int64)
+        at, stop = self.start[cell], self.start[cell + 1]
+        out = np.full(len(h), -1, np.int64)
+        left = np.flatnonzero(at < stop)
+        for _ in range(self.deepest):
+            if not len(left):
+                break
+            here = at[left]
+            hit = self.hashes[here] == h[left]
+            out[left[hit]] = here[hit]
+            left = left[~hit & (here + 1 < stop[left])]
+            at[left] += 1
+        return out
+
+
+def _symbols(w: Words, h: np.ndarray, place: np.ndarray, table: Table, lexicon: Lexicon) -> np.ndarray:
+    """The symbol of each word: from the table, or from its letters."""
+    out = table.columns["symbol"][place].astype(np.int64) if len(table.hashes) else np.zeros(len(h), np.int64)
+    rare = np.flatnonzero(place < 0)
+    if len(rare):
+        _, first, inverse = np.unique(h[rare], return_index=True, return_inverse=True)
+        out[rare] = lexicon.of(_word_bytes(w, rare[first]), h[rare[first]])[inverse]
+    return out
+
+
+def _online(rows: DataFrame, mixer: Mixer, lexicon: Lexicon, table) -> Mixer:
+    """Each task learns online from its training texts; counts and maps are summed, weights averaged by tokens."""
+    sent = rows.sparkSession.sparkContext.broadcast((mixer.code, mixer.static, lexicon))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, static, lexicon = sent.value
+        own = Mixer(code, static)
+        for batch in batches:
+            for w in word_blocks(batch.column("text"), block=1 << 20):
+                h = w.hashes()
+                s = stream(w, h, _symbols(w, h, table.value.find(h), table.value, lexicon), lexicon)
+                own.learn(s, np.arange(len(s.symbol)))
+        if own.tokens:
+            yield from _blocks(own.counts.reshape(-1))
+            numbers = np.concatenate([own.weights.ravel().astype(np.float64) * own.tokens, own.map_seen, own.map_ones, [own.tokens]])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pa.compress(numbers.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["block", "cells"])
+
+    got = rows.where("train").select("text").mapInArrow(learn, "block int, cells binary").groupBy("block").applyInArrow(_add_blocks, "block int, cells binary").toArrow()
+    mixer.counts = _whole(got, CONTEXTS << SLOT_BITS).reshape(-1, 2)
+    for k, cells in zip(got["block"].to_pylist(), got["cells"], strict=True):
+        if k < 0:
+            numbers = np.frombuffer(pa.decompress(cells.as_buffer(), _raw_size(k), "zstd"), np.float64)
+            mixer.weights = (numbers[: GATES * INPUTS] / numbers[-1]).astype(np.float32).reshape(GATES, INPUTS)
+            mixer.map_seen, mixer.map_ones = (x.copy() for x in np.split(numbers[GATES * INPUTS : -1], 2))
+    return mixer
+
+
+def _frequent(rated: DataFrame, most: int) -> DataFrame:
     """The words of highest counts, ``most`` at most: whole classes of about equal counts, without a sort.
 
     There are a few thousand classes at any size, so their counts can go to the driver.
@@ -366,79 +735,82 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, class_column: str = "lan
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for each row.
 
     Texts whose crc32(doc_id) mod ``mod`` is not ``held`` train; all are scored.  ``base_score`` is the
-    add-one unigram's, ``score`` the mixture's log10 probability; ``bits_per_byte`` is the latter in bits
+    add-one unigram's, ``score`` the model's log10 probability; ``bits_per_byte`` is the latter in bits
     over the UTF-8 bytes and one for the end.  The class column (optional) is read for training
     texts only.  A null text is as an empty one, of which only the end is scored; a null doc_id has
-    the text ''.  Rows of one doc_id are rows of their own.  Without training texts a word's share is
-    0 and only its spelling counts.
+    the text ''.  Rows of one doc_id are rows of their own.  Texts of any length are learned and scored as wholes, in steps.
+    Without training texts only spellings count; an empty table has no rows.
     """
     spark = docs.sparkSession
-    names = _class_names(docs, class_column, mod, held)
-    classes = max(1, min(len(names), CLASSES + 1))
-    rows = _rows(docs, mod, held, class_column, names)
-    count = [f"c{k}" for k in range(classes)]
-    words = materialize(vocabulary(rows, classes), "words").withColumn("c", sum((F.col(k) for k in count), F.lit(0)))
-    is_end = F.length("word") == 0
-    per_class = [F.sum(k).alias(f"n_{k}") for k in count] + [F.sum(F.when(is_end, F.col(k))).alias(f"e_{k}") for k in count]
-    totals = words.agg(F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once"), *per_class).first()
-    v, once = (int(totals[k] or 0) for k in ("v", "once"))
-    sizes, ends = (np.array([int(totals[f"{x}_{k}"] or 0) for k in count], np.float64) for x in ("n", "e"))
-    n = int(sizes.sum())
-    novel = 1.0 if not n else min(0.5, max(once, 1) / n)
-    own = np.where(sizes > 0, OWN, 0.0)
-    prior = np.log10((ends + 1) / (ends.sum() + classes))
-    model = train_speller(words.where("c > 0 and length(word) > 0"))
-    sent = spark.sparkContext.broadcast(model)
-    floor = math.log10(n + v + 1)
-
-    def mixture(c: np.ndarray, bits: np.ndarray) -> np.ndarray:
-        """log10 in each class of words with these counts (words x classes) and spelling bits.
-
-        A spelling too unlikely for a double counts by its bits alone.
-        """
-        share = own * c / np.maximum(sizes, 1) + (1 - own) * c.sum(axis=1, keepdims=True) / max(n, 1)
-        with np.errstate(divide="ignore"):
-            known = np.log10((1 - novel) * share)
-            spelled = math.log10(novel) + bits[:, None] * math.log10(2)
-        high = np.maximum(known, spelled)
-        return high + np.log10(10 ** (known - high) + 10 ** (spelled - high))
+    rows = _rows(docs, mod, held, class_column)
+    words = materialize(vocabulary(rows), "words")
+    real = _real(words)
+    totals = real.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    ends = int(words.where(F.length("word") == 0).agg(F.sum("c")).first()[0] or 0)
+    n, v = int(totals["n"] or 0) + ends, int(totals["v"] or 0) + (ends > 0)
+    lexicon = _lexicon(words)
+    held_lexicon = spark.sparkContext.broadcast(lexicon)
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("word")
+            data, offs, _, _ = _letters(column)
+            h, h2 = (span_hashes(data, offs[:-1], offs[1:], second=k) for k in (False, True))
+            symbol = held_lexicon.value.of(column, h)
+            yield pa.RecordBatch.from_arrays([column, pa.array(h.view(np.int64)), pa.array(h2.view(np.int64) >> 32), batch.column("c"), pa.array(symbol.astype(np.int32))], names=["word", "h", "h2", "c", "symbol"])
 
-    lp = [f"lp{k}" for k in range(classes)]
+    known_words = materialize(real.mapInArrow(classify, "word binary, h long, h2 long, c long, symbol int"), "symbols")
+    speller = spark.sparkContext.broadcast(train_speller(known_words.where((F.col("c") > 0) & (F.col("symbol") >= lexicon.n_head))))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("word")
-            c = np.stack([batch.column(k).to_numpy() for k in count], axis=1)
-            offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-            data = np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]]
-            offs = offs - offs[0]
-            h, h2 = (span_hashes(data, offs[:-1], offs[1:], second=k).view(np.int64) for k in (False, True))
-            log10 = mixture(c, sent.value.log2(column)).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(h2 >> 32, pa.int64()), pa.array(c.sum(axis=1))] + [pa.array(np.ascontiguousarray(log10[:, k])) for k in range(classes)], names=["h", "h2", "c", *lp])
-
-    rated = materialize(words.where(~is_end).mapInArrow(rate, "h long, h2 long, c long, " + ", ".join(f"{x} float" for x in lp)), "rated")
-    top = _frequent(rated).toArrow()
-    order = np.argsort(top["h"].to_numpy().view(np.uint64), kind="stable")
-    empty = model.log2(pa.array([b""], pa.binary()))
-    end = np.concatenate([[1, float(ends.sum() > 0), 0, math.log10(ends.sum() + 1) - floor], mixture(ends[None, :], empty)[0]])
-    table = spark.sparkContext.broadcast((*(top[k].to_numpy()[order] for k in ("h", "h2", "c")), np.stack([top[k].to_numpy()[order] for k in lp], axis=1)))
+            spelled, new = np.zeros(batch.num_rows, np.float32), np.flatnonzero(batch.column("c").to_numpy() == 0)
+            spelled[new] = speller.value.log2(batch.column("word").take(pa.array(new)), batch.column("symbol").to_numpy()[new]) * math.log10(2)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("h", "h2", "c", "symbol")), pa.array(spelled)], names=["h", "h2", "c", "symbol", "spelled"])
+
+    rated = materialize(known_words.mapInArrow(rate, "h long, h2 long, c long, symbol int, spelled float"), "rated")
+    weight, once = np.zeros(lexicon.end + 1, np.int64), np.zeros(lexicon.end + 1, np.int64)
+    for x in rated.groupBy("symbol").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect():
+        weight[x["symbol"]], once[x["symbol"]] = x["c"], x["once"]
+    weight[-1] = ends
+    # Of a class' counts, what is kept for words never seen; a head word has all of its own.
+    first = lexicon.n_head
+    novel = np.where(weight > 0, np.clip(np.maximum(once, 1) / np.maximum(weight, 1), 0, 0.5), 1.0)
+    with np.errstate(divide="ignore"):
+        of_known = np.where(weight > 0, np.log10(1 - novel) - np.log10(np.maximum(weight, 1)), 0.0)
+    of_novel = np.log10(novel)
+
+    code, static = _tree(weight, lexicon.group)
+    top = Table.of(_frequent(rated.where("c > 0"), TABLE).drop("spelled").toArrow())
+    c, symbol = top.columns["c"], top.columns["symbol"]
+    floor = math.log10(n + v + 1)
+    top.columns["rest"] = np.where(symbol < first, 0.0, np.log10(np.maximum(c, 1)) + of_known[symbol])
+    top.columns["base"] = np.log10(c + 1.0) - floor
+    table = spark.sparkContext.broadcast(top)
+    scorer = spark.sparkContext.broadcast((_online(rows, Mixer(code, static), lexicon, table).freeze(), lexicon))
+    end_base = math.log10(ends + 1) - floor
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, h2s, cs, lps = table.value
-        hs = hs.view(np.uint64)
-        columns = [cs > 0, None, np.log10(cs + 1) - floor, *lps.T.astype(np.float64)]
+        table_, (model, lexicon) = table.value, scorer.value
+        columns = table_.columns
         first_row, seen = TaskContext.get().partitionId() << 40, 0
         names = ["rid", "h", "h2", "row_doc", "train", "sums"]
         for batch in batches:
-            for w in word_blocks(batch.column("text")):
+            for w in word_blocks(batch.column("text"), block=1 << 20):
                 h, h2, doc = w.hashes(), span_hashes(w.buf, w.start, w.end, second=True).view(np.int64) >> 32, w.doc
-                near = np.minimum(np.searchsorted(hs, h), max(len(hs) - 1, 0))
-                hit = (hs[near] == h) & (h2s[near] == h2) if len(hs) else np.zeros(len(h), bool)
-                at, by = near[hit], doc[hit]
-                sums = np.tile(end, (w.n, 1))
-                sums[:, 0] += w.counts
-                for j, values in enumerate(columns, 1):
-                    sums[:, j] += np.diff(w.offsets) if values is None else np.bincount(by, values[at], minlength=w.n)
+                place = table_.find(h)
+                if len(table_.hashes):
+                    place[columns["h2"][place] != h2] = -1
+                hit = place >= 0
+                s = stream(w, h, _symbols(w, h, place, table_, lexicon), lexicon)
+                sums = np.zeros((w.n, 5))
+                sums[:, 0], sums[:, 1] = w.counts + 1, float(ends > 0)
+                sums[:, 2], sums[:, 3] = np.diff(w.offsets), end_base
+                sums[:, 4] = np.bincount(s.doc, model.log10(s), minlength=w.n)
+                at, by = place[hit], doc[hit]
+                sums[:, 1] += np.bincount(by, minlength=w.n)
+                for j, name in ((3, "base"), (4, "rest")):
+                    sums[:, j] += np.bincount(by, columns[name][at], minlength=w.n)
                 rid = first_row + seen + w.first + np.arange(w.n)
                 salt = mix64(rid.astype(np.uint64)).view(np.int64)  # meets no word, and spreads
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32)), pa.array(sums.ravel()))
@@ -451,20 +823,18 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, class_column: str = "lan
 
     gathered = rows.select("row_doc", "train", "text").mapInArrow(gather, "rid long, h long, h2 long, row_doc long, train boolean, sums array<double>")
     joined = gathered.join(rated, ["h", "h2"], "left")
-    rare = [F.lit(0.0), (F.col("c") > 0).cast("double"), F.lit(0.0), F.log10(F.col("c") + 1.0) - floor, *[F.col(x).cast("double") for x in lp]]
+    known, unknown = (F.element_at(F.array(*[F.lit(float(x)) for x in values[first:]]), F.col("symbol") - first + 1) for values in (of_known, of_novel))
+    rest = F.when(F.col("symbol") < first, 0.0).when(F.col("c") > 0, F.log10(F.col("c").cast("double")) + known).otherwise(unknown + F.col("spelled"))
+    rare = [F.lit(0.0), (F.col("c") > 0).cast("double"), F.lit(0.0), F.log10(F.col("c") + 1.0) - floor, rest]
     parts = [F.sum(F.coalesce(F.col("sums")[j], x)).alias(f"sum{j}") for j, x in enumerate(rare)]
     sums = joined.groupBy("rid").agg(F.max("row_doc").alias("doc_id"), F.max("train").alias("train"), *parts)
-    terms = F.array(*[F.col(f"sum{k + 4}") + float(prior[k]) for k in range(classes)])
-    best = F.array_max(terms)
-    total = best + F.log10(F.aggregate(F.transform(terms, lambda t: F.pow(F.lit(10.0), t - best)), F.lit(0.0), lambda a, t: a + t))
-    scored = sums.withColumn("score", total)
-    return scored.select(
+    return sums.select(
         "doc_id",
         (~F.col("train")).alias("held_out"),
         F.col("sum0").cast("long").alias("n_tokens"),
         F.col("sum1").cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         F.col("sum3").alias("base_score"),
-        "score",
-        (F.col("score") * -math.log2(10) / (F.col("sum2") + 1)).alias("bits_per_byte"),
+        F.col("sum4").alias("score"),
+        (F.col("sum4") * -math.log2(10) / (F.col("sum2") + 1)).alias("bits_per_byte"),
     )
