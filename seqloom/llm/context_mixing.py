@@ -539,16 +539,23 @@ def stream(w: Words, h: np.ndarray, symbol: np.ndarray, lexicon: Lexicon) -> Str
 _NODE_HASH = mix64(np.arange(NODES, dtype=np.uint64) + np.uint64(0x5DEECE66D))
 
 
-def _decide(s: Stream, at: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(token, node, bit, slots by context) of the decisions of the tokens ``at``."""
-    symbol = s.symbol[at]
+def _decide(s: Stream, a: int, b: int, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(token, node, bit, slots by context) of the decisions of the tokens a to b."""
+    symbol = s.symbol[a:b]
     length = code.length[symbol]
-    token = np.repeat(np.arange(len(at), dtype=np.int32), length)
+    token = np.repeat(np.arange(b - a, dtype=np.int32), length)
     cell = np.arange(len(token)) + np.repeat(code.first[symbol] - np.cumsum(length) + length, length)
     node = code.node[cell]
     mixed = _NODE_HASH[node]
-    with np.errstate(over="ignore"):
-        slots = [((key[at][token] + mixed) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for key in s.keys]
+    slots = []
+    for k, key in enumerate(s.keys):
+        with np.errstate(over="ignore"):
+            h = key[a:b][token]
+            h += mixed
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h >>= np.uint64(64 - SLOT_BITS)
+            h += np.uint64(k << SLOT_BITS)
+        slots.append(h.view(np.int64))
     return token, node, code.bit[cell], slots
 
 
@@ -575,21 +582,22 @@ class Mixer:
             logit += part * weights[k][gate]
         return np.clip(logit, -16, 16)
 
-    def learn(self, s: Stream, at: np.ndarray) -> None:
-        """One online pass over the tokens ``at``, in steps that grow: each is predicted from what was before."""
-        flat, done = self.counts.reshape(-1), 0
-        while done < len(at):
-            step = int(np.clip(self.tokens // 8, *STEPS))
-            _, node, bit, slots = _decide(s, at[done : done + step], self.code)
-            done, self.tokens = done + step, self.tokens + min(step, len(at) - done)
+    def learn(self, s: Stream) -> None:
+        """One online pass over the tokens, in steps that grow: each is predicted from what was before."""
+        flat, done, n = self.counts.reshape(-1), 0, len(s.symbol)
+        pairs = flat.view("<u8")  # zeros in the lower half, ones in the upper
+        while done < n:
+            upto = min(n, done + int(np.clip(self.tokens // 8, *STEPS)))
+            _, node, bit, slots = _decide(s, done, upto, self.code)
+            self.tokens, done = self.tokens + upto - done, upto
             x, seen = [], []
             for k, slot in enumerate(slots):
-                slot += k << SLOT_BITS
-                n = self.counts[slot]
-                n0, n1 = n[:, 0].astype(np.float32), n[:, 1].astype(np.float32)
+                both = pairs.take(slot).view("<u4")
+                n0, n1 = both[::2].astype(np.float32), both[1::2].astype(np.float32)
                 x.append(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))))
-                seen.append(n0 + n1)
-            gate = _SEEN2[np.minimum(seen[1], 255).astype(np.uint8)] + _SEEN1[np.minimum(seen[0], 255).astype(np.uint8)]
+                if k < 2:
+                    seen.append(np.minimum(n0 + n1, np.float32(255)).astype(np.uint8))
+            gate = _SEEN2[seen[1]] + _SEEN1[seen[0]]
             logit = self._logit(node, x, gate)
             error = bit - 1 / (1 + np.exp(-logit))
             scale = _rate(self.tokens) / (np.bincount(gate, minlength=GATES) + 64.0)
@@ -599,7 +607,9 @@ class Mixer:
             self.map_seen += np.bincount(cell, minlength=NODES * MAP_CELLS)
             self.map_ones += np.bincount(cell, bit, minlength=NODES * MAP_CELLS)
             for slot in slots:
-                np.add.at(flat, 2 * slot + bit, np.uint32(1))
+                slot *= 2
+                slot += bit
+                np.add.at(flat, slot, np.uint32(1))
 
     @staticmethod
     def _cells(node: np.ndarray, logit: np.ndarray) -> np.ndarray:
@@ -607,7 +617,7 @@ class Mixer:
 
     def freeze(self) -> Scorer:
         n = self.counts.astype(np.float32)
-        return Scorer(self.code, self.static, np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4)).astype(np.float16), np.minimum(self.counts.sum(axis=1, dtype=np.uint64), 255).astype(np.uint8), self.weights, ((self.map_ones + 0.0) / np.maximum(self.map_seen, 1)).astype(np.float32), (self.map_seen / (self.map_seen + 8)).astype(np.float32))
+        return Scorer(self.code, self.static, np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4)).astype(np.float32), np.minimum(self.counts.sum(axis=1, dtype=np.uint64), 255).astype(np.uint8), self.weights, ((self.map_ones + 0.0) / np.maximum(self.map_seen, 1)).astype(np.float32), (self.map_seen / (self.map_seen + 8)).astype(np.float32))
 
 
 @dataclass
@@ -627,19 +637,17 @@ class Scorer:
         out = np.zeros(len(s.symbol))
         weights = np.ascontiguousarray(self.weights.T)
         for i in range(0, len(out), step):
-            at = np.arange(i, min(i + step, len(out)))
-            token, node, bit, slots = _decide(s, at, self.code)
-            for k, slot in enumerate(slots):
-                slot += k << SLOT_BITS
+            n = min(step, len(out) - i)
+            token, node, bit, slots = _decide(s, i, i + n, self.code)
             gate = _SEEN2[self.seen[slots[1]]] + _SEEN1[self.seen[slots[0]]]
             logit = self.static[node] * weights[0][gate] + _BIAS * weights[-1][gate]
             for k, slot in enumerate(slots, 1):
-                logit += self.logits[slot].astype(np.float32) * weights[k][gate]
+                logit += self.logits.take(slot) * weights[k][gate]
             p = 1 / (1 + np.exp(-np.clip(logit, -16, 16)))
             cell = Mixer._cells(node, logit)
             p = p + (self.share[cell] - p) * self.trust[cell] * np.float32(0.5)
             p = np.clip(np.where(bit == 1, p, 1 - p), 1e-6, 1 - 1e-6)
-            out[at] = np.bincount(token, np.log10(p), minlength=len(at))
+            out[i : i + n] = np.bincount(token, np.log10(p), minlength=n)
         return out
 
 
@@ -699,7 +707,7 @@ def _online(rows: DataFrame, mixer: Mixer, lexicon: Lexicon, table) -> Mixer:
             for w in word_blocks(batch.column("text"), block=1 << 20):
                 h = w.hashes()
                 s = stream(w, h, _symbols(w, h, table.value.find(h), table.value, lexicon), lexicon)
-                own.learn(s, np.arange(len(s.symbol)))
+                own.learn(s)
         if own.tokens:
             yield from _blocks(own.counts.reshape(-1))
             numbers = np.concatenate([own.weights.ravel().astype(np.float64) * own.tokens, own.map_seen, own.map_ones, [own.tokens]])

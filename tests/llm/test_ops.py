@@ -339,7 +339,7 @@ def small_model(texts):
     s = c.stream(w, w.hashes(), symbol, lexicon)
     code, static = c._tree(np.bincount(s.symbol, minlength=9), lexicon.group)
     mixer = c.Mixer(code, static)
-    mixer.learn(s, np.arange(len(s.symbol)))
+    mixer.learn(s)
     return lexicon, mixer, s
 
 
