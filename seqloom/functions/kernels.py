@@ -1,192 +1,182 @@
-"""Scores and renderings that need a table walk or a search: vectorised UDFs over Arrow batches."""
+"""Scores and renderings over many windows at once: numpy tables, and UDFs around them.
+
+Windows of one length are a matrix of letters, a row each.
+"""
 
 from __future__ import annotations
 
-from functools import lru_cache
+import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
+
+from seqloom.functions import similarity as S
+
+_FAR = 10_000
+#: Cells of edit tables held at once.
+_CELLS = 1 << 24
 
-_ALIGNED = StructType().add("probe", StringType()).add("window", StringType()).add("marks", StringType())
 
+def letters_of(windows: list[str]) -> np.ndarray:
+    """Matrix of the bytes of windows of equal length."""
+    return np.frombuffer("".join(windows).encode(), np.uint8).reshape(len(windows), -1)
 
-def matches(a: str, b: str) -> bool:
-    return a == b or (a == "c" and b == "t")
 
+def matching(probe: str, letters: np.ndarray) -> np.ndarray:
+    """Whether each letter of the probe matches each letter of each window: windows x probe x places."""
+    base = np.frombuffer(probe.encode(), np.uint8)[None, :, None]
+    there = letters[:, None, :]
+    return (base == there) | ((base == ord("c")) & (there == ord("t")))
 
-@lru_cache(maxsize=4096)
-def edit_table(probe: str, window: str) -> np.ndarray:
-    """Edit table of equal-length strings; its border can't be entered, so first letters are aligned."""
-    n = len(probe)
-    far = 10**6
-    table = np.full((n + 1, n + 1), far, np.int64)
-    table[0, 0] = 0
+
+def edit_tables(same: np.ndarray) -> np.ndarray:
+    """Edit tables (windows x (n + 1) x (n + 1)); their borders can't be entered, so first letters are aligned."""
+    count, n, _ = same.shape
+    table = np.full((count, n + 1, n + 1), _FAR, np.int32)
+    table[:, 0, 0] = 0
+    steps = np.arange(n, dtype=np.int32)
     for i in range(1, n + 1):
-        same = np.array([0 if matches(probe[i - 1], x) else 1 for x in window[:n]])
-        best = np.minimum(table[i - 1, :-1] + same, table[i - 1, 1:] + 1)
+        best = np.minimum(table[:, i - 1, :-1] + ~same[:, i - 1], table[:, i - 1, 1:] + 1)
         # A cell may also be reached from its left: least of best[k] + (j - k) for k <= j.
-        steps = np.arange(n)
-        table[i, 1:] = np.minimum.accumulate(best - steps) + steps
-    table[table > far // 2] = far
-    return table
-
-
-def edit_path(probe: str, window: str) -> list[tuple[str, str, bool]]:
-    """Aligned letters from the end back: diagonal first, then a gap in the window, then one in the probe."""
-    t = edit_table(probe, window)
-    i = j = len(probe)
-    path = []
-    while i or j:
-        if i and j and t[i, j] == t[i - 1, j - 1] + (0 if matches(probe[i - 1], window[j - 1]) else 1):
-            path.append((probe[i - 1], window[j - 1], matches(probe[i - 1], window[j - 1])))
-            i, j = i - 1, j - 1
-        elif i and t[i, j] == t[i - 1, j] + 1:
-            path.append((probe[i - 1], ".", False))
-            i -= 1
-        else:
-            path.append((".", window[j - 1], False))
-            j -= 1
-    return path
-
-
-def text_edit_score(probe: str, window: str, limit: int | None = None) -> float:
-    """Length less the distance; 0 if ``limit`` steps in a row of the path back don't match."""
-    score = float(len(probe) - edit_table(probe, window)[-1, -1])
-    if limit is not None:
-        run = 0
-        for _, _, good in edit_path(probe, window):
-            run = 0 if good else run + 1
-            if run >= limit:
-                return 0.0
-    return score
+        table[:, i, 1:] = np.minimum.accumulate(best - steps, axis=1) + steps
+    return np.minimum(table, _FAR)
+
 
+def edit_steps(table: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ways back from the end of each table: (kinds, good), windows x steps.
 
-def text_edit_limited(limit: int):
+    A step takes both letters (0), the probe's (1) or the window's (2), tried in this order; 3 fills up.
+    """
+    count, n, _ = same.shape
+    rows, i, j = np.arange(count), np.full(count, n), np.full(count, n)
+    kinds, good = np.full((count, 2 * n), 3, np.int8), np.zeros((count, 2 * n), bool)
+    for step in range(2 * n):
+        open_ = (i > 0) | (j > 0)
+        if not open_.any():
+            break
+        here, hit = table[rows, i, j], same[rows, i - 1, j - 1] & (i > 0) & (j > 0)
+        both = open_ & (i > 0) & (j > 0) & (here == table[rows, i - 1, j - 1] + ~hit)
+        probe = open_ & ~both & (i > 0) & (here == table[rows, i - 1, j] + 1)
+        window = open_ & ~both & ~probe
+        kinds[both, step], kinds[probe, step], kinds[window, step] = 0, 1, 2
+        good[:, step] = both & hit
+        i, j = i - (both | probe), j - (both | window)
+    return kinds, good
+
+
+def text_edit_scores(probe: str, letters: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """Length less the distance; 0 where ``limit`` steps in a row of the way back don't match."""
+    m = len(probe)
+    out = np.empty(len(letters))
+    at_once = max(1, _CELLS // (m + 1) ** 2)
+    for a in range(0, len(letters), at_once):
+        same = matching(probe, letters[a : a + at_once])
+        table = edit_tables(same)
+        score = (m - table[:, m, m]).astype(float)
+        if limit is not None:
+            kinds, good = edit_steps(table, same)
+            bad = (kinds < 3) & ~good
+            run = np.zeros(len(same), np.int64)
+            for k in range(bad.shape[1]):
+                run = np.where(bad[:, k], run + 1, 0)
+                score[run >= limit] = 0.0
+        out[a : a + at_once] = score
+    return out
+
+
+def text_edit_limited(probe: str, limit: int):
     @F.pandas_udf(DoubleType())
-    def score(probes: pd.Series, windows: pd.Series) -> pd.Series:
-        return pd.Series([text_edit_score(p, w, limit) for p, w in zip(probes, windows, strict=True)])
+    def score(windows: pd.Series) -> pd.Series:
+        out = np.zeros(len(windows))
+        fits = (windows.str.len() == len(probe)).to_numpy(dtype=bool, na_value=False)
+        if fits.any():
+            out[fits] = text_edit_scores(probe, letters_of(windows[fits].tolist()), limit)
+        return pd.Series(out)
 
     return score
 
 
-@F.pandas_udf(_ALIGNED)
-def render_text_edit(probes: pd.Series, windows: pd.Series) -> pd.DataFrame:
-    """Alignment with ``.`` for gaps and in the marks for all that doesn't match."""
-    rows = []
-    for p, w in zip(probes, windows, strict=True):
-        path = edit_path(p, w)[::-1]
-        rows.append(("".join(a for a, _, _ in path), "".join(b for _, b, _ in path), "".join("*" if g else "." for _, _, g in path)))
-    return pd.DataFrame(rows, columns=["probe", "window", "marks"])
+# Renderings: three rows of a probe, a window and marks -------------------------------------------
+
+
+def edit_rows(probe: str, window: str) -> tuple[str, str, str]:
+    """Alignment with ``.`` for gaps, and in the marks for all that doesn't match."""
+    same = matching(probe, letters_of([window]))
+    kinds, good = edit_steps(edit_tables(same), same)
+    steps = kinds[0][kinds[0] < 3][::-1]
+    own, there = iter(probe), iter(window)
+    return (
+        "".join("." if k == 2 else next(own) for k in steps),
+        "".join("." if k == 1 else next(there) for k in steps),
+        "".join("*" if g else "." for g in good[0][: len(steps)][::-1]),
+    )
 
 
 def consistency_marks(probe: str, window: str, patience: int) -> str:
     """``*`` for matches, ``-`` for mismatches inside the best stretch, ``.`` for others.
 
     Runs of matches lie between mismatches and may be empty.  The best stretch is the first, and of
-    those from one run the narrowest, of ``patience + 1`` runs at most whose matches exceed all before.
+    those from one run the narrowest, of ``patience + 1`` runs at most whose matches exceed all single runs.
     """
-    good = [matches(a, b) for a, b in zip(probe, window, strict=True)]
-    walls = [-1] + [i for i, g in enumerate(good) if not g]
-    if good and good[-1]:
-        walls.append(len(good))
-    runs = [b - a - 1 for a, b in zip(walls, walls[1:], strict=False)]
-    best, first, last = max(runs, default=0), 0, -1
-    for a in range(len(runs)):
-        total = 0
-        for b in range(a, min(len(runs), a + patience + 1)):
-            total += runs[b]
-            if total > best:
-                best, first, last = total, a, b
-    inside = {walls[k] for k in range(first + 1, last + 1)}
-    return "".join("*" if g else "-" if i in inside else "." for i, g in enumerate(good))
-
-
-def render_consistency(patience: int):
-    @F.pandas_udf(_ALIGNED)
-    def render(probes: pd.Series, windows: pd.Series) -> pd.DataFrame:
-        marks = [consistency_marks(p, w, patience) for p, w in zip(probes, windows, strict=True)]
-        return pd.DataFrame({"probe": probes, "window": windows, "marks": marks})
+    good = np.diagonal(matching(probe, letters_of([window]))[0])
+    walls = np.flatnonzero(~good)
+    runs = np.diff(np.concatenate([[-1], walls, [len(good)] if len(good) and good[-1] else []])) - 1
+    inside: set[int] = set()
+    if len(runs):
+        upto = np.concatenate([[0], np.cumsum(runs)])
+        first, width = np.meshgrid(np.arange(len(runs)), np.arange(1, patience + 2), indexing="ij")
+        total = upto[np.minimum(first + width, len(runs))] - upto[first]
+        if total.max() > runs.max():  # more than one run
+            k, n = np.unravel_index(np.argmax(np.where(first + width <= len(runs), total, -1)), total.shape)
+            inside = set(walls[k : k + n].tolist())
+    return "".join("*" if g else "-" if i in inside else "." for i, g in enumerate(good.tolist()))
 
-    return render
 
+def direct_marks(probe: str, window: str) -> str:
+    return "".join("*" if g else "." for g in np.diagonal(matching(probe, letters_of([window]))[0]))
 
-def _chain(probe: str, genome: str, at: int, first: int, limit: int) -> tuple[int, int, bool] | None:
-    """Places probe[first:first + 3] one after another, each at the first match.
 
-    Returns (next place, letters placed, some letter adjoins the one before), or None where more than
-    ``limit`` bases are passed over or the genome ends while searching.
-    """
-    skipped, adjoins, k = 0, False, 0
-    while k < 3 and at < len(genome):
-        direct = True
-        while not matches(probe[first + k], genome[at]):
-            direct, skipped, at = False, skipped + 1, at + 1
-            if skipped > limit or at >= len(genome):
-                return None
-        adjoins |= direct
-        at, k = at + 1, k + 1
-    return at, k, adjoins
-
-
-def blat_end(probe: str, genome: str, offset: int, middle_limit: int = 10, end_limit: int = 2, skip: int = 3) -> int | None:
-    """End of a match of two anchors of four bases that starts at ``offset`` (0-based), or None.
-
-    The first anchor's bases follow each other with ``end_limit`` bases between them at most and
-    one pair side by side.  After ``skip`` bases the second anchor starts within ``middle_limit``
-    bases of the first; a genome may end inside it.
+def anchor_rows(probe: str, ahead: str, middle_limit: int = 10, end_limit: int = 2) -> tuple[str, str, str] | None:
+    """Probe with ``-`` for bases passed over, the genome's bases, and marks; None without a match of two anchors.
+
+    The first four letters are placed from the left, the last four from the end of the match back.
     """
-    if len(probe) < 8 or not 0 <= offset < len(genome) or not matches(probe[0], genome[offset]):
-        return None
-    head = _chain(probe, genome, offset + 1, 1, end_limit)
-    if head is None or not head[2]:
+    expression = S.two_anchors(probe, middle_limit, end_limit)
+    found = re.match(expression, ahead) if expression else None
+    if not found:
         return None
-    for at in range(head[0] + skip, min(len(genome), head[0] + middle_limit + 1)):
-        if matches(probe[4], genome[at]):
-            tail = _chain(probe, genome, at + 1, 5, end_limit)
-            if tail is not None and tail[2]:
-                return tail[0]
-    return None
+    text = found[0]
+    hit = matching(probe[:8], letters_of([text]))[0]
+    placed, at = {}, 0
+    for k in range(4):
+        at = at + int(np.argmax(hit[k, at:]))
+        placed[at], at = probe[k], at + 1
+    end = len(text)
+    for k in (7, 6, 5, 4):
+        before = np.flatnonzero(hit[k, at:end])
+        if len(before):
+            end = at + int(before[-1])
+            placed[end] = probe[k]
+    return "".join(placed.get(i, "-") for i in range(len(text))), text, "".join("*" if i in placed else "." for i in range(len(text)))
 
 
-def blat_score(middle_limit: int = 10, end_limit: int = 2):
-    """1 or 0 for (probe, genome, offset)."""
+_ROWS = StructType().add("kind", StringType()).add("probe", StringType()).add("window", StringType()).add("marks", StringType())
 
-    @F.pandas_udf(DoubleType())
-    def score(probes: pd.Series, genomes: pd.Series, offsets: pd.Series) -> pd.Series:
-        found = [p is not None and g is not None and blat_end(p, g, int(o), middle_limit, end_limit) is not None for p, g, o in zip(probes, genomes, offsets, strict=True)]
-        return pd.Series(found, dtype="float64")
 
-    return score
+def renderings(kinds: list[str], options: S.Options):
+    """UDF (probe, window, ahead): the rows of each similarity, in the order of ``kinds``; null rows where one can't be drawn."""
 
+    def rows(kind: str, probe: str, window: str, ahead: str) -> tuple[str | None, str | None, str | None]:
+        if kind == "textedit":
+            return edit_rows(probe, window)
+        if kind == "blat":
+            return anchor_rows(probe, ahead, options.middle_limit, options.end_limit) or (None, None, None)
+        return probe, window, consistency_marks(probe, window, options.patience) if kind == "consistency" else direct_marks(probe, window)
 
-def blat_alignment(probe: str, genome: str, offset: int, middle_limit: int = 10, end_limit: int = 2) -> tuple[str, str, str] | None:
-    """Probe with ``-`` for bases passed over, the genome's bases, and marks; None without a match.
+    @F.pandas_udf(ArrayType(_ROWS))
+    def render(probes: pd.Series, windows: pd.Series, aheads: pd.Series) -> pd.Series:
+        return pd.Series([[dict(zip(("kind", "probe", "window", "marks"), (k, *rows(k, p, w, a)))) for k in kinds] for p, w, a in zip(probes, windows, aheads, strict=True)])
 
-    The first four letters are placed from the left, the last four from the end of the match back.
-    """
-    end = blat_end(probe, genome, offset, middle_limit, end_limit)
-    if end is None:
-        return None
-    placed, at = {}, offset
-    for k in range(4):
-        while not matches(probe[k], genome[at]):
-            at += 1
-        placed[at] = probe[k]
-        at += 1
-    back = end - 1
-    for k in (7, 6, 5, 4):
-        while back >= at and not matches(probe[k], genome[back]):
-            back -= 1
-        if back >= at:
-            placed[back] = probe[k]
-        back -= 1
-    span = range(offset, end)
-    return "".join(placed.get(i, "-") for i in span), genome[offset:end], "".join("*" if i in placed else "." for i in span)
-
-
-@F.pandas_udf(_ALIGNED)
-def render_blat(probes: pd.Series, genomes: pd.Series, offsets: pd.Series) -> pd.DataFrame:
-    rows = [blat_alignment(p, g, int(o)) or (None, None, None) for p, g, o in zip(probes, genomes, offsets, strict=True)]
-    return pd.DataFrame(rows, columns=["probe", "window", "marks"])
+    return render

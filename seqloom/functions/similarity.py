@@ -11,6 +11,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -126,24 +127,14 @@ class Pattern:
 def _expression(probe: str, parts: list[tuple[int, int]]) -> tuple[str, int]:
     """Expression over a window that fixes parts (offset, length) of the probe, and their total length.
 
-    Offsets below 0 count from the end.  A gap of any kind is one or more letters.
+    Offsets below 0 count from the end.  Places that no part fixes are gaps; a run of them is one
+    or more letters, whatever its length.
     """
-    size = len(probe)
-    placed = sorted(((o if o >= 0 else size + o), n) for o, n in parts)
-    text, at, score = [], 0, 0
-    for offset, length in placed:
-        if offset == 0:
-            text.append("^")
-        if offset > at:
-            text.append(".+")
-        text.append(probe[offset : offset + length].replace("c", "(c|t)"))
-        at = offset + length
-        if at == size:
-            text.append("$")
-        score += length
-    if at != size:
-        text.append(".+")
-    return "".join(text), score
+    fixed = {place for offset, length in parts for place in range(offset % len(probe), min(offset % len(probe) + length, len(probe)))}
+    letters = "".join(base if place in fixed else "-" for place, base in enumerate(probe))
+    body = re.sub("-+", ".+", letters).replace("c", "(c|t)")
+    ends = ("^" if 0 in fixed else "", "$" if len(probe) - 1 in fixed else "")
+    return body.join(ends), sum(length for _, length in parts)
 
 
 def compile_pattern(probe: str, must: list[tuple[int, int]], optional: list[tuple[int, int]] = ()) -> Pattern:
@@ -162,6 +153,40 @@ def pattern(compiled: Pattern, window: Column) -> Column:
     return F.when(at_start(compiled.must), sum(added, F.lit(compiled.must_score))).otherwise(0).cast("double")
 
 
+def _spaced(letters: str, most: int, partial: bool) -> str:
+    """Expression for letters that follow each other with ``most`` others between them in all, and one pair side by side.
+
+    Each is the first of its kind after the one before.  With ``partial`` the text may end after any of them,
+    where one pair so far is side by side.
+    """
+    one = lambda x: "[ct]" if x == "c" else x
+    other = lambda x: "[^ct]" if x == "c" else f"[^{x}]"
+    found = []
+    for n in range(1 if partial else len(letters), len(letters) + 1):
+        for gaps in product(range(most + 1), repeat=n):
+            if sum(gaps) <= most and 0 in gaps:
+                found.append("".join((f"{other(x)}{{{k}}}" if k else "") + one(x) for x, k in zip(letters, gaps)) + ("$" if n < len(letters) else ""))
+    return "(?:" + "|".join(found) + ")"
+
+
+def two_anchors(probe: str, middle_limit: int = 10, end_limit: int = 2, skip: int = 3) -> str | None:
+    """Expression that tells, from a window's first base on, whether two anchors of four bases match; None for short probes.
+
+    The bases of an anchor follow each other with ``end_limit`` others between them at most and one pair side by
+    side.  The second anchor starts after ``skip`` bases, within ``middle_limit`` of the first, at any
+    place; the genome may end inside it.
+    """
+    if len(probe) < 8:
+        return None
+    one = lambda x: "[ct]" if x == "c" else x
+    return f"^{one(probe[0])}{_spaced(probe[1:4], end_limit, False)}.{{{skip},{middle_limit}}}?{one(probe[4])}{_spaced(probe[5:8], end_limit, True)}"
+
+
+def anchor_reach(middle_limit: int = 10, end_limit: int = 2) -> int:
+    """Bases that a match of two anchors may take."""
+    return 8 + middle_limit + 2 * end_limit
+
+
 @dataclass(frozen=True)
 class Options:
     """What the similarities take beside probe and window."""
@@ -176,6 +201,8 @@ class Options:
 
 Builder = Callable[[str, Column, Options], Column]
 _registry: dict[str, Builder] = {}
+#: Similarities that look at the genome beyond the window: they get what follows from the window's first base on.
+AHEAD = {"blat"}
 
 
 def register_similarity(name: str, builder: Builder) -> None:
@@ -189,16 +216,23 @@ def _text_edit(probe: str, window: Column, o: Options) -> Column:
         return text_edit(probe, window)
     from seqloom.functions.kernels import text_edit_limited
 
-    return text_edit_limited(o.mismatch_limit)(F.lit(probe), window)
+    return text_edit_limited(probe, o.mismatch_limit)(window)
+
+
+def _blat(probe: str, ahead: Column, o: Options) -> Column:
+    expression = two_anchors(probe, o.middle_limit, o.end_limit)
+    return F.lit(0.0) if expression is None else F.when(ahead.rlike(expression), 1.0).otherwise(0.0)
 
 
 register_similarity("textedit", _text_edit)
 register_similarity("direct", lambda p, w, o: direct(p, w))
 register_similarity("consistency", lambda p, w, o: consistency(p, w, o.patience))
 register_similarity("pattern", lambda p, w, o: pattern(compile_pattern(p, list(o.must), list(o.optional)), w) if o.must else F.lit(0.0))
+register_similarity("blat", _blat)
 
 
 def similarity(name: str, probe: str, window: Column, options: Options = Options()) -> Column:
+    """A similarity by any of its names; for those in AHEAD, ``window`` is the genome from the window's first base on."""
     if re.search(r"[^acgt]", probe):
         raise ValueError("a probe has the letters acgt only")
     return _registry[similarity_name(name)](probe, window, options)

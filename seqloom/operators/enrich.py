@@ -14,11 +14,6 @@ def filled(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
 
-def last_filled(columns: list[Column]) -> Column:
-    """Value of the last column that isn't null or blank."""
-    return F.coalesce(*[filled(c) for c in reversed(columns)])
-
-
 def product(attr: Column, order: tuple[str, ...] = PRODUCT_ORDER) -> tuple[Column, Column]:
     """(kind, text) of a product in a map of attributes."""
     pairs = [F.when(filled(attr[k]).isNotNull(), F.struct(F.lit(k).alias("kind"), attr[k].alias("text"))) for k in reversed(order)]

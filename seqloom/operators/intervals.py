@@ -1,18 +1,25 @@
 """Closed, 1-based intervals: classes of overlap, joins, neighbours, gaps, extraction.
 
 Joins of ranges go through bins: each interval is put into the bins it touches and matched by
-equality, so no join compares all pairs.  Lookups by rank are one sweep over both sides, within
-an accession; gene tables are small beside what they annotate.
+equality, so no join compares all pairs.  Lookups by rank and of neighbours are sweeps within cells of
+SWEEP positions; what a cell hands on to the next ones is summed up over a row for each cell, so
+an accession, however long, is many tasks' work.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import dna as D
 
 BIN = 10_000
+#: Positions, or ranks in file order, of one sweep.
+SWEEP = 1 << 20
+#: Bases in a part of a genome that ranges are cut from.
+PART = 1 << 16
 
 #: The classes in the order in which they are tried.
 CLASSES = ("TotallyLeft", "IntersectLeft", "CoverLeft", "Inner", "CoverRight", "IntersectRight", "TotallyRight")
@@ -37,13 +44,15 @@ def classify(record_left: Column | str, record_right: Column | str, left: Column
 
 
 def location_label(klass: Column | str, direction: Column | str) -> Column:
-    """5', 3', cds, cover or inter-genic, from a class and the record's direction (``>`` or ``<``)."""
+    """5', 3', cds or inter-genic, from a class and the record's direction (``>`` or ``<``).
+
+    A range that reaches over an edge is at that end of the record, also if it covers it wholly: beyond both
+    edges the left one decides.
+    """
     k, plus = _c(klass), _c(direction) == ">"
-    left_side, right_side = k == "IntersectLeft", k == "IntersectRight"
     return (
-        F.when(left_side, F.when(plus, "5'").otherwise("3'"))
-        .when(right_side, F.when(plus, "3'").otherwise("5'"))
-        .when(k.isin("CoverLeft", "CoverRight"), "cover")
+        F.when(k.isin("IntersectLeft", "CoverLeft"), F.when(plus, "5'").otherwise("3'"))
+        .when(k.isin("IntersectRight", "CoverRight"), F.when(plus, "3'").otherwise("5'"))
         .when(k == "Inner", "cds")
         .otherwise("inter-genic")
     )
@@ -88,18 +97,39 @@ def overlap_join(queries: DataFrame, segments: DataFrame, on: tuple[str, ...] =
     return q.alias("q").join(s.alias("s"), same).select(*keep)
 
 
+def _carried(rows: DataFrame, by: tuple[str, ...], total: Column, combine: Callable[[Column], Column], falling: bool = False) -> DataFrame:
+    """``rows`` with ``carry``: ``combine`` of the totals of all cells (column ``cell``) before a row's own, in its group."""
+    cells = rows.groupBy(*by, "cell").agg(total.alias("total"))
+    before = Window.partitionBy(*by).orderBy(F.col("cell").desc() if falling else F.col("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*by, "cell", combine(F.col("total")).over(before).alias("carry"))
+    on = F.col("r.cell") == F.col("c.cell")
+    for c in by:
+        on &= F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}"))
+    return rows.alias("r").join(cells.alias("c"), on).select("r.*", "c.carry")
+
+
+def _cell(at: Column | str) -> Column:
+    return F.floor(_c(at) / SWEEP).cast("long")
+
+
 def lower_bound(positions: DataFrame, starts: DataFrame, by: tuple[str, ...] = (), position: str = "pos", start: str = "start") -> DataFrame:
     """``positions`` with ``rank``: how many starts are below, that is the 0-based rank of the first at or after."""
     cols = positions.columns
     marks = positions.select(*by, F.col(position).alias("at"), F.lit(0).alias("kind"), F.struct(*cols).alias("row"))
     marks = marks.unionByName(starts.select(*by, F.col(start).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(marks.schema["row"].dataType).alias("row")))
     # At one place the positions (0) come before the starts (1), so equal starts aren't below.
-    before = Window.partitionBy(*by).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return marks.withColumn("rank", F.sum("kind").over(before).cast("long")).where("kind = 0").select("row.*", "rank")
+    marks = marks.withColumn("cell", _cell("at"))
+    before = Window.partitionBy(*by, "cell").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    ranked_ = _carried(marks.withColumn("within", F.sum("kind").over(before)), by, F.sum("kind"), F.sum)
+    return ranked_.where("kind = 0").select("row.*", (F.col("within") + F.coalesce("carry", F.lit(0))).cast("long").alias("rank"))
 
 
 def ranked(segments: DataFrame, by: tuple[str, ...] = (), start: str = "seg_left") -> DataFrame:
-    return segments.withColumn("seg_rank", (F.row_number().over(Window.partitionBy(*by).orderBy(start)) - 1).cast("long"))
+    """``segments`` with ``seg_rank``, their 0-based place by ``start``, of equal ones by ``seg_id``."""
+    rows = segments.withColumn("cell", _cell(start))
+    within = F.row_number().over(Window.partitionBy(*by, "cell").orderBy(start, "seg_id"))
+    placed = _carried(rows.withColumn("within", within), by, F.count("*"), F.sum)
+    return placed.select(*segments.columns, (F.col("within") - 1 + F.coalesce("carry", F.lit(0))).cast("long").alias("seg_rank"))
 
 
 def range_type(left: Column | str, right: Column | str, seg_left: Column | str, seg_right: Column | str, compat: bool = False) -> Column:
@@ -117,23 +147,26 @@ def range_type(left: Column | str, right: Column | str, seg_left: Column | str,
     return F.when(hit, "hit").when(inside, "include").when(coverage(x, y, a, b) * 100.0 / size >= 90.0, "homology").otherwise("related")
 
 
-def nearby_genes(queries: DataFrame, segments: DataFrame, key: str, by: tuple[str, ...] = (), compat: bool = False) -> DataFrame:
+def nearby_genes(queries: DataFrame, segments: DataFrame, by: tuple[str, ...] = (), compat: bool = False) -> DataFrame:
     """Segments a range belongs to, by rank of their left edges.
 
     With a the first rank at or after the range's left and b the last before its right: the one
     segment if a = b; else, of the ranks between (b and a where the range lies between two), the
-    first that covers the whole range, or all of them.  Ranks out of range are left out.
+    first that covers the whole range, or all of them.  Ranks out of range are left out.  Equal rows
+    of ``queries`` are rows of their own.
     """
     starts = segments.select(*by, F.col("seg_left").alias("start"))
-    q = lower_bound(queries, starts, by, "left").withColumnRenamed("rank", "a")
+    cols = queries.columns
+    q = lower_bound(queries.withColumn("query_row", F.monotonically_increasing_id()), starts, by, "left").withColumnRenamed("rank", "a")
     q = lower_bound(q, starts, by, "right").withColumn("b", F.col("rank") - 1).drop("rank")
     wanted = F.explode(F.sequence(F.least("a", "b"), F.greatest("a", "b")))
     q = q.select("*", wanted.alias("seg_rank"))
     found = q.join(ranked(segments, by), [*by, "seg_rank"])
     covers = (F.col("seg_left") <= F.col("left")) & (F.col("seg_right") >= F.col("right")) & (F.col("a") != F.col("b"))
-    first = F.min(F.when(covers, F.col("seg_rank"))).over(Window.partitionBy(*by, key))
+    first = F.min(F.when(covers, F.col("seg_rank"))).over(Window.partitionBy("query_row"))
     kept = found.withColumn("cover", first).where(F.col("cover").isNull() | (F.col("seg_rank") == F.col("cover")))
-    return kept.withColumn("type", range_type("left", "right", "seg_left", "seg_right", compat)).drop("cover", "a", "b")
+    own = [c for c in segments.columns if c not in by]
+    return kept.select(*cols, *own, "seg_rank", range_type("left", "right", "seg_left", "seg_right", compat).alias("type"), "query_row")
 
 
 def rank_neighbourhood(queries: DataFrame, segments: DataFrame, reach: int = 2, by: tuple[str, ...] = (), position: str = "start") -> DataFrame:
@@ -153,7 +186,7 @@ def nearest(queries: DataFrame, segments: DataFrame, by: tuple[str, ...] = (), s
     """Queries with ``up`` (greatest right edge before the range) and ``down`` (least left edge after), as structs.
 
     ``strict``: edges that touch the range don't count.  Segments may nest; of equal edges the least
-    seg_id is taken.  One sweep for each side carries the best edge so far.
+    seg_id is taken.  One sweep for each side carries the best edge so far, from cell to cell.
     """
     cols = queries.columns
     seg = F.struct(*[F.col(c) for c in segments.columns])
@@ -164,9 +197,13 @@ def nearest(queries: DataFrame, segments: DataFrame, by: tuple[str, ...] = (), s
         names = rows.columns
         marks = rows.select(*by, F.col(at).alias("at"), F.lit(first).alias("kind"), F.struct(*names).alias("row"), none.alias("seg"), F.lit(0).cast("long").alias("seg_order"))
         marks = marks.unionByName(segments.select(*by, F.col(edge).alias("at"), F.lit(second).alias("kind"), F.lit(None).cast(marks.schema["row"].dataType).alias("row"), seg.alias("seg"), (-F.col("seg_id")).cast("long").alias("seg_order")))
+        marks = marks.withColumn("cell", _cell("at"))
         order = F.col("at").asc() if ascending else F.col("at").desc()
-        before = Window.partitionBy(*by).orderBy(order, "kind", "seg_order").rowsBetween(Window.unboundedPreceding, 0)
-        return marks.withColumn(out, F.last("seg", ignorenulls=True).over(before)).where("row is not null").select("row.*", out)
+        before = Window.partitionBy(*by, "cell").orderBy(order, "kind", "seg_order").rowsBetween(Window.unboundedPreceding, 0)
+        marks = marks.withColumn("within", F.last("seg", ignorenulls=True).over(before))
+        last = F.max_by("seg", F.when(F.col("seg").isNotNull(), F.struct(F.col("at") if ascending else -F.col("at"), "seg_order")))
+        carried = _carried(marks, by, last, lambda c: F.last(c, ignorenulls=True), not ascending)
+        return carried.where("row is not null").select("row.*", F.coalesce("within", "carry").alias(out))
 
     found = sweep(queries, "left", "seg_right", "up", True)
     found = sweep(found, "right", "seg_left", "down", False)
@@ -174,15 +211,16 @@ def nearest(queries: DataFrame, segments: DataFrame, by: tuple[str, ...] = (), s
 
 
 def next_on_strand(queries: DataFrame, key: str) -> DataFrame:
-    """``key, next_gene`` from rows ``key, left, right, strand, seg_left, seg_right, gene, seg_id`` of a range's segments.
+    """``key, next_gene, next_left, next_right`` from rows ``key, left, right, strand, seg_left, seg_right, gene, seg_id`` of a range's segments.
 
     ``+``: the segment that starts first beyond the range; ``-``: the one that ends last before it.
     """
     high, low = F.greatest("left", "right"), F.least("left", "right")
-    after = F.when((F.col("strand") == "+") & (F.col("seg_left") > high), F.struct("seg_left", "seg_id", "gene"))
-    before = F.when((F.col("strand") == "-") & (F.col("seg_right") < low), F.struct("seg_right", -F.col("seg_id"), "gene"))
-    out = queries.groupBy(key).agg(F.min(after).alias("after"), F.max(before).alias("before"))
-    return out.select(key, F.coalesce("after.gene", "before.gene").alias("next_gene"))
+    segment = F.struct("gene", "seg_left", "seg_right").alias("segment")
+    after = F.when((F.col("strand") == "+") & (F.col("seg_left") > high), F.struct(F.col("seg_left").alias("at"), F.col("seg_id").alias("nth"), segment))
+    before = F.when((F.col("strand") == "-") & (F.col("seg_right") < low), F.struct(F.col("seg_right").alias("at"), (-F.col("seg_id")).alias("nth"), segment))
+    out = queries.groupBy(key).agg(F.coalesce(F.min(after)["segment"], F.max(before)["segment"]).alias("next"))
+    return out.select(key, F.col("next.gene").alias("next_gene"), F.col("next.seg_left").alias("next_left"), F.col("next.seg_right").alias("next_right"))
 
 
 def gaps(segments: DataFrame, lengths: DataFrame, by: str = "accession", compat: bool = False) -> DataFrame:
@@ -191,10 +229,13 @@ def gaps(segments: DataFrame, lengths: DataFrame, by: str = "accession", compat:
     Rows ``accession, kind, left, right, gene`` with ``gene`` null for gaps.  A gap lies after the furthest right edge
     so far; ``compat``: after the right edge of the segment just before, in file order (``seg_id``).
     """
-    order = Window.partitionBy(by).orderBy("seg_id")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.lag("seg_right").over(order) if compat else F.max("seg_right").over(before)
-    with_gap = segments.withColumn("from", F.coalesce(reached, F.lit(0)) + 1)
+    rows = segments.withColumn("cell", _cell("seg_id"))
+    order = Window.partitionBy(by, "cell").orderBy("seg_id")
+    within = F.lag("seg_right").over(order) if compat else F.max("seg_right").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    total, combine = (F.max_by("seg_right", "seg_id"), lambda c: F.last(c)) if compat else (F.max("seg_right"), F.max)
+    carried = _carried(rows.withColumn("within", within), (by,), total, combine)
+    reached = F.coalesce("within", "carry") if compat else F.greatest("within", "carry")
+    with_gap = carried.withColumn("from", F.coalesce(reached, F.lit(0)) + 1)
     inner = with_gap.where(F.col("from") <= F.col("seg_left") - 1).select(by, F.lit("gap").alias("kind"), F.col("from").alias("left"), (F.col("seg_left") - 1).alias("right"), F.lit(None).cast("string").alias("gene"))
     last = segments.groupBy(by).agg(F.max_by("seg_right", "seg_id").alias("last") if compat else F.max("seg_right").alias("last"))
     tail = lengths.join(last, by, "left").withColumn("left", F.coalesce("last", F.lit(0)) + 1).where("left <= length").select(by, F.lit("gap").alias("kind"), "left", F.col("length").alias("right"), F.lit(None).cast("string").alias("gene"))
@@ -202,6 +243,28 @@ def gaps(segments: DataFrame, lengths: DataFrame, by: str = "accession", compat:
     return genes.unionByName(inner).unionByName(tail)
 
 
+def with_sequence(rows: DataFrame, genomes: DataFrame, left: Column | str, right: Column | str, minus: Column | None = None, out: str = "sequence", known_only: bool = True) -> DataFrame:
+    """``rows`` (with ``accession``) and the bases ``left`` to ``right`` of their genome ``genomes(accession, dna)``.
+
+    Genomes are cut into parts of PART bases and rows go to the parts they touch, so a chromosome doesn't meet
+    each row.  Ranges are clipped to the genome; where ``minus`` holds, the reverse complement is given.  Rows
+    whose genome isn't there are left out, or have an empty sequence.
+    """
+    base = rows.join(genomes.select("accession").distinct(), "accession", "left_semi") if known_only else rows
+    cols, a, b = rows.columns, F.greatest(_c(left), F.lit(1)).cast("long"), _c(right).cast("long")
+    turned = F.coalesce(minus, F.lit(False)) if minus is not None else F.lit(False)
+    r = base.select(F.monotonically_increasing_id().alias("row_number"), F.struct(*[F.col(f"`{c}`") for c in cols], turned.alias("turned")).alias("row"), F.col("accession").alias("part_of"), a.alias("a"), b.alias("b"))
+    r = r.select("*", F.explode_outer(F.when(F.col("b") >= F.col("a"), F.sequence(F.floor((F.col("a") - 1) / PART), F.floor((F.col("b") - 1) / PART)))).alias("part"))
+    parts = genomes.select(F.col("accession").alias("part_of"), F.posexplode(F.regexp_extract_all("dna", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))).alias("part", "bases")).withColumn("part", F.col("part").cast("long"))
+    start = F.greatest(F.col("a") - F.col("part") * PART, F.lit(1))
+    stop = F.least(F.col("b") - F.col("part") * PART, F.lit(PART))
+    piece = F.substring("bases", start.cast("int"), (stop - start + 1).cast("int"))
+    joined = r.join(parts, ["part_of", "part"], "left").select("row_number", "row", F.when(F.col("bases").isNotNull(), F.struct("part", piece.alias("bases"))).alias("piece"))
+    whole = joined.groupBy("row_number").agg(F.first("row").alias("row"), F.array_join(F.transform(F.sort_array(F.collect_list("piece")), lambda x: x["bases"]), "").alias("bases"))
+    bases = F.when(F.col("row.turned"), D.reverse_complement("bases")).otherwise(F.col("bases"))
+    return whole.select(*[F.col(f"row.`{c}`") for c in cols if c != out], bases.alias(out))
+
+
 def extract_range(dna: Column | str, a: Column | str, b: Column | str) -> Column:
     """Bases between a promoter at ``a`` and a gene start at ``b``, the gene start left out.
 

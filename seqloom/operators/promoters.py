@@ -57,7 +57,7 @@ def best_promoter(items: DataFrame, by: str = "diagram") -> DataFrame:
     """``by, promoter, near_gene_pos`` for the target gene of each diagram.
 
     ``items``: ``by, idx, left, right, top, is_gene, is_promoter`` (with start site), ``direction`` (of genes), ``pos``
-    (gene start), ``name``, ``is_target``.  In the direction of transcription, a promoter that is the first or
+    (gene start), ``name``, ``is_target``, and maybe ``start_site`` (of promoters; it comes as ``promoter_site``).  In the direction of transcription, a promoter that is the first or
     that directly follows a gene starts a unit; the target's unit gives its promoter and the start of its
     first gene.  Genes of the other direction, and promoters drawn below the target, don't count.  A target
     before all promoters has a null promoter; diagrams without a target have no row.
@@ -76,12 +76,13 @@ def best_promoter(items: DataFrame, by: str = "diagram") -> DataFrame:
     opens = (F.col("kind") == "promoter") & ((F.col("before") == "gene") | (F.col("n") == first))
     units = rows.withColumn("opens", opens.cast("int")).withColumn("unit", F.sum("opens").over(upto))
     is_target = F.col("idx") == F.col("target_idx")
+    site = ["start_site"] if "start_site" in items.columns else []
     per_unit = units.groupBy(by, "unit").agg(
         F.max(is_target & F.col("is_gene")).alias("has_target"),
-        F.min(F.when(F.col("opens") == 1, F.struct("n", "name")))["name"].alias("promoter"),
+        F.min(F.when(F.col("opens") == 1, F.struct("n", "name", *site))).alias("opener"),
         F.min(F.when(F.col("kind") == "gene", F.struct("n", "pos")))["pos"].alias("near_gene_pos"),
     )
-    return per_unit.where("has_target").select(by, "promoter", "near_gene_pos")
+    return per_unit.where("has_target").select(by, F.col("opener.name").alias("promoter"), "near_gene_pos", *[F.col("opener.start_site").alias("promoter_site") for _ in site])
 
 
 def better_promoter(a: Column, b: Column, direction: Column | str) -> Column:

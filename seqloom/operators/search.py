@@ -1,30 +1,32 @@
 """Search of probes in genomes on both strands: windows, scores, local maxima, best k.
 
-Genomes are cut into chunks first, so a window is a slice of a short string and a chromosome
-spreads over tasks.  A chunk carries what its windows and the suppression at its edges need
-(a halo), so results don't depend on the chunk size.
+Genomes are cut into chunks first, in one pass over each strand, and the chunks are dealt out to all
+tasks, so a chromosome is not one task's work.  A chunk carries what its windows and the suppression
+at its edges need (a halo), so results don't depend on the chunk size.
 
-Two engines give the same rows.  ``arrow`` scores all windows of a chunk at once in numpy and emits
-local maxima only, without a shuffle before the ranking.  ``columns`` keeps to Column expressions.
+Two engines give the same rows.  ``arrow`` scores all windows of a chunk for all probes at once in numpy and
+emits local maxima only, without a shuffle before the ranking.  ``columns`` keeps to Column expressions.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import dna as D
 from seqloom.functions import similarity as S
-from seqloom.functions.kernels import blat_end, text_edit_score
+from seqloom.functions import kernels as K
 
 CHUNK = 4096
 #: Windows of a chunk where each becomes a row: a slice costs its distance from the chunk's start.
 WINDOW_CHUNK = 256
+#: Probes that one task scores on a chunk; more are dealt out too.
+PROBES = 64
 
 
 def strands(genomes: DataFrame) -> DataFrame:
@@ -33,27 +35,46 @@ def strands(genomes: DataFrame) -> DataFrame:
     return genomes.select("accession", F.explode(both).alias("s")).select("accession", "s.strand", "s.dna")
 
 
-def chunks(sequences: DataFrame, width: int, halo: int = 0, size: int = CHUNK) -> DataFrame:
+def chunks(sequences: DataFrame, width: int, halo: int = 0, size: int = CHUNK, ahead: int = 0) -> DataFrame:
     """Adds ``length, chunk, core, cores, at, piece``: windows ``core`` to ``core + cores`` (0-based) are the
-    chunk's own, and ``piece`` starts at window ``at``, ``halo`` windows before where there are any."""
-    total = F.length("dna") - width + 1
-    cut = sequences.withColumn("length", F.length("dna")).where(total > 0).select("*", F.explode(F.sequence(F.lit(0), F.expr(f"cast((length - {width}) div {size} as int)"))).alias("chunk"))
-    core = F.col("chunk") * size
-    cut = cut.withColumn("core", core).withColumn("cores", F.least(F.lit(size), total - core)).withColumn("at", F.greatest(F.lit(0), core - halo))
-    last = F.least(total, core + size + halo)
-    return cut.withColumn("piece", F.substring("dna", F.col("at") + 1, last - F.col("at") + width - 1)).drop("dna")
-
-
-def windows(sequences: DataFrame, width: int, size: int = WINDOW_CHUNK, halo: int = 0) -> DataFrame:
-    """One row per window: ``accession, strand, length, chunk, offset, is_core, window``."""
-    cut = chunks(sequences, width, halo, size)
-    count = F.length("piece") - width
-    rows = cut.select("accession", "strand", "length", "chunk", "core", "cores", "at", "piece", F.explode(F.sequence(F.lit(0), count)).alias("i"))
+    chunk's own, and ``piece`` starts at window ``at``, ``halo`` windows before where there are any.  A piece ends
+    ``halo`` windows after its core, and ``ahead`` bases after those windows.
+
+    A sequence is split once into parts of equal size; a piece is a part with the ends of its neighbours, so
+    the work is linear in the sequence's length.
+    """
+    size = max(size, halo + 1)
+    after = width - 1 + halo + ahead
+    more = -(-after // size)
+    parts = F.regexp_extract_all("dna", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+    def pieces(all_parts: Column) -> Column:
+        def piece(part: Column, k: Column) -> Column:
+            before = F.when(k > 0, F.right(F.get(all_parts, k - 1), F.lit(halo))).otherwise("")
+            behind = F.left(F.concat_ws("", *[F.coalesce(F.get(all_parts, k + i), F.lit("")) for i in range(1, more + 1)]), F.lit(after)) if after else F.lit("")
+            return F.struct(k.cast("int").alias("chunk"), F.concat(before, part, behind).alias("piece"))
+
+        return F.transform(all_parts, piece)
+
+    # transform(array(x), ...)[0] names x once, where a lambda would compute it for each element.
+    cut = sequences.withColumn("length", F.length("dna")).where(F.col("length") >= width).select("*", F.explode(F.transform(F.array(parts), pieces)[0]).alias("c"))
+    core = F.col("c.chunk") * size
+    cut = cut.select(*[c for c in cut.columns if c not in ("dna", "c")], "c.chunk", core.alias("core"), F.least(F.lit(size), F.col("length") - width + 1 - core).alias("cores"), F.greatest(F.lit(0), core - halo).alias("at"), "c.piece")
+    return cut.where("cores > 0")
+
+
+def windows(sequences: DataFrame, width: int, size: int = WINDOW_CHUNK, halo: int = 0, ahead: int = 0) -> DataFrame:
+    """One row per window: ``accession, strand, length, chunk, offset, is_core, window``; with ``ahead`` also the ``ahead``
+    bases from the window's first on, fewer at the end of the sequence."""
+    cut = chunks(sequences, width, halo, size, max(0, ahead - width))
+    last = F.least(F.col("length") - width, F.col("core") + F.col("cores") - 1 + halo) - F.col("at")
+    rows = cut.select("accession", "strand", "length", "chunk", "core", "cores", "at", "piece", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("i"))
     offset = F.col("at") + F.col("i")
-    return rows.select("accession", "strand", "length", "chunk", offset.alias("offset"), ((offset >= F.col("core")) & (offset < F.col("core") + F.col("cores"))).alias("is_core"), F.substring("piece", F.col("i") + 1, width).alias("window"))
+    extra = [F.substring("piece", F.col("i") + 1, F.lit(ahead)).alias("ahead")] if ahead else []
+    return rows.select("accession", "strand", "length", "chunk", offset.alias("offset"), ((offset >= F.col("core")) & (offset < F.col("core") + F.col("cores"))).alias("is_core"), F.substring("piece", F.col("i") + 1, F.lit(width)).alias("window"), *extra)
 
 
-def hit_position(strand: Column, offset: Column, width: int, length: Column) -> tuple[Column, Column]:
+def hit_position(strand: Column, offset: Column, width: Column | int, length: Column) -> tuple[Column, Column]:
     """1-based (start, end) of a window; start is above end on the minus strand."""
     start = F.when(strand == "+", offset + 1).otherwise(length - offset)
     end = F.when(strand == "+", offset + width).otherwise(length - (offset + width - 1))
@@ -77,47 +98,44 @@ def score_distinct(rows: DataFrame, score: Column, window: str = "window") -> Da
 
 
 def _window_scores(name: str, probe: str, letters: np.ndarray, text: str, o: S.Options) -> np.ndarray:
-    """Scores of all windows: ``letters`` is windows x places."""
+    """Scores of all windows of ``text``: ``letters`` is windows x places."""
     m = len(probe)
     base = np.frombuffer(probe.encode(), np.uint8)
-    same = (letters == base) | ((base == ord("c")) & (letters == ord("t")))
-    if name == "direct":
-        return same.sum(axis=1).astype(float)
-    if name == "consistency":
+    if name in ("direct", "consistency"):
+        same = (letters == base) | ((base == ord("c")) & (letters == ord("t")))
+        if name == "direct":
+            return same.sum(axis=1).astype(float)
         # Best stretch with at most `patience` mismatches: two pointers over all windows at once.
-        misses = np.cumsum(~same, axis=1)
         hits = np.concatenate([np.zeros((len(same), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
-        bad = np.concatenate([np.zeros((len(same), 1), np.int64), misses], axis=1)
-        out = np.zeros(len(same))
-        left = np.zeros(len(same), np.int64)
-        rows = np.arange(len(same))
+        bad = np.arange(m + 1) - hits
+        out, left, rows = np.zeros(len(same)), np.zeros(len(same), np.int64), np.arange(len(same))
         for right in range(1, m + 1):
             while (over := bad[rows, right] - bad[rows, left] > o.patience).any():
                 left += over
             out = np.maximum(out, hits[rows, right] - hits[rows, left])
         return out
     if name == "textedit":
-        if o.mismatch_limit is not None:
-            return np.array([text_edit_score(probe, text[i : i + m], o.mismatch_limit) for i in range(len(letters))])
-        far = 10**6
-        above = np.full((m + 1, len(letters)), far, np.int32)
-        above[0] = 0
-        for i in range(m):
-            row = np.full_like(above, far)
-            miss = ~((letters == base[i]) | ((base[i] == ord("c")) & (letters == ord("t"))))
-            for j in range(1, m + 1):
-                row[j] = np.minimum(np.minimum(above[j], row[j - 1]) + 1, above[j - 1] + miss[:, j - 1])
-            above = row
-        return (m - above[m]).astype(float)
+        return K.text_edit_scores(probe, letters, o.mismatch_limit)
+
+    def matched(expression: str, width: int) -> np.ndarray:
+        """Which windows, taken with ``width`` letters as far as there are, match from their start."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        start = np.arange(len(letters))
+        size = np.minimum(width, len(data) - start)
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        flat = data[np.repeat(start - bounds[:-1], size) + np.arange(bounds[-1])]
+        column = pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(flat)])
+        return pc.match_substring_regex(column, expression).to_numpy(zero_copy_only=False)
+
     if name == "pattern":
         if not o.must:
             return np.zeros(len(letters))
         compiled = S.compile_pattern(probe, list(o.must), list(o.optional))
-        must, extra = re.compile(compiled.must), [(re.compile(e), s) for e, s in compiled.optional]
-        parts = [text[i : i + m] for i in range(len(letters))]
-        return np.array([float(compiled.must_score + sum(s for e, s in extra if e.match(w))) if must.match(w) else 0.0 for w in parts])
+        extra = sum((np.where(matched(f"^(?:{e})", m), s, 0) for e, s in compiled.optional), np.zeros(len(letters)))
+        return np.where(matched(f"^(?:{compiled.must})", m), compiled.must_score + extra, 0).astype(float)
     if name == "blat":
-        return np.array([float(blat_end(probe, text, i, o.middle_limit, o.end_limit) is not None) for i in range(len(letters))])
+        expression = S.two_anchors(probe, o.middle_limit, o.end_limit)
+        return np.zeros(len(letters)) if expression is None else matched(expression, S.anchor_reach(o.middle_limit, o.end_limit)).astype(float)
     raise ValueError(f"the arrow engine has no similarity {name!r}")
 
 
@@ -141,6 +159,8 @@ def search(
     engine: str = "arrow",
     per_genome: bool = False,
     chunk: int = CHUNK,
+    render: bool = False,
+    compat: bool = False,
 ) -> DataFrame:
     """Best windows of each probe in ``genomes(accession, dna)``, both strands.
 
@@ -149,53 +169,105 @@ def search(
     strand, windows that a better one within ``distance - 1`` offsets exceeds are left out.  Ranks are
     by score (``ascending``: the least first), accession, ``+`` before ``-``, and offset, over all
     genomes or in each.  Probes are lower-cased; genomes shorter than a probe have no window.
+
+    ``render`` adds ``probe`` and ``renderings``: the rows of each similarity's alignment, drawn for the best only.
+    ``compat`` suppresses within the 32nd parts of a strand (one part if it is shorter than 32 bases), not across their edges.
     """
     weights = S.positive_weights(weights)
-    made = [_search_one(name, probe.lower(), genomes, weights, options, distance, engine, chunk) for name, probe in probes]
-    found = made[0]
-    for other in made[1:]:
-        found = found.unionByName(other)
+    kinds = list(weights)
+    given = {name: probe.lower() for name, probe in probes}
+    if len(given) < len(probes):
+        raise ValueError("names of probes must differ")
+    for probe in given.values():
+        S.similarity("direct", probe, F.lit(""))  # letters
+    ahead = S.anchor_reach(options.middle_limit, options.end_limit) if S.AHEAD & set(kinds) else 0
+    find = _search_columns if engine == "columns" else _search_arrow
+    kept = find(given, strands(genomes), weights, options, distance, chunk, ahead, compat)
+    scores = F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*[F.col(f"score_{k}") for k in kinds]))
+    start, end = hit_position(F.col("strand"), F.col("offset"), F.length("window"), F.col("length"))
+    found = kept.select("name", "accession", "strand", start.alias("start"), end.alias("end"), F.col("offset").cast("long").alias("offset"), "weighted", scores.alias("scores"), "window", "ahead")
     if min_similarity is not None:
         found = found.where(F.col("weighted") >= min_similarity)
     score = F.col("weighted").asc() if ascending else F.col("weighted").desc()
     by = ["name", "accession"] if per_genome else ["name"]
-    return best(found, top_k, by, [score, F.col("accession").asc(), F.col("strand").asc(), F.col("offset").asc()])
-
-
-def _search_one(name: str, probe: str, genomes: DataFrame, weights: dict[str, float], o: S.Options, distance: int, engine: str, chunk: int) -> DataFrame:
-    m, kinds = len(probe), list(weights)
-    both = strands(genomes)
-    if engine == "columns":
-        rows = windows(both, m, min(chunk, WINDOW_CHUNK), distance - 1)
-        scored = rows.select("*", *[S.similarity(k, probe, F.col("window"), o).alias(f"score_{k}") for k in kinds])
-        scored = scored.withColumn("weighted", S.weighted({k: F.col(f"score_{k}") for k in kinds}, weights))
-        kept = local_maxima(scored, distance, ["accession", "strand", "chunk"], "weighted").where("is_core")
-        scores = F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*[F.col(f"score_{k}") for k in kinds]))
-    else:
-        schema = "accession string, strand string, length int, offset int, weighted double, window string, " + ", ".join(f"score_{k} double" for k in kinds)
-        reach = 2 * (o.middle_limit + o.end_limit) + 8 if "blat" in kinds else 0
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for acc, strand, length, core, cores, at, piece in zip(*(batch.column(c).to_pylist() for c in ("accession", "strand", "length", "core", "cores", "at", "piece")), strict=True):
-                    n = min(length - m + 1, core + cores + distance - 1) - at
-                    letters = np.lib.stride_tricks.sliding_window_view(np.frombuffer(piece.encode(), np.uint8), m)[:n]
+    out = best(found, top_k, by, [score, F.col("accession").asc(), F.col("strand").asc(), F.col("offset").asc()])
+    if not render:
+        return out.drop("ahead")
+    probe = F.create_map(*[F.lit(x) for item in given.items() for x in item])[F.col("name")]
+    drawn = out.withColumn("probe", probe)
+    return drawn.withColumn("renderings", K.renderings(kinds, options)("probe", "window", F.coalesce("ahead", "window"))).drop("ahead")
+
+
+def _part(length: Column, compat: bool) -> Column | None:
+    """Offsets in a part of a strand, where suppression stops at the parts' edges."""
+    return F.greatest(F.floor(length / 32), F.when(length < 32, length).otherwise(1)).cast("int") if compat else None
+
+
+def _search_columns(given: dict[str, str], both: DataFrame, weights: dict[str, float], o: S.Options, distance: int, chunk: int, ahead: int, compat: bool) -> DataFrame:
+    """A plan for each probe: for tests and small lists."""
+    found = None
+    for name, probe in given.items():
+        rows = windows(both.withColumn("accession", F.col("accession").cast("string")), len(probe), min(chunk, WINDOW_CHUNK), distance - 1, ahead)
+        text = lambda k: F.col("ahead" if k in S.AHEAD else "window")
+        scored = rows.select("*", *[S.similarity(k, probe, text(k), o).alias(f"score_{k}") for k in weights])
+        scored = scored.withColumn("weighted", S.weighted({k: F.col(f"score_{k}") for k in weights}, weights))
+        part = F.floor(F.col("offset") / _part(F.col("length"), True)).cast("int") if compat else F.lit(0)
+        kept = local_maxima(scored.withColumn("part", part), distance, ["accession", "strand", "chunk", "part"], "weighted").where("is_core")
+        own = kept.select(F.lit(name).alias("name"), "accession", "strand", "length", "offset", "weighted", "window", *([] if ahead else [F.lit(None).cast("string").alias("ahead")]), *(["ahead"] if ahead else []), *[f"score_{k}" for k in weights])
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def _search_arrow(given: dict[str, str], both: DataFrame, weights: dict[str, float], o: S.Options, distance: int, chunk: int, ahead: int, compat: bool) -> DataFrame:
+    """All probes in one pass over the chunks, which are dealt out with blocks of probes."""
+    kinds, names = list(weights), list(given)
+    least, most = min(map(len, given.values())), max(map(len, given.values()))
+    halo = distance - 1
+    blocks = -(-len(names) // PROBES)
+    schema = "name string, accession string, strand string, length int, offset int, weighted double, window string, ahead string, " + ", ".join(f"score_{k} double" for k in kinds)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("accession", "strand", "length", "core", "at", "piece", "probes")]
+            for acc, strand, length, core, at, piece, block in zip(*columns, strict=True):
+                data = np.frombuffer(piece.encode(), np.uint8)
+                size = max(1, length // 32 if length >= 32 else length)
+                for name in names[block * PROBES : (block + 1) * PROBES]:
+                    probe = given[name]
+                    m = len(probe)
+                    n = min(length - m + 1, core + step + halo) - at
+                    if n <= 0:
+                        continue
+                    letters = np.lib.stride_tricks.sliding_window_view(data, m)[:n]
                     each = {k: _window_scores(k, probe, letters, piece, o) for k in kinds}
                     total = sum(each[k] * w for k, w in weights.items()) / sum(weights.values())
-                    keep = np.flatnonzero(_peaks(total, distance))
-                    keep = keep[(keep + at >= core) & (keep + at < core + cores)]
+                    peak = np.zeros(n, bool)
+                    for a, b in _runs(at, n, size if compat else None):
+                        peak[a:b] = _peaks(total[a:b], distance)
+                    keep = np.flatnonzero(peak)
+                    keep = keep[(keep + at >= core) & (keep + at < core + step)]
                     if len(keep):
-                        own = lambda v: pa.array([v] * len(keep))  # noqa: B023, E731
+                        own = lambda v: pa.array([v] * len(keep), pa.string())  # noqa: B023, E731
+                        far = [piece[i : i + ahead] if ahead else None for i in keep]
                         yield pa.RecordBatch.from_arrays(
-                            [own(acc), own(strand), pa.array(np.full(len(keep), length, np.int32)), pa.array((keep + at).astype(np.int32)), pa.array(total[keep]), pa.array([piece[i : i + m] for i in keep])] + [pa.array(each[k][keep]) for k in kinds],
-                            names=["accession", "strand", "length", "offset", "weighted", "window", *(f"score_{k}" for k in kinds)],
+                            [own(name), own(acc), own(strand), pa.array(np.full(len(keep), length, np.int32)), pa.array((keep + at).astype(np.int32)), pa.array(total[keep]), pa.array([piece[i : i + m] for i in keep], pa.string()), pa.array(far, pa.string())]
+                            + [pa.array(each[k][keep]) for k in kinds],
+                            names=["name", "accession", "strand", "length", "offset", "weighted", "window", "ahead", *(f"score_{k}" for k in kinds)],
                         )
 
-        cut = chunks(both.withColumn("accession", F.col("accession").cast("string")), m, distance - 1 + reach, chunk)
-        kept = cut.select("accession", "strand", "length", "core", "cores", "at", "piece").mapInArrow(scan, schema)
-        scores = F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*[F.col(f"score_{k}") for k in kinds]))
-    start, end = hit_position(F.col("strand"), F.col("offset"), m, F.col("length"))
-    return kept.select(F.lit(name).alias("name"), F.col("accession").cast("string").alias("accession"), "strand", start.alias("start"), end.alias("end"), F.col("offset").cast("long").alias("offset"), "weighted", scores.alias("scores"), "window")
+    step = max(chunk, halo + 1)
+    cut = chunks(both.withColumn("accession", F.col("accession").cast("string")), least, halo, chunk, most - least + max(0, ahead - least))
+    dealt = cut.select("accession", "strand", "length", "chunk", "core", "at", "piece", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("probes"))
+    dealt = dealt.repartition("accession", "strand", "chunk", "probes")
+    return dealt.select("accession", "strand", "length", "core", "at", "piece", "probes").mapInArrow(scan, schema)
+
+
+def _runs(at: int, n: int, size: int | None) -> list[tuple[int, int]]:
+    """Runs of the windows ``at`` to ``at + n`` that lie in one part of ``size`` offsets, from 0 on."""
+    if size is None:
+        return [(0, n)]
+    edges = [0, *range(size - at % size, n, size), n]
+    return list(zip(edges, edges[1:]))
 
 
 def best_submatches(marks: DataFrame) -> DataFrame:

@@ -20,26 +20,14 @@ from seqloom.operators import intervals as I
 from seqloom.operators import promoters as P
 from seqloom.operators import search as Q
 from seqloom.plans import standins as T
+from seqloom.plans.registry import ORACLES, QUERIES, query
 from seqloom.sources import text as X
 from seqloom.sources.pages import links_udf
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 PROBE = "gatacatt"  # with c
 PLAIN = "gattagat"  # without c
 
 
-def query(sql: str | None = None):
-    def add(function):
-        QUERIES[function.__name__] = function
-        if sql is not None:
-            ORACLES[function.__name__] = sql
-        return function
-
-    return add
-
-
 # SQL of windows and scores -------------------------------------------------------------------
 
 
@@ -170,11 +158,6 @@ def weighted_combo(spark, sf_dir):
     return w.groupBy("accession").agg(F.max(score).alias("best"), F.count("*").alias("n"))
 
 
-@query()
-def blat_anchor(spark, sf_dir):
-    return Q.search([("p", PROBE)], T.genomes(spark, sf_dir), {"blat": 1.0}, top_k=5, distance=1, per_genome=True).drop("scores")
-
-
 _BOTH = f"""{T.GENOMES}, strands AS (SELECT accession, '+' AS strand, dna FROM genomes UNION ALL SELECT accession, '-', reverse(translate(dna, 'acgt', 'tgca')) FROM genomes)"""
 
 
@@ -195,15 +178,13 @@ SELECT * FROM (SELECT *, row_number() OVER ({per}ORDER BY weighted DESC, accessi
 
 @query(f"WITH {_BOTH}, {_peaks_sql(PROBE, _direct_sql(PROBE), 5)} SELECT accession, strand, o AS \"offset\", score FROM p WHERE score > 0 AND score = peak")
 def direct_suppress(spark, sf_dir):
-    w = Q.windows(Q.strands(T.genomes(spark, sf_dir)), 8, halo=4)
-    scored = w.withColumn("score", S.direct(PROBE, F.col("window")))
-    kept = Q.local_maxima(scored, 5, ["accession", "strand", "chunk"]).where("is_core")
-    return kept.select("accession", "strand", F.col("offset").cast("long"), "score")
+    found = Q.search([("p", PROBE)], T.genomes(spark, sf_dir), {"direct": 1.0}, top_k=1 << 30, per_genome=True)
+    return found.select("accession", "strand", "offset", F.col("weighted").alias("score"))
 
 
 @query(_top_sql("p", PROBE, _direct_sql(PROBE), 20, 5))
 def direct_topk_strands(spark, sf_dir):
-    return Q.search([("p", PROBE)], T.genomes(spark, sf_dir), {"direct": 1.0}, top_k=20, engine="columns").drop("scores")
+    return Q.search([("p", PROBE)], T.genomes(spark, sf_dir), {"direct": 1.0}, top_k=20).drop("scores")
 
 
 _flag = f"(({_direct_sql(PROBE)} * 1.0 + {_consistency_sql(PROBE, 2)} * 1.0) / 2.0)"
@@ -246,8 +227,8 @@ def best_submatch(spark, sf_dir):
 _CLASSIFY = """CASE WHEN {y} < {a} THEN 'TotallyLeft' WHEN {x} < {a} AND {y} < {b} THEN 'IntersectLeft' WHEN {x} < {a} AND {y} >= {b} THEN 'CoverLeft'
   WHEN {x} >= {a} AND {y} <= {b} THEN 'Inner' WHEN {x} <= {a} AND {y} > {b} THEN 'CoverRight' WHEN {x} <= {b} AND {y} > {b} THEN 'IntersectRight' ELSE 'TotallyRight' END"""
 _class = _CLASSIFY.format(a="seg_left", b="seg_right", x="q_left", y="q_right")
-_label = """CASE klass WHEN 'IntersectLeft' THEN CASE WHEN strand_s = '+' THEN '5''' ELSE '3''' END WHEN 'IntersectRight' THEN CASE WHEN strand_s = '+' THEN '3''' ELSE '5''' END
-  WHEN 'CoverLeft' THEN 'cover' WHEN 'CoverRight' THEN 'cover' WHEN 'Inner' THEN 'cds' ELSE 'inter-genic' END"""
+_label = """CASE WHEN klass IN ('IntersectLeft', 'CoverLeft') THEN CASE WHEN strand_s = '+' THEN '5''' ELSE '3''' END WHEN klass IN ('IntersectRight', 'CoverRight') THEN CASE WHEN strand_s = '+' THEN '3''' ELSE '5''' END
+  WHEN klass = 'Inner' THEN 'cds' ELSE 'inter-genic' END"""
 _overlap = "ranges r JOIN (SELECT accession, seg_id, seg_left, seg_right, strand AS strand_s, gene FROM segments) s ON r.accession = s.accession AND q_left <= seg_right AND seg_left <= q_right"
 
 
@@ -338,13 +319,13 @@ _far_overlap = "(CASE WHEN q_right < seg_left OR q_left > seg_right THEN 0 WHEN
 @query(_nearby_sql(f"CASE WHEN q_left = seg_left AND q_right = seg_right THEN 'hit' WHEN {_inside} THEN 'include' WHEN {_cov} * 100.0 / {_size} >= 90 THEN 'homology' ELSE 'related' END"))
 def nearby_gene_type(spark, sf_dir):
     q = T.ranges(spark, sf_dir).drop("strand")
-    return I.nearby_genes(q, T.segments(spark, sf_dir), "qid", ("accession",)).select("qid", "gene", "type")
+    return I.nearby_genes(q, T.segments(spark, sf_dir), ("accession",)).select("qid", "gene", "type")
 
 
 @query(_nearby_sql(f"CASE WHEN q_left = seg_left AND q_right = seg_right THEN 'hit' WHEN {_far_overlap} * 100.0 / {_size} >= 90 THEN 'homology' WHEN {_inside} THEN 'include' ELSE 'related' END"))
 def nearby_gene_type_compat(spark, sf_dir):
     q = T.ranges(spark, sf_dir).drop("strand")
-    return I.nearby_genes(q, T.segments(spark, sf_dir), "qid", ("accession",), compat=True).select("qid", "gene", "type")
+    return I.nearby_genes(q, T.segments(spark, sf_dir), ("accession",), compat=True).select("qid", "gene", "type")
 
 
 def _nearest_sql(segments: str) -> str:
@@ -368,7 +349,7 @@ def nearest_updown_nested(spark, sf_dir):
 def next_neighbor_strand(spark, sf_dir):
     near = I.nearest(T.ranges(spark, sf_dir), T.segments(spark, sf_dir), ("accession",))
     rows = near.select("qid", "left", "right", "strand", F.explode(F.array("up", "down")).alias("s")).select("qid", "left", "right", "strand", "s.seg_left", "s.seg_right", "s.gene", "s.seg_id")
-    return I.next_on_strand(rows, "qid")
+    return I.next_on_strand(rows, "qid").select("qid", "next_gene")
 
 
 def _gaps_sql(segments: str, reached: str, last: str) -> str:
@@ -417,19 +398,6 @@ def flanks(spark, sf_dir):
     return p.select("accession", up.alias("upstream"), down.alias("downstream"))
 
 
-@query("""WITH n AS (SELECT label_doc, 'g' || label_doc AS gene FROM (SELECT doc_id AS label_doc FROM labels)) SELECT n.gene, text[1:1] AS first, length(text) AS size FROM n JOIN documents ON 'g' || doc_id = gene""")
-def gene_extract(spark, sf_dir):
-    n = T.table(spark, sf_dir, "labels").select(F.concat(F.lit("g"), F.col("doc_id").cast("string")).alias("gene"))
-    s = T.table(spark, sf_dir, "documents").select(F.concat(F.lit("g"), F.col("doc_id").cast("string")).alias("gene"), "text")
-    return n.join(s, "gene").select("gene", D.subsequence("text", F.lit(1), F.lit(1)).alias("first"), F.length("text").cast("long").alias("size"))
-
-
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def missing_names(spark, sf_dir):
-    o = T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return C.missing(T.table(spark, sf_dir, "customer").select("c_custkey"), o, "c_custkey")
-
-
 @query("SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def whitelist_semi(spark, sf_dir):
     w = T.table(spark, sf_dir, "labels").where("toxic = 1")
@@ -465,8 +433,8 @@ def source_distribution(spark, sf_dir):
     return C.distribution(e, F.when(F.col("event_type") != "click", C.first_words("event_type", 1)), "event_id")
 
 
-@query(f"""WITH {T.LAYOUTS}, t AS (SELECT diagram, direction AS toward, idx AS target_idx FROM items WHERE is_gene AND idx = target_at),
-c AS (SELECT i.*, toward, target_idx, CASE WHEN toward = 'Right' THEN idx ELSE -idx END AS n FROM items i JOIN t USING (diagram) WHERE (is_gene AND direction = toward) OR NOT is_gene),
+@query(f"""WITH {T.LAYOUTS}, t AS (SELECT diagram, direction AS toward, top AS target_top, idx AS target_idx FROM items WHERE is_gene AND idx = target_at),
+c AS (SELECT i.*, toward, target_idx, CASE WHEN toward = 'Right' THEN idx ELSE -idx END AS n FROM items i JOIN t USING (diagram) WHERE (is_gene AND direction = toward) OR (NOT is_gene AND top <= target_top)),
 b AS (SELECT *, lag(is_gene) OVER (PARTITION BY diagram ORDER BY n) AS before, min(CASE WHEN NOT is_gene THEN n END) OVER (PARTITION BY diagram ORDER BY n) AS first FROM c),
 o AS (SELECT *, (NOT is_gene AND (coalesce(before, false) OR n = first)) AS opens FROM b),
 u AS (SELECT *, sum(opens::INT) OVER (PARTITION BY diagram ORDER BY n) AS unit FROM o)
@@ -531,12 +499,6 @@ def page_links(spark, sf_dir):
     return p.groupBy("page_id", F.col("l.href").alias("href")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading FROM pages")
-def page_title(spark, sf_dir):
-    p = T.table(spark, sf_dir, "pages")
-    return p.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"))
-
-
 @query("SELECT o_orderkey, 'chr' || o_custkey AS chrom, o_custkey AS \"left\", o_custkey + o_orderkey % 100 AS \"right\", CASE WHEN o_orderstatus = 'F' THEN '+' ELSE '-' END AS strand FROM orders WHERE o_orderkey % 5 <> 0")
 def locus_parse(spark, sf_dir):
     o = T.table(spark, sf_dir, "orders")
@@ -546,12 +508,6 @@ def locus_parse(spark, sf_dir):
     return o.select("o_orderkey", I.parse_locus(locus).alias("p")).where("p is not null").select("o_orderkey", "p.*")
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
-def json_links(spark, sf_dir):
-    e = T.table(spark, sf_dir, "events")
-    return e.select("event_id", F.from_json("props", "map<string,string>")["k"].alias("k"))
-
-
 _stem = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '\\s+', '_', 'g'), '[^a-zA-Z0-9_.]', '', 'g'), '\\.txt|\\..tsv|\\..csv', '', 'g'), '(result|_|all)+$', '')"
 
 
@@ -565,12 +521,12 @@ def file_name_norm(spark, sf_dir):
     return p.select("p_partkey", E.file_stem(F.concat("p_name", F.lit(" "), "p_type", tail)).alias("stem"))
 
 
-@query("SELECT p_partkey, true AS sum_kept, true AS in_bounds FROM part")
+@query("SELECT p_partkey, round(p_retailprice * 3, 2) AS total, true AS in_bounds FROM part")
 def mean_preserving_triple(spark, sf_dir):
     t = E.mean_preserving_triples(T.table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice")
     x = F.col("p_retailprice")
     near = lambda c: (F.col(c) >= x * 0.975) & (F.col(c) < x * 1.025)
-    return t.select("p_partkey", (F.abs(F.col("a") + F.col("b") + F.col("c") - x * 3) < 1e-6).alias("sum_kept"), (near("a") & near("b")).alias("in_bounds"))
+    return t.select("p_partkey", F.round(F.col("a") + F.col("b") + F.col("c"), 2).alias("total"), (near("a") & near("b")).alias("in_bounds"))
 
 
 _words = ("blue", "green", "red", "small", "large")
@@ -669,26 +625,11 @@ def segment_text(spark, sf_dir):
     return p.select("p_partkey", N.segment_text(F.col("p_partkey"), F.col("p_partkey") + F.col("p_size"), F.when(F.col("p_size") % 4 != 0, F.col("p_name"))).alias("line"))
 
 
-def _near_report(spark, sf_dir):
-    s = T.segments(spark, sf_dir)
-    q = T.ranges(spark, sf_dir)
-    near = I.nearest(q, s, ("accession",), strict=False)
-    ends = q.select("qid", "accession", F.explode(F.array("left", "right")).alias("left")).withColumn("right", F.col("left"))
-    inside = I.overlap_join(ends, s.drop("strand"), ("accession",), 2000).select("qid", "gene")
-    sides = near.select("qid", F.explode(F.array("up.gene", "down.gene")).alias("gene")).where("gene is not null")
-    return sides.unionByName(inside).distinct()
-
-
-@query(f"""WITH {T.SEGMENTS}, {T.RANGES}
-SELECT qid, gene FROM (SELECT qid, (SELECT arg_max(gene, struct_pack(r := seg_right, i := -seg_id)) FROM segments s WHERE s.accession = r.accession AND seg_right <= q_left) AS gene FROM ranges r) WHERE gene IS NOT NULL
-UNION SELECT qid, gene FROM (SELECT qid, (SELECT arg_min(gene, struct_pack(l := seg_left, i := seg_id)) FROM segments s WHERE s.accession = r.accession AND seg_left >= q_right) AS gene FROM ranges r) WHERE gene IS NOT NULL
-UNION SELECT qid, gene FROM ranges r JOIN segments s ON r.accession = s.accession AND (q_left BETWEEN seg_left AND seg_right OR q_right BETWEEN seg_left AND seg_right)""")
-def neighbors_and_containing(spark, sf_dir):
-    return _near_report(spark, sf_dir)
-
-
 @query("SELECT conv_id, string_agg(role, '>' ORDER BY turn, role, text) AS roles, max(turn) AS last FROM conversations GROUP BY conv_id")
 def ordered_members(spark, sf_dir):
     c = T.table(spark, sf_dir, "conversations")
     rows = c.select("conv_id", F.struct("turn", "role", "text").alias("k"))
     return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("k")), lambda x: x["role"]), ">").alias("roles"), F.max("k.turn").alias("last"))
+
+
+from seqloom.plans import report_queries  # noqa: E402,F401  (registers its own)

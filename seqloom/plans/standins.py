@@ -68,7 +68,7 @@ def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "idx",
         (F.col("idx") * 10).alias("left"),
         (F.col("idx") * 10 + 5).alias("right"),
-        F.lit(0).alias("top"),
+        (F.col("l_partkey") % 2).alias("top"),
         "is_gene",
         (~gene).alias("is_promoter"),
         F.when(F.col("l_linestatus") == "O", "Right").otherwise("Left").alias("direction"),
@@ -79,6 +79,17 @@ def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LAYOUTS = """items AS (SELECT l_orderkey AS diagram, idx, l_returnflag <> 'R' AS is_gene,
-  CASE WHEN l_linestatus = 'O' THEN 'Right' ELSE 'Left' END AS direction, l_partkey AS pos, 'p' || l_suppkey AS name,
+  CASE WHEN l_linestatus = 'O' THEN 'Right' ELSE 'Left' END AS direction, l_partkey AS pos, l_partkey % 2 AS top, 'p' || l_suppkey AS name,
   max(CASE WHEN l_returnflag <> 'R' THEN idx END) OVER (PARTITION BY l_orderkey) AS target_at
   FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS idx FROM lineitem))"""
+
+
+def source_genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``accession, source, dna, length``: a genome for each source, 500 bases longer than its documents."""
+    total = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("accession")).agg((F.sum("n_chars") + 500).alias("length"))
+    dna = F.substring(F.repeat(F.lit("acgttagcca"), F.floor(F.col("length") / 10).cast("int") + 1), F.lit(1), F.col("length").cast("int"))
+    return total.select("accession", F.concat(F.lit("Bug "), "accession").alias("source"), dna.alias("dna"), "length")
+
+
+SOURCE_GENOMES = """source_genomes AS (SELECT accession, 'Bug ' || accession AS source, substr(repeat('acgttagcca', (length // 10 + 1)::BIGINT), 1, length) AS dna, length
+  FROM (SELECT source AS accession, sum(n_chars)::BIGINT + 500 AS length FROM documents GROUP BY source))"""

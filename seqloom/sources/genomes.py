@@ -105,33 +105,43 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_segments(spark: SparkSession, path: str, repeat_regions: bool = True) -> DataFrame:
     """Features of flat files: a row each, ``seg_id`` counts from 0 in file order."""
+    return segments_of(_files(spark, path), repeat_regions)
+
+
+def segments_of(files: DataFrame, repeat_regions: bool = True) -> DataFrame:
+    """The same from ``accession, text`` rows."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for accession, text in zip(batch.column("accession").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                _, _, found, _ = parse_genome(text, repeat_regions)
+                _, _, found, _ = parse_genome(text or "", repeat_regions)
                 rows = [{"accession": accession, "seg_id": i, **{a: None for a in ATTRIBUTES}, **s, "xref": list(s["xref"].items())} for i, s in enumerate(found)]
                 kinds = {"seg_id": pa.int32(), "seg_left": pa.int64(), "seg_right": pa.int64(), "gene_id": pa.int64(), "xref": pa.map_(pa.string(), pa.string())}
                 names = ["accession", "seg_id", "seg_left", "seg_right", *ATTRIBUTES, "gene_id", "xref"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names], names=names)
 
-    return _files(spark, path).mapInArrow(parse, _SEGMENT)
+    return files.select("accession", "text").mapInArrow(parse, _SEGMENT)
 
 
 def read_genomes(spark: SparkSession, path: str) -> DataFrame:
     """``accession, source, dna, length`` of flat files; files whose sequence isn't reached have no row."""
+    return genomes_of(_files(spark, path))
+
+
+def genomes_of(files: DataFrame) -> DataFrame:
+    """The same from ``accession, text`` rows."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for accession, text in zip(batch.column("accession").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                source, dna, _, whole = parse_genome(text, genes=False)
+                source, dna, _, whole = parse_genome(text or "", genes=False)
                 if whole:
                     rows.append((accession, source, dna, len(dna)))
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["accession", "source", "dna", "length"])
 
-    return _files(spark, path).mapInArrow(parse, _GENOME)
+    return files.select("accession", "text").mapInArrow(parse, _GENOME)
 
 
 def read_gene_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -140,7 +150,12 @@ def read_gene_fasta(spark: SparkSession, path: str) -> DataFrame:
     ``accession, seg_id, gene, locus_tag, gbkey, location, seg_left, seg_right, strand, sequence``; a missing gene is
     ``Unknown:<locus_tag>``; sequences are lower case.
     """
-    rows = records(lines(spark, path), "file", F.col("line").startswith(">lcl")).where("rec > 0")
+    return gene_fasta_of(lines(spark, path))
+
+
+def gene_fasta_of(text: DataFrame) -> DataFrame:
+    """The same from ``file, ln, line`` rows."""
+    rows = records(text, "file", F.col("line").startswith(">lcl")).where("rec > 0")
     head = F.col("line").startswith(">")
     blocks = rows.groupBy("file", "rec").agg(
         F.max(F.when(head, F.col("line"))).alias("h"),

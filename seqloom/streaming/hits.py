@@ -1,4 +1,4 @@
-"""Optional streaming forms: the same column operators over unbounded hit lists and events."""
+"""Optional streaming forms: the same column operators over unbounded hit lists."""
 
 from __future__ import annotations
 
@@ -12,8 +12,3 @@ def locate_stream(hits: DataFrame, segments: DataFrame, bin_size: int = I.BIN) -
     """A stream of ``accession, left, right, ..`` joined to a static gene table: overlaps with their class."""
     found = I.overlap_join(hits, segments, ("accession",), bin_size)
     return found.withColumn("klass", I.classify("seg_left", "seg_right", "left", "right"))
-
-
-def windowed_counts(events: DataFrame, value: str, time: str = "ts", size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts of a value in tumbling windows; rows later than the watermark don't count."""
-    return events.withWatermark(time, late).groupBy(F.window(time, size), value).agg(F.count("*").alias("n"))

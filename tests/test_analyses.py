@@ -24,8 +24,9 @@ def test_neighbours(spark, world):
     rows = {x.start: x for x in out["neighbors"].collect()}
     assert [g.gene for g in rows[22].genes] == ["one", "two"] and rows[22].sequence == dna[21:28]
     assert [g.gene for g in rows[45].genes] == ["one", "two", "six"] and rows[45].sequence == rc(dna[34:45])
-    assert sorted(str(x.next_gene) for x in out["next"].collect()) == ["None", "one", "two"]
-    assert [(x.value, x.n, round(x.percent, 2)) for x in out["source_counts"].collect()] == [("Some", 2, 66.67)]
+    assert sorted(str(x.next_gene) for x in out["next"].collect()) == ["one", "two"]
+    assert [(x.value, x.n, round(x.percent, 2)) for x in out["source_counts"].collect()] == [("Some", 2, 100.0)]
+    assert [x.line for x in out["errors"].collect()] == [">zz/1-2"]
     assert sum(x.n for x in out["gene_counts"].collect()) == 2
 
 
@@ -35,22 +36,22 @@ def test_extraction(spark, world):
     found, lost = A.gene_extract(segments, genomes, wanted)
     assert [x.sequence for x in found.collect()] == [dna[29:40]] and [x.gene for x in lost.collect()] == ["none"]
     table = spark.createDataFrame([("a", "given", "3", "6"), ("b", "", "6", "3"), ("c", None, "4", "4")], "n string, sequence string, p string, g string")
-    got = {x.n: x.sequence for x in A.range_extract(table, dna).collect()}
+    got = {x.n: x.sequence for x in A.range_extract(table, spark.createDataFrame([(dna,)], "dna string")).collect()}
     assert got == {"a": "given", "b": rc(dna[3:6]), "c": ""}
     f = A.gene_flanks(segments, genomes, spark.createDataFrame([("two->shown", 40, 30), ("one", 1, 2)], "gene string, map_start_pos long, map_end_pos long"), 6).collect()
-    assert [(x.gene, x.upstream, x.downstream) for x in f] == [("shown", rc(dna[40:46]), rc(dna[23:29]))]
+    assert [(x.gene, x.upstream, x.downstream, x.stream) for x in f] == [("shown", rc(dna[40:46]), rc(dna[23:29]), rc(dna[29:40]))]
     regions = A.gene_range_extract(segments, genomes).where("kind = 'gap'").orderBy("left").collect()
     assert [(x.left, x.right) for x in regions] == [(1, 4), (21, 29), (41, 49), (61, 80)]
 
 
 def test_ranges_near_genes(spark, world):
     dna, genomes, segments = world
-    q = spark.createDataFrame([("r", 31, 39, "c1:31-39(-)")], "name string, start long, end long, locus string")
+    q = spark.createDataFrame([("r", 39, 31, "c1:31-39(-)")], "name string, start long, end long, locus string")
     (x,) = A.near_gene_report(q, segments, genomes).where("type = 'include'").collect()
     assert (x.gene, x.length, x.compare_length, x.sequence) == ("two", 9, 9, rc(dna[29:40]))
     t = spark.createDataFrame([("DR1", "c1:30-40(+)"), ("x", "c1:1-4(-)"), ("DR2", "bad")], "Gene string, Locus string")
     got = {x.Gene: (x.sequence, x.hit) for x in A.gentamycin(t, segments, genomes).collect()}
-    assert got["DR1"] == (dna[29:40], "two") and got["x"] == (rc(dna[:4]), "") and got["DR2"][1] == ""
+    assert got["DR1"] == (dna[29:40], "two") and got["x"] == (rc(dna[:4]), "") and got["DR2"] == (None, "")
     tags = spark.createDataFrame([("n", '{"a": "acg", "b": "t"}')], "name string, sequences string")
     assert sorted(map(tuple, A.consistency_table(tags).collect())) == [("n-a", "acg"), ("n-b", "t")]
 
@@ -59,7 +60,7 @@ def test_enrichment(spark):
     genes = spark.createDataFrame([("thrA->A",), ("zzz",)], "gene string")
     pg = spark.createDataFrame(
         [
-            ("search", "thrA", "<a href='/gene?orgid=ECOLI&id=EG7'>thrA</a>"),
+            ("gene", "thrA", "<a href='/gene?orgid=ECOLI&id=EG7'>thrA</a>"),
             ("tu", "EG7", "<table><tr><td>Enzyme</td><td>kinase</td></tr><tr><td>Protein</td><td>prot</td></tr></table>"),
             ("summary", "EG7", "<h3>Summary</h3>text<p class='ecoparagraph'>"),
             ("go", "EG7", "<table class='g'><tr><td>Process:</td><td><table><tr><td>x</td><td><a>t1</a></td></tr></table></td></tr></table>"),
@@ -68,7 +69,7 @@ def test_enrichment(spark):
     )
     ok, bad = A.ecocyc_analysis(genes, pg, get_summary=True, get_go=True)
     (x,) = ok.collect()
-    assert (x.id, x.shown, x.product_type, x.summary, x.go) == ("EG7", "A", "protein", "text", "Process=t1")
+    assert (x.id, x.gene, x.product_type, x.summary, x.go) == ("EG7", "thrA->A", "protein", "text", "Process=t1")
     assert [y.gene for y in bad.collect()] == ["zzz"]
     counts = A.search_counts(genes.select(F.lit("g").alias("name")).distinct(), ["a", "b"], spark.createDataFrame([("g", "a", '<div class="results-amount">\n1,204\n')], "name string, keyword string, body string"))
     assert [tuple(r) for r in counts.collect()] == [("g", 1204, 0)]
@@ -79,7 +80,80 @@ def test_layout(spark):
     items = A.layout_items(spark.createDataFrame([("d", body)], "diagram string, body string"), "abc")
     from seqloom.operators.promoters import best_promoter
 
-    assert [tuple(r) for r in best_promoter(items).collect()] == [("d", "P1", 1100)]
+    assert [tuple(r) for r in best_promoter(items).collect()] == [("d", "P1", 1100, 1000)]
+
+
+def brute_label(a, b, x, y, plus):
+    """As the records' ends are reached over, from the left first."""
+    if y < a or x > b:
+        return "inter-genic"
+    if x < a:
+        return "5'" if plus else "3'"
+    if y > b:
+        return "3'" if plus else "5'"
+    return "cds"
+
+
+def test_labels_of_all_overlaps(spark):
+    from seqloom.operators import intervals as I
+
+    rows = [(a, b, x, y, d) for a in range(1, 5) for b in range(a, 5) for x in range(0, 6) for y in range(x, 6) for d in "><"]
+    df = spark.createDataFrame(rows, "a long, b long, x long, y long, d string")
+    for r in df.withColumn("l", I.location_label(I.classify("a", "b", "x", "y"), "d")).collect():
+        assert r.l == brute_label(r.a, r.b, r.x, r.y, r.d == ">")
+
+
+def test_location_files(spark, tmp_path):
+    """From a search result's file to both location files and the flat table."""
+    (tmp_path / "r.txt").write_text(
+        "(1)\n>NC1/10-17\tname=p,direction=+,weighted_similarity=3.00,consistency_similarity=3.00,original      :=gattacat,consistency_match_format  :=***.-**.\nmore\n\n(2)\n>NC1/200-193\tname=q,direction=-,weighted_similarity=1.00\n\n"
+    )
+    (tmp_path / "g.tsv").write_text("gene\tproduct\tmap_start_pos\tmap_end_pos\tpromoter_name\tpromoter_pos\tgene_start_pos\ttype\nabc\tprod\t12\t40\tP1\t2\t12\tt1\nabc\tlater\t90\t60\t\t\t\tt2\n")
+    out = A.gene_location_analysis(spark, str(tmp_path / "r.txt"), str(tmp_path / "g.tsv"), str(tmp_path / "o"), output_promoter=True)
+    rows = {x.rec: x for x in out["location"].collect()}
+    assert [t.split("\n")[0] for t in rows[1].locations] == ["3' of P1", "5' of abc"] and rows[2].locations == ["inter-genic of abc, None"]
+    assert rows[1].locations[1].split("\n")[1:] == ["original direction  : >>>>>>>>>>", "intersect direction : ***>>>>>>>", "12-40\tgene=abc\tproduct=prod"]
+    (sub,) = out["sub_location"].collect()
+    assert (sub.sub_left, sub.sub_right, sub.start, sub.end, sub.values["consistency_match_format  :"]) == (1, 3, 10, 12, "***")
+    text = "\n".join(f.read_text() for f in sorted((tmp_path / "o" / "r_sub_location_result.txt").glob("part-*")))
+    assert text.startswith("(1-1)\n>NC1/10-12\nOriginal Position\t1\t3\nname\tp\n") and "\n>>>>>>>>>>\nmore\n" in text
+    matches, table = A.match_rows(A.X.lines(spark, str(tmp_path / "r.txt"))), A.X.table(spark, str(tmp_path / "g.tsv"))
+    flat = {(x["index"], x.gene_name): x for x in A.location_tsv(matches, table, 1).collect()}
+    assert flat["1", "abc"].location == "antisense 5'utr" and flat["1", "abc"].type == "t2" and flat["1", "abc"]["location end 1"] == 3 and flat["2", "abc,None"].location == "inter genic"
+    wanted = spark.createDataFrame([("ABC",)], "name string")
+    assert [x.rec for x in A.gene_locations(matches, table, wanted=wanted, process_sub_data=False)["location"].collect()] == [1]
+    assert A.gene_locations(matches, table, filter_sub_span=(0, 0))["sub_location"].count() == 0
+
+
+def test_sweeps_over_cells(spark, monkeypatch):
+    """Ranks, neighbours and gaps with cells of a few positions equal those of one sweep."""
+    import random
+
+    from seqloom.operators import intervals as I
+
+    r = random.Random(21)
+    segs = [("a" if i % 3 else "b", i, x := r.randrange(400), x + r.randrange(30), f"g{i}") for i in range(80)]
+    segs = [(acc, k, *x[2:]) for k, (acc, x) in enumerate(sorted(((s[0], s) for s in segs), key=lambda t: (t[0], t[1][2])))]
+    s = spark.createDataFrame(segs, "accession string, seg_id long, seg_left long, seg_right long, gene string")
+    q = spark.createDataFrame([(i, r.choice("abc"), x := r.randrange(-5, 450), x + r.randrange(60)) for i in range(120)], "qid long, accession string, left long, right long")
+    lengths = spark.createDataFrame([("a", 500), ("b", 500), ("c", 9)], "accession string, length long")
+
+    def every():
+        return [
+            sorted(map(str, f.collect()))
+            for f in (
+                I.lower_bound(q, s.select("accession", F.col("seg_left").alias("start")), ("accession",), "left"), I.ranked(s, ("accession",)), I.nearest(q, s, ("accession",)), I.nearest(q, s, ("accession",), strict=False), I.nearest(q, s), I.ranked(s),
+                I.gaps(s, lengths), I.gaps(s, lengths, compat=True), I.nearby_genes(q, s, ("accession",)).drop("query_row"), I.with_sequence(q, lengths.select("accession", F.repeat(F.lit("acgtt"), F.lit(90)).alias("dna")), "left", "right", F.col("qid") % 2 == 0),
+            )
+        ]
+
+    whole = every()
+    monkeypatch.setattr(I, "SWEEP", 16)
+    monkeypatch.setattr(I, "PART", 7)
+    assert every() == whole
+    dna = "acgtt" * 90
+    by = {(x.accession, x.left, x.right, x.qid): x.sequence for x in I.with_sequence(q, spark.createDataFrame([("a", dna), ("b", dna)], "accession string, dna string"), "left", "right").collect()}
+    assert len(by) == sum(x.accession != "c" for x in q.collect()) and all(v == dna[max(a, 1) - 1 : max(b, 0)] for (_, a, b, _), v in by.items())
 
 
 def test_streams(spark, tmp_path, world):

@@ -95,7 +95,7 @@ def test_locus(spark):
 def test_locate_native_and_by_ranks(spark):
     from seqloom.plans.analyses import locate
 
-    recs = spark.createDataFrame([(i, a, a, b, f"g{i}", d) for i, (a, b, d) in enumerate([(10, 50, ">"), (60, 90, "<"), (120, 150, ">")])], "seg_id long, seg_start long, seg_left long, seg_right long, gene string, direction string")
+    recs = spark.createDataFrame([(i, a, b, a, b, f"g{i}", d, True, "p") for i, (a, b, d) in enumerate([(10, 50, ">"), (60, 90, "<"), (120, 150, ">")])], "seg_id long, seg_start long, seg_end long, seg_left long, seg_right long, gene string, direction string, is_gene boolean, product string")
     hits = spark.createDataFrame([(1, 5, 20), (2, 95, 85), (3, 100, 110), (4, 1, 3)], "id long, start long, end long")
     for compat in (False, True):
         got = {x.id: (x.gene, x.location, x.label) for x in locate(hits, recs, compat).collect()}
