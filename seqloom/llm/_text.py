@@ -37,7 +37,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 #: Constants of the two hashes of spans: for sizes, for lanes, and for places of lanes.
 _SEEDS = ((0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, 0xA24BAED4963EE407), (0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25, 0x2545F4914F6CDD1D))
 #: Spans of up to so many lanes of eight bytes are hashed lane after lane, longer ones by sums over all lanes.
-_CHAIN = 8
+_CHAIN = 128
 
 
 @dataclass
