@@ -26,9 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own for one table of one run."""
-    return f"{shared_dir(spark)}/seqloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/seqloom-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def made() -> list[str]:
+    """Paths of the tables written so far that have not been discarded."""
+    return list(_made)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes written tables that nothing reads any more; what isn't there is passed over."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in paths:
+        at = hadoop.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove(path)
 
 
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:

@@ -120,6 +120,52 @@ def test_repeated_passages(spark):
     assert cut[1] == by[1] and len(cut[2]) < len(by[2]) / 2 and cut[7] is None and cut[3] == by[3]
 
 
+def slow_chunks(data):
+    """(start, stop) of the chunks of a text, byte by byte."""
+    m = substring_dedup
+    cuts, last = [0], 0
+    for p in range(m.WINDOW, len(data)):
+        h = sum(int(m._GEAR[data[p - 1 - k]]) << k for k in range(m.WINDOW)) & 0xFFFF
+        if h >> (16 - m.CUT_BITS) == 0 and p - last >= m.MIN_CHUNK:
+            cuts.append(p)
+            last = p
+    for a, b in zip(cuts, [*cuts[1:], len(data)]):
+        for at in range(a, b, m.MAX_CHUNK):
+            yield at, min(at + m.MAX_CHUNK, b)
+
+
+def test_repeated_spans_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "é" * 400), (-4, "x" + "é" * 400)], "doc_id long, text string"))
+    texts = {x.doc_id: (x.text or "").encode() for x in docs.collect()}
+    chunks = {i: list(slow_chunks(b)) for i, b in texts.items()}
+    held = {}
+    for i, spans_ in chunks.items():
+        for a, b in spans_:
+            held.setdefault(texts[i][a:b], set()).add(i)
+    want = Counter()
+    for i, spans_ in chunks.items():
+        run = []
+        for a, b in [*spans_, (None, None)]:
+            if a is not None and len(held[texts[i][a:b]]) > 1:
+                run.append((a, b))
+                continue
+            if run and run[-1][1] - run[0][0] >= substring_dedup.MIN_SPAN:
+                firsts = [min(held[texts[i][x:y]]) for x, y in run]
+                want[(i, run[0][0], run[-1][1], len(run), sum(f == i for f in firsts), min(firsts))] += 1
+            run = []
+    got = Counter((x.doc_id, x.start, x.stop, x.n_chunks, x.n_first, x.first_doc) for x in substring_dedup.repeated_spans(docs).collect())
+    assert got == want and len(want) > 10
+    # Passages of over 50 words that two documents share are found in both, where chunks have cuts.
+    words = {i: b.split() for i, b in texts.items()}
+    grams = {}
+    for i, w in words.items():
+        for k in range(len(w) - 50):
+            grams.setdefault(b" ".join(w[k : k + 51]), set()).add(i)
+    shared = set().union(*(ids for ids in grams.values() if len(ids) > 1))
+    assert len(shared & {x[0] for x in got}) >= 0.98 * len(shared) and len(shared) > 10
+
+
 def test_chunks_cover_and_shift(spark):
     r = random.Random(5)
     body = text(r, 3000).encode()
