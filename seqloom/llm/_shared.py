@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,14 +50,17 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         _made.remove(path)
 
 
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy", light: bool = False) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back.
 
     This cuts the lineage: a lost executor costs only its own tasks, and later
-    stages don't compute ``df`` again.
+    stages don't compute ``df`` again.  A ``light`` table (a few numbers for a row of the input at most) is written
+    by a quarter of the tasks of a shuffle, for fewer small files.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if light:
+        df = df.coalesce(max(1, partitions(spark) // 4))
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -71,13 +74,31 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def with_row_keys(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` stored with a unique long in one more column, and the name of that.
+    """``docs`` with a unique long in one more column, the same in each use, and the name of that.
 
-    Stored, because the key must be the same in each use.  It tells rows apart that share a
-    doc_id, or have none, or are equal in all columns.
+    It tells rows apart that share a doc_id, or have none, or are equal in all columns.  Of files as they
+    were read it is made from a row's file and place (a row for each file, which the driver lists anyway, goes to
+    all tasks); anything else is stored once.
     """
     key = free_name(docs, "row_key")
-    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+    if not _reads_files(docs):
+        return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed", "zstd"), key
+    path, place, number = (free_name(docs, x) for x in ("file_path", "file_place", "file_number"))
+    files = docs.select(F.col("_metadata.file_path").alias(path)).distinct()
+    files = materialize(files.withColumn(number, F.row_number().over(Window.orderBy(path)).cast("long")), "files")
+    placed = docs.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place)).join(F.broadcast(files), path)
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], (F.shiftleft(number, 40) + F.col(place)).alias(key)), key
+
+
+def _reads_files(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a Parquet folder as read, without any step after."""
+    if "_metadata" in map(str.lower, docs.columns):
+        return False
+    try:
+        plan = docs._jdf.queryExecution().analyzed()
+    except AttributeError:  # a remote session shows no plan
+        return False
+    return plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.toString().split("\n")[0]
 
 
 def partitions(spark: SparkSession) -> int:

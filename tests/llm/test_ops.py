@@ -787,6 +787,22 @@ def test_stages_keep_clashing_columns(spark):
     assert all(f(df.where("false")).count() == 0 for f in (odd_minhash.one_of_each, substring_dedup.without_repeats, source_mix.mixed_documents))
 
 
+def test_row_keys(spark, tmp_path):
+    from seqloom.llm import _shared
+
+    rows = [(i % 3, "same") for i in range(40)]
+    df = spark.createDataFrame(rows, "a long, row_key string").repartition(5)
+    df.write.parquet(str(tmp_path / "a b"))
+    read = spark.read.parquet(str(tmp_path / "a b"))
+    for docs, stored in ((df, True), (read, False), (read.where("a < 2"), True), (read.unionByName(read), True), (read.withColumnRenamed("a", "_metadata"), True)):
+        before = len([p for p in _shared.made() if "keyed" in p])
+        keyed, key = _shared.with_row_keys(docs)
+        assert keyed.columns == [*docs.columns, key] and key == "row_key_"
+        assert (len([p for p in _shared.made() if "keyed" in p]) > before) == stored
+        ids = [x[key] for x in keyed.collect()]
+        assert len(set(ids)) == len(ids) == docs.count() and sorted(ids) == sorted(x[key] for x in keyed.select(key).collect())
+
+
 def test_regular_words_are_told_apart(spark):
     x = "a"
     for _ in range(11):
