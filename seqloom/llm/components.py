@@ -48,7 +48,7 @@ def connected_components(edges: DataFrame, small: int = SMALL, most_rounds: int
     start or after some rounds, is finished by one task.  Only counts reach the driver.  Loops
     and repeated edges are harmless.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", light=True)
     state = _state(now)
     for _ in range(most_rounds):
         if state[0] <= small:
@@ -59,7 +59,7 @@ def connected_components(edges: DataFrame, small: int = SMALL, most_rounds: int
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(least, "a")
         both_ends = linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(linked.select("a", F.col("m").alias("b")))
-        now = materialize(both_ends.where("a <> b").distinct(), "edges")
+        now = materialize(both_ends.where("a <> b").distinct(), "edges", light=True)
         new = _state(now)
         if new == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

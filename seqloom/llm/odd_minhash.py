@@ -8,10 +8,10 @@
 3. In each bucket of a band every member is paired with the bucket's most connected member
    only.  Pairs that their sketches allow are confirmed on the full sets, and components
    formed.  A large group of near copies costs a pair for each member, not for each two.
-4. Buckets that still hold several components are looked at again, across components: pairs
-   are ruled out by a bound on what they can share (from shingles that no other candidate has, and
-   from each one's exact intersection with the bucket's center), then by sketches, and the rest
-   confirmed on full sets.
+4. Buckets that still hold several components are looked at again, across components: sets whose
+   shingles no other candidate has are ruled out first; of the others those meet that have about the same size
+   and share about as much with the bucket's center (as similar sets must); their pairs are ruled out by a bound on
+   what they can share, then by sketches, and the rest confirmed on full sets.
 
 A pair at the threshold shares no band with probability 2e-10 for 30 bands of 4 at 0.85 and
 2e-7 at 0.8; the sketch's margin is six standard deviations.  Everything is keyed by node, and
@@ -37,6 +37,8 @@ SKETCH_WORDS = 4  # of 64 bits
 #: Words of 64 bits in the bit set of wanted sets (8 MB).
 FILTER_WORDS = 1 << 20
 COUNT_AT_ONCE = 1 << 18
+#: Members of a center that meet its set in one task.
+MEMBERS = 512
 
 _SAMPLES = BANDS * ROWS
 _A = (mix64(np.arange(1, _SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E6C63D0876A9A35)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -131,7 +133,7 @@ def _place(d1: Column, doc_id: Column) -> Column:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``node, shingles`` (sorted) of the nodes in ``wanted(node, rep, d1, d2)``, from their whole texts.
+    """``wanted(node, rep, d1, d2, ..)`` with ``shingles`` (sorted) in place of rep and digests, from whole texts.
 
     A bit set of fixed size tells tasks which texts may be wanted, so texts are not shuffled;
     the join on the digest then settles it.
@@ -156,24 +158,52 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(i[at]), pa.array(d1[at]), pa.array(d2[at]), whole.take(pa.array(at))], names=["doc", "d1", "d2", "shingles"])
 
     made = _rows(docs).mapInArrow(sets, "doc long, d1 long, d2 long, shingles array<long>")
-    keys = wanted.select("node", F.coalesce("rep", F.lit(0)).alias("doc"), "d1", "d2")
-    return made.join(keys, ["doc", "d1", "d2"]).select("node", "shingles").dropDuplicates(["node"])
+    # Rows of one doc_id and text are one set; aggregated as they are joined, so sets move once.
+    made = made.groupBy("doc", "d1", "d2").agg(F.first("shingles").alias("shingles"))
+    keys = wanted.withColumn("doc", F.coalesce("rep", F.lit(0))).drop("rep")
+    return made.join(keys, ["doc", "d1", "d2"]).drop("doc", "d1", "d2")
 
 
 def _sketch_bits(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _SKETCH), F.lit(0))
 
 
-def _intersections(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` with ``shared``, the size of the intersection, and ``total``, the sum of both sizes."""
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left_set")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right_set")), "b")
-    return both.select("a", "b", F.size(F.array_intersect("left_set", "right_set")).cast("long").alias("shared"), (F.size("left_set") + F.size("right_set")).cast("long").alias("total"))
+def _fans(pairs: DataFrame) -> DataFrame:
+    """``center, fan`` of ``pairs(node, center)``: in how many tasks a center's set meets those of its members."""
+    return pairs.groupBy("center").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("fan"))
+
+
+def _part() -> Column:
+    return F.pmod(F.xxhash64("node"), F.col("fan")).cast("int").alias("part")
+
+
+def _meet(members: DataFrame, center_sets: DataFrame, fans: DataFrame) -> DataFrame:
+    """``node, center`` with ``shared``, the size of the intersection, and ``total``, the sum of both sizes.
+
+    ``members(node, shingles, center, part)``: a member's set goes to each of its centers.  A center with very many
+    members has a copy of its own set for every MEMBERS of them, so they meet in as many tasks.
+    """
+    right = center_sets.select(F.col("node").alias("center"), F.col("shingles").alias("right_set")).join(fans, "center")
+    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))).drop("fan")
+    both = members.withColumnRenamed("shingles", "left_set").join(right, ["center", "part"])
+    return both.select("node", "center", F.size(F.array_intersect("left_set", "right_set")).cast("long").alias("shared"), (F.size("left_set") + F.size("right_set")).cast("long").alias("total"))
+
+
+def _to_centers(pairs: DataFrame, sets: DataFrame, center_sets: DataFrame) -> DataFrame:
+    """The same for ``pairs(node, center)``."""
+    fans = _fans(pairs)
+    members = pairs.join(fans, "center").select("node", "center", _part()).join(sets.select("node", "shingles"), "node")
+    return _meet(members, center_sets, fans)
+
+
+def _similar(percent: int) -> Column:
+    return F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs(a, b)``, those with 100 * intersection >= percent * union on the full sets."""
-    return _intersections(pairs, sets).where(F.col("shared") * 100 >= (F.col("total") - F.col("shared")) * percent).select("a", "b")
+    named = pairs.select(F.col("a").alias("node"), F.col("b").alias("center"))
+    return _to_centers(named, sets, sets).where(_similar(percent)).select(F.col("node").alias("a"), F.col("center").alias("b"))
 
 
 def _unshared(sets: DataFrame) -> DataFrame:
@@ -201,6 +231,21 @@ def _unshared(sets: DataFrame) -> DataFrame:
     return once.groupBy(F.col("owner").alias("node")).agg(F.count("*").alias("alone"))
 
 
+def _cells(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of ``rows(n, inside, ..)`` with keys ``level`` and ``cell``, that similar sets share once.
+
+    Similar sets have sizes within ``100 / percent`` of each other, and what they share with a third set differs by
+    ``(100 - percent) / percent`` of the lesser size at most: so levels of sizes, and cells of ``inside`` as wide as
+    that, differ by one at most.
+    """
+    ratio = max(100 / percent, 1.01) * 1.0001
+    level = F.floor(F.log(F.col("n").cast("double")) / math.log(ratio) + 1e-9)
+    cell = lambda at: F.floor(F.col("inside") / (F.pow(F.lit(ratio), at + 1) * ((100 - percent) / percent) + 1))
+    one = rows.select("*", F.explode(F.sequence(level - 1, level + 1)).alias("level"))
+    other = rows.withColumn("level", level)
+    return one.withColumn("cell", cell(F.col("level"))), other.select("*", F.explode(F.sequence(cell(F.col("level")) - 1, cell(F.col("level")) + 1)).alias("cell"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``.
 
@@ -221,48 +266,59 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(keyed.join(sizes, "key"), "members")
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    known = materialize(nodes.join(degree, "node").drop("bands"), "known")
-    centers = materialize(members.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct(F.col("degree"), -F.col("node"))).alias("center")), "centers")
-    sets = materialize(full_sets(docs, known.select("node", "rep", "d1", "d2"), k), "sets")
+    known = materialize(nodes.join(degree, "node").drop("bands"), "known", light=True)
+    centers = materialize(members.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct(F.col("degree"), -F.col("node"))).alias("center")), "centers", light=True)
 
+    # Each member with its buckets' centers, at most one for each band; what sketches rule out goes.
     ends = known.select("node", "n", *_SKETCH)
     limit = sketch_limit(percent / 100)
     possible = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (_sketch_bits("x", "y") <= limit)
-    stars = members.join(centers, "key").where("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
-    checked = stars.join(ends.alias("x"), F.col("a") == F.col("x.node")).join(ends.alias("y"), F.col("b") == F.col("y.node")).where(possible)
-    linked = materialize(_confirmed(checked.select("a", "b"), sets, percent), "links")
-    labels = materialize(connected_components(linked), "labels")
+    stars = members.join(centers, "key").where("node <> center").select("node", "center").distinct()
+    checked = stars.join(ends.alias("x"), F.col("x.node") == stars["node"]).join(ends.alias("y"), F.col("center") == F.col("y.node")).where(possible).select(stars["node"], "center")
+    checked = materialize(checked, "stars", light=True)
+    fans = _fans(checked)
+    listed = checked.join(fans, "center").groupBy("node").agg(F.collect_list(F.struct("center", _part())).alias("stars"))
+    flags = centers.select(F.col("center").alias("node")).distinct().withColumn("is_center", F.lit(True))
+    wanted = known.select("node", "rep", "d1", "d2").join(listed, "node", "left").join(flags, "node", "left")
+    sets = materialize(full_sets(docs, wanted, k), "sets")
+    center_sets = sets.where("is_center").select("node", "shingles")
+    near = sets.where("stars is not null").select("node", "shingles", F.explode("stars").alias("s")).select("node", "shingles", "s.center", "s.part")
+    shared = materialize(_meet(near, center_sets, fans), "shared", light=True)
+    linked = shared.where(_similar(percent)).select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+    labels = materialize(connected_components(linked), "labels", light=True)
 
     # Buckets across components: what the stars have not tried.
     named = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rest = materialize(named.join(mixed, "key").join(centers, "key"), "rest")
-    rest_sets = sets.join(rest.select("node").distinct(), "node", "left_semi")
+    rest = materialize(named.join(mixed, "key").join(centers, "key"), "rest", light=True)
+    rest_sets = materialize(sets.select("node", "shingles").join(rest.select("node").distinct(), "node", "left_semi"), "rest-sets", light=True)
     bounds = ends.join(_unshared(rest_sets), "node", "left").select("node", "n", *_SKETCH, F.coalesce("alone", F.lit(0)).alias("alone"))
-    able = bounds.where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent)
+    able = materialize(bounds.where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent), "able", light=True)
+    able_sets = materialize(rest_sets.join(able.select("node"), "node", "left_semi"), "able-sets", light=True)
     # With the bucket's center, a set falls into what it shares with that, what no other set has, and
     # the rest: two sets share at most the lesser of their first parts and of their last parts.
-    to_center = rest.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    inside = _intersections(to_center, sets).select(F.col("a").alias("node"), F.col("b").alias("center"), F.col("shared").alias("inside"))
+    to_center = rest.where("node <> center").join(able.select("node"), "node", "left_semi").select("node", "center").distinct()
+    known_pairs = shared.select("node", "center", F.col("shared").alias("inside"))
+    new_pairs = to_center.join(known_pairs, ["node", "center"], "left_anti")
+    inside = known_pairs.unionByName(_to_centers(new_pairs, able_sets, center_sets).select("node", "center", F.col("shared").alias("inside")))
     middle = labels.select(F.col("node").alias("center"), F.col("label").alias("center_label"))
-    parts = rest.where("node <> center").join(able, "node").join(inside, ["node", "center"]).join(middle, "center", "left").join(nodes.select("node", "bands"), "node")
+    parts = rest.where("node <> center").join(able, "node").join(inside, ["node", "center"]).join(middle, "center", "left")
     aside = F.col("label") != F.coalesce("center_label", "center")
-    open_rest = materialize(parts.select("key", "node", "label", "n", "alone", "inside", (F.col("n") - F.col("inside") - F.col("alone")).alias("free"), "bands", *_SKETCH, aside.alias("aside")), "open")
+    open_rest = materialize(parts.select("key", "node", "label", "n", "alone", "inside", (F.col("n") - F.col("inside") - F.col("alone")).alias("free"), *_SKETCH, aside.alias("aside")), "open", light=True)
     most = F.least(F.col("x.n") - F.col("x.alone"), F.col("y.n") - F.col("y.alone"), F.least("x.inside", "y.inside") + F.least("x.free", "y.free"))
     bound = most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent
-    # A pair of several buckets comes from the first band that both share.
-    common = F.zip_with("x.bands", "y.bands", lambda i, j: F.when(i == j, i))
-    here = F.get(F.array_compact(common), F.lit(0)) == F.col("x.key")
-    pairs = open_rest.where("aside").alias("x").join(open_rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & bound & possible & here)
-    more = _confirmed(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), sets, percent)
-    more = materialize(more, "links")
+    one, other = _cells(open_rest, percent)
+    same_cell = (F.col("x.key") == F.col("y.key")) & (F.col("x.level") == F.col("y.level")) & (F.col("x.cell") == F.col("y.cell"))
+    pairs = one.where("aside").alias("x").join(other.alias("y"), same_cell & (F.col("x.label") != F.col("y.label")) & bound & possible)
+    more = _confirmed(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), able_sets, percent)
+    more = materialize(more, "links", light=True)
     at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
     joints = more.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
     merged = connected_components(joints).select(F.col("node").alias("label"), F.col("label").alias("final"))
 
     named_nodes = nodes.select("node", "d1", "d2", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(merged, "label", "left").withColumn("final", F.coalesce("final", "label"))
     least = named_nodes.groupBy("final").agg(F.min("rep").alias("component_id"))
-    out = materialize(named_nodes.join(least, "final").select("d1", "d2", "component_id"), "components")
+    out = materialize(named_nodes.join(least, "final").select("d1", "d2", "component_id"), "components", light=True)
     done = sig.select("doc_id", "n", "d1", "d2").join(out, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return done.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
@@ -279,7 +335,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     keyed, key = with_row_keys(docs)
     ids = keyed.select(F.col(key).alias("key"), F.col("doc_id").cast("long").alias("id"))
     found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), k, percent).where("n_shingles > 0").select(F.col("doc_id").alias("key"), "component_id")
-    found = materialize(found.join(ids, "key"), "near")
+    found = materialize(found.join(ids, "key"), "near", light=True)
     least = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("kept_key"))
     name = free_name(keyed, "dropped_key")
     dropped = materialize(found.join(least, "component_id").where("key <> kept_key").select(F.col("key").alias(name)), "dropped")
