@@ -86,7 +86,7 @@ def text_edit_scores(probe: str, letters: np.ndarray, limit: int | None = None)
     return out
 
 
-def text_edit_limited(probe: str, limit: int):
+def text_edit_udf(probe: str, limit: int | None = None):
     @F.pandas_udf(DoubleType())
     def score(windows: pd.Series) -> pd.Series:
         out = np.zeros(len(windows))

@@ -86,7 +86,7 @@ def consistency(probe: str, window: Column, patience: int = 0) -> Column:
 def text_edit(probe: str, window: Column) -> Column:
     """Length less the edit distance whose first letters are always aligned.
 
-    Without ``c`` in the probe the built-in distance does; else a fold over rows of the table.
+    Without ``c`` in the probe (after its first letter) the built-in distance does; else numpy tables over batches.
     """
     m = len(probe)
     first = (~_match(probe[0], window, 1)).cast("int")
@@ -95,24 +95,9 @@ def text_edit(probe: str, window: Column) -> Column:
     if "c" not in probe[1:]:
         rest = F.levenshtein(F.lit(probe[1:]), F.substring(window, 2, m - 1))
         return (F.lit(m) - first - rest).cast("double")
-    letters = F.split(F.substring(window, 2, m - 1), "")
-    row = F.sequence(F.lit(0), F.lit(m - 1))
-    for i, base in enumerate(probe[1:], 1):
-        row = _edit_row(row, base, letters, i)
-    return (F.lit(m) - first - F.element_at(row, m)).cast("double")
+    from seqloom.functions.kernels import text_edit_udf
 
-
-def _edit_row(above: Column, base: str, letters: Column, i: int) -> Column:
-    """Next row of the edit table: the fold carries the row above, so it is computed once."""
-
-    def step(acc: Column, x: Column) -> Column:
-        miss = F.when(x.isin("c", "t") if base == "c" else x == base, 0).otherwise(1)
-        k = F.size(acc["row"])
-        cell = F.least(F.element_at(acc["row"], k) + 1, F.element_at(acc["above"], k + 1) + 1, F.element_at(acc["above"], k) + miss)
-        return F.struct(F.concat(acc["row"], F.array(cell)).alias("row"), acc["above"].alias("above"))
-
-    start = F.struct(F.array(F.lit(i)).alias("row"), above.alias("above"))
-    return F.aggregate(letters, start, step, lambda acc: acc["row"])
+    return text_edit_udf(probe)(window)
 
 
 @dataclass(frozen=True)
@@ -214,9 +199,9 @@ def register_similarity(name: str, builder: Builder) -> None:
 def _text_edit(probe: str, window: Column, o: Options) -> Column:
     if o.mismatch_limit is None:
         return text_edit(probe, window)
-    from seqloom.functions.kernels import text_edit_limited
+    from seqloom.functions.kernels import text_edit_udf
 
-    return text_edit_limited(probe, o.mismatch_limit)(window)
+    return text_edit_udf(probe, o.mismatch_limit)(window)
 
 
 def _blat(probe: str, ahead: Column, o: Options) -> Column:

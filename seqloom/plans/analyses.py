@@ -145,15 +145,16 @@ def interval_records(table: DataFrame, promoters: bool = False) -> DataFrame:
 
 
 def located_matches(matches: DataFrame, records: DataFrame, compat: bool = False) -> DataFrame:
-    """``matches(rec, sub, start, end, ..)`` with ``locations``, the texts of what they touch, in order of the records.
+    """``matches(rec, sub, start, end, ..)`` with ``locations``, the texts of what they touch, in order of the records, and ``forward``.
 
-    ``compat`` compares positions as texts for the match's direction, as the arrows of a block do there.
+    ``compat`` compares positions as texts for ``forward``, the direction that a block draws.
     """
     keyed = matches.withColumn("id", F.struct("rec", F.coalesce("sub", F.lit(0)).alias("sub")))
     found = locate(keyed.select("id", "start", "end"), records, compat)
     texts = found.select("id", F.struct(F.coalesce("r_start", F.lit(0)).alias("at"), F.coalesce("r_end", F.lit(0)).alias("to"), K.location_text(found).alias("text")).alias("t"))
     listed = texts.groupBy("id").agg(F.transform(F.sort_array(F.collect_list("t")), lambda x: x["text"]).alias("locations"))
-    return keyed.join(listed, "id").drop("id")
+    kind = "string" if compat else "long"
+    return keyed.join(listed, "id").drop("id").withColumn("forward", F.col("start").cast(kind) < F.col("end").cast(kind))
 
 
 def sub_matches(matches: DataFrame) -> DataFrame:
@@ -565,6 +566,13 @@ def kegg_analysis(ids: DataFrame, pages: DataFrame, is_gene: bool = True) -> tup
     return ok, got.where("p is null").select("id").distinct()
 
 
+def tallies(ok: DataFrame, lost: DataFrame, key: str) -> DataFrame:
+    """``total, solved, failed, percent`` of a run, by distinct keys of its results and of its errors."""
+    both = ok.select(F.col(key).alias("k"), F.lit(1).alias("good")).unionByName(lost.select(F.col(key).alias("k"), F.lit(0).alias("good"))).groupBy("k").agg(F.max("good").alias("good"))
+    n, good = F.count("*"), F.coalesce(F.sum("good"), F.lit(0))
+    return both.agg(n.alias("total"), good.alias("solved"), (n - good).alias("failed"), F.when(n > 0, good * 100.0 / n).alias("percent"))
+
+
 def search_counts(names: DataFrame, keywords: list[str], pages: DataFrame) -> DataFrame:
     """``name`` and the number of results for each keyword, from cached ``pages(name, keyword, body)``."""
     hits = pages.select("name", "keyword", H.count_udf("body").alias("n")).withColumn("hits", F.regexp_replace("n", ",", "").try_cast("bigint"))

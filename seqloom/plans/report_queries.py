@@ -350,6 +350,12 @@ def location_tsv(spark, sf_dir):
     return A.location_tsv(_matches(spark, sf_dir), _gene_table(spark, sf_dir), most_intervals=2).drop("_rec", "_at")
 
 
+@query(f"""{_LOCATED} SELECT qid AS rec, CASE WHEN strand = '+' THEN q_left::VARCHAR < q_right::VARCHAR ELSE q_right::VARCHAR < q_left::VARCHAR END AS forward FROM m WHERE nth = 0""")
+def location_directions_compat(spark, sf_dir):
+    out = A.gene_locations(_matches(spark, sf_dir), _gene_table(spark, sf_dir), process_sub_data=False, compat=True)
+    return out["location"].select("rec", "forward")
+
+
 # Neighbours and extraction -----------------------------------------------------------------------
 
 
@@ -632,6 +638,12 @@ def pathway_text(spark, sf_dir):
     return K.table_lines(ok, [], ["id", "kegg_id", "name", "pathways"]).unionByName(lost.select(F.col("id").alias("line")))
 
 
+@query("""SELECT count(*) AS total, (count(*) FILTER (WHERE p_size % 7 <> 0))::BIGINT AS solved, (count(*) FILTER (WHERE p_size % 7 = 0))::BIGINT AS failed, (count(*) FILTER (WHERE p_size % 7 <> 0)) * 100.0::DOUBLE / count(*) AS percent FROM part""")
+def run_tallies(spark, sf_dir):
+    genes, pages = _gene_pages(spark, sf_dir)
+    return A.tallies(*A.ecocyc_analysis(genes, pages), "gene")
+
+
 @query("""SELECT n_name || chr(9) || CASE WHEN n_nationkey % 3 = 0 THEN 0 WHEN n_nationkey % 3 = 1 THEN 1 ELSE 1000 + n_nationkey END || chr(9) || n_nationkey AS line FROM nation""")
 def search_count_text(spark, sf_dir):
     n = T.table(spark, sf_dir, "nation").withColumnRenamed("n_name", "name")

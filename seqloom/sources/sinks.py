@@ -101,7 +101,7 @@ def location_blocks(located: DataFrame) -> DataFrame:
     number = F.when(F.col("sub").isNull(), F.format_string("(%d)", "rec")).otherwise(F.format_string("(%d-%d)", "rec", "sub"))
     info = F.array_join(F.transform(F.map_entries("values"), lambda e: F.when(e["key"].contains(":"), F.concat(e["key"], e["value"])).otherwise(F.concat(e["key"], F.lit("\t"), e["value"]))), "\n")
     origin = F.when(F.col("sub").isNotNull(), F.format_string("Original Position\t%d\t%d", "sub_left", "sub_right"))
-    arrows = F.repeat(F.when(F.col("start") < F.col("end"), ">").otherwise("<"), F.lit(10))
+    arrows = F.repeat(F.when(F.col("forward"), ">").otherwise("<"), F.lit(10))
     more = F.when(F.size("lines") > 0, F.array_join("lines", "\n"))
     return located.select("rec", "sub", F.concat_ws("\n", number, F.format_string(">%s/%d-%d", "accession", "start", "end"), origin, info, arrows, more, F.array_join("locations", "\n"), F.lit("")).alias("block"))
 
