@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -101,5 +102,31 @@ def _reads_files(docs: DataFrame) -> bool:
     return plan.getClass().getSimpleName() == "LogicalRelation" and "parquet" in plan.toString().split("\n")[0]
 
 
+#: Words of 64 bits in a bit set that is sent to all tasks, at least and at most (32 MB).
+BIT_SET_WORDS = (1 << 10, 1 << 22)
+
+
+def bit_set(keys: DataFrame, n: int) -> np.ndarray:
+    """Bit set of the ``n`` rows of ``keys(key)``, 64-bit numbers: its size grows with ``n`` up to BIT_SET_WORDS.
+
+    Bits are put together before they come to the driver.
+    """
+    low, high = BIT_SET_WORDS
+    size = low
+    while size < high and 4 * size < n:  # 16 bits for a key, as long as that fits
+        size *= 2
+    words = keys.select(F.pmod("key", F.lit(size)).cast("int").alias("word"), F.shiftrightunsigned("key", 58).cast("int").alias("place"))
+    got = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def in_bit_set(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of some 64-bit numbers a bit set may hold."""
+    u = keys.view(np.uint64)
+    return (bits[(u % np.uint64(len(bits))).astype(np.int64)] >> (u >> np.uint64(58))) & np.uint64(1) > 0
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -28,14 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm._shared import free_name, materialize, with_row_keys
+from seqloom.llm._shared import bit_set, free_name, in_bit_set, materialize, with_row_keys
 from seqloom.llm._text import mix64, shingles, word_blocks
 from seqloom.llm.components import connected_components
 
 BANDS, ROWS = 30, 4
 SKETCH_WORDS = 4  # of 64 bits
-#: Words of 64 bits in the bit set of wanted sets (8 MB).
-FILTER_WORDS = 1 << 20
 COUNT_AT_ONCE = 1 << 18
 #: Members of a center that meet its set in one task.
 MEMBERS = 512
@@ -135,23 +133,18 @@ def _place(d1: Column, doc_id: Column) -> Column:
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """``wanted(node, rep, d1, d2, ..)`` with ``shingles`` (sorted) in place of rep and digests, from whole texts.
 
-    A bit set of fixed size tells tasks which texts may be wanted, so texts are not shuffled;
+    A bit set of bounded size tells tasks which texts may be wanted, so texts are not shuffled;
     the join on the digest then settles it.
     """
-    key = _place(F.col("d1"), F.col("rep"))
-    words = wanted.select(F.pmod(key, F.lit(FILTER_WORDS)).cast("int").alias("word"), F.shiftrightunsigned(key, 58).cast("int").alias("place"))
-    got = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits")).toArrow()
-    bits = np.zeros(FILTER_WORDS, np.int64)
-    bits[got["word"].to_numpy()] = got["bits"].to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    bits = bit_set(wanted.select(_place(F.col("d1"), F.col("rep")).alias("key")), wanted.count())
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").fill_null(0).to_numpy()
             for first, n, flat, bounds, d1, d2 in _set_parts(batch, k):
                 i = ids[first : first + n]
-                u = (d1 ^ i ^ (i << 40)).view(np.uint64)
-                hit = (sent.value[(u % np.uint64(FILTER_WORDS)).astype(np.int64)] >> (u >> np.uint64(58))) & np.uint64(1) > 0
+                hit = in_bit_set(sent.value, d1 ^ i ^ (i << 40))
                 at = np.flatnonzero(hit & (np.diff(bounds) > 0))
                 if len(at):
                     whole = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.view(np.int64)))
@@ -302,14 +295,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     new_pairs = to_center.join(known_pairs, ["node", "center"], "left_anti")
     inside = known_pairs.unionByName(_to_centers(new_pairs, able_sets, center_sets).select("node", "center", F.col("shared").alias("inside")))
     middle = labels.select(F.col("node").alias("center"), F.col("label").alias("center_label"))
-    parts = rest.where("node <> center").join(able, "node").join(inside, ["node", "center"]).join(middle, "center", "left")
+    parts = rest.where("node <> center").join(able, "node").join(inside, ["node", "center"]).join(middle, "center", "left").join(nodes.select("node", "bands"), "node")
     aside = F.col("label") != F.coalesce("center_label", "center")
-    open_rest = materialize(parts.select("key", "node", "label", "n", "alone", "inside", (F.col("n") - F.col("inside") - F.col("alone")).alias("free"), *_SKETCH, aside.alias("aside")), "open", light=True)
+    open_rest = materialize(parts.select("key", "node", "label", "n", "alone", "inside", (F.col("n") - F.col("inside") - F.col("alone")).alias("free"), "bands", *_SKETCH, aside.alias("aside")), "open", light=True)
     most = F.least(F.col("x.n") - F.col("x.alone"), F.col("y.n") - F.col("y.alone"), F.least("x.inside", "y.inside") + F.least("x.free", "y.free"))
     bound = most * 100 >= (F.col("x.n") + F.col("y.n") - most) * percent
+    # A pair of several buckets comes from the first band that both share.
+    common = F.zip_with("x.bands", "y.bands", lambda i, j: F.when(i == j, i))
+    here = F.get(F.array_compact(common), F.lit(0)) == F.col("x.key")
     one, other = _cells(open_rest, percent)
     same_cell = (F.col("x.key") == F.col("y.key")) & (F.col("x.level") == F.col("y.level")) & (F.col("x.cell") == F.col("y.cell"))
-    pairs = one.where("aside").alias("x").join(other.alias("y"), same_cell & (F.col("x.label") != F.col("y.label")) & bound & possible)
+    pairs = one.where("aside").alias("x").join(other.alias("y"), same_cell & (F.col("x.label") != F.col("y.label")) & bound & possible & here)
     more = _confirmed(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), able_sets, percent)
     more = materialize(more, "links", light=True)
     at = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))

@@ -6,7 +6,7 @@ touches.  Chunks are identified by a 128-bit digest; a chunk that occurs in two
 more documents is *repeated*, and runs of adjacent repeated chunks are spans.
 
 Plan: (1) chunk all texts and aggregate digests to ``first_doc`` and ``last_doc``, with
-a partial step before the shuffle; (2) put the repeated digests into a bit set of fixed
+a partial step before the shuffle; (2) put the repeated digests into a bit set of bounded
 size; (3) chunk again, keep the chunks that the bit set may hold, and join those to the
 repeated digests; (4) merge adjacent chunks of a document into spans.  A digest held by
 a third of all documents is one row on one side of that join and never a group in memory.
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm._shared import free_name, materialize, with_row_keys
+from seqloom.llm._shared import bit_set, free_name, in_bit_set, materialize, with_row_keys
 from seqloom.llm._text import byte_blocks, mix64, span_hashes
 
 WINDOW = 16
@@ -31,8 +31,6 @@ CUT_BITS = 4
 MIN_CHUNK, MAX_CHUNK = 8, 128
 #: Bytes of a reported span.  A passage of over 50 words holds more; a shared line or notice holds less.
 MIN_SPAN = 120
-#: Words of 64 bits in the bit set of repeated digests (8 MB).
-FILTER_WORDS = 1 << 20
 
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(48)).astype(np.uint16)
 
@@ -102,15 +100,6 @@ def repeated_digests(docs: DataFrame) -> DataFrame:
     return found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
 
 
-def _bit_set(digests: DataFrame) -> np.ndarray:
-    """Bit set of ``d1``: at most FILTER_WORDS words come to the driver, whatever the input."""
-    words = digests.select(F.pmod("d1", F.lit(FILTER_WORDS)).cast("int").alias("word"), F.expr("shiftleft(1L, cast(shiftrightunsigned(d1, 58) as int))").alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(FILTER_WORDS, np.int64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return out.view(np.uint64)
-
-
 def repeated_chunks(docs: DataFrame, row_key: str | None = None) -> DataFrame:
     """``doc_id, row, start, stop, first_doc``: every occurrence of a repeated chunk (byte offsets).
 
@@ -118,14 +107,13 @@ def repeated_chunks(docs: DataFrame, row_key: str | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     repeated = materialize(repeated_digests(docs), "digests")
-    bits = spark.sparkContext.broadcast(_bit_set(repeated))
+    bits = spark.sparkContext.broadcast(bit_set(repeated.select(F.col("d1").alias("key")), repeated.count()))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, seen = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             for first, row, start, stop, d1, d2 in _chunks(batch):
-                u = d1.view(np.uint64)
-                at = np.flatnonzero(bits.value[(u % np.uint64(FILTER_WORDS)).astype(np.int64)] >> (u >> np.uint64(58)) & np.uint64(1))
+                at = np.flatnonzero(in_bit_set(bits.value, d1))
                 if len(at):
                     ids = batch.column("doc_id").take(pa.array(row[at] + first))
                     rows = pa.array(base + seen + first + row[at]) if row_key is None else batch.column("row").take(pa.array(row[at] + first))
