@@ -49,10 +49,6 @@ def oriented(dna: Column | str, start: Column | str, end: Column | str) -> Colum
     return F.when(a <= b, forward).otherwise(reverse_complement(forward))
 
 
-def base_matches(probe: Column, genome: Column) -> Column:
-    return (probe == genome) | ((probe == "c") & (genome == "t"))
-
-
 def letter_count(dna: Column | str, letter: str) -> Column:
     c = _col(dna)
     return F.length(c) - F.length(F.replace(c, F.lit(letter), F.lit("")))

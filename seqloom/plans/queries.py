@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import dna as D
@@ -20,7 +20,7 @@ from seqloom.operators import intervals as I
 from seqloom.operators import promoters as P
 from seqloom.operators import search as Q
 from seqloom.plans import standins as T
-from seqloom.plans.registry import ORACLES, QUERIES, query
+from seqloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from seqloom.sources import text as X
 from seqloom.sources.pages import links_udf
 

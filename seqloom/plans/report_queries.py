@@ -14,7 +14,6 @@ from seqloom.functions import kernels as KN
 from seqloom.functions import similarity as S
 from seqloom.functions import text as N
 from seqloom.operators import cluster as C
-from seqloom.operators import intervals as I
 from seqloom.operators import search as Q
 from seqloom.plans import analyses as A
 from seqloom.plans import queries as B

@@ -168,3 +168,67 @@ def test_streams(spark, tmp_path, world):
         assert [(x.gene, x.klass) for x in spark.sql("select gene, klass from located").collect()] == [("one", "IntersectLeft")]
     finally:
         q.stop()
+
+
+FLAT = """SOURCE      Some bug
+FEATURES             Location/Qualifiers
+     gene            5..10
+                     /gene="abc"
+                     /locus_tag="t1"
+     CDS             5..10
+                     /product="one"
+                     /db_xref="GeneID:42"
+     gene            complement(20..25)
+                     /gene="def"
+                     /locus_tag="t2"
+ORIGIN
+        1 acgttacgga ccatgacgtt aaccggttac
+//
+"""
+
+
+def read_text(path):
+    from pathlib import Path
+
+    return "".join(f.read_text() for f in sorted(Path(path).glob("part-*")))
+
+
+def test_files(spark, tmp_path):
+    """Each analysis from its input files to the text it leaves."""
+    from seqloom.plans import files as T
+
+    data, out = tmp_path / "g", str(tmp_path / "o")
+    data.mkdir()
+    (data / "c1.gb").write_text(FLAT)
+    dna = "acgttacggaccatgacgttaaccggttac"
+
+    def given(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    got = T.neighbours(spark, given("hits.txt", ">c1/12-15\tk=v\n>zz/1-2\nnot a hit\n"), str(data), out)
+    assert read_text(got["neighbor"]) == ">c1/12-15(+)\nk\tv\nSOURCE\tSome bug\n5-10\tabc\n20-25\tdef\nsequence\tcatg\n\n"
+    assert read_text(got["next_neighbor"]) == ">c1/12-15(+)\nSOURCE\tSome\n20-25\tdef\n\n" and read_text(got["error"]) == ">zz/1-2\n"
+    assert read_text(got["gene_count"]) == "def\t1\t100.0000%\n" and read_text(got["source_count"]) == "Some\t1\t100.0000%\n"
+    got = T.extracts(spark, str(data), given("names.txt", "def\nnone\n abc\n"), out)
+    assert read_text(got["extract"]).split("\n")[:3] == ["No\tgene\tfrom\tend\tproduct\tsequence", f"d1\tdef\t20\t25\t\t{dna[19:25]}", f"d3\tabc\t5\t10\tone\t{dna[4:10]}"] and read_text(got["missing"]) == "none\n"
+    got = T.extracts(spark, str(data), given("ranges.tsv", "id\tsequence\tpromoter_pos\tgene_start_pos\na\t\t3\t6\nb\tx\t1\t2\nc\t\t6\t3\n"), out, "range")
+    assert [x.split("\t") for x in read_text(got["extract"]).strip().split("\n")[1:]] == [["a", dna[2:5], "3", "6"], ["b", "x", "1", "2"], ["c", rc(dna[3:6]), "6", "3"]]
+    got = T.streams(spark, str(data), given("flank.tsv", "gene\tmap_start_pos\tmap_end_pos\ndef->D\t25\t20\n"), out, limit=3)
+    assert read_text(got["stream_3"]) == f"1. D\n1)\nposition\t20 <- 25\nproduct\t\nGeneID\t\nstream\t{rc(dna[19:25])}\nupstream\t{rc(dna[25:28])}\ndownstream\t{rc(dna[16:19])}\n\n"
+    got = T.streams(spark, str(data), given("inter.txt", "12,15\n\n1,2\n"), out, mode="inter")
+    assert read_text(got["gene"]) == "12,15:\nup-gene\tabc\nup-position\t5-10\nup-product\tone\ndown-gene\tdef\ndown-position\t20-25\ndown-product\tNone\n\n1,2:\ndown-gene\tabc\ndown-position\t5-10\ndown-product\tone\n\n"
+    got = T.regions(spark, str(data), out)
+    assert read_text(got["range"]) == "name\trange\tlocus_tag\nregion_1\t1-4\ngene_1\t5-10\tt1\nregion_2\t11-19\ngene_2\t20-25\tt2\nregion_3\t26-30\n"
+    got = T.near_genes(spark, given("near.tsv", "name\tstart\tend\tlocus\nq\t9\t6\tc1:6-9(-)\n"), str(data), out)
+    assert read_text(got["near_gene"]).split("\n")[1] == f"q\tabc\tinclude\t5\t10\t4\t4\t{rc(dna[4:10])}"
+    got = T.loci(spark, given("loci.tsv", "Gene\tLocus\nDR1\tc1:5-10(+)\nx\tc1:1-4(-)\n"), str(data), out)
+    assert read_text(got["gentamycin"]).split("\n")[1:3] == [f"DR1\tc1:5-10(+)\t{dna[4:10]}\tabc\t", f"x\tc1:1-4(-)\t{rc(dna[:4])}\t\t"] and read_text(got["gentamycin_consistency"]).startswith(f"name\tgene\nDR1\t{dna[4:10]}\n")
+    pages = spark.createDataFrame([("pathway", "K1", "<nobr>Name</nobr><td>n1</td>"), ("gene", "abc", "<a href='/gene?orgid=ECOLI&id=EG7'>abc</a>"), ("tu", "EG7", "<table><tr><td>Protein</td><td>prot</td></tr></table>")], "kind string, key string, body string")
+    got = T.pathways(spark, given("ids.txt", "K2\nK1\n"), pages, out, is_gene=False)
+    assert read_text(got["kegg"]) == "K1\tK1\tn1\tNo Pathway\n" and read_text(got["kegg_error"]) == "K2\n"
+    got = T.gene_lists(spark, given("list.tsv", "gene\tproduct_type\tproduct\tnote\nzzz\t\t\tn\nabc\t\t\tkept\n"), pages, out)
+    assert read_text(got["ecocyc"]) == "gene\tproduct_type\tproduct\tnote\nzzz\tNot Found\nabc\tprotein\tprot\tkept\n" and read_text(got["ecocyc_error"]) == "zzz\n"
+    found = spark.createDataFrame([("abc", "drug", '<div class="results-amount">\n1,204\n')], "name string, keyword string, body string")
+    got = T.search_matrix(spark, given("genes.txt", "gene\nzzz\nabc\n"), ["drug", "a+b"], found, out)
+    assert read_text(got["count"]) == "gene\tdrug\ta+b\nzzz\t0\t0\nabc\t1204\t0\n"
