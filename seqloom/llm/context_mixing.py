@@ -19,10 +19,15 @@ word's own bytes, learned from all distinct words.  The classes come from a meta
 texts (by hash; any number of values) through letter statistics; what is scored is the text alone.  Probabilities
 of a position sum to 1 at most, and so do those of texts.
 
+A text is also a row of *pieces*, which end at words that their hash chooses (and at its end).  A piece is
+one that occurred in another training text, by its share of all pieces of training texts, or is written word by
+word: the two are mixed by the share of pieces that occur again.  So copies and shared passages score apart at any
+size of the corpus; a training text's own pieces don't count for it.
+
 Plan: 1. count distinct words (and letters by class); 2. the speller, over distinct words; 3. every
 distinct word's count, symbol and spelling; 4. the online pass over training texts in every task; counts and
-maps of tasks are summed, weights averaged; 5. scores of all texts.  Words beyond the most frequent ``TABLE``
-get their counts by a join on two hashes.  What moves grows with the corpus; what is broadcast has a fixed size.
+maps of tasks are summed, weights averaged; 5. scores of all texts, piece by piece.  Words beyond the most frequent ``TABLE``,
+and pieces, get their counts by joins on two hashes.  What moves grows with the corpus; what is broadcast has a fixed size.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ from seqloom.llm._shared import materialize
 from seqloom.llm._text import Words, mix64, span_hashes, word_blocks
 
 #: Words with a symbol of their own, words whose last one is a context, and words in the table that tasks hold.
-HEAD, FUNCTION, TABLE = 1 << 10, 64, 1 << 18
+HEAD, FUNCTION, TABLE = 1 << 9, 64, 1 << 18
 #: Classes of words, at most; values of the class column are hashed into so many.
 CLASSES = 64
 #: Cells of the letter statistics of a class.
@@ -53,6 +58,8 @@ CONTEXTS, SLOT_BITS = 3, 20
 GATES, INPUTS = 24, CONTEXTS + 2
 #: Cells of the adaptive map: by node and by logit.
 NODES, MAP_CELLS = 2048, 33
+#: A text is cut after words whose hash ends in so many zero bits: pieces of 32 words on average.
+PIECE_BITS = 5
 #: Weights before learning, and tokens of a learning step at first and at most.
 START, STEPS = (0.2, 0.2, 0.2, 0.5, 0.0), (1 << 9, 1 << 14)
 _SLOT_BLOCK = 1 << 15
@@ -509,6 +516,7 @@ class Stream:
     end: np.ndarray
     symbol: np.ndarray
     keys: list[np.ndarray]
+    word: np.ndarray  # hashes; 0 for ends
 
 
 def stream(w: Words, h: np.ndarray, symbol: np.ndarray, lexicon: Lexicon) -> Stream:
@@ -533,7 +541,7 @@ def stream(w: Words, h: np.ndarray, symbol: np.ndarray, lexicon: Lexicon) -> Str
     function[first] = group[first] = 0
     with np.errstate(over="ignore"):
         keys = [mix64(one + _SALT[0]), mix64(one * np.uint64(0x9E3779B97F4A7C15) + two + _SALT[1]), mix64((function * 128 + group).astype(np.uint64) + _SALT[2])]
-    return Stream(doc, end, sym, keys)
+    return Stream(doc, end, sym, keys, word)
 
 
 _NODE_HASH = mix64(np.arange(NODES, dtype=np.uint64) + np.uint64(0x5DEECE66D))
@@ -696,6 +704,19 @@ def _symbols(w: Words, h: np.ndarray, place: np.ndarray, table: Table, lexicon:
     return out
 
 
+def _pieces(s: Stream, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(piece of each token, and of each piece: text, two hashes): pieces end after chosen words and at ends of texts."""
+    word = s.word
+    last = s.end | ((word & np.uint64((1 << bits) - 1)) == 0)
+    start = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
+    size = np.diff(np.append(start, len(word)))
+    piece = np.repeat(np.arange(len(start)), size)
+    place = (np.arange(len(word)) - np.repeat(start, size)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        whole = [mix64(np.add.reduceat(mix64(word * odd + mix64(place + _SALT[k])), start) + size.astype(np.uint64)) for k, odd in ((3, np.uint64(0x9E3779B97F4A7C15)), (4, np.uint64(0xD6E8FEB86659FD93)))]
+    return piece, s.doc[start], whole[0].view(np.int64), whole[1].view(np.int64)
+
+
 def _online(rows: DataFrame, mixer: Mixer, lexicon: Lexicon, table) -> Mixer:
     """Each task learns online from its training texts; counts and maps are summed, weights averaged by tokens."""
     sent = rows.sparkSession.sparkContext.broadcast((mixer.code, mixer.static, lexicon))
@@ -739,13 +760,13 @@ def _frequent(rated: DataFrame, most: int) -> DataFrame:
     return rated.where(F.lit(False) if least is None else level >= least)
 
 
-def score(docs: DataFrame, mod: int = 7, held: int = 2, class_column: str = "lang") -> DataFrame:
+def score(docs: DataFrame, mod: int = 7, held: int = 2, class_column: str = "lang", piece_bits: int = PIECE_BITS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for each row.
 
     Texts whose crc32(doc_id) mod ``mod`` is not ``held`` train; all are scored.  ``base_score`` is the
     add-one unigram's, ``score`` the model's log10 probability; ``bits_per_byte`` is the latter in bits
     over the UTF-8 bytes and one for the end.  The class column (optional) is read for training
-    texts only.  A null text is as an empty one, of which only the end is scored; a null doc_id has
+    texts only.  Scores of training texts don't count their own pieces (see above).  A null text is as an empty one, of which only the end is scored; a null doc_id has
     the text ''.  Rows of one doc_id are rows of their own.  Texts of any length are learned and scored as wholes, in steps.
     Without training texts only spellings count; an empty table has no rows.
     """
@@ -802,7 +823,12 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, class_column: str = "lan
         table_, (model, lexicon) = table.value, scorer.value
         columns = table_.columns
         first_row, seen = TaskContext.get().partitionId() << 40, 0
-        names = ["rid", "h", "h2", "row_doc", "train", "sums"]
+
+        def block(rid: np.ndarray, piece: np.ndarray, kind: int, **given) -> pa.RecordBatch:
+            """Rows of a kind: 0 texts, 1 pieces, 2 rare words."""
+            columns = {"rid": pa.array(rid), "piece": pa.array(piece.astype(np.int32)), "kind": pa.array(np.full(len(rid), kind, np.int32))}
+            return pa.RecordBatch.from_arrays([columns.get(c, given.get(c, pa.nulls(len(rid), t))) for c, t in kinds.items()], names=list(kinds))
+
         for batch in batches:
             for w in word_blocks(batch.column("text"), block=1 << 20):
                 h, h2, doc = w.hashes(), span_hashes(w.buf, w.start, w.end, second=True).view(np.int64) >> 32, w.doc
@@ -811,31 +837,61 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, class_column: str = "lan
                     place[columns["h2"][place] != h2] = -1
                 hit = place >= 0
                 s = stream(w, h, _symbols(w, h, place, table_, lexicon), lexicon)
-                sums = np.zeros((w.n, 5))
-                sums[:, 0], sums[:, 1] = w.counts + 1, float(ends > 0)
-                sums[:, 2], sums[:, 3] = np.diff(w.offsets), end_base
-                sums[:, 4] = np.bincount(s.doc, model.log10(s), minlength=w.n)
+                token = model.log10(s)
                 at, by = place[hit], doc[hit]
-                sums[:, 1] += np.bincount(by, minlength=w.n)
-                for j, name in ((3, "base"), (4, "rest")):
-                    sums[:, j] += np.bincount(by, columns[name][at], minlength=w.n)
+                words = np.flatnonzero(~s.end)
+                token[words[hit]] += columns["rest"][at]
+                piece, of, one, two = _pieces(s, piece_bits)
                 rid = first_row + seen + w.first + np.arange(w.n)
-                salt = mix64(rid.astype(np.uint64)).view(np.int64)  # meets no word, and spreads
+                bounds = np.searchsorted(of, np.arange(w.n))
+                sums = np.zeros((w.n, 6))
+                sums[:, 0], sums[:, 1] = w.counts + 1, float(ends > 0) + np.bincount(by, minlength=w.n)
+                sums[:, 2], sums[:, 3] = np.diff(w.offsets), end_base + np.bincount(by, columns["base"][at], minlength=w.n)
+                sums[:, 4], sums[:, 5] = np.bincount(s.doc, token, minlength=w.n), np.bincount(of, minlength=w.n)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32)), pa.array(sums.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(salt), pa.array(np.full(w.n, 1 << 40)), batch.column("row_doc").slice(w.first, w.n), batch.column("train").slice(w.first, w.n), lists], names=names)
+                yield block(rid, np.full(w.n, -1), 0, row_doc=batch.column("row_doc").slice(w.first, w.n), train=batch.column("train").slice(w.first, w.n), sums=lists)
+                # A text counts a piece once.
+                train = batch.column("train").slice(w.first, w.n).to_numpy(zero_copy_only=False)[of]
+                own = np.zeros(len(of), bool)
+                own[np.unique(mix64(one.view(np.uint64) + mix64(of.astype(np.uint64))), return_index=True)[1]] = True
+                yield block(rid[of], np.arange(len(of)) - bounds[of], 1, h=pa.array(one), h2=pa.array(two), train=pa.array(train), own=pa.array(own & train), value=pa.array(np.bincount(piece, token, minlength=len(of))))
                 rare = np.flatnonzero(~hit)
                 if len(rare):
-                    m = len(rare)
-                    yield pa.RecordBatch.from_arrays([pa.array(rid[doc[rare]]), pa.array(h[rare].view(np.int64)), pa.array(h2[rare]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.list_(pa.float64()))], names=names)
+                    yield block(rid[doc[rare]], (piece[words[rare]] - bounds[doc[rare]]), 2, h=pa.array(h[rare].view(np.int64)), h2=pa.array(h2[rare]))
             seen += batch.num_rows
 
-    gathered = rows.select("row_doc", "train", "text").mapInArrow(gather, "rid long, h long, h2 long, row_doc long, train boolean, sums array<double>")
-    joined = gathered.join(rated, ["h", "h2"], "left")
+    kinds = {"rid": pa.int64(), "piece": pa.int32(), "kind": pa.int32(), "h": pa.int64(), "h2": pa.int64(), "row_doc": pa.int64(), "train": pa.bool_(), "own": pa.bool_(), "value": pa.float64(), "sums": pa.list_(pa.float64())}
+    gathered = rows.select("row_doc", "train", "text").mapInArrow(gather, "rid long, piece int, kind int, h long, h2 long, row_doc long, train boolean, own boolean, value double, sums array<double>")
+    gathered = materialize(gathered, "gathered")
+    # Pieces that occur in other training texts: `times` of all `pieces`.
+    pieces = gathered.where("kind = 1").select("rid", "piece", "h", "h2", "train", "value", "own")
+    held = materialize(pieces.where("own").groupBy("h", "h2").agg(F.count("*").alias("d")), "pieces")
+    known_pieces = held.agg(F.sum("d").alias("n"), F.sum(F.when(F.col("d") > 1, F.col("d"))).alias("again")).first()
+    n_pieces, again = int(known_pieces["n"] or 0), int(known_pieces["again"] or 0)
+    copied = min(0.5, (again + 1) / (n_pieces + 2)) if n_pieces else 0.0
+    written = math.log10(1 - copied)
+    times = F.col("d") - F.col("train").cast("long")
+    found = pieces.join(held, ["h", "h2"]).select("rid", "piece", times.alias("times"), "value").where("times > 0")
+
+    rare = gathered.where("kind = 2").select("rid", "piece", "h", "h2").join(rated, ["h", "h2"], "left")
     known, unknown = (F.element_at(F.array(*[F.lit(float(x)) for x in values[first:]]), F.col("symbol") - first + 1) for values in (of_known, of_novel))
     rest = F.when(F.col("symbol") < first, 0.0).when(F.col("c") > 0, F.log10(F.col("c").cast("double")) + known).otherwise(unknown + F.col("spelled"))
-    rare = [F.lit(0.0), (F.col("c") > 0).cast("double"), F.lit(0.0), F.log10(F.col("c") + 1.0) - floor, rest]
-    parts = [F.sum(F.coalesce(F.col("sums")[j], x)).alias(f"sum{j}") for j, x in enumerate(rare)]
-    sums = joined.groupBy("rid").agg(F.max("row_doc").alias("doc_id"), F.max("train").alias("train"), *parts)
+    none = {"known": "double", "base": "double", "rest": "double", "times": "long", "value": "double", "row_doc": "long", "train": "boolean", "sums": "array<double>"}
+    fill = lambda df, *have: df.select("rid", "piece", *[F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in none.items()])
+    rare = rare.withColumn("known", (F.col("c") > 0).cast("double")).withColumn("base", F.log10(F.col("c") + 1.0) - floor).withColumn("rest", rest)
+    parts = fill(rare, "known", "base", "rest").unionByName(fill(found, "times", "value")).unionByName(fill(gathered.where("kind = 0"), "row_doc", "train", "sums"))
+    # Both sums go by text, so one shuffle serves them.
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0)).alias(c)
+    by_piece = parts.repartition("rid").groupBy("rid", "piece").agg(total("known"), total("base"), total("rest"), *[F.max(c).alias(c) for c in ("times", "value", "row_doc", "train")], F.first("sums", True).alias("sums"))
+    as_written = F.col("value") + F.col("rest") + written
+    as_copied = F.log10(F.col("times") * (copied / max(n_pieces, 1)))
+    high = F.greatest(as_written, as_copied)
+    gain = high + F.log10(F.pow(F.lit(10.0), as_written - high) + F.pow(F.lit(10.0), as_copied - high)) - as_written
+    sums = by_piece.withColumn("gain", F.when(F.col("times").isNotNull(), gain).otherwise(0.0)).groupBy("rid").agg(
+        F.max("row_doc").alias("doc_id"), F.max("train").alias("train"), F.first("sums", True).alias("sums"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum(F.col("rest") + F.col("gain")).alias("rest")
+    )
+    at = lambda j: F.col("sums")[j]
+    sums = sums.select("doc_id", "train", at(0).alias("sum0"), (at(1) + F.col("known")).alias("sum1"), at(2).alias("sum2"), (at(3) + F.col("base")).alias("sum3"), (at(4) + at(5) * written + F.col("rest")).alias("sum4"))
     return sums.select(
         "doc_id",
         (~F.col("train")).alias("held_out"),

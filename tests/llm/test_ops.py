@@ -434,7 +434,7 @@ def test_symbols_of_a_place_are_a_distribution():
     for at in (0, 7, 41, 500):
         total = 0.0
         for k in range(lexicon.end + 1):
-            other = context_mixing.Stream(s.doc, s.end, s.symbol.copy(), s.keys)
+            other = context_mixing.Stream(s.doc, s.end, s.symbol.copy(), s.keys, s.word)
             other.symbol[at] = k
             total += 10 ** scorer.log10(other)[at]
         assert abs(total - 1) < 1e-3
@@ -491,9 +491,49 @@ def test_scores_depend_on_order_and_copies(spark):
     rows += [(2000, body[1]), (2001, turned)]
     df = spark.createDataFrame(rows, "doc_id long, text string")  # no class column
     got = {x.doc_id: x.score for x in context_mixing.score(df).collect()}
-    assert got[2000] > got[2001] and got[2000] == got[1]
-    twice, once = ([got[i] for i in ids if zlib.crc32(str(i).encode()) % 7 != 2] for ids in (range(40), range(40, 300)))
-    assert np.median(twice) > np.median(once)
+    assert got[2000] > got[2001]
+    learned = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    once = [got[i] for i in range(40, 300) if learned(i)]
+    twice = [got[i] for i in range(40) if learned(i) and learned(1000 + i)]
+    assert len(twice) > 10 and min(twice) > max(once)
+
+
+def test_pieces_by_brute_force(spark):
+    """Copies of pieces: what each piece of a text gains, from its count in other training texts."""
+    c = context_mixing
+    r = random.Random(18)
+    body = [text(r, r.randint(1, 150)) for _ in range(60)]
+    rows = [*enumerate(body), *((100 + i, b) for i, b in enumerate(body[:12])), (200, " ".join(body[2].split()[40:90] + body[3].split()[:60])), (201, ""), (202, None), (203, f"{body[4]} {body[4]}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x for x in c.score(df).collect()}
+    whole = {x.doc_id: x for x in c.score(df, piece_bits=60).collect()}  # each text is one piece
+    from seqloom.llm import _text as T
+
+    def pieces(t, bits):
+        out, now = [], []
+        for w in tokens(t):
+            now.append(w)
+            if int(T.span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) & (1 << bits) - 1 == 0:
+                out.append(tuple(now))
+                now = []
+        return [*out, (*now, None)]
+
+    train = {i: zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in rows}
+    texts, spelled = dict(rows), {}
+    for bits, scored in ((c.PIECE_BITS, got), (60, whole)):
+        held = Counter(p for i, t in rows if train[i] for p in set(pieces(t, bits)))
+        n, again = sum(held.values()), sum(d for d in held.values() if d > 1)
+        copied = min(0.5, (again + 1) / (n + 2))
+        for i, t in rows:
+            here = pieces(t, bits)
+            times = [held[p] - train[i] for p in here]
+            if max(times) <= 0:  # nothing copied: only the choice is paid for
+                spelled.setdefault(i, []).append(scored[i].score - len(here) * math.log10(1 - copied))
+            elif min(times) > 0 and len(t or "") > 200:  # all copied: the pieces' shares
+                assert abs(scored[i].score - sum(math.log10(copied * k / n) for k in times)) < 0.5 * len(here)
+    both = [x for x in spelled.values() if len(x) == 2]
+    assert len(both) > 30 and all(abs(a - b) < 1e-6 for a, b in both)
+    assert got[201].score == got[202].score and len(texts[203]) > 100 and got[203].score > whole[203].score + 20
 
 
 # 8 ---------------------------------------------------------------------------------------------
