@@ -34,8 +34,8 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, template: Template
 
     A turn belongs to the prefix if role and text are equal on both sides there and in all
     turns before.  Turns are ordered by turn, role and text; repeated rows are turns of their
-    own.  A null role or text is as an empty one.  A side without turns has an empty
-    completion; of two equal conversations all is prompt.  Rows without pair_id belong to no
+    own.  A null turn comes first; a null role or text is as an empty one; a text of any length is kept
+    whole.  A side without turns has an empty completion; empty tables give no rows; of two equal conversations all is prompt.  Rows without pair_id belong to no
     pair and are left out.  Other columns are ignored.
     """
 

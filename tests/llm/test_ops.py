@@ -79,6 +79,57 @@ def test_chat_repeated_rows_are_turns(spark):
     assert (x.n_prompt_turns, x.n_chosen_turns, x.n_rejected_turns) == (1, 1, 0)
 
 
+def test_chat_pairs_equal_brute_force(spark):
+    r = random.Random(19)
+    rows = []
+    for conv in range(60):
+        shared = random.Random(conv // 2)
+        for turn in range(shared.randint(0, 6)):
+            rows.append((conv, turn if shared.random() < 0.9 else None, shared.choice(["user", "assistant", None]), shared.choice(["hi", "é😀", "", None, "a b"])))
+        for turn in range(7, 7 + r.randint(0, 4)):
+            rows += [(conv, turn, r.choice(["user", "assistant"]), r.choice(["x", "y", None, "|>"]))] * r.choice([1, 1, 2])
+    rows += [(100, 0, "user", "z" * 1_000_000), (100, 1, "assistant", "é" * 300_000), (101, 0, "user", "z" * 1_000_000), (101, 1, "assistant", "no")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(1)).repartition(3)
+    got = {x.pair_id: tuple(x) for x in chat_format.neighbour_pairs(df).collect()}
+    sides = {}
+    for c, turn, role, t in rows:
+        sides.setdefault(c // 2, ([], []))[c % 2].append((turn is not None, turn or 0, role or "", t or ""))
+    want = {}
+    for pair, (a, b) in sides.items():
+        a, b = sorted(a), sorted(b)
+        n = 0
+        while n < min(len(a), len(b)) and a[n][2:] == b[n][2:]:
+            n += 1
+        show = lambda turns: "".join(f"<|{role}|>\n{t}<|end|>\n" for _, _, role, t in turns)
+
+        def mask(turns):
+            at, out = 0, []
+            for _, _, role, t in turns:
+                head, piece = len(f"<|{role}|>\n"), len(f"<|{role}|>\n{t}<|end|>\n")
+                if role == "assistant":
+                    out.append(f"{at + head}:{at + piece}")
+                at += piece
+            return ",".join(out)
+
+        want[pair] = (pair, n, len(a) - n, len(b) - n, show(a[:n]), show(a[n:]), show(b[n:]), mask(a[n:]), mask(b[n:]))
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["op1_chat_pairs", "op5_secret_ledger", "op9_odd_minhash", "op10_source_mix"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from seqloom.llm import queries
+
+    assert name in queries.oracle_sql() and len(queries.oracle_sql()) == 4
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    near = lambda row: tuple(round(v, 6) if isinstance(v, float) else v for _, v in sorted(row.items()))
+    want = Counter(near(x) for x in con.execute(queries.oracle_sql()[name]).to_arrow_table().to_pylist())
+    assert Counter(near(x.asDict()) for x in queries.queries()[name](spark, folder).collect()) == want and len(want) >= 10
+
+
 # 2 ---------------------------------------------------------------------------------------------
 
 
