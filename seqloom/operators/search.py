@@ -152,7 +152,7 @@ def search(
     genomes: DataFrame,
     weights: dict[str, float],
     options: S.Options = S.Options(),
-    top_k: int = 20,
+    top_k: int | None = 20,
     distance: int = 5,
     ascending: bool = False,
     min_similarity: float | None = None,
@@ -170,32 +170,32 @@ def search(
     by score (``ascending``: the least first), accession, ``+`` before ``-``, and offset, over all
     genomes or in each.  Probes are lower-cased; genomes shorter than a probe have no window.
 
-    ``render`` adds ``probe`` and ``renderings``: the rows of each similarity's alignment, drawn for the best only.
+    Probes may share a name, and are ranked one by one.  Without ``top_k`` all such windows are given, without ranks.
+
+    ``render`` adds ``nth`` and ``probe``, the probe's place in the list and its letters, and ``renderings``: the rows of each
+    similarity's alignment, drawn for the best only.
     ``compat`` suppresses within the 32nd parts of a strand (one part if it is shorter than 32 bases), not across their edges.
     """
     weights = S.positive_weights(weights)
     kinds = list(weights)
-    given = {name: probe.lower() for name, probe in probes}
-    if len(given) < len(probes):
-        raise ValueError("names of probes must differ")
-    for probe in given.values():
+    given = [(name, probe.lower()) for name, probe in probes]
+    for _, probe in given:
         S.similarity("direct", probe, F.lit(""))  # letters
     ahead = S.anchor_reach(options.middle_limit, options.end_limit) if S.AHEAD & set(kinds) else 0
     find = _search_columns if engine == "columns" else _search_arrow
     kept = find(given, strands(genomes), weights, options, distance, chunk, ahead, compat)
     scores = F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*[F.col(f"score_{k}") for k in kinds]))
     start, end = hit_position(F.col("strand"), F.col("offset"), F.length("window"), F.col("length"))
-    found = kept.select("name", "accession", "strand", start.alias("start"), end.alias("end"), F.col("offset").cast("long").alias("offset"), "weighted", scores.alias("scores"), "window", "ahead")
+    found = kept.select("nth", "probe", "name", "accession", "strand", start.alias("start"), end.alias("end"), F.col("offset").cast("long").alias("offset"), "weighted", scores.alias("scores"), "window", "ahead")
     if min_similarity is not None:
         found = found.where(F.col("weighted") >= min_similarity)
-    score = F.col("weighted").asc() if ascending else F.col("weighted").desc()
-    by = ["name", "accession"] if per_genome else ["name"]
-    out = best(found, top_k, by, [score, F.col("accession").asc(), F.col("strand").asc(), F.col("offset").asc()])
+    if top_k is not None:
+        score = F.col("weighted").asc() if ascending else F.col("weighted").desc()
+        by = ["nth", "accession"] if per_genome else ["nth"]
+        found = best(found, top_k, by, [score, F.col("accession").asc(), F.col("strand").asc(), F.col("offset").asc()])
     if not render:
-        return out.drop("ahead")
-    probe = F.create_map(*[F.lit(x) for item in given.items() for x in item])[F.col("name")]
-    drawn = out.withColumn("probe", probe)
-    return drawn.withColumn("renderings", K.renderings(kinds, options)("probe", "window", F.coalesce("ahead", "window"))).drop("ahead")
+        return found.drop("ahead", "nth", "probe")
+    return found.withColumn("renderings", K.renderings(kinds, options)("probe", "window", F.coalesce("ahead", "window"))).drop("ahead")
 
 
 def _part(length: Column, compat: bool) -> Column | None:
@@ -203,28 +203,28 @@ def _part(length: Column, compat: bool) -> Column | None:
     return F.greatest(F.floor(length / 32), F.when(length < 32, length).otherwise(1)).cast("int") if compat else None
 
 
-def _search_columns(given: dict[str, str], both: DataFrame, weights: dict[str, float], o: S.Options, distance: int, chunk: int, ahead: int, compat: bool) -> DataFrame:
+def _search_columns(given: list[tuple[str, str]], both: DataFrame, weights: dict[str, float], o: S.Options, distance: int, chunk: int, ahead: int, compat: bool) -> DataFrame:
     """A plan for each probe: for tests and small lists."""
     found = None
-    for name, probe in given.items():
+    for nth, (name, probe) in enumerate(given):
         rows = windows(both.withColumn("accession", F.col("accession").cast("string")), len(probe), min(chunk, WINDOW_CHUNK), distance - 1, ahead)
         text = lambda k: F.col("ahead" if k in S.AHEAD else "window")
         scored = rows.select("*", *[S.similarity(k, probe, text(k), o).alias(f"score_{k}") for k in weights])
         scored = scored.withColumn("weighted", S.weighted({k: F.col(f"score_{k}") for k in weights}, weights))
         part = F.floor(F.col("offset") / _part(F.col("length"), True)).cast("int") if compat else F.lit(0)
         kept = local_maxima(scored.withColumn("part", part), distance, ["accession", "strand", "chunk", "part"], "weighted").where("is_core")
-        own = kept.select(F.lit(name).alias("name"), "accession", "strand", "length", "offset", "weighted", "window", *([] if ahead else [F.lit(None).cast("string").alias("ahead")]), *(["ahead"] if ahead else []), *[f"score_{k}" for k in weights])
+        own = kept.select(F.lit(nth).alias("nth"), F.lit(probe).alias("probe"), F.lit(name).alias("name"), "accession", "strand", "length", "offset", "weighted", "window", *([] if ahead else [F.lit(None).cast("string").alias("ahead")]), *(["ahead"] if ahead else []), *[f"score_{k}" for k in weights])
         found = own if found is None else found.unionByName(own)
     return found
 
 
-def _search_arrow(given: dict[str, str], both: DataFrame, weights: dict[str, float], o: S.Options, distance: int, chunk: int, ahead: int, compat: bool) -> DataFrame:
+def _search_arrow(given: list[tuple[str, str]], both: DataFrame, weights: dict[str, float], o: S.Options, distance: int, chunk: int, ahead: int, compat: bool) -> DataFrame:
     """All probes in one pass over the chunks, which are dealt out with blocks of probes."""
-    kinds, names = list(weights), list(given)
-    least, most = min(map(len, given.values())), max(map(len, given.values()))
+    kinds, sizes = list(weights), [len(probe) for _, probe in given]
+    least, most = min(sizes), max(sizes)
     halo = distance - 1
-    blocks = -(-len(names) // PROBES)
-    schema = "name string, accession string, strand string, length int, offset int, weighted double, window string, ahead string, " + ", ".join(f"score_{k} double" for k in kinds)
+    blocks = -(-len(given) // PROBES)
+    schema = "nth int, probe string, name string, accession string, strand string, length int, offset int, weighted double, window string, ahead string, " + ", ".join(f"score_{k} double" for k in kinds)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,8 +232,8 @@ def _search_arrow(given: dict[str, str], both: DataFrame, weights: dict[str, flo
             for acc, strand, length, core, at, piece, block in zip(*columns, strict=True):
                 data = np.frombuffer(piece.encode(), np.uint8)
                 size = max(1, length // 32 if length >= 32 else length)
-                for name in names[block * PROBES : (block + 1) * PROBES]:
-                    probe = given[name]
+                for nth in range(block * PROBES, min(len(given), (block + 1) * PROBES)):
+                    name, probe = given[nth]
                     m = len(probe)
                     n = min(length - m + 1, core + step + halo) - at
                     if n <= 0:
@@ -250,9 +250,9 @@ def _search_arrow(given: dict[str, str], both: DataFrame, weights: dict[str, flo
                         own = lambda v: pa.array([v] * len(keep), pa.string())  # noqa: B023, E731
                         far = [piece[i : i + ahead] if ahead else None for i in keep]
                         yield pa.RecordBatch.from_arrays(
-                            [own(name), own(acc), own(strand), pa.array(np.full(len(keep), length, np.int32)), pa.array((keep + at).astype(np.int32)), pa.array(total[keep]), pa.array([piece[i : i + m] for i in keep], pa.string()), pa.array(far, pa.string())]
+                            [pa.array(np.full(len(keep), nth, np.int32)), own(probe), own(name), own(acc), own(strand), pa.array(np.full(len(keep), length, np.int32)), pa.array((keep + at).astype(np.int32)), pa.array(total[keep]), pa.array([piece[i : i + m] for i in keep], pa.string()), pa.array(far, pa.string())]
                             + [pa.array(each[k][keep]) for k in kinds],
-                            names=["name", "accession", "strand", "length", "offset", "weighted", "window", "ahead", *(f"score_{k}" for k in kinds)],
+                            names=["nth", "probe", "name", "accession", "strand", "length", "offset", "weighted", "window", "ahead", *(f"score_{k}" for k in kinds)],
                         )
 
     step = max(chunk, halo + 1)

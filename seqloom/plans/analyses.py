@@ -101,12 +101,12 @@ def gene_similarity_match(
     listed = X.table(spark, gene_path).select("name", "gene")
     if gene_name_filter:
         listed = listed.where(F.col("name").isin(gene_name_filter))
-    probes = [(r["name"], r["gene"]) for r in listed.limit(MOST_PROBES + 1).collect()]
+    probes = [(r["name"], r["gene"]) for r in listed.limit(MOST_PROBES + 1).collect()]  # in the table's order
     if len(probes) > MOST_PROBES:
         raise ValueError(f"more than {MOST_PROBES} probes: search them in several lists")
     found = Q.search(probes, G.read_genomes(spark, data_path), weighted, options, top_k, candidate_distance, ascending, min_similarity, render=True, compat=compat)
     if output_directory:
-        save({"match": (K.match_blocks(found), "block", ["name", "rank"])}, output_directory, gene_path)
+        save({"match": (K.match_blocks(found), "block", ["nth", "rank"])}, output_directory, gene_path)
     return found
 
 

@@ -178,7 +178,7 @@ SELECT * FROM (SELECT *, row_number() OVER ({per}ORDER BY weighted DESC, accessi
 
 @query(f"WITH {_BOTH}, {_peaks_sql(PROBE, _direct_sql(PROBE), 5)} SELECT accession, strand, o AS \"offset\", score FROM p WHERE score > 0 AND score = peak")
 def direct_suppress(spark, sf_dir):
-    found = Q.search([("p", PROBE)], T.genomes(spark, sf_dir), {"direct": 1.0}, top_k=1 << 30, per_genome=True)
+    found = Q.search([("p", PROBE)], T.genomes(spark, sf_dir), {"direct": 1.0}, top_k=None)
     return found.select("accession", "strand", "offset", F.col("weighted").alias("score"))
 
 

@@ -43,7 +43,7 @@ def table_lines(rows: DataFrame, order: list[str], columns: list[str] | None = N
 
 
 def match_blocks(found: DataFrame) -> DataFrame:
-    """``name, rank, block`` of a search result: number, header with scores, and the drawn alignments if there are any.
+    """``name, rank, block`` (and ``nth``, if it is there) of a search result: number, header with scores, and the drawn alignments if there are any.
 
     The header is ``>accession/start-end``, a tab, and ``key=value`` pairs: name, direction, scores with two
     decimals, and for drawn results the probe and the three rows of each similarity.
@@ -55,7 +55,8 @@ def match_blocks(found: DataFrame) -> DataFrame:
         row = lambda r: F.array(F.concat(r["kind"], F.lit("_gene_format   :="), F.coalesce(r["probe"], F.lit(""))), F.concat(r["kind"], F.lit("_target_format :="), F.coalesce(r["window"], F.lit(""))), F.concat(r["kind"], F.lit("_match_format  :="), F.coalesce(r["marks"], F.lit(""))))
         parts += [F.array(F.concat(F.lit("original      :="), "probe")), F.flatten(F.transform("renderings", row))]
     head = F.concat(F.format_string(">%s/%d-%d\t", "accession", "start", "end"), F.array_join(F.concat(*parts), ","))
-    return found.select("name", "rank", F.concat_ws("\n", F.format_string("(%d)", "rank"), head, F.lit("")).alias("block"))
+    order = ["nth"] if "nth" in found.columns else []
+    return found.select(*order, "name", "rank", F.concat_ws("\n", F.format_string("(%d)", "rank"), head, F.lit("")).alias("block"))
 
 
 def cluster_lines(clusters: DataFrame) -> DataFrame:

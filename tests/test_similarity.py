@@ -174,8 +174,10 @@ def test_one_pass_over_many_probes(spark, monkeypatch):
             got = Q.search(probes, df, weights, options, top_k=6, distance=3, engine=engine, chunk=50, render=True).collect()
             rows[engine] = sorted((x.name, x["rank"], x.accession, x.strand, x.offset, x.weighted, x.window, str(x.renderings)) for x in got)
         assert rows["arrow"] == rows["columns"] and len({x[0] for x in rows["arrow"]}) == len(probes)
-    with pytest.raises(ValueError):
-        Q.search([("p", "a"), ("p", "c")], df, {"direct": 1.0})
+    twice = Q.search([("p", "a"), ("p", "gg")], df, {"direct": 1.0}, top_k=3, render=True).collect()
+    assert sorted((x.nth, x["rank"]) for x in twice) == [(n, k) for n in (0, 1) for k in (1, 2, 3)] and {x.probe for x in twice} == {"a", "gg"}
+    every = Q.search([("p", "a")], df, {"direct": 1.0}, top_k=None, distance=1)
+    assert "rank" not in every.columns and every.count() == sum(g.count("a") + g.count("t") for _, g in genomes)
 
 
 @pytest.mark.parametrize("engine", ["arrow", "columns"])
