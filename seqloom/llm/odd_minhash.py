@@ -334,7 +334,9 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = materialize(found.join(ids, "key"), "near", light=True)
     least = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("kept_key"))
     name = free_name(keyed, "dropped_key")
-    dropped = materialize(found.join(least, "component_id").where("key <> kept_key").select(F.col("key").alias(name)), "dropped")
+    # By row, not by component: one component may hold a third of all rows.
+    dropped = found.join(least, F.col("key") == F.col("kept_key"), "left_anti")
+    dropped = materialize(dropped.select(F.col("key").alias(name)), "dropped", light=True)
     return keyed.join(dropped, F.col(key) == F.col(name), "left_anti").drop(key)
 
 
