@@ -75,6 +75,7 @@ _CHUNK = 20_000  # distinct words worked on at once
 
 _BASE = np.concatenate([[0], np.cumsum(SPELL_SLOTS)]).astype(np.int64)
 _SALT = mix64(np.arange(8, dtype=np.uint64) + np.uint64(31))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -540,15 +541,16 @@ def stream(w: Words, h: np.ndarray, symbol: np.ndarray, lexicon: Lexicon) -> Str
     function[1:], group[1:] = held[:-1], lexicon.group[sym[:-1]]
     function[first] = group[first] = 0
     with np.errstate(over="ignore"):
-        keys = [mix64(one + _SALT[0]), mix64(one * np.uint64(0x9E3779B97F4A7C15) + two + _SALT[1]), mix64((function * 128 + group).astype(np.uint64) + _SALT[2])]
+        keys = [mix64(one + _SALT[0]) * _ODD, mix64(one * _ODD + two + _SALT[1]) * _ODD, mix64((function * 128 + group).astype(np.uint64) + _SALT[2]) * _ODD]
     return Stream(doc, end, sym, keys, word)
 
 
-_NODE_HASH = mix64(np.arange(NODES, dtype=np.uint64) + np.uint64(0x5DEECE66D))
+with np.errstate(over="ignore"):
+    _NODE_HASH = mix64(np.arange(NODES, dtype=np.uint64) + np.uint64(0x5DEECE66D)) * _ODD
 
 
 def _decide(s: Stream, a: int, b: int, code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(token, node, bit, slots by context) of the decisions of the tokens a to b."""
+    """(token, node, bit, slot in each context) of the decisions of the tokens a to b."""
     symbol = s.symbol[a:b]
     length = code.length[symbol]
     token = np.repeat(np.arange(b - a, dtype=np.int32), length)
@@ -556,13 +558,10 @@ def _decide(s: Stream, a: int, b: int, code: Code) -> tuple[np.ndarray, np.ndarr
     node = code.node[cell]
     mixed = _NODE_HASH[node]
     slots = []
-    for k, key in enumerate(s.keys):
-        with np.errstate(over="ignore"):
-            h = key[a:b][token]
-            h += mixed
-            h *= np.uint64(0x9E3779B97F4A7C15)
-            h >>= np.uint64(64 - SLOT_BITS)
-            h += np.uint64(k << SLOT_BITS)
+    for key in s.keys:
+        h = key[a:b][token]
+        h += mixed  # both have been multiplied
+        h >>= np.uint64(64 - SLOT_BITS)
         slots.append(h.view(np.int64))
     return token, node, code.bit[cell], slots
 
@@ -592,7 +591,7 @@ class Mixer:
 
     def learn(self, s: Stream) -> None:
         """One online pass over the tokens, in steps that grow: each is predicted from what was before."""
-        flat, done, n = self.counts.reshape(-1), 0, len(s.symbol)
+        flat, done, n = self.counts.reshape(CONTEXTS, -1), 0, len(s.symbol)
         pairs = flat.view("<u8")  # zeros in the lower half, ones in the upper
         while done < n:
             upto = min(n, done + int(np.clip(self.tokens // 8, *STEPS)))
@@ -600,7 +599,7 @@ class Mixer:
             self.tokens, done = self.tokens + upto - done, upto
             x, seen = [], []
             for k, slot in enumerate(slots):
-                both = pairs.take(slot).view("<u4")
+                both = pairs[k].take(slot).view("<u4")
                 n0, n1 = both[::2].astype(np.float32), both[1::2].astype(np.float32)
                 x.append(np.log((n1 + np.float32(0.4)) / (n0 + np.float32(0.4))))
                 if k < 2:
@@ -614,28 +613,31 @@ class Mixer:
             cell = self._cells(node, logit)
             self.map_seen += np.bincount(cell, minlength=NODES * MAP_CELLS)
             self.map_ones += np.bincount(cell, bit, minlength=NODES * MAP_CELLS)
-            for slot in slots:
+            for k, slot in enumerate(slots):
                 slot *= 2
                 slot += bit
-                np.add.at(flat, slot, np.uint32(1))
+                np.add.at(flat[k], slot, np.uint32(1))
 
     @staticmethod
     def _cells(node: np.ndarray, logit: np.ndarray) -> np.ndarray:
         return np.minimum(node, NODES - 1) * MAP_CELLS + np.clip(np.rint(logit * 2) + MAP_CELLS // 2, 0, MAP_CELLS - 1).astype(np.int64)
 
     def freeze(self) -> Scorer:
-        n = self.counts.astype(np.float32)
-        return Scorer(self.code, self.static, np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4)).astype(np.float32), np.minimum(self.counts.sum(axis=1, dtype=np.uint64), 255).astype(np.uint8), self.weights, ((self.map_ones + 0.0) / np.maximum(self.map_seen, 1)).astype(np.float32), (self.map_seen / (self.map_seen + 8)).astype(np.float32))
+        n = self.counts.astype(np.float32).reshape(CONTEXTS, -1, 2)
+        seen = np.minimum(n.sum(axis=2), 255).astype(np.uint8)
+        gates = [_SEEN1[seen[0]].astype(np.uint8), _SEEN2[seen[1]].astype(np.uint8)]
+        share, trust = self.map_ones / np.maximum(self.map_seen, 1), self.map_seen / (self.map_seen + 8)
+        return Scorer(self.code, self.static, np.log((n[:, :, 1] + 0.4) / (n[:, :, 0] + 0.4)).astype(np.float32), gates, self.weights, share.astype(np.float32), trust.astype(np.float32) / 2)
 
 
 @dataclass
 class Scorer:
-    """A mixer that no longer learns: logits and confidences of slots, weights, and the map's share and trust."""
+    """A mixer that no longer learns: logits of slots, what they add to the gate, weights, and the map's share and weight."""
 
     code: Code
     static: np.ndarray
     logits: np.ndarray
-    seen: np.ndarray
+    gates: list[np.ndarray]
     weights: np.ndarray
     share: np.ndarray
     trust: np.ndarray
@@ -647,13 +649,13 @@ class Scorer:
         for i in range(0, len(out), step):
             n = min(step, len(out) - i)
             token, node, bit, slots = _decide(s, i, i + n, self.code)
-            gate = _SEEN2[self.seen[slots[1]]] + _SEEN1[self.seen[slots[0]]]
+            gate = (self.gates[0].take(slots[0]) + self.gates[1].take(slots[1])).astype(np.intp)
             logit = self.static[node] * weights[0][gate] + _BIAS * weights[-1][gate]
-            for k, slot in enumerate(slots, 1):
-                logit += self.logits.take(slot) * weights[k][gate]
+            for k, slot in enumerate(slots):
+                logit += self.logits[k].take(slot) * weights[k + 1][gate]
             p = 1 / (1 + np.exp(-np.clip(logit, -16, 16)))
             cell = Mixer._cells(node, logit)
-            p = p + (self.share[cell] - p) * self.trust[cell] * np.float32(0.5)
+            p += (self.share[cell] - p) * self.trust[cell]
             p = np.clip(np.where(bit == 1, p, 1 - p), 1e-6, 1 - 1e-6)
             out[i : i + n] = np.bincount(token, np.log10(p), minlength=n)
         return out
@@ -711,9 +713,10 @@ def _pieces(s: Stream, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     start = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
     size = np.diff(np.append(start, len(word)))
     piece = np.repeat(np.arange(len(start)), size)
-    place = (np.arange(len(word)) - np.repeat(start, size)).astype(np.uint64)
+    place = np.arange(len(word)) - np.repeat(start, size)
+    places = np.arange(int(size.max(initial=0)), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        whole = [mix64(np.add.reduceat(mix64(word * odd + mix64(place + _SALT[k])), start) + size.astype(np.uint64)) for k, odd in ((3, np.uint64(0x9E3779B97F4A7C15)), (4, np.uint64(0xD6E8FEB86659FD93)))]
+        whole = [mix64(np.add.reduceat(mix64(word * odd + mix64(places + _SALT[k])[place]), start) + size.astype(np.uint64)) for k, odd in ((3, _ODD), (4, np.uint64(0xD6E8FEB86659FD93)))]
     return piece, s.doc[start], whole[0].view(np.int64), whole[1].view(np.int64)
 
 

@@ -510,7 +510,7 @@ def test_scores_equal_brute_force():
             keys = [mix(one + int(c._SALT[0])), mix(one * 0x9E3779B97F4A7C15 + two + int(c._SALT[1])), mix(function * 128 + group + int(c._SALT[2]))]
             for i in range(c_first := int(scorer.code.first[sym]), c_first + int(scorer.code.length[sym])):
                 node, bit = int(scorer.code.node[i]), int(scorer.code.bit[i])
-                slots = [((k + int(c._NODE_HASH[node])) * 0x9E3779B97F4A7C15 & m64) >> (64 - c.SLOT_BITS) for k in keys]
+                slots = [((k + mix(node + 0x5DEECE66D)) * 0x9E3779B97F4A7C15 & m64) >> (64 - c.SLOT_BITS) for k in keys]
                 n = [mixer.counts[(j << c.SLOT_BITS) + x].astype(float) for j, x in enumerate(slots)]
                 gate = sum(n[1].sum() >= x for x in (1, 2, 4, 16, 128)) * 4 + sum(n[0].sum() >= x for x in (1, 8, 128))
                 x = [float(scorer.static[node]), *(math.log((b + 0.4) / (a + 0.4)) for a, b in n), float(c._BIAS)]
