@@ -92,11 +92,6 @@ def best(found: DataFrame, k: int, by: list[str], order: list[Column]) -> DataFr
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def score_distinct(rows: DataFrame, score: Column, window: str = "window") -> DataFrame:
-    """``rows`` with ``score``, computed once for each distinct window: for scores that cost more than a join."""
-    return rows.join(rows.select(window).distinct().withColumn("score", score), window)
-
-
 def _window_scores(name: str, probe: str, letters: np.ndarray, text: str, o: S.Options) -> np.ndarray:
     """Scores of all windows of ``text``: ``letters`` is windows x places."""
     m = len(probe)

@@ -135,9 +135,7 @@ def textedit_symmetric(spark, sf_dir):
 
 @query(f"WITH {T.GENOMES}, w AS ({_windows_sql(6)}), s AS ({_edit_sql('gacatc', 'SELECT DISTINCT win FROM w')}) SELECT accession, score, count(*) AS n FROM w JOIN s USING (win) GROUP BY ALL")
 def textedit_ct(spark, sf_dir):
-    plus = T.genomes(spark, sf_dir).withColumn("strand", F.lit("+"))
-    scored = Q.score_distinct(Q.windows(plus, 6).select("accession", "window"), S.text_edit("gacatc", F.col("window")))
-    return scored.groupBy("accession", "score").agg(F.count("*").alias("n"))
+    return _histogram(spark, sf_dir, 6, lambda w: S.text_edit("gacatc", w))
 
 
 _pattern = S.compile_pattern(PROBE, [(0, 3)], [(6, 2)])
