@@ -51,6 +51,13 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
         _made.remove(path)
 
 
+def kept_for(result: DataFrame, before: list[str]) -> DataFrame:
+    """``result``, once the tables written since ``before`` (what ``made`` said then) are deleted that it doesn't read."""
+    read = {path.rsplit("/", 2)[-2] for path in result.inputFiles()}
+    discard(result.sparkSession, [path for path in made() if path not in before and path.rsplit("/", 1)[-1] not in read])
+    return result
+
+
 def materialize(df: DataFrame, name: str, compression: str = "snappy", light: bool = False) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back.
 

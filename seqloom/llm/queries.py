@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import audio_media, chat_format, context_mixing, odd_minhash, quality, secret_ledger, source_mix, substring_dedup, template_leaks, token_store
+from seqloom.llm import audio_media, ball_kmeans, chat_format, context_mixing, merkle_manifest, odd_minhash, quality, secret_ledger, source_mix, substring_dedup, template_leaks, token_store
 from seqloom.llm._shared import materialize
 
 
@@ -55,6 +55,14 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.proofs(_table(spark, sf_dir, "documents"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_pairs": op1_chat_pairs,
@@ -67,8 +75,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_audio_media": op8_audio_media,
         "op9_odd_minhash": op9_odd_minhash,
         "op10_source_mix": op10_source_mix,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_ball_kmeans": op13_ball_kmeans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_pairs": chat_format.PAIRS_SQL, "op5_secret_ledger": secret_ledger.REPORT_SQL, "op9_odd_minhash": odd_minhash.EXACT_SQL, "op10_source_mix": source_mix.MIX_SQL}
+    return {
+        "op1_chat_pairs": chat_format.PAIRS_SQL,
+        "op5_secret_ledger": secret_ledger.REPORT_SQL,
+        "op9_odd_minhash": odd_minhash.EXACT_SQL,
+        "op10_source_mix": source_mix.MIX_SQL,
+        "op12_merkle_manifest": merkle_manifest.PROOFS_SQL,
+        "op13_ball_kmeans": ball_kmeans.CLUSTER_SQL,
+    }
