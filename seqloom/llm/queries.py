@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import audio_media, ball_kmeans, chat_format, context_mixing, merkle_manifest, odd_minhash, quality, secret_ledger, source_mix, substring_dedup, template_leaks, token_store
-from seqloom.llm._shared import materialize
+from seqloom.llm import audio_media, ball_kmeans, bin_packing, chat_format, context_mixing, merkle_manifest, odd_minhash, quality, secret_ledger, source_mix, substring_dedup, template_leaks, token_store
+from seqloom.llm._shared import kept_for, made, materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.packing(_table(spark, sf_dir, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.proofs(_table(spark, sf_dir, "documents"))
 
@@ -63,8 +68,19 @@ def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_kmeans.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def _clean(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query``, which deletes the tables it wrote on the way, but for those that its result reads."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = made()
+        return kept_for(query(spark, sf_dir), before)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    found = {
         "op1_chat_pairs": op1_chat_pairs,
         "op2_quality": op2_quality,
         "op3_substring_dedup": op3_substring_dedup,
@@ -75,9 +91,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_audio_media": op8_audio_media,
         "op9_odd_minhash": op9_odd_minhash,
         "op10_source_mix": op10_source_mix,
+        "op11_bin_completion": op11_bin_completion,
         "op12_merkle_manifest": op12_merkle_manifest,
         "op13_ball_kmeans": op13_ball_kmeans,
     }
+    return {name: _clean(query) for name, query in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -250,7 +250,7 @@ class PieceEncoder:
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def _encoder(tokenizer: str) -> PieceEncoder:
+def encoder(tokenizer: str) -> PieceEncoder:
     """One encoder for each Python worker, kept from task to task."""
     if tokenizer not in _encoders:
         _encoders[tokenizer] = PieceEncoder(tokenizer, plain_literals=False)
@@ -274,7 +274,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for i, k, buf, offsets in byte_blocks(batch.column("text"), BLOCK):
                 ids, bounds = encoder.encode(buf, offsets, end_id)

@@ -77,9 +77,9 @@ def test_literals_of_added_tokens_give_the_library_ids():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    from seqloom.llm.token_store import _encoder
+    from seqloom.llm.token_store import encoder
 
-    plain, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), _encoder("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), encoder("byte_bpe_50k.json")
     assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     r = random.Random(5)
     parts = [" ", "  ", "\n", "a", " word", "The", "'s", ".", " ,", "12", "é", "\u3000", "<|", "endoftext", "|>", "<|endo", "ftext|>", "<|endoftext|>", " <|endoftext|>", "<|endoftext|> "]
