@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm._shared import materialize, new_path
+from seqloom.llm._shared import materialize, new_path, partitions
 from seqloom.llm._text import byte_blocks
 from seqloom.llm.token_store import BLOCK, encoder
 
@@ -290,24 +290,39 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
     return rows.mapInArrow(cut, _PIECES)
 
 
+def bucketed(parts: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``parts`` written once, in buckets by task, and the table's name: a task writes one bucket, so nothing is shuffled.
+
+    What is joined to it by task goes to the buckets, and the ids stay where they are.
+    """
+    spark = parts.sparkSession
+    path = new_path(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    parts.write.bucketBy(partitions(spark), "task").option("path", path).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table), table
+
+
 def placed(parts: DataFrame, capacity: int, nodes: int, branches: int) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``; a row for each task and length says how many came before."""
+    """``pieces`` with ``sequence_id`` and ``offset``; a row for each task says how many of each length came before."""
     runs = materialize(parts.groupBy("task", "length").agg(F.count("*").alias("n")), "lengths")
     counts = np.zeros(capacity + 1, np.int64)
     for row in runs.groupBy("length").agg(F.sum("n").alias("n")).collect():  # capacity rows at most
         counts[row["length"]] = row["n"]
     places = Places.of(complete(counts, capacity, nodes, branches), capacity)
-    before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    # One row for each task: at most capacity entries.
+    runs = runs.groupBy(F.col("task").alias("run_task")).agg(F.map_from_entries(F.collect_list(F.struct("length", "before"))).alias("before"))
+    runs = runs.select("run_task", F.transform(F.sequence(F.lit(0), F.lit(capacity)), lambda i: F.coalesce(F.col("before")[i], F.lit(0))).alias("before"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nth = batch.column("nth").to_numpy() + batch.column("before").to_numpy()
-            sequence, offset = places.find(batch.column("length").to_numpy(), nth)
+            sequence, offset = places.find(batch.column("length").to_numpy(), batch.column("nth").to_numpy())
             columns = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset, pa.int32())], names=["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"])
 
-    met = parts.join(runs.hint("shuffle_hash"), ["task", "length"]).select("doc_id", "piece", "start", "length", "ids", "nth", "before")
+    met = parts.join(runs.hint("shuffle_hash"), F.col("task") == F.col("run_task"))
+    met = met.select("doc_id", "piece", "start", "length", "ids", (F.col("nth") + F.get("before", F.col("length"))).alias("nth"))
     return met.mapInArrow(place, "doc_id long, piece int, start long, length int, ids binary, sequence_id long, offset int")
 
 
@@ -320,7 +335,7 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.j
     own; a text of any length is encoded whole; an empty table gives an empty store; other columns are ignored.
     How many sequences there are depends on lengths only, not on how the table is cut into tasks.
     """
-    parts = materialize(pieces(docs, tokenizer, end_id, capacity), "pieces", "zstd")
+    parts, table = bucketed(pieces(docs, tokenizer, end_id, capacity), "pieces")
     rows = placed(parts, capacity, nodes, branches)
     item = F.struct("offset", "doc_id", "piece", "start", "length", "ids")
     whole = rows.groupBy("sequence_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
@@ -343,6 +358,7 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.j
             )
 
     whole.mapInArrow(lay, SEQUENCES).write.option("compression", "zstd").parquet(path)
+    docs.sparkSession.sql(f"DROP TABLE {table}")
     return path
 
 
