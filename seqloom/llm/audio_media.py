@@ -3,7 +3,8 @@
 A payload is stored as a WAV file (RIFF header and 8-bit samples, one channel), read
 back from those bytes, resampled by a polyphase filter, cut into overlapped frames
 and turned into log-mel energies; a hysteresis gate over the frames' energy gives
-active segments.  Features of a row are two Arrow tensors of fixed shape: the log-mel
+active segments.  All tables are whole numbers of fixed steps, so every sum of products is a sum of integers below 2^53: exact,
+in whatever order the processor adds, with any number of threads.  Energies are on a grid of 0.001 dB.  Features of a row are two Arrow tensors of fixed shape: the log-mel
 energies pooled into ``FRAMES`` time spans by ``MELS`` bands, and those spans in seconds.
 
 Spark has no tensor type, so features are stored as Arrow IPC streams of a few hundred rows in a
@@ -36,6 +37,10 @@ OPEN, CLOSE = 0.6, 0.4
 #: Samples taken at once: longer payloads stream through in blocks.
 BLOCK = 1 << 19
 UNIT = 64
+#: Steps to 1 of filter taps, window, Fourier terms, powers and mel weights: with 8-bit samples no sum reaches 2^53.
+TAP_STEPS, WINDOW_STEPS, WAVE_STEPS, POWER_STEPS, MEL_STEPS = 1 << 12, 1 << 10, 1 << 12, 1 << 20, 1 << 8
+#: Steps to 1 dB.
+GRID = 1000
 
 
 def _phases() -> np.ndarray:
@@ -44,7 +49,7 @@ def _phases() -> np.ndarray:
     t = (np.arange(n) - (n - 1) / 2) / max(UP, DOWN)
     h = np.sinc(t) * np.hamming(n)
     phases = h.reshape(TAPS, UP).T[:, ::-1]
-    return (phases / phases.sum(axis=1, keepdims=True)).astype(np.float32)
+    return np.rint(TAP_STEPS * phases / phases.sum(axis=1, keepdims=True))
 
 
 def _mel_bank() -> np.ndarray:
@@ -55,10 +60,18 @@ def _mel_bank() -> np.ndarray:
     bins = np.linspace(0, rate / 2, FRAME // 2 + 1)[:, None]
     rise = (bins - edges[:-2]) / (edges[1:-1] - edges[:-2])
     fall = (edges[2:] - bins) / (edges[2:] - edges[1:-1])
-    return np.maximum(0, np.minimum(rise, fall)).astype(np.float32)
+    return np.rint(MEL_STEPS * np.maximum(0, np.minimum(rise, fall)))
 
 
-_PHASES, _BANK, _WINDOW = _phases(), _mel_bank(), np.hanning(FRAME).astype(np.float32)
+def _waves() -> np.ndarray:
+    """Fourier terms, FRAME by cosines and then sines of FRAME // 2 + 1 bins."""
+    turn = 2 * np.pi * np.outer(np.arange(FRAME), np.arange(FRAME // 2 + 1)) / FRAME
+    return np.rint(WAVE_STEPS * np.concatenate([np.cos(turn), np.sin(turn)], axis=1))
+
+
+_PHASES, _BANK, _WAVES, _WINDOW = _phases(), _mel_bank(), _waves(), np.rint(WINDOW_STEPS * np.hanning(FRAME))
+#: What a sample of full swing is in steps, and the size of the Fourier terms of a frame against their true size.
+_FULL = 128 * TAP_STEPS * WINDOW_STEPS * WAVE_STEPS
 
 
 def wav(payload: bytes) -> bytes:
@@ -82,11 +95,11 @@ def samples(media: bytes) -> np.ndarray:
 
 
 def resample(x: np.ndarray) -> np.ndarray:
-    """``len(x) * UP // DOWN`` samples; each output takes the dot product with one phase."""
+    """``len(x) * UP // DOWN`` samples in steps; each output takes the dot product with one phase."""
     n = len(x) * UP // DOWN
-    padded = np.concatenate([np.zeros(TAPS // 2, np.float32), x, np.zeros(TAPS, np.float32)])
+    padded = np.concatenate([np.zeros(TAPS // 2), x, np.zeros(TAPS)])
     rows = np.lib.stride_tricks.sliding_window_view(padded, TAPS)
-    out = np.empty(n, np.float32)
+    out = np.empty(n)
     for phase in range(UP):
         k = np.arange(phase, n, UP)
         if len(k):
@@ -96,25 +109,27 @@ def resample(x: np.ndarray) -> np.ndarray:
 
 
 def _mel_frames(y: np.ndarray) -> np.ndarray:
-    """Log-mel energies (dB) of the frames of y, which silence fills up to whole hops."""
+    """Log-mel energies (whole steps of 1 / GRID dB) of the frames of y, which silence fills up to whole hops."""
     short = FRAME - len(y) if len(y) < FRAME else -(len(y) - FRAME) % HOP
-    y = np.concatenate([y, np.zeros(short, np.float32)])
+    y = np.concatenate([y, np.zeros(short)])
     frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP]
-    out = np.empty((len(frames), MELS), np.float32)
+    out, bins = np.empty((len(frames), MELS), np.int64), FRAME // 2 + 1
     for i in range(0, len(frames), 1024):
-        power = np.abs(np.fft.rfft(frames[i : i + 1024] * _WINDOW, axis=1)).astype(np.float32) ** 2
-        out[i : i + 1024] = 10 * np.log10(power @ _BANK + np.float32(1e-6))
+        terms = (frames[i : i + 1024] * _WINDOW) @ _WAVES / _FULL
+        power = np.rint(POWER_STEPS * (terms[:, :bins] ** 2 + terms[:, bins:] ** 2))
+        out[i : i + 1024] = np.rint(GRID * 10 * np.log10(power @ _BANK / (POWER_STEPS * MEL_STEPS) + 1e-6))
     return out
 
 
 def log_mel(x: np.ndarray) -> np.ndarray:
     """Log-mel energies of a whole payload; long ones stream in blocks that overlap by whole hops."""
     if len(x) <= BLOCK:
-        return _mel_frames(resample(x.astype(np.float32) / 128 - 1))
+        return _mel_frames(resample(x.astype(float) - 128))
     parts, step = [], BLOCK // (DOWN * HOP) * (DOWN * HOP)
     reach = (FRAME + HOP) * DOWN // UP + TAPS * DOWN
     for i in range(0, len(x), step):
-        y = resample(x[i : i + step + reach].astype(np.float32) / 128 - 1)
+        lead = min(i, TAPS * DOWN)  # what the filter sees before the block
+        y = resample(x[i - lead : i + step + reach].astype(float) - 128)[lead * UP // DOWN :]
         whole = step * UP // DOWN // HOP
         if i + step + reach >= len(x):
             parts.append(_mel_frames(y))
@@ -124,9 +139,9 @@ def log_mel(x: np.ndarray) -> np.ndarray:
 
 
 def segments(energy: np.ndarray) -> list[tuple[int, int]]:
-    """Frames ``[first, last)`` where the gate is open: from a frame at OPEN until one below CLOSE."""
+    """From the energies of frames, whole numbers: frames ``[first, last)`` where the gate is open: from a frame at OPEN until one below CLOSE."""
     low, high = float(energy.min()), float(energy.max())
-    if high - low < 1e-3:
+    if high == low:
         return []
     share = (energy - low) / (high - low)
     # The last frame that decides (opens or closes) rules those between.
@@ -147,9 +162,9 @@ def features(media: bytes) -> tuple[np.ndarray, np.ndarray, list[tuple[float, fl
     for i in range(FRAMES):
         a = min(int(cuts[i]), len(mel) - 1)
         b = max(a + 1, int(np.ceil(cuts[i + 1])))
-        tensor[i] = mel[a:b].mean(axis=0, dtype=np.float64)
+        tensor[i] = mel[a:b].sum(axis=0) / ((b - a) * GRID)
         spans[i] = a * second, b * second
-    found = segments(mel.mean(axis=1, dtype=np.float64))
+    found = segments(mel.sum(axis=1))
     return tensor, spans, [(a * second, b * second) for a, b in found]
 
 
@@ -224,8 +239,8 @@ def _stream(batch: pa.RecordBatch) -> pa.RecordBatch:
 def media_features(media: DataFrame) -> DataFrame:
     """``n, stream``: features of stored files, ``n`` rows in each Arrow stream.
 
-    Files are read back from ``media(doc_id, n_bytes, media)``; equal files have equal features.  A
-    stream has the columns of FEATURE_SCHEMA, ``tensor`` and ``spans`` (seconds) as fixed-shape tensors.
+    Files are read back from ``media(doc_id, n_bytes, media)``; equal files have equal features, in any task and on any machine
+    (sums are exact; only a logarithm's last bit could differ, far below the grid).  A stream has the columns of FEATURE_SCHEMA, ``tensor`` and ``spans`` (seconds) as fixed-shape tensors.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -620,38 +621,61 @@ def test_media(docs, rows, empty):
 
 
 def slow_features(data):
-    """Resampling, frames, filters and pooling sample by sample."""
+    """Resampling, frames, filters and pooling sample by sample, in Python's integers."""
     m = audio_media
-    x = [v / 128 - 1 for v in data]
+    x = [v - 128 for v in data]
     n = len(x) * m.UP // m.DOWN
     y = []
     for k in range(n):
         at, phase = k // m.UP * m.DOWN + (k % m.UP) * m.DOWN // m.UP, (k % m.UP) * m.DOWN % m.UP
-        y.append(sum(float(m._PHASES[phase][j]) * (x[at + j - m.TAPS // 2] if 0 <= at + j - m.TAPS // 2 < len(x) else 0.0) for j in range(m.TAPS)))
+        y.append(sum(int(m._PHASES[phase][j]) * (x[at + j - m.TAPS // 2] if 0 <= at + j - m.TAPS // 2 < len(x) else 0) for j in range(m.TAPS)))
     while len(y) < m.FRAME or (len(y) - m.FRAME) % m.HOP:
-        y.append(0.0)
+        y.append(0)
+    window = [round(m.WINDOW_STEPS * (0.5 - 0.5 * math.cos(2 * math.pi * j / (m.FRAME - 1)))) for j in range(m.FRAME)]
+    turn = [[(round(m.WAVE_STEPS * math.cos(2 * math.pi * b * j / m.FRAME)), round(m.WAVE_STEPS * math.sin(2 * math.pi * b * j / m.FRAME))) for j in range(m.FRAME)] for b in range(m.FRAME // 2 + 1)]
     frames = []
     for i in range(0, len(y) - m.FRAME + 1, m.HOP):
-        w = [y[i + j] * (0.5 - 0.5 * math.cos(2 * math.pi * j / (m.FRAME - 1))) for j in range(m.FRAME)]
+        w = [y[i + j] * window[j] for j in range(m.FRAME)]
         power = []
         for b in range(m.FRAME // 2 + 1):
-            re_, im = sum(v * math.cos(2 * math.pi * b * j / m.FRAME) for j, v in enumerate(w)), sum(v * math.sin(2 * math.pi * b * j / m.FRAME) for j, v in enumerate(w))
-            power.append(re_ * re_ + im * im)
-        frames.append([10 * math.log10(sum(p * float(m._BANK[b][k]) for b, p in enumerate(power)) + 1e-6) for k in range(m.MELS)])
+            re_, im = (sum(v * t[k] for v, t in zip(w, turn[b])) / m._FULL for k in (0, 1))
+            power.append(round(m.POWER_STEPS * (re_ * re_ + im * im)))
+        frames.append([round(m.GRID * 10 * math.log10(sum(p * int(m._BANK[b][k]) for b, p in enumerate(power)) / (m.POWER_STEPS * m.MEL_STEPS) + 1e-6)) for k in range(m.MELS)])
     out = []
     for i in range(m.FRAMES):
         a = min(int(len(frames) * i / m.FRAMES), len(frames) - 1)
         b = max(a + 1, math.ceil(len(frames) * (i + 1) / m.FRAMES))
-        out.append([sum(f[k] for f in frames[a:b]) / (b - a) for k in range(m.MELS)])
+        out.append([np.float32(sum(f[k] for f in frames[a:b]) / ((b - a) * m.GRID)) for k in range(m.MELS)])
     return np.array(out)
 
 
-def test_features_equal_brute_force():
+def test_features_equal_brute_force(monkeypatch):
     r = random.Random(15)
-    for n in (64, 512, 1280):
+    for n in (64, 512, 1280, 4096):
         data = bytes(r.choice(b"etaoin shrdlu.") for _ in range(n))
         tensor, _, _ = audio_media.features(audio_media.wav(data))
-        assert np.allclose(tensor, slow_features(data), atol=0.02)
+        assert np.array_equal(tensor, slow_features(data))
+    monkeypatch.setattr(audio_media, "BLOCK", 1200)  # the last one in blocks
+    assert np.array_equal(audio_media.features(audio_media.wav(data))[0], tensor)
+
+
+def test_features_are_near_those_of_real_numbers():
+    m, x = audio_media, np.random.default_rng(3).integers(32, 123, 6000)
+    y = m.resample(x - 128.0) / (128 * m.TAP_STEPS)
+    frames = np.lib.stride_tricks.sliding_window_view(y[: len(y) - (len(y) - m.FRAME) % m.HOP], m.FRAME)[:: m.HOP]
+    power = np.abs(np.fft.rfft(frames * np.hanning(m.FRAME), axis=1)) ** 2
+    want = 10 * np.log10(power @ m._BANK / m.MEL_STEPS + 1e-6)
+    got = m.log_mel(x.astype(np.uint8))[: len(frames)] / m.GRID
+    assert np.abs(got - want).max() < 0.1
+
+
+def test_features_do_not_depend_on_threads():
+    import subprocess
+    import sys
+
+    code = "import hashlib, numpy as np; from seqloom.llm import audio_media as m; x = np.random.default_rng(1).integers(0, 256, 300_000).astype(np.uint8).tobytes(); f = m.features(m.wav(x)); print(hashlib.sha256(f[0].tobytes() + f[1].tobytes() + repr(f[2]).encode()).hexdigest())"
+    said = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"OPENBLAS_NUM_THREADS": n, "OMP_NUM_THREADS": n, "MKL_NUM_THREADS": n}, capture_output=True, text=True, check=True).stdout for n in ("1", "2", "4", "8")}
+    assert len(said) == 1
 
 
 def test_media_kernels():
@@ -662,12 +686,12 @@ def test_media_kernels():
     with wave.open(io.BytesIO(audio_media.wav(data))) as f:
         assert (f.getsampwidth(), f.getnchannels(), f.readframes(f.getnframes())) == (1, 1, data)
     x = np.random.default_rng(0).integers(0, 256, audio_media.BLOCK + 40_000).astype(np.uint8)
-    whole = audio_media._mel_frames(audio_media.resample(x.astype(np.float32) / 128 - 1))
-    assert np.allclose(audio_media.log_mel(x)[: len(whole)], whole, atol=1e-3)
+    whole = audio_media._mel_frames(audio_media.resample(x.astype(float) - 128))
+    assert np.array_equal(audio_media.log_mel(x), whole)
     assert audio_media.segments(np.array([0, 9, 5, 10, 1, 0, 10.0])) == [(1, 4), (6, 7)]
     assert audio_media.segments(np.zeros(5)) == []
-    flat = np.ones(900, np.float32)
-    assert np.allclose(audio_media.resample(flat)[20:-20], 1, atol=1e-5)
+    flat = np.ones(900)
+    assert np.allclose(audio_media.resample(flat)[20:-20], audio_media.TAP_STEPS, atol=4)
     t, s = audio_media.tensors(np.zeros((2, 8 * 20), np.float32), np.zeros((2, 16), np.float32))
     assert t.type.shape == [8, 20] and len(s) == 2
 
