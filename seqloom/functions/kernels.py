@@ -66,38 +66,116 @@ def edit_steps(table: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndar
     return kinds, good
 
 
+#: Bits of a word of ``edit_distances``.
+_WORD = 64
+
+
+def edit_distances(probe: str, letters: np.ndarray) -> np.ndarray:
+    """Edit distances of a probe to windows (a row of letters each), a column of each table at a time.
+
+    A column is the bits of its vertical steps, up or down, in words of 64 places of the probe; a word of all
+    windows is one array, so a letter of the windows costs a few operations on whole arrays for each 64 places of the probe.
+    """
+    m, ones = len(probe), np.uint64(0xFFFFFFFFFFFFFFFF)
+    if not m:
+        return np.full(len(letters), letters.shape[1], np.int64)
+    words = -(-m // _WORD)
+    base = np.frombuffer(probe.encode(), np.uint8)
+    masks = np.zeros((words, 256), np.uint64)
+    for i, b in enumerate(base.tolist()):
+        for letter in (b, ord("t")) if b == ord("c") else (b,):
+            masks[i // _WORD, letter] |= np.uint64(1 << i % _WORD)
+    up = [np.full(len(letters), ones) for _ in range(words)]
+    down = [np.zeros(len(letters), np.uint64) for _ in range(words)]
+    distance = np.full(len(letters), m, np.int64)
+    last, one = np.uint64((m - 1) % _WORD), np.uint64(1)
+    for column in letters.T:
+        # What comes into the first word: each column is one further from the empty probe.
+        carry_up, carry_down = np.ones(len(letters), np.uint64), np.zeros(len(letters), np.uint64)
+        for w in range(words):
+            same = masks[w, column]
+            either = same | down[w]
+            same = same | carry_down
+            diagonal = ((up[w] + (same & up[w])) ^ up[w]) | same | down[w]
+            rise, fall = down[w] | ~(up[w] | diagonal), up[w] & diagonal
+            if w == words - 1:
+                distance += ((rise >> last) & one).astype(np.int64) - ((fall >> last) & one).astype(np.int64)
+            next_up, next_down = rise >> np.uint64(63), fall >> np.uint64(63)
+            rise, fall = (rise << one) | carry_up, (fall << one) | carry_down
+            up[w], down[w] = fall | ~(either | rise), rise & either
+            carry_up, carry_down = next_up, next_down
+    return distance
+
+
 def text_edit_scores(probe: str, letters: np.ndarray, limit: int | None = None) -> np.ndarray:
     """Length less the distance; 0 where ``limit`` steps in a row of the way back don't match."""
     m = len(probe)
+    if limit is None:  # no way back is needed
+        first = matching(probe[:1], letters[:, :1])[:, 0, 0]
+        return (m - ~first - edit_distances(probe[1:], letters[:, 1:])).astype(float) if m else np.zeros(len(letters))
     out = np.empty(len(letters))
     at_once = max(1, _CELLS // (m + 1) ** 2)
     for a in range(0, len(letters), at_once):
         same = matching(probe, letters[a : a + at_once])
         table = edit_tables(same)
         score = (m - table[:, m, m]).astype(float)
-        if limit is not None:
-            kinds, good = edit_steps(table, same)
-            bad = (kinds < 3) & ~good
-            run = np.zeros(len(same), np.int64)
-            for k in range(bad.shape[1]):
-                run = np.where(bad[:, k], run + 1, 0)
-                score[run >= limit] = 0.0
+        kinds, good = edit_steps(table, same)
+        bad = (kinds < 3) & ~good
+        run = np.zeros(len(same), np.int64)
+        for k in range(bad.shape[1]):
+            run = np.where(bad[:, k], run + 1, 0)
+            score[run >= limit] = 0.0
         out[a : a + at_once] = score
     return out
 
 
-def text_edit_udf(probe: str, limit: int | None = None):
+def kernel_udf(kernel: S.Kernel, probe: str, options: S.Options):
+    """UDF of windows: 0 for those that don't have the probe's length."""
+
     @F.pandas_udf(DoubleType())
     def score(windows: pd.Series) -> pd.Series:
         out = np.zeros(len(windows))
         fits = (windows.str.len() == len(probe)).to_numpy(dtype=bool, na_value=False)
         if fits.any():
-            out[fits] = text_edit_scores(probe, letters_of(windows[fits].tolist()), limit)
+            out[fits] = kernel(probe, letters_of(windows[fits].tolist()), options)
         return pd.Series(out)
 
     return score
 
 
+def text_edit_udf(probe: str, limit: int | None = None):
+    return kernel_udf(lambda probe, letters, o: text_edit_scores(probe, letters, limit), probe, S.Options())
+
+
+def direct_scores(probe: str, letters: np.ndarray, o: S.Options) -> np.ndarray:
+    """Matching places of each window."""
+    return sum((_good(b, letters[:, i]).astype(np.int32) for i, b in enumerate(probe)), np.zeros(len(letters), np.int32)).astype(float)
+
+
+def consistency_scores(probe: str, letters: np.ndarray, o: S.Options) -> np.ndarray:
+    """Most matches in a stretch with at most ``patience`` mismatches.
+
+    ``runs[k]``: matches of the longest stretch that ends here with k mismatches at most.
+    """
+    runs = np.zeros((o.patience + 1, len(letters)), np.int32)
+    best = np.zeros(len(letters), np.int32)
+    for i, b in enumerate(probe):
+        good = _good(b, letters[:, i])
+        runs[1:] = np.where(good, runs[1:] + 1, runs[:-1])
+        runs[0] = np.where(good, runs[0] + 1, 0)
+        best = np.maximum(best, runs[-1])
+    return best.astype(float)
+
+
+def _good(base: str, column: np.ndarray) -> np.ndarray:
+    return (column == ord("c")) | (column == ord("t")) if base == "c" else column == ord(base)
+
+
+S.register_kernel("direct", direct_scores)
+S.register_kernel("consistency", consistency_scores)
+S.register_kernel("textedit", lambda probe, letters, o: text_edit_scores(probe, letters, o.mismatch_limit))
+
+
 # Renderings: three rows of a probe, a window and marks -------------------------------------------
 
 

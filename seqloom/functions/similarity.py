@@ -12,10 +12,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import product
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import numpy as np
+
 #: Names of the similarities, in the order of their numbers, with what else names them.
 SIMILARITY_ALIASES = {
     "textedit": ("text", "textedit", "textdistance", "text_edit", "text_distance"),
@@ -185,17 +189,50 @@ class Options:
 
 
 Builder = Callable[[str, Column, Options], Column]
+Kernel = Callable[[str, "np.ndarray", Options], "np.ndarray"]
 _registry: dict[str, Builder] = {}
+_kernels: dict[str, Kernel] = {}
 #: Similarities that look at the genome beyond the window: they get what follows from the window's first base on.
 AHEAD = {"blat"}
 
 
-def register_similarity(name: str, builder: Builder) -> None:
-    """Makes ``builder(probe, window, options)`` available to searches under a name."""
-    _registry[name] = builder
+def register_similarity(name: str, builder: Builder | None = None, kernel: Kernel | None = None) -> None:
+    """Makes a similarity available to searches under a name: by Columns, by a kernel, or both if they score alike.
+
+    ``builder(probe, window, options)`` gives a Column.  ``kernel(probe, letters, options)`` gives the scores of many
+    windows, rows of a matrix of bytes; it runs in tasks, so it must be found there or be pickled.  Of one
+    without a builder the Column is made, which runs the kernel over Arrow batches.
+    """
+    if builder is None and kernel is None:
+        raise ValueError("a similarity needs a builder or a kernel")
+    _registry[name] = builder or _by_kernel(kernel)
+    if kernel is None:
+        _kernels.pop(name, None)
+    else:
+        register_kernel(name, kernel)
     SIMILARITY_ALIASES.setdefault(name, (name,))
 
 
+def register_kernel(name: str, kernel: Kernel) -> None:
+    """The kernel of a similarity that has a builder."""
+    _kernels[name] = kernel
+
+
+def kernel(name: str) -> Kernel | None:
+    from seqloom.functions import kernels  # noqa: F401  (those of the built-in similarities)
+
+    return _kernels.get(name)
+
+
+def _by_kernel(scores: Kernel) -> Builder:
+    def build(probe: str, window: Column, o: Options) -> Column:
+        from seqloom.functions.kernels import kernel_udf
+
+        return kernel_udf(scores, probe, o)(window)
+
+    return build
+
+
 def _text_edit(probe: str, window: Column, o: Options) -> Column:
     if o.mismatch_limit is None:
         return text_edit(probe, window)

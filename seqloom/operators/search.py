@@ -4,13 +4,14 @@ Genomes are cut into chunks first, in one pass over each strand, and the chunks
 tasks, so a chromosome is not one task's work.  A chunk carries what its windows and the suppression
 at its edges need (a halo), so results don't depend on the chunk size.
 
-Two engines give the same rows.  ``arrow`` scores all windows of a chunk for all probes at once in numpy and
-emits local maxima only, without a shuffle before the ranking.  ``columns`` keeps to Column expressions.
+Two engines give the same rows.  ``arrow`` scores all windows of many chunks at once in numpy, probe by probe, and
+emits the best local maxima of each task only, without a shuffle before the ranking.  ``columns`` keeps to Column expressions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from seqloom.functions import dna as D
 from seqloom.functions import similarity as S
 from seqloom.functions import kernels as K
 
+#: Similarities that match expressions against the letters from a window's start on.
+BY_EXPRESSION = {"pattern", "blat"}
 CHUNK = 4096
 #: Windows of a chunk where each becomes a row: a slice costs its distance from the chunk's start.
 WINDOW_CHUNK = 256
@@ -92,33 +95,48 @@ def best(found: DataFrame, k: int, by: list[str], order: list[Column]) -> DataFr
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def _window_scores(name: str, probe: str, letters: np.ndarray, text: str, o: S.Options) -> np.ndarray:
-    """Scores of all windows of ``text``: ``letters`` is windows x places."""
+#: Letters that are scored at once, but for a longer piece; what stands between pieces matches nothing.
+LETTERS, GAP = 1 << 18, b"\n"
+
+
+@dataclass
+class Pieces:
+    """Pieces of genomes one after the other, with gaps between: the windows of all of them at once."""
+
+    data: np.ndarray  # letters
+    start: np.ndarray  # of pieces, in data
+    size: np.ndarray
+
+    @staticmethod
+    def of(pieces: list[str], gap: int) -> Pieces:
+        size = np.array([len(x) for x in pieces], np.int64)
+        start = np.cumsum(size + gap) - size - gap
+        return Pieces(np.frombuffer((GAP * gap).join(x.encode() for x in pieces) + GAP * gap, np.uint8), start, size)
+
+    def room(self) -> np.ndarray:
+        """Letters from each place to its piece's end."""
+        edge = np.repeat(self.start + self.size, np.diff(self.start, append=len(self.data)))
+        return np.maximum(edge - np.arange(len(self.data)), 0)
+
+    def marked(self, first: np.ndarray, stop: np.ndarray, places: int) -> np.ndarray:
+        """Which places lie in ``first <= place < stop`` of some piece, places within it."""
+        stop = np.maximum(stop, first)
+        edges = np.zeros(len(self.data) + 1, np.int64)
+        np.add.at(edges, np.minimum(self.start + first, len(self.data)), 1)
+        np.add.at(edges, np.minimum(self.start + stop, len(self.data)), -1)
+        return np.cumsum(edges)[:places] > 0
+
+
+def window_scores(name: str, kernel: S.Kernel | None, probe: str, letters: np.ndarray, pieces: Pieces, o: S.Options) -> np.ndarray:
+    """Scores of all windows of ``pieces.data`` (``letters``: windows x places), by the kernel if the similarity has one."""
     m = len(probe)
-    base = np.frombuffer(probe.encode(), np.uint8)
-    if name in ("direct", "consistency"):
-        same = (letters == base) | ((base == ord("c")) & (letters == ord("t")))
-        if name == "direct":
-            return same.sum(axis=1).astype(float)
-        # Best stretch with at most `patience` mismatches: two pointers over all windows at once.
-        hits = np.concatenate([np.zeros((len(same), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
-        bad = np.arange(m + 1) - hits
-        out, left, rows = np.zeros(len(same)), np.zeros(len(same), np.int64), np.arange(len(same))
-        for right in range(1, m + 1):
-            while (over := bad[rows, right] - bad[rows, left] > o.patience).any():
-                left += over
-            out = np.maximum(out, hits[rows, right] - hits[rows, left])
-        return out
-    if name == "textedit":
-        return K.text_edit_scores(probe, letters, o.mismatch_limit)
 
     def matched(expression: str, width: int) -> np.ndarray:
-        """Which windows, taken with ``width`` letters as far as there are, match from their start."""
-        data = np.frombuffer(text.encode(), np.uint8)
+        """Which windows, taken with ``width`` letters as far as their piece goes, match from their start."""
         start = np.arange(len(letters))
-        size = np.minimum(width, len(data) - start)
+        size = np.minimum(width, pieces.room()[: len(letters)])
         bounds = np.concatenate([[0], np.cumsum(size)])
-        flat = data[np.repeat(start - bounds[:-1], size) + np.arange(bounds[-1])]
+        flat = pieces.data[np.repeat(start - bounds[:-1], size) + np.arange(bounds[-1])]
         column = pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(flat)])
         return pc.match_substring_regex(column, expression).to_numpy(zero_copy_only=False)
 
@@ -131,7 +149,7 @@ def _window_scores(name: str, probe: str, letters: np.ndarray, text: str, o: S.O
     if name == "blat":
         expression = S.two_anchors(probe, o.middle_limit, o.end_limit)
         return np.zeros(len(letters)) if expression is None else matched(expression, S.anchor_reach(o.middle_limit, o.end_limit)).astype(float)
-    raise ValueError(f"the arrow engine has no similarity {name!r}")
+    return np.asarray(kernel(probe, letters, o), float)
 
 
 def _peaks(score: np.ndarray, distance: int) -> np.ndarray:
@@ -165,6 +183,8 @@ def search(
     by score (``ascending``: the least first), accession, ``+`` before ``-``, and offset, over all
     genomes or in each.  Probes are lower-cased; genomes shorter than a probe have no window.
 
+    A similarity of ``register_similarity`` that has a kernel is scored by it; with one that has Columns only, all are scored by Columns.
+
     Probes may share a name, and are ranked one by one.  Without ``top_k`` all such windows are given, without ranks.
 
     ``render`` adds ``nth`` and ``probe``, the probe's place in the list and its letters, and ``renderings``: the rows of each
@@ -177,8 +197,15 @@ def search(
     for _, probe in given:
         S.similarity("direct", probe, F.lit(""))  # letters
     ahead = S.anchor_reach(options.middle_limit, options.end_limit) if S.AHEAD & set(kinds) else 0
-    find = _search_columns if engine == "columns" else _search_arrow
-    kept = find(given, strands(genomes), weights, options, distance, chunk, ahead, compat)
+    if engine == "columns" or any(S.kernel(k) is None for k in kinds if k not in BY_EXPRESSION):
+        kept = _search_columns(given, strands(genomes), weights, options, distance, chunk, ahead, compat)
+    else:
+        kept = _search_arrow(given, strands(genomes), weights, options, distance, chunk, ahead, compat, None if per_genome else top_k, ascending, min_similarity)
+    return _ranked(kept, kinds, options, top_k, ascending, min_similarity, per_genome, render)
+
+
+def _ranked(kept: DataFrame, kinds: list[str], options: S.Options, top_k: int | None, ascending: bool, min_similarity: float | None, per_genome: bool, render: bool) -> DataFrame:
+    """Positions, ranks and drawings of windows found."""
     scores = F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*[F.col(f"score_{k}") for k in kinds]))
     start, end = hit_position(F.col("strand"), F.col("offset"), F.length("window"), F.col("length"))
     found = kept.select("nth", "probe", "name", "accession", "strand", start.alias("start"), end.alias("end"), F.col("offset").cast("long").alias("offset"), "weighted", scores.alias("scores"), "window", "ahead")
@@ -213,47 +240,104 @@ def _search_columns(given: list[tuple[str, str]], both: DataFrame, weights: dict
     return found
 
 
-def _search_arrow(given: list[tuple[str, str]], both: DataFrame, weights: dict[str, float], o: S.Options, distance: int, chunk: int, ahead: int, compat: bool) -> DataFrame:
-    """All probes in one pass over the chunks, which are dealt out with blocks of probes."""
+class _Best:
+    """What a task has found: of each probe the first ``k`` by rank only, if ``k`` is given."""
+
+    def __init__(self, k: int | None, ascending: bool, names: list[str]):
+        self.k, self.sign, self.names = k, 1.0 if ascending else -1.0, names
+        self.found: dict[int, list[pa.RecordBatch]] = {}
+        self.edge: dict[int, float] = {}  # signed score of the k-th so far
+
+    def passing(self, nth: int, score: np.ndarray) -> np.ndarray:
+        """Which scores may still be among the first k; those equal to the k-th may, by their place."""
+        return self.sign * score <= self.edge[nth] if nth in self.edge else np.ones(len(score), bool)
+
+    def add(self, nth: int, rows: pa.RecordBatch) -> None:
+        self.found.setdefault(nth, []).append(rows)
+        if self.k is not None and sum(len(r) for r in self.found[nth]) > 2 * self.k + 1024:
+            self._cut(nth)
+
+    def _cut(self, nth: int) -> None:
+        rows = pa.Table.from_batches(self.found[nth]).combine_chunks()
+        rows = rows.append_column("signed", pc.multiply(rows["weighted"], self.sign))
+        order = pc.sort_indices(rows, [("signed", "ascending"), ("accession", "ascending"), ("strand", "ascending"), ("offset", "ascending")])
+        rows = rows.take(order[: self.k]).combine_chunks()
+        if len(rows) == self.k:
+            self.edge[nth] = rows["signed"][-1].as_py()
+        self.found[nth] = rows.select(self.names).to_batches()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        for nth in list(self.found):
+            if self.k is not None:
+                self._cut(nth)
+            yield from self.found.pop(nth)
+
+
+def _search_arrow(given: list[tuple[str, str]], both: DataFrame, weights: dict[str, float], o: S.Options, distance: int, chunk: int, ahead: int, compat: bool, k: int | None = None, ascending: bool = False, least: float | None = None) -> DataFrame:
+    """All probes in one pass over the chunks, which are dealt out with blocks of probes.
+
+    With ``k`` a task gives each probe's first k only, so what leaves the scan is bounded by tasks and probes.
+    """
     kinds, sizes = list(weights), [len(probe) for _, probe in given]
-    least, most = min(sizes), max(sizes)
-    halo = distance - 1
-    blocks = -(-len(given) // PROBES)
+    shortest, longest = min(sizes), max(sizes)
+    halo, blocks = distance - 1, -(-len(given) // PROBES)
+    kernels = {name: S.kernel(name) for name in kinds}  # go to the tasks, which don't know what was registered here
+    names = ["nth", "probe", "name", "accession", "strand", "length", "offset", "weighted", "window", "ahead", *(f"score_{k}" for k in kinds)]
     schema = "nth int, probe string, name string, accession string, strand string, length int, offset int, weighted double, window string, ahead string, " + ", ".join(f"score_{k} double" for k in kinds)
 
+    def scored(rows: pa.RecordBatch, block: int, best: _Best) -> None:
+        texts = rows.column("piece").to_pylist()
+        length, core, at = (rows.column(c).to_numpy().astype(np.int64) for c in ("length", "core", "at"))
+        pieces = Pieces.of(texts, distance + longest)
+        for nth in range(block * PROBES, min(len(given), (block + 1) * PROBES)):
+            name, probe = given[nth]
+            m = len(probe)
+            n = np.minimum(length - m + 1, core + step + halo) - at
+            letters = np.lib.stride_tricks.sliding_window_view(pieces.data, m)
+            inside = pieces.marked(np.zeros(len(n), np.int64), n, len(letters))
+            each = {k: window_scores(k, kernels[k], probe, letters, pieces, o) for k in kinds}
+            total = np.where(inside, sum(each[k] * w for k, w in weights.items()) / sum(weights.values()), -1.0)
+            if compat:
+                peak = np.zeros(len(total), bool)
+                for start, a0, count, size in zip(pieces.start.tolist(), at.tolist(), n.tolist(), np.where(length >= 32, length // 32, np.maximum(length, 1)).tolist()):
+                    for a, b in _runs(a0, count, size) if count > 0 else []:
+                        peak[start + a : start + b] = _peaks(total[start + a : start + b], distance)
+            else:
+                peak = _peaks(total, distance)
+            keep = np.flatnonzero(peak & pieces.marked(core - at, np.minimum(n, core + step - at), len(letters)))
+            if least is not None:
+                keep = keep[total[keep] >= least]
+            keep = keep[best.passing(nth, total[keep])]
+            if len(keep):
+                own = np.searchsorted(pieces.start, keep, "right") - 1
+                place = keep - pieces.start[own]
+                pairs = list(zip(own.tolist(), place.tolist()))
+                same = lambda v: pa.array([v] * len(keep), pa.string())  # noqa: B023, E731
+                columns = [pa.array(np.full(len(keep), nth, np.int32)), same(probe), same(name), rows.column("accession").take(pa.array(own)), rows.column("strand").take(pa.array(own)), pa.array(length[own].astype(np.int32)), pa.array((place + at[own]).astype(np.int32)), pa.array(total[keep])]
+                columns += [pa.array([texts[i][p : p + m] for i, p in pairs], pa.string()), pa.array([texts[i][p : p + ahead] if ahead else None for i, p in pairs], pa.string())]
+                best.add(nth, pa.RecordBatch.from_arrays([*columns, *(pa.array(each[k][keep]) for k in kinds)], names=names))
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(k, ascending, names)
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("accession", "strand", "length", "core", "at", "piece", "probes")]
-            for acc, strand, length, core, at, piece, block in zip(*columns, strict=True):
-                data = np.frombuffer(piece.encode(), np.uint8)
-                size = max(1, length // 32 if length >= 32 else length)
-                for nth in range(block * PROBES, min(len(given), (block + 1) * PROBES)):
-                    name, probe = given[nth]
-                    m = len(probe)
-                    n = min(length - m + 1, core + step + halo) - at
-                    if n <= 0:
-                        continue
-                    letters = np.lib.stride_tricks.sliding_window_view(data, m)[:n]
-                    each = {k: _window_scores(k, probe, letters, piece, o) for k in kinds}
-                    total = sum(each[k] * w for k, w in weights.items()) / sum(weights.values())
-                    peak = np.zeros(n, bool)
-                    for a, b in _runs(at, n, size if compat else None):
-                        peak[a:b] = _peaks(total[a:b], distance)
-                    keep = np.flatnonzero(peak)
-                    keep = keep[(keep + at >= core) & (keep + at < core + step)]
-                    if len(keep):
-                        own = lambda v: pa.array([v] * len(keep), pa.string())  # noqa: B023, E731
-                        far = [piece[i : i + ahead] if ahead else None for i in keep]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(keep), nth, np.int32)), own(probe), own(name), own(acc), own(strand), pa.array(np.full(len(keep), length, np.int32)), pa.array((keep + at).astype(np.int32)), pa.array(total[keep]), pa.array([piece[i : i + m] for i in keep], pa.string()), pa.array(far, pa.string())]
-                            + [pa.array(each[k][keep]) for k in kinds],
-                            names=["nth", "probe", "name", "accession", "strand", "length", "offset", "weighted", "window", "ahead", *(f"score_{k}" for k in kinds)],
-                        )
+            block = batch.column("probes").to_numpy()
+            order = np.argsort(block, kind="stable")
+            batch, block = batch.take(pa.array(order)), block[order]
+            size = pc.binary_length(batch.column("piece")).to_numpy().astype(np.int64) + distance + longest
+            filled = np.cumsum(size) // LETTERS
+            edges = np.flatnonzero((np.diff(block, prepend=-1) != 0) | (np.diff(filled, prepend=-1) != 0)).tolist()
+            for a, b in zip(edges, [*edges[1:], len(batch)]):
+                scored(batch.slice(a, b - a), int(block[a]), best)
+                if k is None:
+                    yield from best.flush()
+        yield from best.flush()
 
     step = max(chunk, halo + 1)
-    cut = chunks(both.withColumn("accession", F.col("accession").cast("string")), least, halo, chunk, most - least + max(0, ahead - least))
+    cut = chunks(both.withColumn("accession", F.col("accession").cast("string")), shortest, halo, chunk, longest - shortest + max(0, ahead - shortest))
     dealt = cut.select("accession", "strand", "length", "chunk", "core", "at", "piece", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("probes"))
-    dealt = dealt.repartition("accession", "strand", "chunk", "probes")
+    # Genomes are small in bytes and dear in time, so the number of tasks doesn't come from their size.
+    tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")) * min(blocks, 16)
+    dealt = dealt.repartition(tasks, "accession", "strand", "chunk", "probes")
     return dealt.select("accession", "strand", "length", "core", "at", "piece", "probes").mapInArrow(scan, schema)
 
 
