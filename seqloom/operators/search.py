@@ -201,10 +201,10 @@ def search(
         kept = _search_columns(given, strands(genomes), weights, options, distance, chunk, ahead, compat)
     else:
         kept = _search_arrow(given, strands(genomes), weights, options, distance, chunk, ahead, compat, None if per_genome else top_k, ascending, min_similarity)
-    return _ranked(kept, kinds, options, top_k, ascending, min_similarity, per_genome, render)
+    return ranked(kept, kinds, options, top_k, ascending, min_similarity, per_genome, render)
 
 
-def _ranked(kept: DataFrame, kinds: list[str], options: S.Options, top_k: int | None, ascending: bool, min_similarity: float | None, per_genome: bool, render: bool) -> DataFrame:
+def ranked(kept: DataFrame, kinds: list[str], options: S.Options, top_k: int | None, ascending: bool, min_similarity: float | None, per_genome: bool, render: bool) -> DataFrame:
     """Positions, ranks and drawings of windows found."""
     scores = F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*[F.col(f"score_{k}") for k in kinds]))
     start, end = hit_position(F.col("strand"), F.col("offset"), F.length("window"), F.col("length"))

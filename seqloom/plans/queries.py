@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import dna as D
+from seqloom.functions import kernels as K
 from seqloom.functions import similarity as S
 from seqloom.functions import text as N
 from seqloom.operators import cluster as C
@@ -19,10 +20,12 @@ from seqloom.operators import enrich as E
 from seqloom.operators import intervals as I
 from seqloom.operators import promoters as P
 from seqloom.operators import search as Q
+from seqloom.operators import seeds as G
 from seqloom.plans import standins as T
 from seqloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from seqloom.sources import text as X
 from seqloom.sources.pages import links_udf
+from seqloom.sources.scratch import new_path
 
 PROBE = "gatacatt"  # with c
 PLAIN = "gattagat"  # without c
@@ -138,6 +141,19 @@ def textedit_ct(spark, sf_dir):
     return _histogram(spark, sf_dir, 6, lambda w: S.text_edit("gacatc", w))
 
 
+_LONG = "gattagatagtagattagag"
+
+
+def _levenshtein_sql(probe: str) -> str:
+    """Edit score of a probe without c, by the built-in distance: the first letters are aligned."""
+    return f"({len(probe)} - (substr(win, 1, 1) <> '{probe[0]}')::INT - levenshtein(substr(win, 2), '{probe[1:]}'))::DOUBLE"
+
+
+@query(_histogram_sql(20, _levenshtein_sql(_LONG)))
+def textedit_bits(spark, sf_dir):
+    return _histogram(spark, sf_dir, 20, lambda w: K.text_edit_udf(_LONG)(w))
+
+
 _pattern = S.compile_pattern(PROBE, [(0, 3)], [(6, 2)])
 _full = lambda e: f"regexp_matches(win, '^(?:{e})')"
 
@@ -185,6 +201,30 @@ def direct_topk_strands(spark, sf_dir):
     return Q.search([("p", PROBE)], T.genomes(spark, sf_dir), {"direct": 1.0}, top_k=20).drop("scores")
 
 
+def _least_sql(probe: str, score: str, least: float) -> str:
+    return f"WITH {_BOTH}, {_peaks_sql(probe, score, 5)} SELECT accession, strand, o AS \"offset\", win AS \"window\", score FROM p WHERE score >= {least} AND score = peak"
+
+
+def _seeded(spark: SparkSession, sf_dir: str, probe: str, weights: dict[str, float], least: float) -> DataFrame:
+    q = G.gram_size([("p", probe)], list(weights), least)
+    path = G.write_index(T.genomes(spark, sf_dir), new_path(spark, "index"), q, len(probe))
+    found = G.seed_search(spark, path, [("p", probe)], weights, least, q, top_k=None)
+    return found.select("accession", "strand", "offset", "window", F.col("weighted").alias("score"))
+
+
+_SEEDED, _SEEDED_PLAIN = "gatacattgaca", "gattagatagat"
+
+
+@query(_least_sql(_SEEDED, _direct_sql(_SEEDED), 9.5))
+def seed_candidates(spark, sf_dir):
+    return _seeded(spark, sf_dir, _SEEDED, {"direct": 1.0}, 9.5)
+
+
+@query(_least_sql(_SEEDED_PLAIN, _levenshtein_sql(_SEEDED_PLAIN), 9))
+def seed_edits(spark, sf_dir):
+    return _seeded(spark, sf_dir, _SEEDED_PLAIN, {"textedit": 1.0}, 9)
+
+
 _flag = f"(({_direct_sql(PROBE)} * 1.0 + {_consistency_sql(PROBE, 2)} * 1.0) / 2.0)"
 _flag2 = f"(({_direct_sql(PLAIN)} * 1.0 + {_consistency_sql(PLAIN, 2)} * 1.0) / 2.0)"
 

@@ -221,13 +221,27 @@ def reordered_blocks(spark, sf_dir):
 # Searches and their alignments -------------------------------------------------------------------
 
 _PROBE = B.PROBE
-_AHEAD = S.anchor_reach()
-_anchors = S.two_anchors(_PROBE)
+# Two anchors from the rule, base by base: each base is the first of its kind after the one before (p: places of the first
+# anchor, s: of the second, a distance of 1: side by side), two others between the bases of an anchor at most, one pair side by side; the
+# second anchor starts 3 to 10 bases after the first, and the genome may end in it after its second base or later.
+_AHEAD = 22
+_after = lambda letter, place: f"instr(substr({'thymine' if letter == 'c' else 'ahead'}, {place} + 1), '{'t' if letter == 'c' else letter}')"
+_a, _b, _c, _d, _e, _f, _g, _h = _PROBE
+_ANCHORS = f"""n AS (SELECT *, translate(ahead, 'c', 't') AS thymine, length(ahead) AS size FROM w WHERE ahead[1] = '{_a}'),
+n1 AS (SELECT *, {_after(_b, 1)} AS g1 FROM n), n2 AS (SELECT *, 1 + g1 AS p2, {_after(_c, '1 + g1')} AS g2 FROM n1 WHERE g1 > 0),
+n3 AS (SELECT *, p2 + g2 AS p3, {_after(_d, 'p2 + g2')} AS g3 FROM n2 WHERE g2 > 0),
+n4 AS (SELECT *, p3 + g3 AS p4 FROM n3 WHERE g3 > 0 AND g1 + g2 + g3 <= 5 AND least(g1, g2, g3) = 1),
+n5 AS (SELECT * FROM (SELECT *, unnest(range(p4 + 4, p4 + 12)) AS s1 FROM n4) WHERE substr(thymine, s1, 1) = '{'t' if _e == 'c' else _e}'),
+n6 AS (SELECT *, {_after(_f, 's1')} AS h1 FROM n5), n7 AS (SELECT *, s1 + h1 AS s2, {_after(_g, 's1 + h1')} AS h2 FROM n6 WHERE h1 > 0),
+n8 AS (SELECT *, s2 + h2 AS s3, CASE WHEN h2 > 0 THEN {_after(_h, 's2 + h2')} ELSE 0 END AS h3 FROM n7),
+n9 AS (SELECT *, CASE WHEN h2 > 0 AND h3 > 0 AND h1 + h2 + h3 <= 5 AND least(h1, h2, h3) = 1 THEN s3 + h3
+  WHEN h1 = 1 AND s2 = size THEN size WHEN h2 > 0 AND h1 + h2 <= 4 AND least(h1, h2) = 1 AND s3 = size THEN size END AS stop FROM n8),
+x AS (SELECT accession, strand, o, any_value(len) AS len, substr(any_value(ahead), 1, arg_min(stop, s1)) AS drawn FROM n9 WHERE stop IS NOT NULL GROUP BY accession, strand, o)"""
 
 
 @query(f"""WITH {B._BOTH}, w AS (SELECT accession, strand, o, substr(dna, o + 1, {_AHEAD}) AS ahead, length(dna) AS len FROM (SELECT accession, strand, dna, unnest(range(0, greatest(length(dna) - 7, 0))) AS o FROM strands)),
-f AS (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY strand, o)::INT AS rank FROM w WHERE regexp_matches(ahead, '{_anchors}'))
-SELECT accession, strand, CASE WHEN strand = '+' THEN o + 1 ELSE len - o END AS "start", rank, regexp_extract(ahead, '{_anchors}') AS drawn FROM f WHERE rank <= 5""")
+{_ANCHORS}, f AS (SELECT *, row_number() OVER (PARTITION BY accession ORDER BY strand, o)::INT AS rank FROM x)
+SELECT accession, strand, CASE WHEN strand = '+' THEN o + 1 ELSE len - o END AS "start", rank, drawn FROM f WHERE rank <= 5""")
 def blat_anchor(spark, sf_dir):
     found = Q.search([("p", _PROBE)], T.genomes(spark, sf_dir), {"blat": 1.0}, top_k=5, distance=1, per_genome=True, render=True)
     return found.select("accession", "strand", "start", "rank", F.col("renderings")[0]["window"].alias("drawn"))

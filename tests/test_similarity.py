@@ -7,6 +7,7 @@ from seqloom.functions import dna as D
 from seqloom.functions import kernels as K
 from seqloom.functions import similarity as S
 from seqloom.operators import search as Q
+from seqloom.operators import seeds as E
 
 
 def ok(a, b):
@@ -276,3 +277,103 @@ def test_prefilter_table(spark):
     assert not f("AAATTTTGG", 3)
     assert not f("AAATTTTGG", 3, ".*AA.*GG.*")
     assert f("AAATTTTGG", 3, ".*AA.*AA")
+
+
+# The scan, kernels and seeds ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("m", [1, 2, 9, 31, 64, 65, 66, 130])
+def test_bits_equal_edit_tables(m):
+    r = random.Random(m)
+    probe = words(r, 1, m)[0]
+    near = ["".join(r.choice("acgt") if r.random() < 0.1 else x for x in probe) for _ in range(20)]
+    rows = words(r, 20, m) + near + [x[1:] + r.choice("acgt") for x in near]
+    letters = K.letters_of(rows)
+    table = K.edit_tables(K.matching(probe, letters))[:, m, m]
+    assert K.text_edit_scores(probe, letters).tolist() == (m - table).tolist()
+    assert K.text_edit_scores(probe, letters[:3]).tolist() == [model_edit(probe, w) for w in rows[:3]]
+
+
+@pytest.fixture(scope="module")
+def mixed_genomes(spark):
+    r = random.Random(5)
+    sizes = [0, 3, 7, 8, 9, 12, 33, 64, 100, 300, 700, 5000]
+    rows = [(f"g{i:02d}", "".join(r.choice("acgt") for _ in range(n))) for i, n in enumerate(sizes)]
+    rows += [("poly", "acgtacgt" * 300), ("same", "t" * 900)]
+    return spark.createDataFrame(rows, "accession string, dna string")
+
+
+def listed(found):
+    return sorted((r.name, r.accession, r.strand, r.offset, r.weighted, r.window, r["rank"] if "rank" in found.columns else 0, tuple(sorted(r.scores.items()))) for r in found.collect())
+
+
+@pytest.mark.parametrize("k,ascending,per_genome", [(3, False, False), (3, True, False), (40, False, False), (2, False, True), (None, False, False)])
+def test_best_of_tasks_are_the_best_of_all(spark, mixed_genomes, monkeypatch, k, ascending, per_genome):
+    monkeypatch.setattr(Q, "LETTERS", 2000)
+    probes, weights = [("a", "gatacatt"), ("b", "tttttttt"), ("a", "acgtacgtacgt")], {"direct": 1.0, "textedit": 1.0, "consistency": 2.0}
+    rows = mixed_genomes.repartition(5)
+    got = [listed(Q.search(probes, rows, weights, S.Options(patience=1), top_k=k, ascending=ascending, per_genome=per_genome, chunk=c, engine=e)) for c, e in ((64, "arrow"), (4096, "arrow"), (4096, "columns"))]
+    assert got[0] == got[1] == got[2] and got[0]
+
+
+def test_a_task_gives_its_best_only(spark, mixed_genomes):
+    both = Q.strands(mixed_genomes)
+    given, k = [("a", "tttttttt"), ("b", "gatacatt")], 4
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = Q._search_arrow(given, both, {"direct": 1.0}, S.Options(), 5, 64, 0, False, k)
+    assert rows.rdd.getNumPartitions() == tasks and rows.count() <= tasks * len(given) * k < Q._search_arrow(given, both, {"direct": 1.0}, S.Options(), 5, 64, 0, False).count()
+
+
+def test_registered_similarities_in_both_engines(spark, mixed_genomes):
+    def pairs(probe, letters, o):  # places where a letter and the next one match
+        good = K.matching(probe, letters).diagonal(axis1=1, axis2=2)
+        return (good[:, 1:] & good[:, :-1]).sum(axis=1)
+
+    S.register_similarity("pairs_by_kernel", kernel=pairs)
+    S.register_similarity("ends_by_column", lambda p, w, o: F.when(F.substring(w, 1, 1) == p[0], 1.0).otherwise(0.0))
+    try:
+        for weights in ({"pairs_by_kernel": 1.0}, {"ends_by_column": 1.0}, {"pairs_by_kernel": 1.0, "direct": 2.0, "ends_by_column": 0.5}):
+            got = [listed(Q.search([("p", "gatacatt")], mixed_genomes, weights, top_k=30, engine=e)) for e in ("arrow", "columns")]
+            assert got[0] == got[1] and len(got[0]) == 30
+        with pytest.raises(ValueError, match="a builder or a kernel"):
+            S.register_similarity("nothing")
+    finally:
+        for name in ("pairs_by_kernel", "ends_by_column"):
+            S._registry.pop(name), S._kernels.pop(name, None), S.SIMILARITY_ALIASES.pop(name)
+
+
+@pytest.mark.parametrize("weights,least,patience", [({"direct": 1.0}, 10, 0), ({"consistency": 1.0}, 8, 2), ({"consistency": 1.0}, 9, 0), ({"textedit": 1.0}, 10, 0), ({"direct": 1.0, "textedit": 3.0, "consistency": 1.0}, 9.5, 1)])
+def test_seeds_find_what_a_scan_of_all_windows_finds(spark, mixed_genomes, tmp_path, weights, least, patience):
+    r = random.Random(8)
+    probes = [("a", "gatacattgaca"), ("b", "tttttttttttt"), ("c", "acgtacgtacgtacg")]
+    planted = [("plant", "".join("".join(r.choice("acgt") if r.random() < 0.12 else x for x in r.choice(probes)[1]) + "".join(r.choices("acgt", k=9)) for _ in range(400)))]
+    genomes = mixed_genomes.unionByName(spark.createDataFrame(planted, "accession string, dna string"))
+    o = S.Options(patience=patience)
+    q = E.gram_size(probes, list(S.positive_weights(weights)), least, o)
+    path = E.write_index(genomes, str(tmp_path / "index"), q, 15)
+    for k in (None, 25):
+        want = Q.search(probes, genomes, weights, o, top_k=k, min_similarity=least)
+        assert listed(E.seed_search(spark, path, probes, weights, least, q, o, top_k=k)) == listed(want) != []
+    with pytest.raises(ValueError, match="whole run"):
+        E.seed_search(spark, path, probes, weights, 1, q, o)
+    with pytest.raises(ValueError, match="no seeds"):
+        E.seed_search(spark, path, probes, {"blat": 1}, 1, q, o)
+
+
+def test_seeds_score_few_windows(spark, tmp_path):
+    r = random.Random(9)
+    genomes = spark.createDataFrame([("g", "".join(r.choices("acgt", k=60_000)))], "accession string, dna string")
+    for weights, m, least in (({"direct": 1.0}, 20, 17), ({"textedit": 1.0}, 20, 18), ({"consistency": 1.0}, 16, 10)):
+        probes = [(str(i), "".join(r.choices("acgt", k=m))) for i in range(5)]
+        q = E.gram_size(probes, list(weights), least)
+        path = E.write_index(genomes, str(tmp_path / f"index{m}{least}"), q, m)
+        found = E.candidates(spark, path, probes, list(weights), least, q)
+        assert found.count() < 0.1 * len(probes) * 2 * (60_000 - m + 1)
+
+
+def test_a_gap_between_blocks_hides_no_better_window(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 4)
+    rows = [(0, "g", "+", i, w) for i, w in enumerate([1, 2, 3, 2, 2, 2, 5, 1, 1, 1, 1, 1, 4, 4])]
+    frame = spark.createDataFrame(rows, "nth int, accession string, strand string, offset int, weighted int")
+    want = [i for i in range(len(rows)) if rows[i][4] == max(x[4] for x in rows[max(0, i - 2) : i + 3])]
+    assert sorted(r.offset for r in E.peaks(frame, 3).collect()) == want
