@@ -41,6 +41,30 @@ def test_genbank(spark, tmp_path):
     assert G.read_segments(spark, str(tmp_path), repeat_regions=False).count() == 2
 
 
+@pytest.mark.parametrize("size", [29, 64, 331])
+def test_genbank_in_byte_ranges(spark, tmp_path, size):
+    more = GENBANK.replace("//\n", "").replace("LOCUS second\n", "") + "SOURCE late\nORIGIN\n 61 acgt\r\n" * 2
+    files = {"x1.gb": GENBANK, "x2.gb": "SOURCE nothing\n//\n", "x3.gb": more, "x4.txt": "", "x5.gb": GENBANK.replace("SOURCE ", "OTHER ").replace("\n", "\r\n"), "x6.gb": "\n\n" + GENBANK * 3, "x7.gb": "LOCUS\n     gene            5..9\n                     /gene=\"end"}
+    for name, text in files.items():
+        (tmp_path / name).write_bytes(text.encode())
+    texts = spark.createDataFrame([(name.split(".")[0], text) for name, text in files.items()], "accession string, text string")
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, str(size))
+        rows = lambda df: sorted(map(repr, df.collect()))
+        assert G.placed_lines(spark, str(tmp_path)).select("file", "block").distinct().count() > 1000 // size
+        placed = G.placed_lines(spark, str(tmp_path)).where("accession = 'x1'").orderBy("ln").collect()
+        assert [x.line for x in placed] == GENBANK.splitlines() and len({x.ln for x in placed}) == len(placed)
+        for repeats in (True, False):
+            assert rows(G.read_segments(spark, str(tmp_path), repeats)) == rows(G.segments_of(texts, repeats))
+        assert rows(G.read_genomes(spark, str(tmp_path))) == rows(G.genomes_of(texts))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_attribute_quotes():
     assert G.parse_attribute('/product="asd') == ("product", "asd")
     assert G.parse_attribute('/product="asdasd"') == ("product", "asdasd")
