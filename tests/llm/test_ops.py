@@ -368,6 +368,32 @@ def test_every_item_can_leak(spark):
     assert got == {(1, 1): True, (2, 2): True, (3, 3): True, (4, 4): True, (5, 5): True, (10, 1): False, (11, 2): False}
 
 
+def test_names_that_begin_sentences(spark):
+    bench = spark.createDataFrame([(1, "Bob has 3 apples and Tom has 4."), (2, "Anna sells 12 red apples to Otto each day. Mira buys 5 green plums from Karl and pays 7 coins")], "item_id long, text string")
+    rows = [(1, "Ann has 5 apples and Jim has 9."), (2, "Words before it. Bob has 5 apples and Jim has 9. And after"), (3, "Some words. Mary Ann sells 20 red apples to Paul each day. Zoe buys 6 green plums from Ida and pays 8 coins"), (4, "Ann has 5 apples and Ann has 9."), (5, "Bob has 3 apples and Tom has 4."), (6, "There are few apples and Jim has 9."), (7, "then Ann has 5 apples and Jim has 9.")]
+    got = {(x.doc_id, x.item_id): x.exact for x in template_leaks.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    # An item's first and last slots need not be consistent, so two persons may be one (4).
+    assert got == {(1, 1): False, (2, 1): False, (3, 2): False, (4, 1): False, (5, 1): True, (7, 1): False}
+
+
+def test_recall_with_names_at_the_start(spark):
+    """Items whose sentences begin with names, asked again with other names and numbers."""
+    folder, r = "/root/testdata/sf0.1", random.Random(17)
+    texts = [x.text for x in spark.read.parquet(f"{folder}/benchmark.parquet").orderBy("item_id").collect()]
+    names, others = ["Bob", "Anna", "Mira", "Otto", "Ines", "Karl"], ["Zoe", "Ruth", "Paul", "Nora", "Ida", "Jim"]
+    items, rows = [], []
+    for i, t in enumerate(texts):
+        words = [w.lower().strip(".!?:;") or "x" for w in t.split()]
+        own = r.sample(names, 2)
+        new = dict(zip(own, r.sample(others, 2)))
+        half = max(2, len(words) // 2)
+        ask = lambda a, b, n: f"{a} {' '.join(words[:half])} {n}. {b} {' '.join(words[half:])}"  # noqa: B023, E731
+        items.append((i, ask(*own, r.randint(2, 99))))
+        rows.append((i, ask(new[own[0]], new[own[1]], r.randint(100, 999))))
+    got = {x.doc_id for x in template_leaks.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect() if x.doc_id == x.item_id}
+    assert len(got) >= 0.9 * len(items), len(got) / len(items)
+
+
 def test_leaks_with_other_lengths(spark):
     item = "One morning the young farmer from the valley met Bob near the old mill and paid him 5 coins for the brown horse that stood quietly behind a long wooden fence"
     again = item.replace("Bob", "Mary Ann").replace("5 coins", "5 million coins")
