@@ -249,13 +249,14 @@ SEQUENCES = "sequence_id long, n_tokens int, pieces array<struct<doc_id:long,pie
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
-    """Token ids of all documents in pieces of ``capacity`` or less: ``ids`` are little-endian, of 4 bytes.
+    """Token ids of all documents in pieces of ``capacity`` or less: ``ids`` are little-endian, of 2 bytes if the tokenizer's all fit, else 4.
 
     A longer document's first piece takes what is over.  ``nth`` counts a task's pieces of a length.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        kind = np.dtype("<u2" if max(own.n_ids, end_id + 1) <= 1 << 16 else "<u4")
         for batch in batches:
             for i, k, buf, offsets in byte_blocks(batch.column("text"), BLOCK):
                 ids, bounds = own.encode(buf, offsets, end_id)
@@ -271,8 +272,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
                 nth = np.empty(len(length), np.int64)
                 nth[order] = np.arange(len(length)) - np.repeat(at, n) + np.repeat(seen[sizes], n)
                 seen[sizes] += n
-                edges = 4 * np.concatenate([[0], np.cumsum(length)])
-                data = pa.py_buffer(np.ascontiguousarray(ids, "<i4"))
+                edges = kind.itemsize * np.concatenate([[0], np.cumsum(length)])
+                data = pa.py_buffer(ids.astype(kind))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(i, k).take(pa.array(doc)),
@@ -348,8 +349,9 @@ def write_sequences(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.j
             data = columns.pop("ids")
             at = data.buffers()[1]
             bounds = np.frombuffer(at, np.int32, len(data) + 1, 4 * data.offset)
-            ids = np.frombuffer(data.buffers()[2], "<i4", (bounds[-1] - bounds[0]) // 4, bounds[0]) if len(data) else np.zeros(0, np.int32)
-            tokens = (bounds[edges - edges[0]] - bounds[0]) // 4
+            width = int(bounds[-1] - bounds[0]) // max(1, int(columns["length"].to_numpy().sum()))  # bytes of an id
+            ids = np.frombuffer(data.buffers()[2], f"<u{width}", (bounds[-1] - bounds[0]) // width, bounds[0]).astype(np.int32) if len(data) else np.zeros(0, np.int32)
+            tokens = (bounds[edges - edges[0]] - bounds[0]) // max(1, width)
             shape = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("offset", pa.int32())])
             inner = pa.StructArray.from_arrays(list(columns.values()), fields=list(shape))
             yield pa.RecordBatch.from_arrays(

@@ -98,6 +98,11 @@ class PieceEncoder:
         self._at, self._len, self._uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self._pool, self._used = np.zeros(1 << 16, np.uint16 if len(self._bytes) <= 1 << 16 else np.uint32), 0
 
+    @property
+    def n_ids(self) -> int:
+        """One more than the largest id."""
+        return len(self._bytes)
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.int64) for e in found]
