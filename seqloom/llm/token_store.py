@@ -279,10 +279,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        own, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             for i, k, buf, offsets in byte_blocks(batch.column("text"), BLOCK):
-                ids, bounds = encoder.encode(buf, offsets, end_id)
+                ids, bounds = own.encode(buf, offsets, end_id)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(k, part, np.int32)),
