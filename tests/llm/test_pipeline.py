@@ -36,7 +36,7 @@ def test_stages_one_by_one(spark):
 
 
 def test_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.queries()) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.queries()) == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert corpus_pipeline.ORACLE_SQL is None
 
