@@ -10,7 +10,7 @@ one stream of such decisions.  Every decision is predicted by
 
 the logits of their counts are combined by weights that a gate selects (how often the longer contexts
 have been seen), and the result is refined by an adaptive map of (node, probability).  Counts, weights and map are
-learned online in one pass over all training texts: a decision is predicted, and then learned.
+learned online in one pass over each shard of training texts: a decision is predicted, and then learned.
 
 What the symbol of a class leaves open, *which* of its words, is the word's share of the class'
 counts, over the whole vocabulary; the Good-Turing share of words seen once is kept for words never
@@ -25,8 +25,8 @@ word: the two are mixed by the share of pieces that occur again.  So copies and
 size of the corpus; a training text's own pieces don't count for it.
 
 Plan: 1. count distinct words (and letters by class); 2. the speller, over distinct words; 3. every
-distinct word's count, symbol and spelling; 4. the online pass over training texts in every task; counts and
-maps of tasks are summed, weights averaged; 5. scores of all texts, piece by piece.  Words beyond the most frequent ``TABLE``,
+distinct word's count, symbol and spelling; 4. the online pass over training texts, shard by shard; counts and
+maps of shards are summed, weights averaged; 5. scores of all texts, piece by piece.  Words beyond the most frequent ``TABLE``,
 and pieces, get their counts by joins on two hashes.  What moves grows with the corpus; what is broadcast has a fixed size.
 """
 
@@ -34,16 +34,17 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm._shared import materialize
+from seqloom.llm._shared import materialize, partitions
 from seqloom.llm._text import Words, mix64, span_hashes, word_blocks
 
 #: Words with a symbol of their own, words whose last one is a context, and words in the table that tasks hold.
@@ -58,11 +59,14 @@ CONTEXTS, SLOT_BITS = 3, 20
 GATES, INPUTS = 24, CONTEXTS + 2
 #: Cells of the adaptive map: by node and by logit.
 NODES, MAP_CELLS = 2048, 33
+#: Tokens of a shard of training texts, words of one of the speller's, and shards of a task where there are many.
+SHARD, SPELL_SHARD, TASK_SHARDS = 1 << 22, 1 << 19, 4
 #: A text is cut after words whose hash ends in so many zero bits: pieces of 32 words on average.
 PIECE_BITS = 5
 #: Weights before learning, and tokens of a learning step at first and at most.
 START, STEPS = (0.2, 0.2, 0.2, 0.5, 0.0), (1 << 9, 1 << 14)
 _SLOT_BLOCK = 1 << 15
+_GRID = 1 << 20  # weights of shards are rounded to it, so that sums don't depend on their order
 _BIAS = np.float32(0.3)
 
 #: Slots of the speller's hashed counts by context: the last 1, 2, 3, 4 bytes, the word so far.
@@ -330,18 +334,30 @@ def bit_counts(words: DataFrame, code: Code) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _learned(words: DataFrame, model: Speller) -> Speller:
-    """Each task learns online from its distinct words; weights are averaged, maps summed."""
+    """Each shard of distinct words is learned online, in order of hashes; weights are averaged, maps summed."""
     sent = words.sparkSession.sparkContext.broadcast(model)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, 0.0
         own = Speller(sent.value.code, sent.value.zeros, sent.value.ones)
-        n = sum(own.learn(batch.column("word"), batch.column("symbol").to_numpy()) for batch in batches)
-        if n:
-            values = np.concatenate([own.weights.ravel().astype(np.float64) * n, own.map_seen.ravel(), own.map_ones.ravel(), [n]])
-            keep = np.flatnonzero(values)
-            yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array(values[keep])], names=["i", "v"])
 
-    got = words.select("word", "symbol").mapInArrow(learn, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        def values() -> np.ndarray:
+            weights = np.rint(own.weights.ravel().astype(np.float64) * _GRID) / _GRID * own.learned
+            return np.concatenate([weights, own.map_seen.ravel(), own.map_ones.ravel(), [own.learned]])
+
+        for shard, part in _runs(batches, lambda b: np.ones(b.num_rows), _CHUNK):
+            if now is not None and shard != now:
+                total = total + values()
+                own = Speller(sent.value.code, sent.value.zeros, sent.value.ones)
+            now = shard
+            own.learn(part.column("word"), part.column("symbol").to_numpy())
+        if now is not None:
+            total = total + values()
+            keep = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(keep), pa.array(total[keep])], names=["i", "v"])
+
+    keyed = words.select(F.col("h").alias("key"), "word", "symbol")
+    got = _shards(keyed, max(1, -(-keyed.count() // SPELL_SHARD))).select("shard", "word", "symbol").mapInArrow(learn, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
     cells = SPELL_CONTEXTS * MAP_CELLS
     values = np.zeros(SPELL_GATES * SPELL_INPUTS + 2 * cells + 1)
     values[got["i"].to_numpy()] = got["v"].to_numpy()
@@ -396,7 +412,7 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     """``word, c``: all distinct words of all texts and their counts in training texts.
 
     The end is the word ''.  Blocks count within themselves first.  Rows that begin with _MARK, a class and a
-    cell count letters of (block-wise) distinct training words of the class.
+    cell count letters of the class' training words, each once for every text that holds it.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,12 +425,16 @@ def vocabulary(rows: DataFrame) -> DataFrame:
                 # A word of another class is another row here; in texts that don't train it only has to be known.
                 group = np.where(part, own + 1, 0)
                 key = mix64(w.hashes() + group.astype(np.uint64)[w.doc] * np.uint64(0x9E3779B97F4A7C15))
-                _, first, counts = np.unique(key, return_index=True, return_counts=True)
+                _, first, place, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
                 of = group[w.doc[first]]
                 words = _word_bytes(w, first)
                 learned = np.flatnonzero(of > 0)
                 cells, stops = _letter_cells(words.take(pa.array(learned)))
-                letters += np.bincount(np.repeat(of[learned] - 1, np.diff(stops, prepend=0)) * LETTERS + cells, minlength=len(letters))
+                # Texts that hold a word, so that it doesn't matter which texts are a block.
+                pairs = np.sort(place + w.doc * len(first))
+                texts = np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] % max(len(first), 1), minlength=len(first))
+                times = np.repeat(texts[learned], np.diff(stops, prepend=0))
+                letters += np.bincount(np.repeat(of[learned] - 1, np.diff(stops, prepend=0)) * LETTERS + cells, times, minlength=len(letters)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([words, pa.array(np.where(of > 0, counts, 0))], names=["word", "c"])
         at = np.flatnonzero(letters)
         marks = np.zeros((len(at) + 1, 5), np.uint8)
@@ -720,24 +740,81 @@ def _pieces(s: Stream, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return piece, s.doc[start], whole[0].view(np.int64), whole[1].view(np.int64)
 
 
-def _online(rows: DataFrame, mixer: Mixer, lexicon: Lexicon, table) -> Mixer:
-    """Each task learns online from its training texts; counts and maps are summed, weights averaged by tokens."""
+def _shards(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` (with ``key``, a hash of them) in ``n`` shards by ``key``, each in one task and in order of keys."""
+    tasks = min(n, max(partitions(rows.sparkSession), -(-n // TASK_SHARDS)))
+    own = rows.withColumn("shard", F.pmod("key", F.lit(n)).cast("int"))
+    return own.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard", "key")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], size: Callable[[pa.RecordBatch], np.ndarray], block: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(shard, rows) of runs of about ``block`` units (``size`` of a batch gives those of its rows): the same runs whatever the batches are."""
+    held, now, done = [], None, 0
+
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shard, units = batch.column("shard").to_numpy(), size(batch).astype(np.int64)
+        before = np.cumsum(units) - units
+        first = np.flatnonzero(np.diff(shard, prepend=shard[0] - 1))  # of each shard in the batch
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(shard))))
+        base = -before[first]
+        if now is not None and shard[0] == now[0]:
+            base[0] += done
+        at = before + base[of]
+        cut = at // block
+        starts = np.flatnonzero((np.diff(cut, prepend=-1) != 0) | (np.diff(shard, prepend=shard[0] - 1) != 0))
+        for i, j in zip(starts, np.append(starts[1:], len(shard)), strict=True):
+            run = (int(shard[i]), int(cut[i]))
+            if held and run != now:
+                yield now[0], whole()
+                held = []
+            held.append(batch.slice(i, j - i))
+            now = run
+        done = int(at[-1] + units[-1])
+    if held:
+        yield now[0], whole()
+
+
+def _online(rows: DataFrame, mixer: Mixer, lexicon: Lexicon, table, tokens: int) -> Mixer:
+    """Each shard of training texts is learned online from nothing; counts and maps are summed, weights averaged by tokens.
+
+    Which shard a row is in, and its place there, come from its doc_id and text, and the number of shards from that of the
+    tokens: how the table is cut into files and tasks doesn't matter.  Copies of a row are in one shard.
+    """
     sent = rows.sparkSession.sparkContext.broadcast((mixer.code, mixer.static, lexicon))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, static, lexicon = sent.value
-        own = Mixer(code, static)
-        for batch in batches:
-            for w in word_blocks(batch.column("text"), block=1 << 20):
+        own, now, counts, numbers = Mixer(code, static), None, None, 0.0
+
+        def add() -> None:
+            nonlocal own, counts, numbers
+            weights = np.rint(own.weights.ravel().astype(np.float64) * _GRID) / _GRID * own.tokens
+            numbers = numbers + np.concatenate([weights, own.map_seen, own.map_ones, [own.tokens]])
+            if counts is None:
+                counts = own.counts
+            else:
+                counts += np.minimum(own.counts, np.uint32(0xFFFFFFFF) - counts)
+            own = Mixer(code, static)
+
+        for shard, part in _runs(batches, lambda b: pc.binary_length(b.column("text")).to_numpy(), 1 << 20):
+            if now is not None and shard != now:
+                add()
+            now = shard
+            for w in word_blocks(part.column("text"), block=1 << 20):
                 h = w.hashes()
-                s = stream(w, h, _symbols(w, h, table.value.find(h), table.value, lexicon), lexicon)
-                own.learn(s)
-        if own.tokens:
-            yield from _blocks(own.counts.reshape(-1))
-            numbers = np.concatenate([own.weights.ravel().astype(np.float64) * own.tokens, own.map_seen, own.map_ones, [own.tokens]])
+                own.learn(stream(w, h, _symbols(w, h, table.value.find(h), table.value, lexicon), lexicon))
+        if now is not None:
+            add()
+            yield from _blocks(counts.reshape(-1))
             yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pa.compress(numbers.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["block", "cells"])
 
-    got = rows.where("train").select("text").mapInArrow(learn, "block int, cells binary").groupBy("block").applyInArrow(_add_blocks, "block int, cells binary").toArrow()
+    keyed = rows.where("train").select(F.xxhash64("row_doc", "text").alias("key"), "text")
+    got = _shards(keyed, max(1, -(-tokens // SHARD))).select("shard", "text").mapInArrow(learn, "block int, cells binary").groupBy("block").applyInArrow(_add_blocks, "block int, cells binary").toArrow()
     mixer.counts = _whole(got, CONTEXTS << SLOT_BITS).reshape(-1, 2)
     for k, cells in zip(got["block"].to_pylist(), got["cells"], strict=True):
         if k < 0:
@@ -769,7 +846,7 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, class_column: str = "lan
     Texts whose crc32(doc_id) mod ``mod`` is not ``held`` train; all are scored.  ``base_score`` is the
     add-one unigram's, ``score`` the model's log10 probability; ``bits_per_byte`` is the latter in bits
     over the UTF-8 bytes and one for the end.  The class column (optional) is read for training
-    texts only.  Scores of training texts don't count their own pieces (see above).  A null text is as an empty one, of which only the end is scored; a null doc_id has
+    texts only.  Scores don't depend on how the table is cut into files and tasks, nor on the order of its rows.  Scores of training texts don't count their own pieces (see above).  A null text is as an empty one, of which only the end is scored; a null doc_id has
     the text ''.  Rows of one doc_id are rows of their own.  Texts of any length are learned and scored as wholes, in steps.
     Without training texts only spellings count; an empty table has no rows.
     """
@@ -819,7 +896,7 @@ def score(docs: DataFrame, mod: int = 7, held: int = 2, class_column: str = "lan
     top.columns["rest"] = np.where(symbol < first, 0.0, np.log10(np.maximum(c, 1)) + of_known[symbol])
     top.columns["base"] = np.log10(c + 1.0) - floor
     table = spark.sparkContext.broadcast(top)
-    scorer = spark.sparkContext.broadcast((_online(rows, Mixer(code, static), lexicon, table).freeze(), lexicon))
+    scorer = spark.sparkContext.broadcast((_online(rows, Mixer(code, static), lexicon, table, n).freeze(), lexicon))
     end_base = math.log10(ends + 1) - floor
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -561,6 +562,37 @@ def test_mixing_beats_the_unigram_where_held_out(spark):
         assert got[0] > (1 - least) * got[1] and got[2] < 2.5
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(context_mixing, "SHARD", 1 << 12)
+    monkeypatch.setattr(context_mixing, "SPELL_SHARD", 1 << 7)
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    d = d.unionByName(d.limit(5)).unionByName(d.limit(1).withColumn("doc_id", F.lit(None).cast(d.schema["doc_id"].dataType)))
+    layouts = (d.coalesce(1).sortWithinPartitions("text"), d.repartition(7), d.repartition(40))
+    rows = [sorted((str(x.doc_id), x.n_known, x.score) for x in context_mixing.score(t).collect()) for t in layouts]
+    for other in rows[1:]:
+        assert [x[:2] for x in other] == [x[:2] for x in rows[0]]
+        assert max(abs(x[2] - y[2]) for x, y in zip(other, rows[0], strict=True)) < 1e-6
+
+
+def test_runs_are_those_of_shards_whatever_the_batches():
+    r = np.random.default_rng(3)
+    shard = np.sort(r.integers(0, 5, 400)).astype(np.int32)
+    unit = r.integers(0, 90, 400)
+    whole = pa.RecordBatch.from_arrays([pa.array(shard), pa.array(unit)], names=["shard", "unit"])
+    want = []
+    for k in range(5):
+        total = 0
+        for u in unit[shard == k]:
+            if not want or want[-1][:2] != (k, total // 500):
+                want.append((k, total // 500, []))
+            want[-1][2].append(int(u))
+            total += u
+    for size in (1, 7, 33, 400):
+        batches = [whole.slice(i, size) for i in range(0, 400, size)]
+        got = [(k, part.column("unit").to_pylist()) for k, part in context_mixing._runs(iter(batches), lambda b: b.column("unit").to_numpy(), 500)]
+        assert got == [(k, units) for k, _, units in want]
+
+
 def test_scores_depend_on_order_and_copies(spark):
     r = random.Random(14)
     body = [text(r, 60) for _ in range(300)]
