@@ -1,7 +1,7 @@
 """Closed, 1-based intervals: classes of overlap, joins, neighbours, gaps, extraction.
 
-Joins of ranges go through bins: each interval is put into the bins it touches and matched by
-equality, so no join compares all pairs.  Lookups by rank and of neighbours are sweeps within cells of
+Joins of ranges go through bins of several widths: each interval is put into two bins at most of a level and
+matched by equality, so no join compares all pairs.  Lookups by rank and of neighbours are sweeps within cells of
 SWEEP positions; what a cell hands on to the next ones is summed up over a row for each cell, so
 an accession, however long, is many tasks' work.
 """
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import dna as D
 
-BIN = 10_000
+#: Bases of a bin; levels of bins, and how many times as wide the bins of the next level are.
+BIN, LEVELS, WIDER = 10_000, 8, 8
 #: Positions, or ranks in file order, of one sweep.
 SWEEP = 1 << 20
 #: Bases in a part of a genome that ranges are cut from.
@@ -77,20 +78,47 @@ def coverage_drawing(left: Column, right: Column, record_left: Column, record_ri
     return F.array_join(F.transform(F.sequence(F.lit(0), parts - 1), draw), "")
 
 
-def _bins(left: Column, right: Column, size: int) -> Column:
-    return F.explode(F.sequence(F.floor(left / size).cast("long"), F.floor(right / size).cast("long")))
+def _width(level: Column, size: int) -> Column:
+    return F.element_at(F.array(*[F.lit(size * WIDER**k) for k in range(LEVELS)]), level + 1)
+
+
+def _level(left: Column, right: Column, size: int) -> Column:
+    """The least level whose bins are no shorter than a range, which then touches two of them at most."""
+    length, level = right - left + 1, F.lit(0)
+    for k in range(LEVELS - 1):
+        level = level + (length > size * WIDER**k).cast("int")
+    return level
+
+
+def binned(rows: DataFrame, other: DataFrame, edges: tuple[str, str], other_edges: tuple[str, str], size: int = BIN) -> DataFrame:
+    """``rows`` with ``own_level``, once for each ``level`` and ``bin`` where it may meet a row of ``other``.
+
+    These are the bins of a row's own level, and those of each higher level that ``other`` has: two a level at most
+    (above the last level, a range touches more).  The levels of ``other``, LEVELS numbers at most, are a subquery;
+    of a stream all count.
+    """
+    left, right = map(F.col, edges)
+    there = F.array(*map(F.lit, range(LEVELS)))
+    if not other.isStreaming:
+        there = F.coalesce(other.agg(F.collect_set(_level(*map(F.col, other_edges), size))).scalar(), F.array().cast("array<int>"))
+    leveled = rows.withColumn("own_level", _level(left, right, size))
+    leveled = leveled.withColumn("level", F.explode(F.array_union(F.array("own_level"), F.array_intersect(F.sequence("own_level", F.lit(LEVELS - 1)), there))))
+    width = _width(F.col("level"), size)
+    return leveled.withColumn("bin", F.explode(F.sequence(F.floor(left / width).cast("long"), F.floor(right / width).cast("long"))))
 
 
 def overlap_join(queries: DataFrame, segments: DataFrame, on: tuple[str, ...] = (), bin_size: int = BIN) -> DataFrame:
     """Pairs of ``queries(left, right, ..)`` and ``segments(seg_left, seg_right, ..)`` that overlap.
 
-    ``on`` names columns that must be equal too.  A pair comes from the first bin that both touch, so
-    it comes once and no distinct is needed.
+    ``on`` names columns that must be equal too.  Bins have levels, each WIDER times as wide as the one before; a pair
+    meets at the level of its longer range, so a range as long as its chromosome is in two bins, not in all.  A pair
+    comes from the first bin that both touch there, so it comes once and no distinct is needed.
     """
-    q = queries.withColumn("q_bin", _bins(F.col("left"), F.col("right"), bin_size))
-    s = segments.withColumn("s_bin", _bins(F.col("seg_left"), F.col("seg_right"), bin_size))
-    same = (F.col("q.q_bin") == F.col("s.s_bin")) & (F.col("q.left") <= F.col("s.seg_right")) & (F.col("s.seg_left") <= F.col("q.right"))
-    same &= F.col("q.q_bin") == F.floor(F.greatest("q.left", "s.seg_left") / bin_size)
+    edges, seg_edges = ("left", "right"), ("seg_left", "seg_right")
+    q, s = binned(queries, segments, edges, seg_edges, bin_size), binned(segments, queries, seg_edges, edges, bin_size)
+    same = (F.col("q.level") == F.col("s.level")) & (F.col("q.bin") == F.col("s.bin")) & (F.col("q.left") <= F.col("s.seg_right")) & (F.col("s.seg_left") <= F.col("q.right"))
+    same &= F.col("q.level") == F.greatest("q.own_level", "s.own_level")
+    same &= F.col("q.bin") == F.floor(F.greatest("q.left", "s.seg_left") / _width(F.col("q.level"), bin_size))
     for c in on:
         same &= F.col(f"q.{c}") == F.col(f"s.{c}")
     keep = [F.col(f"q.{c}") for c in queries.columns] + [F.col(f"s.{c}") for c in segments.columns if c not in on]

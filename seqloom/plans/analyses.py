@@ -278,12 +278,13 @@ def neighbor_analysis(hits: DataFrame, segments: DataFrame, genomes: DataFrame,
     rows = hits if "id" in hits.columns else hits.withColumn("id", F.monotonically_increasing_id())
     extra = ["extra"] if "extra" in hits.columns else []
     q = rows.select("id", "accession", "start", "end", *extra).withColumn("left", F.least("start", "end")).withColumn("right", F.greatest("start", "end")).withColumn("strand", D.strand_of("start", "end"))
-    around = neighbours_of(q, segments)
+    q = once(q, "ranges")  # ids stay those of this table in all outputs
+    around = once(neighbours_of(q, segments), "around")
     s = [F.col(f"s.{c}").alias(c) for c in segments.columns if c != "accession"]
     full = around.select("id", *s).join(q.select("id", "left", "right", "strand"), "id")
     following = I.next_on_strand(full.select("id", "left", "right", F.col("strand"), "seg_left", "seg_right", "gene", "seg_id"), "id")
     sources = genomes.select("accession", "source")
-    detail = I.with_sequence(q, genomes, "left", "right", F.col("strand") == "-").join(sources, "accession")
+    detail = once(I.with_sequence(q, genomes, "left", "right", F.col("strand") == "-").join(sources, "accession"), "detail")
     prefix = C.first_words("source", keep_prefix_num) if keep_prefix_num > 0 else F.col("source")
     known = detail.select("id", "accession", "start", "end", prefix.alias("prefix")).join(following, "id", "left")
     return {
@@ -325,7 +326,7 @@ def gene_extract(segments: DataFrame, genomes: DataFrame, wanted: DataFrame) ->
 
     ``wanted``: ``pos, gene``, or ``gene`` alone.
     """
-    w = wanted if "pos" in wanted.columns else wanted.withColumn("pos", F.monotonically_increasing_id())
+    w = wanted if "pos" in wanted.columns else once(wanted.withColumn("pos", F.monotonically_increasing_id()), "wanted")
     found = w.select("pos", "gene").join(segments, "gene")
     out = I.with_sequence(found.select("pos", "gene", "accession", "seg_left", "seg_right", "product"), genomes, "seg_left", "seg_right")
     out = out.select(F.format_string("d%d", F.col("pos") + 1).alias("No"), "gene", F.col("seg_left").alias("from"), F.col("seg_right").alias("end"), "product", "sequence", "accession", F.col("pos").alias("_pos"))

@@ -30,6 +30,24 @@ def test_overlap_join_equals_nested_loop(spark):
         assert got == sorted((i, j) for i, (a, b) in enumerate(qs) for j, (x, y) in enumerate(segs) if a <= y and x <= b)
 
 
+def test_ranges_of_all_sizes_take_few_bins(spark):
+    r = random.Random(6)
+    length = lambda: r.choice((1, 9, 200, 5_000, 90_000, 900_000))
+    segs = [(a, a + r.randrange(length())) for a in (r.randrange(1, 900_000) for _ in range(60))] + [(1, 2_000_000), (10, 80), (80, 640)]
+    qs = [(a, a + r.randrange(length())) for a in (r.randrange(1, 900_000) for _ in range(60))] + [(1, 1_900_000), (80, 80), (640, 640)]
+    q, s = q_frame(spark, qs), seg_frame(spark, segs)
+    for size in (10, 64, 10_000):
+        got = sorted((x.qid, x.seg_id) for x in I.overlap_join(q, s, ("accession",), size).collect())
+        assert got == sorted((i, j) for i, (a, b) in enumerate(qs) for j, (x, y) in enumerate(segs) if a <= y and x <= b)
+        per = I.binned(q, s, ("left", "right"), ("seg_left", "seg_right"), size).groupBy("qid", "level").count().collect()
+        assert max(x["count"] for x in per) <= 2 and max(x["level"] for x in per) < I.LEVELS
+    # All of one size: nothing goes to a second level.
+    short = q_frame(spark, [(a, a + 5) for a in range(1, 3000, 7)])
+    assert I.binned(short, short, ("left", "right"), ("left", "right"), 10).count() <= 2 * short.count()
+    none = s.where("seg_id < 0")
+    assert I.overlap_join(q, none, ("accession",)).count() == 0 and I.overlap_join(q.where("qid < 0"), s, ("accession",)).count() == 0
+
+
 def test_lower_bound_with_ties(spark):
     starts = spark.createDataFrame([("c", s) for s in (5, 5, 9, 20)], "accession string, start long")
     pos = spark.createDataFrame([("c", p) for p in (1, 5, 6, 9, 20, 21)], "accession string, pos long")
