@@ -90,16 +90,18 @@ def _level(left: Column, right: Column, size: int) -> Column:
     return level
 
 
-def binned(rows: DataFrame, other: DataFrame, edges: tuple[str, str], other_edges: tuple[str, str], size: int = BIN) -> DataFrame:
+def binned(rows: DataFrame, other: DataFrame, edges: tuple[str, str], other_edges: tuple[str, str], size: int = BIN, points: bool = False) -> DataFrame:
     """``rows`` with ``own_level``, once for each ``level`` and ``bin`` where it may meet a row of ``other``.
 
     These are the bins of a row's own level, and those of each higher level that ``other`` has: two a level at most
     (above the last level, a range touches more).  The levels of ``other``, LEVELS numbers at most, are a subquery;
-    of a stream all count.
+    of a stream all count, and of ``points`` (if ``other`` has only ranges of one base) the first.
     """
     left, right = map(F.col, edges)
     there = F.array(*map(F.lit, range(LEVELS)))
-    if not other.isStreaming:
+    if points:
+        there = F.array(F.lit(0))
+    elif not other.isStreaming:
         there = F.coalesce(other.agg(F.collect_set(_level(*map(F.col, other_edges), size))).scalar(), F.array().cast("array<int>"))
     leveled = rows.withColumn("own_level", _level(left, right, size))
     leveled = leveled.withColumn("level", F.explode(F.array_union(F.array("own_level"), F.array_intersect(F.sequence("own_level", F.lit(LEVELS - 1)), there))))
@@ -107,15 +109,15 @@ def binned(rows: DataFrame, other: DataFrame, edges: tuple[str, str], other_edge
     return leveled.withColumn("bin", F.explode(F.sequence(F.floor(left / width).cast("long"), F.floor(right / width).cast("long"))))
 
 
-def overlap_join(queries: DataFrame, segments: DataFrame, on: tuple[str, ...] = (), bin_size: int = BIN) -> DataFrame:
+def overlap_join(queries: DataFrame, segments: DataFrame, on: tuple[str, ...] = (), bin_size: int = BIN, points: bool = False) -> DataFrame:
     """Pairs of ``queries(left, right, ..)`` and ``segments(seg_left, seg_right, ..)`` that overlap.
 
-    ``on`` names columns that must be equal too.  Bins have levels, each WIDER times as wide as the one before; a pair
+    ``on`` names columns that must be equal too; with ``points`` all queries have one base.  Bins have levels, each WIDER times as wide as the one before; a pair
     meets at the level of its longer range, so a range as long as its chromosome is in two bins, not in all.  A pair
     comes from the first bin that both touch there, so it comes once and no distinct is needed.
     """
     edges, seg_edges = ("left", "right"), ("seg_left", "seg_right")
-    q, s = binned(queries, segments, edges, seg_edges, bin_size), binned(segments, queries, seg_edges, edges, bin_size)
+    q, s = binned(queries, segments, edges, seg_edges, bin_size), binned(segments, queries, seg_edges, edges, bin_size, points)
     same = (F.col("q.level") == F.col("s.level")) & (F.col("q.bin") == F.col("s.bin")) & (F.col("q.left") <= F.col("s.seg_right")) & (F.col("s.seg_left") <= F.col("q.right"))
     same &= F.col("q.level") == F.greatest("q.own_level", "s.own_level")
     same &= F.col("q.bin") == F.floor(F.greatest("q.left", "s.seg_left") / _width(F.col("q.level"), bin_size))

@@ -302,7 +302,7 @@ def neighbours_of(q: DataFrame, segments: DataFrame) -> DataFrame:
     near = I.nearest(q.select("id", "accession", "left", "right"), segments, ("accession",), strict=False)
     sides = near.select("id", F.explode(F.array("up", "down")).alias("n")).where("n is not null").select("id", packed("n."))
     ends = q.select("id", "accession", F.explode(F.array("left", "right")).alias("left")).withColumn("right", F.col("left"))
-    inside = I.overlap_join(ends, segments, ("accession",)).select("id", packed(""))
+    inside = I.overlap_join(ends, segments, ("accession",), points=True).select("id", packed(""))
     return sides.unionByName(inside).distinct()
 
 
