@@ -2,16 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Places of the input in a cell, and members from which on a cluster has a further block.
+BLOCK = 1 << 16
+
+
 def exact_clusters(rows: DataFrame, key: Column, index: str = "idx", member: str = "member", separator: str = ",") -> DataFrame:
-    """``first, size, members``: rows of equal key; members joined in input order, clusters ordered by ``first``."""
+    """``first, size, members``: rows of equal key; members joined in input order, clusters ordered by ``first``.
+
+    A cluster is one row, so this is for clusters whose members fit in one; ``cluster_blocks`` is for any.
+    """
     sorted_members = F.transform(F.sort_array(F.collect_list(F.struct(index, F.col(member).cast("string").alias("m")))), lambda x: x["m"])
     return rows.groupBy(key.alias("cluster_key")).agg(F.min(index).alias("first"), F.count("*").alias("size"), F.array_join(sorted_members, separator).alias("members"))
 
 
+def cluster_blocks(rows: DataFrame, key: Column, index: str = "idx", member: str = "member", separator: str = ",", block: int = BLOCK) -> DataFrame:
+    """``cluster_key, first, size, block, n, members``: clusters of any size, their members joined in blocks.
+
+    Blocks count from 0 and hold members in input order.  A cluster's members are gathered by cells of ``block`` places of
+    ``index`` (a whole number that tells rows apart), and cells that follow each other go into one block until it has ``block``
+    members, so no row has ``2 * block`` or more, also if half of all rows are one cluster.  What is ranked is a row
+    for each cluster and cell.  A null key is a key, a null member is left out of ``members`` but counts.
+    """
+    cell = F.expr(f"`{index}` div {block}")
+    placed = rows.select(key.alias("cluster_key"), cell.alias("cell"), F.col(index).alias("at"), F.col(member).cast("string").alias("m"))
+    by = ["cluster_key", "cell"]
+    counted = placed.groupBy(*by).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    inside = Window.partitionBy("cluster_key")
+    before = F.coalesce(F.sum("n").over(inside.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cells = counted.select("cluster_key", "cell", F.min("first").over(whole).alias("first"), F.sum("n").over(whole).alias("size"), F.floor(before / block).alias("block"))
+    listed = placed.groupBy(*by).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("at", "m"))).alias("part"))
+    same = F.col("c.cluster_key").eqNullSafe(F.col("p.cluster_key")) & F.col("c.cell").eqNullSafe(F.col("p.cell"))
+    parts = listed.alias("p").join(cells.alias("c"), same).select("c.cluster_key", "first", "size", "block", "p.cell", "p.n", "part")
+    joined = F.array_join(F.transform(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("cell", "part"))), lambda x: x["part"])), lambda x: x["m"]), separator)
+    return parts.groupBy("cluster_key", "block").agg(F.min("first").alias("first"), F.min("size").alias("size"), F.sum("n").alias("n"), joined.alias("members")).select("cluster_key", "first", "size", "block", "n", "members")
+
+
 def representatives(rows: DataFrame, key: Column, index: str = "idx") -> DataFrame:
     """The first row of each cluster."""
     cols = rows.columns

@@ -6,7 +6,10 @@ parameters (``top_k``) are what the analysis asks for.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+from itertools import islice
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions import dna as D
@@ -21,9 +24,9 @@ from seqloom.sources import genomes as G
 from seqloom.sources import pages as H
 from seqloom.sources import sinks as K
 from seqloom.sources import text as X
-from seqloom.sources.scratch import once
+from seqloom.sources.scratch import new_path, once
 
-#: Probes of one search: they are sent to every task.
+#: Probes of one pass over the genomes: they are sent to every task.
 MOST_PROBES = 1_000_000
 
 
@@ -45,7 +48,7 @@ def save_table(rows: DataFrame, folder: str, input_path: str, kind: str, order:
 
 def cluster_texts(out: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, str, list[str]]]:
     return {
-        "cluster": (K.cluster_lines(out["cluster"]), "line", ["first"]),
+        "cluster": (K.cluster_lines(out["cluster"]), "line", ["first", "block"]),
         "sample": (K.alignment_blocks(out["sample"]), "block", ["idx"]),
         "all": (K.fasta_blocks(out["all"]), "block", ["idx"]),
         "only": (K.fasta_blocks(out["only"]), "block", ["idx"]),
@@ -53,12 +56,12 @@ def cluster_texts(out: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, str,
 
 
 def clusters_of(hits: DataFrame) -> dict[str, DataFrame]:
-    """Clusters of alignment hits of equal sequence: ``cluster, sample, all, only, odd_letters``."""
+    """Clusters of alignment hits of equal sequence: ``cluster`` (in blocks), ``sample, all, only, odd_letters``."""
     key = F.upper(F.col("data")[1]["seq"])
     members = hits.withColumn("member", F.col("gene_no"))
     last = hits.select("idx", F.col("data")[2]["name"].alias("name"), F.col("data")[2]["start"].alias("start"), F.col("data")[2]["end"].alias("end"), F.col("data")[2]["seq"].alias("seq"))
     return {
-        "cluster": C.exact_clusters(members, key),
+        "cluster": C.cluster_blocks(members, key),
         "sample": C.representatives(hits, key),
         "all": last,
         "only": last.where(D.is_strict("seq")),
@@ -92,19 +95,24 @@ def gene_similarity_match(
 ) -> DataFrame:
     """Best windows of the probes of a table (``name``, ``gene``) in annotated genomes, with their alignments.
 
-    Probes are a user's list, of MOST_PROBES at most, and read to the driver, as every task has all of them.
+    Probes are a user's list, read to the driver by blocks of MOST_PROBES, as every task of a pass has all of its block; each
+    block is a pass over the genomes.
     """
     if not weighted:
         raise ValueError("weighted names the similarities and their weights")
     place = lambda kind: tuple((c["offset"], c["length"]) for c in (conditions or {}).get(kind, ()))
     options = S.Options(patience=patience, mismatch_limit=continuous_mismatch_limit, must=place("must"), optional=place("optional"))
-    listed = X.table(spark, gene_path).select("name", "gene")
+    listed = X.numbered_table(spark, gene_path).select("name", "gene", "pos")
     if gene_name_filter:
         listed = listed.where(F.col("name").isin(gene_name_filter))
-    probes = [(r["name"], r["gene"]) for r in listed.limit(MOST_PROBES + 1).collect()]  # in the table's order
-    if len(probes) > MOST_PROBES:
-        raise ValueError(f"more than {MOST_PROBES} probes: search them in several lists")
-    found = Q.search(probes, G.read_genomes(spark, data_path), weighted, options, top_k, candidate_distance, ascending, min_similarity, render=True, compat=compat)
+    probes = ((r["name"], r["gene"]) for r in listed.orderBy("pos").toLocalIterator())
+    genomes, passes = G.read_genomes(spark, data_path), []
+    while (some := list(islice(probes, MOST_PROBES))) or not passes:
+        one = Q.search(some, genomes, weighted, options, top_k, candidate_distance, ascending, min_similarity, render=True, compat=compat)
+        passes.append(one.withColumn("nth", (F.col("nth") + len(passes) * MOST_PROBES).cast("int")))
+        if len(some) < MOST_PROBES:
+            break
+    found = reduce(DataFrame.unionByName, passes)
     if output_directory:
         save({"match": (K.match_blocks(found), "block", ["nth", "rank"])}, output_directory, gene_path)
     return found
@@ -225,12 +233,12 @@ def location_tsv(matches: DataFrame, table: DataFrame, most_intervals: int = 4,
     """Locations flattened: a row for each record that a match touches, with the columns LOCATION_COLUMNS and pairs of
     interval columns for the stretches that reach the match's consistency.
 
-    Type, sizes and product are those of the gene's last row in the table; a promoter has none.
+    Type, sizes and product are those of the gene's last row in the table, by ``row_order`` if it has that column; a promoter has none.
     """
     records = once(interval_records(table, output_promoter), "records")
     found = locate(matches.select(F.col("rec").alias("id"), "start", "end"), records, compat).withColumnRenamed("id", "rec")
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in table.columns else F.lit("")
-    numbered = table.withColumn("row_order", F.monotonically_increasing_id())
+    numbered = table if "row_order" in table.columns else table.withColumn("row_order", F.monotonically_increasing_id())
     last = C.last_of_each(numbered, "gene", "row_order").select(F.trim("gene").alias("last_gene"), *[blank(c).alias(f"last_{c}") for c in ("type", "exonic_gene_sizes", "product")])
     spans = sub_matches(matches).groupBy("rec").agg(F.sort_array(F.collect_list(F.struct(F.col("sub_left").alias("start"), F.col("sub_right").alias("end")))).alias("spans"))
     m = matches.select("rec", "start", "end", "values").join(spans, "rec", "left")
@@ -574,6 +582,25 @@ def tallies(ok: DataFrame, lost: DataFrame, key: str) -> DataFrame:
     return both.agg(n.alias("total"), good.alias("solved"), (n - good).alias("failed"), F.when(n > 0, good * 100.0 / n).alias("percent"))
 
 
+def saved_with_tallies(ok: DataFrame, lost: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame, dict[str, float | None]]:
+    """(``ok``, ``lost``, ``total, solved, failed, percent``) of a run that gives a row for each item, in one of the two.
+
+    Both are written as one Parquet table and read back.  The counts are observed in the job that writes, in the tasks that write, so
+    they take no further job, and what is computed again for a lost executor counts once.  Repeated items count each time; with
+    no items ``percent`` is None.  Columns of the two may have any names.
+    """
+    spark, path = ok.sparkSession, path or new_path(ok.sparkSession, "run")
+    row = lambda df: F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = ok.select(F.lit(True).alias("good"), row(ok).alias("ok")).unionByName(lost.select(F.lit(False).alias("good"), row(lost).alias("lost")), allowMissingColumns=True)
+    seen = Observation()
+    rows.observe(seen, F.count_if("good").alias("solved"), F.count_if(~F.col("good")).alias("failed")).write.mode("overwrite").parquet(path)
+    solved, failed = (seen.get.get(k) or 0 for k in ("solved", "failed"))
+    total = solved + failed
+    stored = spark.read.schema(rows.schema).parquet(path)
+    tally = {"total": total, "solved": solved, "failed": failed, "percent": solved * 100.0 / total if total else None}
+    return stored.where("good").select("ok.*"), stored.where("not good").select("lost.*"), tally
+
+
 def search_counts(names: DataFrame, keywords: list[str], pages: DataFrame) -> DataFrame:
     """``name`` and the number of results for each keyword, from cached ``pages(name, keyword, body)``."""
     hits = pages.select("name", "keyword", H.count_udf("body").alias("n")).withColumn("hits", F.regexp_replace("n", ",", "").try_cast("bigint"))

@@ -32,8 +32,7 @@ def extracts(spark: SparkSession, data_path: str, rna_path: str, output_director
     """Sequences of named genes, or of the ranges of a table, in order of the list."""
     genomes = G.read_genomes(spark, data_path)
     if gene_extract_based == "range":
-        table = X.table(spark, rna_path)
-        numbered = table.withColumn("_pos", F.monotonically_increasing_id())
+        numbered = X.numbered_table(spark, rna_path, "_pos")
         shift = lambda i: i - 1 if i < 0 else i  # noqa: E731  (the place of a column, with one more at the end)
         rows = A.range_extract(numbered, genomes.orderBy("accession").limit(1), shift(left_idx), shift(right_idx))
         return {"extract": A.save_table(rows, output_directory, rna_path, "extract", ["_pos"])}
@@ -48,7 +47,7 @@ def streams(spark: SparkSession, data_path: str, input_path: str, output_directo
     """Flanks of the genes of a table (``rna``), or the genes around the ranges of a list (``inter``)."""
     segments = G.read_segments(spark, data_path)
     if mode == "rna":
-        wanted = X.table(spark, input_path).withColumn("idx", F.monotonically_increasing_id() + 1)
+        wanted = X.numbered_table(spark, input_path, "idx").withColumn("idx", F.col("idx") + 1)
         blocks = K.flank_blocks(A.gene_flanks(segments, G.read_genomes(spark, data_path), wanted, limit))
         return A.save({f"stream_{limit}": (blocks, "block", ["idx", "nth"])}, output_directory, input_path)
     part = lambda i: F.trim(F.get(F.split("line", ","), F.lit(i))).try_cast("bigint")
@@ -88,9 +87,10 @@ def pathways(spark: SparkSession, input_path: str, pages: DataFrame, output_dire
 
 def gene_lists(spark: SparkSession, input_path: str, pages: DataFrame, output_directory: str, analysis_promoter: bool = False, if_get_summary: bool = False, if_get_go_table: bool = False) -> dict[str, str]:
     """A gene list with its columns filled from pages, and genes that weren't found, in order of the list."""
-    table = X.table(spark, input_path)
+    numbered = X.numbered_table(spark, input_path, "_pos")
+    table = numbered.drop("_pos")
     ok, lost = A.ecocyc_analysis(table, pages, if_get_summary, if_get_go_table, analysis_promoter)
-    order = table.withColumn("pos", F.monotonically_increasing_id()).groupBy("gene").agg(F.min("pos").alias("pos"))
+    order = numbered.groupBy("gene").agg(F.min("_pos").alias("pos"))
     header = spark.createDataFrame([(-1, "\t".join(table.columns))], "pos long, line string")
     rows = header.unionByName(A.gene_list_lines(ok, lost, table.columns).join(order, "gene").select("pos", "line"))
     errors = lost.join(order, "gene").select("pos", F.col("gene").alias("line"))

@@ -182,6 +182,15 @@ s AS (SELECT *, {score} AS score FROM w),
 p AS (SELECT *, max(score) OVER (PARTITION BY accession, strand ORDER BY o ROWS BETWEEN {distance - 1} PRECEDING AND {distance - 1} FOLLOWING) AS peak FROM s)"""
 
 
+@query(f"""WITH {_BOTH}, w AS (SELECT *, unnest(range(0, greatest(length(dna) - 7, 0))) AS o FROM strands),
+s AS (SELECT accession, strand, o, {_direct_sql(PROBE, "substr(dna, o + 1, 8)")} AS score, o // (CASE WHEN length(dna) < 32 THEN length(dna) ELSE length(dna) // 32 END) AS part FROM w),
+p AS (SELECT *, max(score) OVER (PARTITION BY accession, strand, part ORDER BY o ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS peak FROM s)
+SELECT accession, strand, o AS "offset", score FROM p WHERE score > 0 AND score = peak""")
+def direct_suppress_compat(spark, sf_dir):
+    found = Q.search([("p", PROBE)], T.genomes(spark, sf_dir), {"direct": 1.0}, top_k=None, compat=True)
+    return found.select("accession", "strand", "offset", F.col("weighted").alias("score"))
+
+
 def _top_sql(name: str, probe: str, score: str, k: int, distance: int, per: str = "") -> str:
     m = len(probe)
     return f"""WITH {_BOTH}, {_peaks_sql(probe, score, distance)},
@@ -458,6 +467,16 @@ def exact_cluster(spark, sf_dir):
     return C.exact_clusters(p, F.upper("p_type")).drop("cluster_key")
 
 
+@query("""WITH c AS (SELECT event_type, event_id // 64 AS cell, count(*) AS n FROM events GROUP BY ALL),
+b AS (SELECT event_type, cell, ((sum(n) OVER (PARTITION BY event_type ORDER BY cell))::BIGINT - n) // 64 AS block FROM c),
+t AS (SELECT event_type, min(event_id) AS first, count(*) AS size FROM events GROUP BY event_type)
+SELECT event_type AS cluster_key, first, size, block, count(*) AS n, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS members
+FROM events JOIN b USING (event_type) JOIN t USING (event_type) WHERE cell = event_id // 64 GROUP BY ALL""")
+def cluster_blocks(spark, sf_dir):
+    e = T.table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), F.col("event_id").alias("member"), "event_type")
+    return C.cluster_blocks(e, F.col("event_type"), block=64)
+
+
 @query("SELECT p_partkey, p_name, p_type FROM part WHERE p_partkey IN (SELECT min(p_partkey) FROM part GROUP BY upper(p_type))")
 def cluster_samples(spark, sf_dir):
     p = T.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")

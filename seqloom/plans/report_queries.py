@@ -18,7 +18,7 @@ from seqloom.operators import search as Q
 from seqloom.plans import analyses as A
 from seqloom.plans import queries as B
 from seqloom.plans import standins as T
-from seqloom.plans.registry import query
+from seqloom.plans.registry import ORACLES, query
 from seqloom.sources import fetch as H
 from seqloom.sources import genomes as G
 from seqloom.sources import pages as P
@@ -657,6 +657,13 @@ def run_tallies(spark, sf_dir):
     return A.tallies(*A.ecocyc_analysis(genes, pages), "gene")
 
 
+@query(ORACLES["run_tallies"])
+def run_tallies_observed(spark, sf_dir):
+    genes, pages = _gene_pages(spark, sf_dir)
+    _, _, tally = A.saved_with_tallies(*A.ecocyc_analysis(genes, pages))
+    return spark.createDataFrame([tally], "total bigint, solved bigint, failed bigint, percent double")
+
+
 @query("""SELECT n_name || chr(9) || CASE WHEN n_nationkey % 3 = 0 THEN 0 WHEN n_nationkey % 3 = 1 THEN 1 ELSE 1000 + n_nationkey END || chr(9) || n_nationkey AS line FROM nation""")
 def search_count_text(spark, sf_dir):
     n = T.table(spark, sf_dir, "nation").withColumnRenamed("n_name", "name")

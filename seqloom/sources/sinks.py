@@ -60,8 +60,8 @@ def match_blocks(found: DataFrame) -> DataFrame:
 
 
 def cluster_lines(clusters: DataFrame) -> DataFrame:
-    """``first, line``: size and members of each cluster."""
-    return clusters.select("first", F.format_string("%d\t%s", "size", "members").alias("line"))
+    """``first, block, line``: size and members of each cluster; one of several blocks has a line for each, with its whole size."""
+    return clusters.select("first", "block", F.format_string("%d\t%s", "size", "members").alias("line"))
 
 
 def fasta_blocks(hits: DataFrame) -> DataFrame:

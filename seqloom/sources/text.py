@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqloom.sources.scratch import once
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, ln, line`` of text files, lines in order from 0, without line ends."""
@@ -102,6 +104,24 @@ def table(spark: SparkSession, path: str, separator: str = "\t") -> DataFrame:
     return spark.read.csv(path, sep=separator, header=True, inferSchema=False)
 
 
+def numbered_table(spark: SparkSession, path: str, name: str = "pos", separator: str = "\t") -> DataFrame:
+    """``table`` with ``name``, the places of its rows from 0 on: files in order of their paths, rows as they stand there.
+
+    Large files are read in byte ranges by many tasks.  A row's place is its place in its range and the number of rows in the ranges
+    before; ids that rise along a read are no places where there is more than one range.  The rows are stored once with
+    their ranges, so all uses see the same places.
+    """
+    rows = table(spark, path, separator)
+    cols = rows.columns
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    held = once(rows.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), *at, F.monotonically_increasing_id().alias("id")), "table")
+    ranges = held.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each byte range
+    starts = ranges.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = held.join(starts, ["file", "block"])
+    return placed.select("row.*", (F.col("start") + F.col("id") - F.col("first")).alias(name))
+
+
 def names(spark: SparkSession, path: str) -> DataFrame:
     """``name``: one trimmed name a line, blanks left out."""
     return spark.read.text(path).select(F.trim("value").alias("name")).where("name <> ''")

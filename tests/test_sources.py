@@ -249,3 +249,68 @@ def test_search_end_to_end(spark, tmp_path):
     written = str(next(p for p in (tmp_path / "o").iterdir()))
     back = X.match_records(X.lines(spark, written)).orderBy("rec").collect()
     assert [(x.start, x.end) for x in back] == [(x.start, x.end) for x in got]
+
+
+def test_numbered_table_in_byte_ranges(spark, tmp_path):
+    """Rows have their places, also if many tasks read a file."""
+    (tmp_path / "t").mkdir()
+    rows = [f"g{i}\t{'x' * (i * 7 % 90)}" for i in range(400)]
+    (tmp_path / "t" / "a.tsv").write_text("gene\tpos\n" + "\n".join(rows[:150]) + "\n")
+    (tmp_path / "t" / "b.tsv").write_text("gene\tpos\n" + "\n".join(rows[150:]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert X.table(spark, str(tmp_path / "t")).rdd.getNumPartitions() > 10
+        got = X.numbered_table(spark, str(tmp_path / "t"), "nth").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((x.nth, x.gene) for x in got) == [(i, f"g{i}") for i in range(400)] and got[0].asDict().keys() == {"gene", "pos", "nth"}
+
+
+def test_probes_in_several_passes(spark, tmp_path, monkeypatch):
+    (tmp_path / "g.tsv").write_text("name\tgene\n" + "".join(f"p{i}\t{g}\n" for i, g in enumerate(["acg", "tta", "gg", "cat", "acg"])))
+    (tmp_path / "x.gbk").write_text("LOCUS       x\nORIGIN\n        1 acgttacatg gattaccacg\n//\n")
+    run = lambda: sorted((x.nth, x.name, x["rank"], x.offset, x.strand, x.weighted) for x in A.gene_similarity_match(spark, str(tmp_path / "g.tsv"), str(tmp_path / "x.gbk"), weighted={"direct": 1.0}, top_k=3).collect())
+    want = run()
+    monkeypatch.setattr(A, "MOST_PROBES", 2)
+    assert run() == want and {x[0] for x in want} == set(range(5))
+
+
+def test_run_with_observed_tallies(spark, tmp_path):
+    ok = spark.range(100).select("id", F.lit("x").alias("good"))
+    lost = spark.range(7).select(F.col("id").alias("ok"))
+    sc = spark.sparkContext
+    jobs = lambda: set(sc.statusTracker().getJobIdsForGroup("tally"))
+    sc.setJobGroup("tally", "")
+    ok.unionByName(lost, allowMissingColumns=True).write.parquet(str(tmp_path / "plain"))
+    plain = len(jobs())
+    got, missed, tally = A.saved_with_tallies(ok, lost, str(tmp_path / "run"))
+    assert len(jobs()) == 2 * plain  # no job but the one that writes
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert tally == {"total": 107, "solved": 100, "failed": 7, "percent": 100 * 100 / 107}
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, ok.collect())) and sorted(x.ok for x in missed.collect()) == list(range(7))
+    none = A.saved_with_tallies(ok.where("id < 0"), lost.where("false"))[2]
+    assert none == {"total": 0, "solved": 0, "failed": 0, "percent": None}
+
+
+def test_cluster_blocks(spark):
+    """Half of all rows in one cluster, a key of each row, a null key, null members, gaps in the numbers."""
+    from seqloom.operators import cluster as C
+
+    rows = [(3 * i + (i > 500) * 1000, "hot" if i % 2 else (None if i % 10 == 0 else ("few" if i % 100 == 2 else f"k{i}")), None if i % 77 == 0 else f"m{i}") for i in range(1200)]
+    df = spark.createDataFrame(rows, "idx long, k string, member string").repartition(7)
+    got = C.cluster_blocks(df, F.col("k"), block=16).collect()
+    assert max(x.n for x in got) < 32 and sum(x.n for x in got) == len(rows)
+    whole, place = {}, {}
+    for x in sorted(got, key=lambda x: x.block):
+        assert x.block == place.get(x.cluster_key, -1) + 1 or x.block > place.get(x.cluster_key, -1)
+        place[x.cluster_key] = x.block
+        whole.setdefault(x.cluster_key, [x.first, x.size, []])[2].append(x.members)
+    want = {}
+    for i, k, m in sorted(rows):
+        want.setdefault(k, [i, 0, []])
+        want[k][1] += 1
+        want[k][2] += [m] if m is not None else []
+    assert {k: (a, b, ",".join(t for t in c if t)) for k, (a, b, c) in whole.items()} == {k: (a, b, ",".join(c)) for k, (a, b, c) in want.items()}
+    assert sum(x.cluster_key == "hot" for x in got) > 10 and [x.block for x in got if x.cluster_key == "few"] == [0]
+    assert C.cluster_blocks(df.where("false"), F.col("k")).count() == 0
