@@ -22,6 +22,7 @@ from seqloom.plans.registry import ORACLES, query
 from seqloom.sources import fetch as H
 from seqloom.sources import genomes as G
 from seqloom.sources import pages as P
+from seqloom.sources import parts as R
 from seqloom.sources import sinks as K
 from seqloom.sources import text as X
 from seqloom.sources.scratch import new_path
@@ -123,6 +124,18 @@ def cluster_texts(spark, sf_dir):
     return made.unionByName(out["odd_letters"].select(F.lit("odd").alias("kind"), F.lit(0).cast("long").alias("at"), F.col("letter").alias("text")))
 
 
+@query("""WITH g AS (SELECT doc_id, n_chars % 40 AS before, regexp_replace(lower(text), '[^acgtn]', '', 'g') AS dna FROM documents),
+s AS (SELECT doc_id, substr(dna, before + 1, 700) AS piece FROM g)
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN piece ELSE reverse(translate(replace(piece, 'n', ''), 'acgt', 'tgca')) END AS sequence FROM s""")
+def stored_sequences(spark, sf_dir):
+    d = T.table(spark, sf_dir, "documents")
+    name = _cat("d", F.col("doc_id"))
+    path = R.write_parts(d.select(name.alias("accession"), F.regexp_replace(F.lower("text"), "[^acgtn]", "").alias("dna")), new_path(spark, "parts"), part=256)
+    at = F.col("n_chars") % 40
+    wanted = d.select("doc_id", name.alias("accession"), (at + 1).alias("left"), (at + 700).alias("right"), (F.col("doc_id") % 2 == 1).alias("minus"))
+    return R.stored_sequences(wanted, path, "left", "right", F.col("minus"), part=256).select("doc_id", "sequence")
+
+
 # Text results and lists ------------------------------------------------------------------------
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -118,3 +119,29 @@ def test_locate_native_and_by_ranks(spark):
     for compat in (False, True):
         got = {x.id: (x.gene, x.location, x.label) for x in locate(hits, recs, compat).collect()}
         assert got == {1: ("g0", "5'", "antisense 5'utr"), 2: ("g1", "5'", "antisense 5'utr"), 3: ("g1,g2", "inter-genic", "inter genic"), 4: ("None,g0", "inter-genic", "inter genic")}
+
+
+def test_stored_parts(spark, tmp_path):
+    """Equal to what the texts say: all letters, edges of parts, ranges beyond the ends, genomes that aren't there; and only wanted folders are read."""
+    from seqloom.sources import parts as R
+
+    r = random.Random(3)
+    genomes = {f"g{i}": "".join(r.choice("acgtacgtacgtnnnnN-") for _ in range(r.randrange(60))) for i in range(40)} | {"empty": "", "wide": "acgétéa" * 4}
+    df = spark.createDataFrame([*genomes.items(), (None, "acgt")], "accession string, dna string")
+    path = R.write_parts(df, str(tmp_path / "parts"), shards=8, part=7, files=5)
+    rows = [(n, g, a, b, m) for n, (g, a, b, m) in enumerate([(r.choice([*genomes, "none"]), r.randrange(-5, 60), r.randrange(-5, 70), r.random() < 0.5) for _ in range(300)] + [("g1", None, 3, True), (None, 1, 3, False), ("g1", 1, None, None)])]
+    wanted = spark.createDataFrame(rows, "n long, accession string, left long, right long, minus boolean").withColumn("sequence", F.lit("old"))
+    back = str.maketrans("acgt", "tgca")
+    want = {}
+    for n, g, a, b, m in rows:
+        a = max(a if a is not None else 1, 1)
+        text = genomes[g][a - 1 : b] if g in genomes and b is not None and b >= a else ""
+        want[n] = "".join(x for x in text.lower().translate(back)[::-1] if x in "acgt") if m else text  # complements have the four letters only
+    both = {k: {x.n: x.sequence for x in R.stored_sequences(wanted, path, "left", "right", F.col("minus"), known_only=k, shards=8, part=7).collect()} for k in (True, False)}
+    assert both[False] == want and both[True] == {n: s for n, s in want.items() if rows[n][1] in genomes}
+    plain = {x.n: x.sequence for x in I.with_sequence(wanted.where("accession is not null"), df.where("accession is not null"), "left", "right", F.col("minus")).collect()}
+    assert {n: s or "" for n, s in plain.items()} == both[True]
+    one = R.stored_sequences(wanted.where("accession = 'g1'"), path, "left", "right", shards=8, part=7)
+    plan = one._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*shard#\d+ = \d|PartitionFilters: \[[^\]]*shard#\d+ IN", plan)  # one folder of eight
+    assert R.stored_sequences(wanted.where("false"), path, "left", "right", shards=8, part=7).count() == 0
