@@ -543,7 +543,7 @@ def url_list_analysis(page: DataFrame, pages: DataFrame, best: bool = True) -> t
     ``pages``: kind ``url`` by link name, ``promoter`` by id.  Products go by the order for link lists; a gene's promoters are the
     best one, with the start of its unit's first gene, or all with a start site.
     """
-    listed = page.select(F.explode(H.links_udf("body")).alias("l")).select("l.href", F.col("l.object").alias("key"), "l.title").where("key is not null")
+    listed = H.link_rows(page.select("body"), "body", "l").select("l.href", F.col("l.object").alias("key"), "l.title").where("key is not null")
     read = listed.join(_page(pages, "url").select("key", H.cells_udf("body").alias("attr")), "key", "left").withColumn("id", F.col("attr")["ecocyc_id"])
     layouts = _page(pages, "promoter").select(F.col("key").alias("id"), F.col("body").alias("layout"))
     targets = read.where("id is not null").select("id", F.col("attr")["gene"].alias("target")).distinct().join(layouts, "id")

@@ -24,7 +24,7 @@ from seqloom.operators import seeds as G
 from seqloom.plans import standins as T
 from seqloom.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from seqloom.sources import text as X
-from seqloom.sources.pages import links_udf
+from seqloom.sources.pages import link_rows
 from seqloom.sources.scratch import new_path
 
 PROBE = "gatacatt"  # with c
@@ -552,7 +552,7 @@ def record_blocks(spark, sf_dir):
 
 @query("""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) SELECT page_id, href || '#tab=TU' AS href, count(*) AS n FROM m GROUP BY ALL""")
 def page_links(spark, sf_dir):
-    p = T.table(spark, sf_dir, "pages").select("page_id", F.explode(links_udf("html")).alias("l"))
+    p = link_rows(T.table(spark, sf_dir, "pages").select("page_id", "html"), "html", "l")
     return p.groupBy("page_id", F.col("l.href").alias("href")).agg(F.count("*").alias("n"))
 
 

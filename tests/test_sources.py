@@ -150,7 +150,7 @@ def test_lists(spark, tmp_path):
 
 def test_pages():
     page = "<a href='/gene?orgid=ECOLI&amp;id=EG1'><i>aa</i></a> tail <a href='/x?object=O2'>two</a>"
-    assert pages.links(page) == [("/gene?orgid=ECOLI&id=EG1#tab=TU", "EG1", "aatail"), ("/x?object=O2#tab=TU", "O2", "two")]
+    assert list(pages.links(page)) == [("/gene?orgid=ECOLI&id=EG1#tab=TU", "EG1", "aatail"), ("/x?object=O2#tab=TU", "O2", "two")]
     assert pages.gene_id("<a href='/gene?orgid=ECOLI&id=EG7'>thrA</a>", "thrA") == "EG7"
     assert pages.gene_id("<a href='/gene?orgid=ECOLI&id=EG7'>thrB</a>", "thrA") is None
     assert pages.gene_id("<script>window.location.replace('/gene?orgid=ECOLI&id=EG9')</script>", "x") == "EG9"
@@ -314,3 +314,20 @@ def test_cluster_blocks(spark):
     assert {k: (a, b, ",".join(t for t in c if t)) for k, (a, b, c) in whole.items()} == {k: (a, b, ",".join(c)) for k, (a, b, c) in want.items()}
     assert sum(x.cluster_key == "hot" for x in got) > 10 and [x.block for x in got if x.cluster_key == "few"] == [0]
     assert C.cluster_blocks(df.where("false"), F.col("k")).count() == 0
+
+
+def test_link_rows_in_batches(spark, monkeypatch):
+    """A page of many links is read in pieces and leaves in batches; events don't depend on where pieces end."""
+    from seqloom.sources import pages as P
+
+    big = "<html><script>if (a < b) { x('<a href=no>') }</script>" + "".join(f"<a class='c' href='/g?id=K{i}&amp;x=1'> t {i} <b>bold &lt; {i}</b></a> and 3 < 4 &amp" for i in range(3000)) + "<!-- <a href='z'> --></html>"
+    whole = P.events(big)
+    for size in (1, 50, 1000):
+        monkeypatch.setattr(P, "PIECE", size)
+        assert P.events(big) == whole
+    monkeypatch.undo()
+    df = spark.createDataFrame([(1, "<a href='u'>one</a>", "x"), (2, None, "y"), (3, "", "z"), (4, big, None)], "k long, body string, other string")
+    got = P.link_rows(df, "body").collect()
+    assert [(x.k, x.other, x.link.title) for x in got if x.k < 4] == [(1, "x", "one")]
+    assert sorted(x.link.object for x in got if x.k == 4) == sorted(f"K{i}" for i in range(3000)) and len(got) == 3001
+    assert P.link_rows(df.where("false"), "body").count() == 0
