@@ -312,4 +312,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     keyed, key = with_row_keys(docs)
     name = free_name(keyed, "leaked_key")
     bad = leaks(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, coverage).select(F.col("doc_id").alias(name)).distinct()
+    bad = materialize(bad, "leaked", light=True)  # of known size: texts move only where it is too large to be sent to all tasks
     return keyed.join(bad, F.col(key) == F.col(name), "left_anti").drop(key)
