@@ -145,3 +145,22 @@ def test_stored_parts(spark, tmp_path):
     plan = one._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*shard#\d+ = \d|PartitionFilters: \[[^\]]*shard#\d+ IN", plan)  # one folder of eight
     assert R.stored_sequences(wanted.where("false"), path, "left", "right", shards=8, part=7).count() == 0
+
+
+def test_genomes_of_few_rows_are_not_sent_by_way_of_the_driver(spark):
+    # 20 rows before they become genomes: a plan that goes by these rows would send all parts to all tasks.
+    few = spark.range(2000).groupBy((F.col("id") % 20).cast("string").alias("accession")).agg((F.count("*") * 2000).alias("n"))
+    genomes = few.select("accession", F.repeat(F.lit("acgtt"), (F.col("n") / 5).cast("int")).alias("dna"))
+    rows = spark.range(400).select(F.col("id"), (F.col("id") % 20).cast("string").alias("accession"), (F.col("id") * 300 + 1).alias("a"), (F.col("id") * 300 + 70_000).alias("b"))
+    found = I.with_sequence(rows, genomes, "a", "b")
+    got = {r["id"]: r["sequence"] for r in found.collect()}
+    dna = "acgtt" * 40_000
+    assert got == {i: dna[i * 300 : i * 300 + 70_000] for i in range(400)}
+    assert not re.search("BroadcastHashJoin .*LeftOuter", found._jdf.queryExecution().executedPlan().toString())
+
+
+def test_parts_of_genomes_count_letters(spark, monkeypatch):
+    monkeypatch.setattr(I, "PART", 4)
+    genomes = spark.createDataFrame([("a", "acgtacgtac"), ("b", ""), ("c", None), ("d", "acgé\nacgtü")], "accession string, dna string")
+    got = sorted((r["part_of"], r["part"], r["bases"]) for r in I._parts(genomes).collect())
+    assert got == [("a", 0, "acgt"), ("a", 1, "acgt"), ("a", 2, "ac"), ("d", 0, "acgé"), ("d", 1, "\nacg"), ("d", 2, "tü")]
