@@ -331,3 +331,11 @@ def test_link_rows_in_batches(spark, monkeypatch):
     assert [(x.k, x.other, x.link.title) for x in got if x.k < 4] == [(1, "x", "one")]
     assert sorted(x.link.object for x in got if x.k == 4) == sorted(f"K{i}" for i in range(3000)) and len(got) == 3001
     assert P.link_rows(df.where("false"), "body").count() == 0
+
+
+def test_tree_reads_the_named_references_only():
+    page = "<title>a &amp;&lt; b &amp</title><h1 id='x &quot; &amp;'>&quot;c &amp;lt; &eacute; 1 &#38; 2 &gt</h1><script>if (a && b &amp;) {}</script>"
+    title, heading, script = pages.tree(page, ("lt", "gt", "amp")).children
+    assert (title.text(), heading.text(), heading.attrs["id"]) == ("a &< b &amp", "&quot;c &lt; &eacute; 1 &#38; 2 &gt", "x &quot; &")
+    assert script.text() == "if (a && b &amp;) {}"
+    assert pages.tree(page).children[0].text() == "a &< b &"
