@@ -49,3 +49,14 @@ def float_or_text(x):
 def test_rows_only_queries(spark, data):
     for name in set(QUERIES) - set(ORACLES):
         assert QUERIES[name](spark, data).count() > 0
+
+
+def test_best_windows_leave_their_task_as_numbers(spark, tmp_path):
+    from seqloom.plans.queries import _best_windows
+
+    rows = [(1, "ggggggggg gatacatt gatacatt"), (2, "acgtacg"), (3, None), (4, "tttttttttttt gatacatg"), (4, "gatacattgg"), (5, "cccccccc")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    best = _best_windows(spark, str(tmp_path))
+    assert sorted(map(tuple, best.collect())) == [("1", 9, "gatacatt"), ("4", 0, "gatacatt"), ("5", 0, "cccccccc")]
+    # Texts in an aggregate's buffer would mean a sort of all windows.
+    assert "max_by" not in best._jdf.queryExecution().executedPlan().toString()
