@@ -24,6 +24,8 @@ from seqloom.operators import search as Q
 
 #: Bases of a part; offsets that are looked at together when windows near better ones are left out.
 PART, BLOCK = 4096, 1 << 16
+#: Parts whose postings a task writes, on average.
+PARTS = 2048
 #: Longest gram.
 LONGEST = 12
 #: Similarities that tell how long a run must be whole.
@@ -104,8 +106,11 @@ def write_index(genomes: DataFrame, path: str, q: int, longest: int) -> str:
     cut = Q.chunks(both, q, 0, PART, longest - q)
     cut.select("accession", "strand", "length", F.col("chunk").alias("part"), "at", "piece").write.parquet(f"{path}/parts")
     parts = spark.read.parquet(f"{path}/parts")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings(parts.select("accession", "strand", "part", "at", "piece").repartition(tasks, "accession", "strand", "part"), q).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{path}/grams")
+    # Short grams are few, and each has postings in all parts: a gram is many tasks' work, and tasks grow in number with the parts.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() // PARTS))
+    dealt = parts.select("accession", "strand", "part", "at", "piece").repartition(tasks, "accession", "strand", "part")
+    order = ("gram", "accession", "strand", "part")
+    postings(dealt, q).repartitionByRange(tasks, *order).sortWithinPartitions("gram").write.parquet(f"{path}/grams")
     return path
 
 
@@ -116,7 +121,8 @@ def candidates(spark: SparkSession, path: str, probes: list[tuple[str, str]], ki
         grams = packed(np.frombuffer(probe.encode(), np.uint8), q).tolist()
         rows |= {(grams[s.at], nth, s.at, s.shift, len(probe)) for k in kinds for s in seeds_of(k, len(probe), least, o, q)}
     wanted = spark.createDataFrame(sorted(rows), "gram long, nth int, at int, shift int, width int")
-    met = spark.read.parquet(f"{path}/grams").join(wanted, "gram")
+    # The probes' grams go to the postings: dealt out by gram, all postings of one would be one task's.
+    met = spark.read.parquet(f"{path}/grams").join(F.broadcast(wanted), "gram")
     places = met.select("nth", "accession", "strand", "at", "shift", "width", F.explode("offsets").alias("place"))
     moved = places.select("nth", "accession", "strand", "width", F.explode(F.transform(F.sequence(-F.col("shift"), F.col("shift")), lambda d: F.col("place") - F.col("at") + d)).alias("offset"))
     return moved.where("offset >= 0").select("nth", "accession", "strand", "width", "offset").distinct()

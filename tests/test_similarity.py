@@ -377,3 +377,13 @@ def test_a_gap_between_blocks_hides_no_better_window(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "nth int, accession string, strand string, offset int, weighted int")
     want = [i for i in range(len(rows)) if rows[i][4] == max(x[4] for x in rows[max(0, i - 2) : i + 3])]
     assert sorted(r.offset for r in E.peaks(frame, 3).collect()) == want
+
+
+def test_postings_of_one_gram_are_many_tasks_work(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(E, "PARTS", 2, raising=False)
+    genomes = spark.createDataFrame([(str(i), "a" * 5000) for i in range(20)], "accession string, dna string")
+    path = E.write_index(genomes, f"{tmp_path}/index", 4, 8)
+    files = spark.read.parquet(f"{path}/grams").where("gram = 0").groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 10 and max(r["count"] for r in files) <= 8
+    found = E.candidates(spark, path, [("p", "aaaaaaaa")], ["direct"], 8, 4)
+    assert found.count() == 20 * 4997 and "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
