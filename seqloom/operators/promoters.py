@@ -14,10 +14,16 @@ def attributes(body: Column | str) -> Column:
     """``<b>k</b>: v<BR>..`` as a map; without any pair, ``{Body: the text}``; of a repeated key the last counts."""
     text = _c(body)
     lines = F.split(F.regexp_replace(text, "</?b>", ""), "<BR>|<br>")
-    pairs = F.transform(F.filter(lines, lambda x: x.contains(":")), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
-    # Later pairs replace earlier ones of the same key.
-    last = F.aggregate(pairs, F.expr("cast(map() as map<string,string>)"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["key"]), F.create_map(p["key"], p["value"])))
-    return F.when(F.size(pairs) > 0, last).otherwise(F.create_map(F.lit("Body"), text))
+    pairs = F.transform(F.filter(lines, lambda x: x.contains(":")), lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")))
+
+    def as_map(p: Column) -> Column:
+        keys = F.transform(p, lambda x: x["key"])
+        # Later pairs replace earlier ones of the same key; most texts repeat none.
+        last = F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.size(p)), lambda y: y["key"] == x["key"]))
+        return F.when(F.size(p) > 0, F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(p), p).otherwise(last))).otherwise(F.create_map(F.lit("Body"), text))
+
+    # transform(array(x), ...)[0] names x once, where what uses it would compute it each time.
+    return F.transform(F.array(pairs), as_map)[0]
 
 
 def number(text: Column | str) -> Column:
@@ -62,13 +68,26 @@ def best_promoter(items: DataFrame, by: str = "diagram") -> DataFrame:
     first gene.  Genes of the other direction, and promoters drawn below the target, don't count.  A target
     before all promoters has a null promoter; diagrams without a target have no row.
     """
-    target = items.where("is_target").select(by, F.col("direction").alias("toward"), F.col("top").alias("target_top"), F.col("idx").alias("target_idx"))
-    near = items.join(target, by)
-    counted = near.where((F.col("is_gene") & (F.col("direction") == F.col("toward"))) | (~F.col("is_gene") & F.col("is_promoter") & (F.col("top") <= F.col("target_top"))))
+    unit = target_units(items, by)
+    site = ["promoter_site"] if "start_site" in items.columns else []
+    return unit.where("unit is not null").select(by, *[F.col(f"unit.{c}") for c in ("promoter", "near_gene_pos", *site)])
+
+
+def target_units(items: DataFrame, by: str = "diagram") -> DataFrame:
+    """``by, unit`` for every diagram: promoter and near_gene_pos as in ``best_promoter``, or null.
+
+    Items are dealt out by diagram once; all that follows is sweeps within a diagram.  Of several targets the last counts.
+    """
+    given = F.max(F.when(F.col("is_target"), F.struct("idx", "direction", "top"))).over(Window.partitionBy(by))
+    near = items.withColumn("target", given).select("*", F.col("target.direction").alias("toward"), F.col("target.top").alias("target_top"), F.col("target.idx").alias("target_idx"))
+    wanted = (F.col("is_gene") & (F.col("direction") == F.col("toward"))) | (~F.col("is_gene") & F.col("is_promoter") & (F.col("top") <= F.col("target_top")))
+    counted = near.withColumn("counted", F.coalesce(wanted & F.col(by).isNotNull() & F.col("target").isNotNull(), F.lit(False)))
     rightward = F.col("toward") == "Right"
     edge = F.when(rightward, F.col("left")).otherwise(-F.col("right"))
     late = F.when(F.col("is_gene") == rightward, 1).otherwise(0)
-    scan = Window.partitionBy(by).orderBy(edge, late, F.when(rightward, F.col("idx")).otherwise(-F.col("idx")))
+    # The order is columns, so that all sweeps share one sort.
+    counted = counted.select("*", edge.alias("edge_"), late.alias("late_"), F.when(rightward, F.col("idx")).otherwise(-F.col("idx")).alias("turn_"))
+    scan = Window.partitionBy(by, "counted").orderBy("edge_", "late_", "turn_")
     kind = F.when(F.col("is_gene"), "gene").otherwise("promoter")
     rows = counted.withColumn("kind", kind).withColumn("n", F.row_number().over(scan)).withColumn("before", F.lag("kind").over(scan))
     upto = scan.rowsBetween(Window.unboundedPreceding, 0)
@@ -77,12 +96,13 @@ def best_promoter(items: DataFrame, by: str = "diagram") -> DataFrame:
     units = rows.withColumn("opens", opens.cast("int")).withColumn("unit", F.sum("opens").over(upto))
     is_target = F.col("idx") == F.col("target_idx")
     site = ["start_site"] if "start_site" in items.columns else []
-    per_unit = units.groupBy(by, "unit").agg(
+    per_unit = units.groupBy(by, "counted", "unit").agg(
         F.max(is_target & F.col("is_gene")).alias("has_target"),
         F.min(F.when(F.col("opens") == 1, F.struct("n", "name", *site))).alias("opener"),
         F.min(F.when(F.col("kind") == "gene", F.struct("n", "pos")))["pos"].alias("near_gene_pos"),
     )
-    return per_unit.where("has_target").select(by, F.col("opener.name").alias("promoter"), "near_gene_pos", *[F.col("opener.start_site").alias("promoter_site") for _ in site])
+    unit = F.struct(F.col("opener.name").alias("promoter"), "near_gene_pos", *[F.col("opener.start_site").alias("promoter_site") for _ in site])
+    return per_unit.groupBy(by).agg(F.max(F.when(F.col("counted") & F.col("has_target"), unit)).alias("unit"))
 
 
 def better_promoter(a: Column, b: Column, direction: Column | str) -> Column:
