@@ -83,6 +83,41 @@ def test_layout(spark):
     assert [tuple(r) for r in best_promoter(items).collect()] == [("d", "P1", 1100, 1000)]
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_layouts_are_read_once(spark):
+    """Attributes of an item are made of its text once, and promoters of one reading of the layouts; diagrams without a target stay."""
+    from seqloom.operators import promoters as P
+
+    texts = ["<b>Gene</b>: a b<BR><b>Location</b>: 5 -> 9", "Gene: x<br> Gene : y:z<BR>none", "no pair", "", ":", None]
+    made = spark.createDataFrame([(t,) for t in texts], "t string").select(P.attributes("t").alias("m"))
+    assert [x.m for x in made.collect()] == [{"Gene": "a b", "Location": "5 -> 9"}, {"Gene": "y:z"}, {"Body": "no pair"}, {"Body": ""}, {"": ""}, {"Body": None}]
+    assert plan(made).count("</?b>") == 1
+    item = lambda i, text: f'["{i}","l","{i * 10}","0","{i * 10 + 5}","9","{text}"]'
+    gene, start = "Gene: g%d<BR>Location: %d -> 900", "Promoter: P%d<BR>Tr.Start site: %d"
+    bodies = [("one", item(1, start % (1, 7)) + "," + item(2, gene % (2, 20)) + "," + item(3, gene % (3, 30))), ("none", item(1, gene % (3, 5))), ("other", item(1, start % (4, 40)) + "," + item(2, gene % (9, 50)))]
+    items = A.layout_items(spark.createDataFrame([(d, '{"links": [' + b + "]}") for d, b in bodies], "diagram string, body string"), "g3")
+    best, every = A.promoters_of(items), A.promoters_of(items, False)
+    assert plan(best).count("posexplode") == plan(every).count("posexplode") == 1 and "Join" not in plan(best) + plan(every)
+    lost = ("Not Found",) * 4
+    assert {x.diagram: tuple(x)[1:] for x in best.collect()} == {"one": ("Found", "20", "P1", "7"), "none": lost, "other": lost}
+    assert {x.diagram: tuple(x)[1:] for x in every.collect()} == {"one": ("Found", "Not Found", "P1", "7"), "none": lost, "other": ("Found", "Not Found", "P4", "40")}
+
+
+def test_pages_are_parsed_once(spark):
+    """Results and errors come from one reading of the pages that name what is wanted."""
+    pages = spark.createDataFrame([("gene", "a", "<a href='/gene?orgid=ECOLI&id=E1'>a</a><b>KEGG ORTHOLOGY</b><a href='/e'>K1</a>"), ("pathway", "K1", "<nobr>Name</nobr><td>n</td>"), ("url", "E1", "<table><tr><td>Gene</td><td>g</td></tr></table>")], "kind string, key string, body string")
+    ok, lost = A.kegg_analysis(spark.createDataFrame([("a",), ("z",)], "id string"), pages)
+    assert "UDF" not in plan(ok) + plan(lost) and [tuple(x) for x in ok.collect()] == [("a", "K1", "n", "No Pathway")] and [x.id for x in lost.collect()] == ["z"]
+    ok, lost = A.ecocyc_analysis(spark.createDataFrame([("a",), ("z",)], "gene string"), pages)
+    assert "gene_id" not in plan(lost) and "UDF" not in plan(lost) and [x.gene for x in lost.collect()] == ["z"] and [x.id for x in ok.collect()] == ["E1"]
+    ok, lost = A.url_list_analysis(spark.createDataFrame([("<a href='/g?id=E1'>x</a><a href='/g?id=E2'>y</a>",)], "body string"), pages)
+    assert "UDF" not in plan(ok) + plan(lost) and [x.gene for x in ok.collect()] == ["g"] and [x.key for x in lost.collect()] == ["E2"]
+    assert A._dealt(pages.coalesce(1)).rdd.getNumPartitions() == 4
+
+
 def brute_label(a, b, x, y, plus):
     """As the records' ends are reached over, from the left first."""
     if y < a or x > b:

@@ -339,3 +339,26 @@ def test_tree_reads_the_named_references_only():
     assert (title.text(), heading.text(), heading.attrs["id"]) == ("a &< b &amp", "&quot;c &lt; &eacute; 1 &#38; 2 &gt", "x &quot; &")
     assert script.text() == "if (a && b &amp;) {}"
     assert pages.tree(page).children[0].text() == "a &< b &"
+
+
+def test_plain_pages_are_read_as_by_the_parser():
+    """Plain pages are read by one expression, with the events of ``HTMLParser``; others are left to it."""
+    import random
+
+    from seqloom.sources import pages as P
+
+    def parsed(page):
+        p = P._Events()
+        p.feed(page)
+        p.close()
+        return p.found
+
+    parts = "<a>,</a>,<td>,</TD>,<A HREF='x y'>,<a b=\"/g?x=1\" c='t' d>,<p,<b >,</b >,</b x>,<script>,</script>,<script >var a;,<title>,</title>,x,K1 , ,&amp;,&lt;,&am,&,&#65;,<,>,</,<!--,-->,<!x>,<br/>,<td n=1>,<a b='&amp;c'>,<a b='&c'>,<a b=''>,<a b = 'c'>,<p\x0bq='1'>,\r".split(",")
+    r, plain = random.Random(4), 0
+    for _ in range(20000):
+        page = "".join(r.choice(parts) for _ in range(r.randrange(1, 9)))
+        got = P._plain_events(page)
+        plain += got is not None
+        assert got is None or got == parsed(page), page
+    assert plain > 2000
+    assert P._plain_events("<table><tr><td>Gene</td><td><a href='/g?a=1&amp;id=2'>x</a> &lt;y</td></tr></table><script>{gene:'E1'}</script>") is not None
