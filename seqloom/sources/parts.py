@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from seqloom.sources.scratch import once
 
 #: Folders of a store; an accession is in one of them, by its hash.
 SHARDS = 64
+#: Letters that are packed at once, but for a longer part.
+LETTERS = 1 << 20
 _SCHEMA = "shard int, accession string, part long, size int, packed binary, odd array<struct<at:int,size:int,letter:int>>, plain string"
 _CODE = np.full(256, 4, np.uint8)
 _CODE[np.frombuffer(b"acgt", np.uint8)] = np.arange(4)
@@ -41,6 +44,33 @@ def packed(text: str) -> tuple[bytes | None, list[dict[str, int]] | None, str |
     return (four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3]).tobytes(), odd, None
 
 
+def packed_parts(texts: list[str], runs: pa.DataType) -> list[pa.Array]:
+    """``size, packed, odd, plain`` of many parts: what ``packed`` gives for each, made by a few operations on all letters at once."""
+    plain = [None if t.isascii() else t for t in texts]
+    size = np.array([len(t) if p is None else 0 for t, p in zip(texts, plain)], np.int64)
+    data = np.frombuffer("".join(t for t, p in zip(texts, plain) if p is None).encode(), np.uint8)
+    begin, whole = np.cumsum(size) - size, -(-size // 4)
+    code = _CODE[data]
+    owner = np.repeat(np.arange(len(texts)), size)
+    at = np.arange(len(data)) - begin[owner]
+    # Each part begins at a byte of its own.
+    first_byte = np.cumsum(whole) - whole
+    four = np.zeros(int(whole.sum()) * 4, np.uint8)
+    four[first_byte[owner] * 4 + at] = code & 3
+    four = four.reshape(-1, 4)
+    place = np.flatnonzero(code == 4)
+    # A run is of one letter, in one part, without a gap.
+    new = (np.diff(place, prepend=-2) != 1) | (np.diff(data[place].astype(int), prepend=-1) != 0) | (np.diff(owner[place], prepend=-1) != 0)
+    first = np.flatnonzero(new)
+    fields = [at[place[first]], np.diff(first, append=len(place)), data[place[first]]]
+    none = pa.array([p is not None for p in plain], pa.bool_())
+    # A null entry is marked by its offset.
+    offsets = lambda ends, kind: pa.array(np.concatenate([[0], ends]), kind)
+    bits = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(whole)]).astype(np.int32)), pa.py_buffer((four[:, 0] << 6 | four[:, 1] << 4 | four[:, 2] << 2 | four[:, 3]).tobytes())])
+    odd = pa.ListArray.from_arrays(offsets(np.searchsorted(owner[place[first]], np.arange(len(texts)), "right"), pa.int32()), pa.StructArray.from_arrays([pa.array(f.astype(np.int32)) for f in fields], fields=list(runs.value_type)))
+    return [pa.array([len(t) for t in texts], pa.int32()), pc.if_else(none, pa.scalar(None, pa.binary()), bits), odd.cast(runs) if not any(plain) else pa.array([None if p else o for o, p in zip(odd.to_pylist(), plain)], runs), pa.array(plain, pa.string())]
+
+
 def unpacked(data: bytes, skip: int, size: int, odd: list[dict[str, int]], start: int) -> str:
     """``size`` letters of packed bytes after the first ``skip``; runs of other letters count from ``start`` on."""
     out = _LETTERS[np.frombuffer(data, np.uint8)].ravel()[skip : skip + size].copy()
@@ -58,20 +88,23 @@ def write_parts(genomes: DataFrame, path: str, shards: int = SHARDS, part: int =
 
     A genome without bases has one empty part; one without an accession is left out, as nothing can ask for it.
     """
+    # Parts are packed after they are placed: placing reads its rows twice, and runs of other letters take more room than these.
     cut = F.regexp_extract_all("dna", F.lit(f"(?s).{{1,{part}}}"), F.lit(0))
     rows = genomes.where("accession is not null").select(F.col("accession").cast("string").alias("accession"), F.posexplode_outer(cut).alias("part", "bases"))
     rows = rows.select(_shard(F.col("accession"), shards).alias("shard"), "accession", F.coalesce("part", F.lit(0)).cast("long").alias("part"), F.coalesce("bases", F.lit("")).alias("bases"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("letter", pa.int32())]))
-        for batch in batches:
-            texts = batch.column("bases").to_pylist()
-            data, odd, plain = zip(*map(packed, texts)) if texts else ((), (), ())
-            made = [pa.array([len(t) for t in texts], pa.int32()), pa.array(data, pa.binary()), pa.array(odd, runs), pa.array(plain, pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "accession", "part")), *made], names=["shard", "accession", "part", "size", "packed", "odd", "plain"])
+        for whole in batches:
+            filled = np.cumsum(pc.binary_length(whole.column("bases")).to_numpy().astype(np.int64)) // LETTERS
+            edges = np.flatnonzero(np.diff(filled, prepend=-1)).tolist()
+            for a, b in zip(edges, [*edges[1:], len(whole)]):
+                batch = whole.slice(a, b - a)
+                made = packed_parts(batch.column("bases").to_pylist(), runs)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "accession", "part")), *made], names=["shard", "accession", "part", "size", "packed", "odd", "plain"])
 
     tasks = files or int(genomes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.mapInArrow(pack, _SCHEMA).repartitionByRange(tasks, "shard", "accession", "part").sortWithinPartitions("shard", "accession", "part")
+    placed = rows.repartitionByRange(tasks, "shard", "accession", "part").sortWithinPartitions("shard", "accession", "part").mapInArrow(pack, _SCHEMA)
     placed.write.partitionBy("shard").parquet(path)
     return path
 

@@ -164,3 +164,16 @@ def test_parts_of_genomes_count_letters(spark, monkeypatch):
     genomes = spark.createDataFrame([("a", "acgtacgtac"), ("b", ""), ("c", None), ("d", "acgé\nacgtü")], "accession string, dna string")
     got = sorted((r["part_of"], r["part"], r["bases"]) for r in I._parts(genomes).collect())
     assert got == [("a", 0, "acgt"), ("a", 1, "acgt"), ("a", 2, "ac"), ("d", 0, "acgé"), ("d", 1, "\nacg"), ("d", 2, "tü")]
+
+
+def test_parts_are_packed_many_at_once():
+    """Parts of a batch are packed by a few operations on all letters, as each by itself."""
+    import pyarrow as pa
+
+    from seqloom.sources import parts as R
+
+    runs, r = pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("letter", pa.int32())])), random.Random(2)
+    for k in range(60):
+        texts = ["".join(r.choice("acgtnnN-" + "aé"[k % 3 == 0 and i % 4 == 0]) for _ in range(r.randrange(30))) for i in range(r.randrange(12))]
+        each = [list(x) for x in zip(*map(R.packed, texts))] or [[], [], []]
+        assert [x.to_pylist() for x in R.packed_parts(texts, runs)] == [[len(t) for t in texts], *each]
