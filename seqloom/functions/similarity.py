@@ -87,10 +87,24 @@ def consistency(probe: str, window: Column, patience: int = 0) -> Column:
     return F.when(F.size(inner) <= patience, F.lit(m) - F.size(inner)).otherwise(F.array_max(spans)).cast("double")
 
 
+#: Longest probe whose edit scores are looked up by the window's letters.
+LOOKED_UP = 6
+
+
+@lru_cache(maxsize=64)
+def _edit_scores(probe: str) -> str:
+    """Edit scores of all windows of acgt and one letter that is none of them, as text."""
+    from seqloom.functions.kernels import letters_of, text_edit_scores
+
+    scores = text_edit_scores(probe, letters_of(["".join(w) for w in product("nacgt", repeat=len(probe))]))
+    return ",".join(str(int(x)) for x in scores)
+
+
 def text_edit(probe: str, window: Column) -> Column:
     """Length less the edit distance whose first letters are always aligned.
 
-    Without ``c`` in the probe (after its first letter) the built-in distance does; else numpy tables over batches.
+    Without ``c`` in the probe (after its first letter) the built-in distance does. Of a short probe of acgt, the window's letters make a
+    number that indexes a constant array, all in generated code; else numpy tables over batches.
     """
     m = len(probe)
     first = (~_match(probe[0], window, 1)).cast("int")
@@ -99,6 +113,9 @@ def text_edit(probe: str, window: Column) -> Column:
     if "c" not in probe[1:]:
         rest = F.levenshtein(F.lit(probe[1:]), F.substring(window, 2, m - 1))
         return (F.lit(m) - first - rest).cast("double")
+    if m <= LOOKED_UP and set(probe) <= set("acgt"):
+        places = [F.instr(F.lit("acgt"), F.substring(window, i, 1)) * 5 ** (m - i) for i in range(1, m + 1)]
+        return F.get(F.split(F.lit(_edit_scores(probe)), ",").cast("array<double>"), sum(places[1:], places[0]))
     from seqloom.functions.kernels import text_edit_udf
 
     return text_edit_udf(probe)(window)

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -387,3 +388,13 @@ def test_postings_of_one_gram_are_many_tasks_work(spark, tmp_path, monkeypatch):
     assert len(files) > 10 and max(r["count"] for r in files) <= 8
     found = E.candidates(spark, path, [("p", "aaaaaaaa")], ["direct"], 8, 4)
     assert found.count() == 20 * 4997 and "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_short_edit_scores_are_looked_up(spark):
+    """Scores of a short probe with c are looked up in generated code, and are those of the kernel, also for other letters."""
+    ws = ["".join(w) for w in itertools.product("acgtn", repeat=4)]
+    df = spark.createDataFrame([(w,) for w in [*ws, None]], "w string").repartition(2)
+    for probe in ("gcac", "cccc", "tgca"):
+        scored = df.select("w", S.text_edit(probe, F.col("w")).alias("e"))
+        assert "Python" not in scored._jdf.queryExecution().executedPlan().toString()
+        assert {x.w: x.e for x in scored.collect()} == dict(zip(ws, K.text_edit_scores(probe, K.letters_of(ws)).tolist())) | {None: None}
