@@ -341,6 +341,30 @@ def test_tree_reads_the_named_references_only():
     assert pages.tree(page).children[0].text() == "a &< b &"
 
 
+def test_page_tree_of_deep_null_and_malformed_pages(spark, tmp_path):
+    """Elements that are never closed nest as deep as a page is long; a page that can't be read as it should be doesn't end the job."""
+    import duckdb
+
+    from seqloom.plans.queries import ORACLES, QUERIES
+
+    page = lambda body: f"<!DOCTYPE html><title>a &amp; b</title><body><h1>c &lt; d</h1>{body}<a href='/x'>x</a></body>"
+    bodies = ["<p><b>x.<br>" * 170, "<p><b>x.<br>" * 20000, "<p>" * 5000 + "</i>" * 5000 + "</p>" * 5000, "<![x y[ z ]]><a href='/y'>y</a>", "<![ é>", "<![CDATA[ & ]]>", "<![if !x]>z<![endif]>"]
+    rows = [*enumerate(map(page, bodies)), (100, None), (101, ""), (102, "no tag"), (103, "<![x")]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    got = sorted(map(tuple, QUERIES["page_tree"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(ORACLES["page_tree"]).fetchall())
+    assert got[1] == (1, "a & b", "c < d", 1) and (100, None, None, None) in got
+
+
+def test_go_terms_of_a_deep_page():
+    table = "<table class='t'><tr><td>Process:</td><td><table><tr><td>x</td><td><a>t</a>, <i><a>u</a></i></td></tr></table></td></tr></table>"
+    assert pages.go_terms("<p><b>x<br>" * 3000 + table) == [("Process", "t,u")]
+    deep = pages.tree("<p>" * 50000 + table + "y")
+    assert [len(deep.tables()), len(deep.inside("tr")), deep.text()] == [1, 0, "Process:xt, uy"]
+
+
 def test_plain_pages_are_read_as_by_the_parser():
     """Plain pages are read by one expression, with the events of ``HTMLParser``; others are left to it."""
     import random
